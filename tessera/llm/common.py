@@ -43,3 +43,11 @@ def words_of(text: Column) -> Column:
 def md5_hex(*parts: Column) -> Column:
     """Keyed order that every SQL engine can repeat."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to 1,000 rows and 8 MB: texts are long, and a worker, its executor's
+    buffers and the copy in between each hold a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df

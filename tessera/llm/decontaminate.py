@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 from tessera.llm.textvec import pieces, shingle_hashes, span_hashes, word_spans
 
 SHINGLE = 5
@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                         names=["doc_id", "item_id", "similarity", "hamming", "first_word", "n_words"],
                     )
 
-        got = docs.select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null").mapInArrow(run, schema)
+        got = bounded_batches(docs).select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null").mapInArrow(run, schema)
         found = got if found is None else found.union(got)
     return found if found is not None else spark.createDataFrame([], schema)
 

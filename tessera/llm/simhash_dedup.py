@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: (lowest bit, number of bits) of each segment.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), n, seed) for t in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
 
 
 def balls(radius: int, segments=SEGMENTS) -> list[int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 
 #: Honorifics and the gender that they tell.
 HONORIFICS = {
@@ -164,7 +164,7 @@ def redrawn(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "canon", "extra", "attempt", "new"])
 
     schema = "kind string, canon string, extra string, attempt int"
-    found = docs.select("text").mapInArrow(run, "kind string, canon string, extra string").groupBy("kind", "canon", "extra").agg(F.lit(0).alias("attempt"))
+    found = bounded_batches(docs).select("text").mapInArrow(run, "kind string, canon string, extra string").groupBy("kind", "canon", "extra").agg(F.lit(0).alias("attempt"))
     drawn = stored(found.mapInArrow(draw, schema + ", new string"), "entities")
     real = drawn.select("kind", F.col("canon").alias("new")).distinct()
     for _ in range(rounds):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import bounded_batches, shared_dir
 from tessera.llm.tokens import PieceEncoder
 
 BLOCK = 4096
@@ -161,7 +161,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         if names:
             yield row()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(pack, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded_batches, stored
 from tessera.llm.learn import logistic, sigmoid
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())])
     order = F.xxhash64(F.lit("chain"), "doc_id")
     chosen = marks.orderBy(order, "doc_id").limit(sample)  # bounded: it may be broadcast and its words collected
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     marked = [F.coalesce(f"y{k}", F.lit(-1)).alias(f"y{k}") for k in range(len(names))]
 
     def words(batches):
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=["doc_id", *[f"p_{n}" for n in chain.names]])
 
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def label_chain() -> dict[str, Column]:
