@@ -1,9 +1,295 @@
-"""All queries of the engine by name."""
+"""All queries of the engine by name, each over whole tables or over literal fixtures of Russian text."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import html as H
+from tessera.functions import style as S
+from tessera.functions import text as T
+from tessera.operators import access as A
+from tessera.operators import index as I
+from tessera.operators import layout as L
+from tessera.plans import fixtures as X
+from tessera.session import table
+
+QUERY = "the reading of an erer tion enter"
+SESSION_NOW = 1_704_067_200
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _keep(df: DataFrame, *key) -> DataFrame:
+    """df, persisted (memory, then disk) once for a session and folder: several queries start from it."""
+    key = (df.sparkSession.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    # One small file is one task: deal it out before the folds.
+    n = spark.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
+
+
+def _chunks(spark, d):
+    return _keep(I.numbered(_docs(spark, d), _keep(I.chunks(_docs(spark, d)), d, "pieces")), d, "chunks")
+
+
+def _tf(spark, d):
+    return _keep(I.term_freq(_chunks(spark, d)), d, "tf")
+
+
+def _weights(spark, d):
+    return _keep(I.bm25(_chunks(spark, d), _tf(spark, d)), d, "weights")
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    pieces = I.numbered(_docs(spark, d), I.chunks(_docs(spark, d)))
+    top = I.search(I.bm25(pieces, I.term_freq(pieces)), QUERY)
+    return top.join(pieces.select("chunk_id", "doc_id", "label"), "chunk_id")
+
+
+def text_parts(spark, d):
+    return I.text_parts(_docs(spark, d)).select("doc_id", "part", "label", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+def text_lines_html(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(H.text_html(F.col("text"))).alias("digest"))
+
+
+def chunks(spark, d):
+    return _keep(I.chunks(_docs(spark, d)), d, "pieces").select("doc_id", "part", "piece", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+def chunk_ids(spark, d):
+    return _chunks(spark, d).select("chunk_id", "doc_id", "part", "piece")
+
+
+def chunk_pages(spark, d):
+    return _chunks(spark, d).groupBy(F.floor(F.col("chunk_id") / I.PER_PAGE).alias("page")).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+
+
+def doc_offsets(spark, d):
+    return I.doc_offsets(_docs(spark, d), _chunks(spark, d)).select("doc_id", "parts", "chunks", "start")
+
+
+def doc_records(spark, d):
+    docs = _docs(spark, d).select("doc_id", T.document_name(F.concat_ws("_", F.lit("doc"), "lang", "doc_id")).alias("name"), F.coalesce("source", F.lit("")).alias("sec"))
+    return docs.join(I.doc_offsets(_docs(spark, d), _chunks(spark, d)).select("doc_id", "parts", "chunks", "start"), "doc_id")
+
+
+def tokens(spark, d):
+    return I.tokens(_chunks(spark, d), "chunk_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"))
+
+
+def term_freq(spark, d):
+    return _tf(spark, d)
+
+
+def chunk_len(spark, d):
+    return I.chunk_len(_chunks(spark, d), _tf(spark, d))
+
+
+def doc_freq(spark, d):
+    return I.doc_freq(_tf(spark, d))
+
+
+def corpus_stats(spark, d):
+    return I.corpus_stats(_chunks(spark, d), _tf(spark, d)).select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+def idf(spark, d):
+    df = I.doc_freq(_tf(spark, d)).crossJoin(F.broadcast(I.corpus_stats(_chunks(spark, d), _tf(spark, d))))  # one row
+    return df.select("term", F.round(I.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+def bm25_weights(spark, d):
+    return _weights(spark, d)
+
+
+def postings(spark, d):
+    return I.postings(_weights(spark, d)).select("term", F.array_join(F.col("flat").cast("array<string>"), ",").alias("flat"))
+
+
+def shard_plan(spark, d):
+    return I.shard_plan(_weights(spark, d))
+
+
+def index_shards(spark, d):
+    return I.index_shards(_weights(spark, d))
+
+
+def vocab(spark, d):
+    return I.vocabulary(_tf(spark, d))
+
+
+def index_meta(spark, d):
+    offsets = I.doc_offsets(_docs(spark, d), _chunks(spark, d)).agg(F.count("*").alias("docs"), F.sum("chunks").alias("chunks"))
+    secs = _docs(spark, d).agg(F.countDistinct("source").alias("secs"))
+    plan = I.shard_plan(_weights(spark, d)).select("shards")
+    return offsets.crossJoin(secs).crossJoin(plan).select("docs", "chunks", "secs", "shards", F.lit(I.PER_PAGE).alias("per"), F.lit(len(T.STOP_WORDS)).alias("stop"))  # one row each
+
+
+def search_topk(spark, d):
+    return I.search(_weights(spark, d), QUERY)
+
+
+def search_typo(spark, d):
+    asked = spark.createDataFrame([("thn",), ("ther",), ("errre",), ("tionr",), ("anhte",)], "word string")
+    return I.nearest_terms(I.vocabulary(_tf(spark, d)), asked)
+
+
+def _lines(spark, d):
+    """Lines of documents as pages of 60, with heights: the first and last three lines of a page are at its edges."""
+    parts = I.text_parts(_docs(spark, d)).select("doc_id", "part", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return parts.select("doc_id", F.col("part").alias("page"), "text", (F.col("i") * 10.0).alias("y0"), (F.col("i") * 10.0 + 8).alias("y1"), F.lit(600.0).alias("height"))
+
+
+def header_footer(spark, d):
+    return L.repeated_edges(_lines(spark, d))
+
+
+def noise_lines(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(L.is_noise(F.col("x")), 1)).alias("n_noise"))
+
+
+def heading_level(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("x")).filter("x <> ''")
+    return lines.groupBy("doc_id").agg(F.count(F.when(H.heading_level(F.col("x")) == "h2", 1)).alias("h2"), F.count(F.when(H.heading_level(F.col("x")) == "h3", 1)).alias("h3"))
+
+
+def merge_adjacent(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return L.merge_adjacent(turns, "conv_id", "turn", "role", "text").select("conv_id", "island", "role", "n", F.md5("text").alias("digest"))
+
+
+def margin_pct(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("x1"))
+    return L.margins(rows, "l_orderkey")
+
+
+def distinct_first(spark, d):
+    words = S.words_first_seen(_docs(spark, d), "doc_id", "text", "[A-Za-z]+")
+    return words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long"))
+
+
+def _words(spark, d, name, key):
+    rows = table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
+    return rows.select(F.lower("word").alias("word")).distinct()
+
+
+def oov_words(spark, d):
+    return S.unknown_words(_words(spark, d, "documents", "doc_id"), _words(spark, d, "benchmark", "item_id").toDF("known")).select("word", "part")
+
+
+def edit1_suggest(spark, d):
+    unknown = _words(spark, d, "documents", "doc_id").filter(F.length("word") >= 3)
+    known = _words(spark, d, "benchmark", "item_id").toDF("known")
+    unknown = unknown.join(known, F.col("word") == F.col("known"), "left_anti")
+    return S.suggestions(unknown, known)
+
+
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(H.strip_tags(F.col("html"))).cast("long").alias("chars"), F.md5(H.strip_tags(F.col("html"))).alias("digest"))
+
+
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(H.escape(F.col("html"))).alias("plain"), F.md5(H.escape(F.col("html"), True)).alias("quoted"))
+
+
+def tag_aware_fix(spark, d):
+    change = lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}", " "), r" +([,.;:!?)])", "$1")
+    return table(spark, d, "pages").select("page_id", F.md5(H.between_tags(F.col("html"), change)).alias("digest"))
+
+
+def session_join(spark, d):
+    """Orders as sessions (their date and ninety days) of customers as users."""
+    return _sessions(spark, d).join(_users(spark, d), F.col("user_id") == F.col("u_id")).select("id", "user_id", "expires", "u_email", "u_status")
+
+
+def _sessions(spark, d):
+    created = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("token"), F.col("o_custkey").alias("user_id"), (created + 90 * 86_400).alias("expires"), created.alias("created"))
+
+
+def _users(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("u_id"), F.lower("c_name").alias("u_email"), F.when(F.col("c_acctbal") < 0, "blocked").otherwise("active").alias("u_status"), F.when(F.col("c_acctbal") > 1000, 1).otherwise(0).alias("u_verified"))
+
+
+def _now(spark, d):
+    """The median of the sessions' ends would be data; the clock here is a constant inside the tables' years."""
+    return 852_076_800  # 1997-01-01
+
+
+def valid_sessions(spark, d):
+    users = _users(spark, d).toDF("id", "email", "status", "verified")
+    return A.valid_sessions(_sessions(spark, d), users, _now(spark, d)).select("id", "user_id", "expires", "u_email")
+
+
+def valid_tokens(spark, d):
+    """Each user's last signup or purchase as a token of 7 days."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = table(spark, d, "events").filter(F.col("event_type").isin("signup", "purchase")).select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("kind"), (at + 7 * 86_400).alias("expires"))
+    last = Window.partitionBy("user_id", "kind").orderBy(F.desc("expires"), F.desc("id"))
+    rows = rows.withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r")
+    return A.valid_tokens(rows, "signup", SESSION_NOW + 25 * 86_400)
+
+
+def rate_limit(spark, d):
+    rows = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return A.recent_count(rows, "user_id", F.col("at")).withColumn("limited", F.col("n") >= A.PER_EMAIL)
+
+
+def case_order(spark, d):
+    order = [F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2), F.desc("o_orderdate"), F.col("o_orderkey")]
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).cast("long").alias("rank"))
+    return rows
+
+
+def pending_count(spark, d):
+    return table(spark, d, "orders").agg(F.count(F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100_000), 1)).alias("pending"), F.count("*").alias("users"))
+
+
+def path_acl(spark, d):
+    path = F.regexp_replace("url", "^https?://[^/]*/?", "")
+    return table(spark, d, "pages").select("page_id", A.path_denied(path).alias("denied"), A.cache_policy(path).alias("policy"))
+
+
+def safe_next(spark, d):
+    path = F.regexp_replace("url", "^https?://[^/]*", "")
+    return table(spark, d, "pages").select("page_id", A.safe_next(path, "/").alias("target"))
+
+
+def mime_lookup(spark, d):
+    return table(spark, d, "pages").select("page_id", A.media_type(F.regexp_replace("url", "[?#].*$", "")).alias("mime"))
+
+
+def norm_text(spark, d):
+    return table(spark, d, "customer").select("c_custkey", A.norm_email(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("email"))
+
+
+def content_cache(spark, d):
+    """Distinct contents, and how many documents the first parse of each saves."""
+    return _docs(spark, d).groupBy(F.sha1(F.col("text").cast("binary")).alias("key")).agg(F.min("doc_id").alias("first"), (F.count("*") - 1).alias("hits"))
 
 
 def queries():
-    return {}
+    names = [
+        text_parts, text_lines_html, chunks, chunk_ids, chunk_pages, doc_offsets, doc_records, tokens, term_freq, chunk_len, doc_freq, corpus_stats, idf, bm25_weights,
+        postings, shard_plan, index_shards, vocab, index_meta, search_topk, search_typo, header_footer, noise_lines, heading_level, merge_adjacent, margin_pct, distinct_first,
+        oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
+        safe_next, mime_lookup, norm_text, content_cache,
+    ]
+    return {f.__name__: f for f in names} | X.queries()
 
 
 def oracle_sql():
-    return {}
+    from tessera.plans import oracle
+
+    return oracle.SQL | X.oracle_sql()
