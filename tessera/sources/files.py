@@ -32,7 +32,6 @@ def supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter(ok), files.filter(~ok)
 
 
-@F.pandas_udf("string")
 def _windows_1251(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else bytes(v).decode("cp1251", errors="replace"))
 
@@ -40,7 +39,7 @@ def _windows_1251(x: pd.Series) -> pd.Series:
 def decoded(content: Column) -> Column:
     """UTF-8 with or without a mark at its start, else Windows-1251 (which Spark's own decode() does not know)."""
     valid = F.is_valid_utf8(content.cast("string"))
-    text = F.when(valid, content.cast("string")).otherwise(_windows_1251(F.when(~valid, content)))
+    text = F.when(valid, content.cast("string")).otherwise(F.pandas_udf(_windows_1251, "string")(F.when(~valid, content)))
     return F.regexp_replace(text, "^\\uFEFF", "")
 
 
