@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ def unescape(x: Column) -> Column:
 def unescape_udf():
     import html
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else html.unescape(v))
