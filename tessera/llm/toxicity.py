@@ -24,7 +24,7 @@ from tessera.llm.learn import logistic, sigmoid
 
 WORDS = re.compile(r"[^\W\d_]+")
 SAMPLE, VOCABULARY, FOLDS = 12_000, 160, 3
-LEAST_DOCS = 12
+LEAST_DOCS = 4
 SHARES = 5
 _classes = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?"), 1):

@@ -1,0 +1,289 @@
+"""Training-data operators: brute force, round trips, held-out accuracy, and the odd cases of their docstrings."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat_format, decontaminate, line_rules, mixing, queries, rule_ensemble, sharding, simhash_dedup, surrogates, token_output, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and to erent tion ande hesh inor stea onth blend wher thst ouran leth mardo venti suro kelim".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", rng.choice(WORDS)]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    out = [(k, prose(rng, rng.randrange(25, 90)), "en", f"s{k % 3}") for k in range(60)]
+    base = prose(rng, 200)
+    out += [(100 + k, base if k < 4 else base.replace(" of ", " or ", 1) + " end", "en", "s0") for k in range(6)]
+    out += [(200, None, "en", "s1"), (201, "", None, None), (202, "One", "en", "s1"), (203, "two  words", "en", "s1"), (None, "no id here", "en", "s1")]
+    out += [(204, "long " * 30_000, "en", "s2"), (205, "Ünï ☃ 日本 don't <|endoftext|>\n\n x", "fr", "s2")]
+    return [(d, t, x, s, len(t or "")) for d, t, x, s in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("clash")).withColumn("__c", F.lit(1)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.filter("false")
+
+
+def test_token_ids_match_whole_text_encoding(docs, rows):
+    from tokenizers import Tokenizer
+
+    got = {r.doc_id: r for r in token_output.token_documents(docs, queries.tokenizer_path()).collect()}
+    enc, start = Tokenizer.from_file(queries.tokenizer_path()), 0
+    for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = enc.encode(t or "", add_special_tokens=False).ids + [2]
+        want = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == want
+        start += len(ids)
+
+
+@pytest.mark.parametrize("values", [[], [7], [0] * 5, [2**32 - 1, 0], list(range(9000)), [5] * 4096 + [70_000], [3] * 5000 + [2**31]])
+def test_segment_round_trip(values):
+    data = token_output.encode_segment(np.array(values, np.uint32))
+    assert token_output.decode_segment(data).tolist() == values
+    assert token_output.decode_segment(data, 4000, 4200).tolist() == values[4000:4200]
+
+
+def brute_prints(rows):
+    from xxhash import xxh64_intdigest
+
+    out = {}
+    for d, t, *_ in rows:
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        hs = [xxh64_intdigest(s.encode(), 42) for s in sh]
+        out[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return out
+
+
+def components_of(prints, radius=4):
+    ids = sorted(k for k in prints if k is not None)
+    root = {i: i for i in ids}
+    change = True
+    while change:
+        change = False
+        for a in ids:
+            for b in ids:
+                if root[b] > root[a] and (prints[a] ^ prints[b]).bit_count() <= radius:
+                    root[b], change = root[a], True
+    return root
+
+
+def test_simhash_components_equal_brute_force(docs, rows):
+    want = brute_prints(rows)
+    root = components_of(want)
+    got = simhash_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == {k: v for k, v in want.items() if k is not None}
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 7])
+def test_links_lose_nothing(spark, radius, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "DIRECT", 40)
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 50)
+    rng = random.Random(radius)
+    centre = [rng.getrandbits(64) for _ in range(4)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for c in centre for _ in range(60)} | {0}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ids = {k: f for k, f in enumerate(sorted(fps))}
+    names = {signed(f): k for k, f in ids.items()}
+    edges = simhash_dedup.links(spark.createDataFrame([(s,) for s in names], "fp long"), radius).collect()
+    root = {k: k for k in ids}
+    for _ in ids:
+        for a, b in edges:
+            low = min(root[names[a]], root[names[b]])
+            root[names[a]] = root[names[b]] = low
+    assert root == components_of(ids, radius)
+
+
+def test_dedup_keeps_one_of_each(docs, rows):
+    root = components_of(brute_prints(rows))
+    assert sum(r is not None for r in set(root.values())) > 0
+    twice = docs.union(docs.filter("doc_id < 3"))
+    kept = simhash_dedup.dedup_documents(twice, n=4)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
+
+
+def test_decontamination_equals_brute_force(spark, docs, rows):
+    rng = random.Random(3)
+    items = [(k, prose(rng, rng.randrange(12, 40))) for k in range(6)] + [(90, None), (91, "alpha beta gamma")]
+    leaks = [(500 + k, prose(rng, 30) + " " + t + " " + prose(rng, 20), "en", "s", 1) for k, t in items[:4]]
+    near = items[4][1].split()
+    near[len(near) // 2] = "changedword"
+    leaks += [(510, prose(rng, 20) + " " + " ".join(near) + " " + prose(rng, 5), "en", "s", 1), (511, "Alpha, beta: gamma!", "en", "s", 1)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    everything = rows + leaks
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(everything, DOCS), bench).collect()}
+    index = decontaminate.ItemIndex([i for i in items if i[1]], {}, 1.0, 5, 15)
+    want = set()
+    for d, t, *_ in everything:
+        bag = decontaminate._bags([(t or "").lower()], 5)[0] if d is not None and t else np.zeros(0, np.uint64)
+        for k, i in enumerate(index.ids):
+            n = min(int(index.length[k]), len(bag))
+            if n and any(index.similarity(k, bag[s : s + n]) >= 0.86 for s in range(len(bag) - n + 1)):
+                want.add((d, i))
+    assert want <= got and {(500 + k, k) for k in range(4)} | {(511, 91)} <= got
+    assert not {d for d, _ in got} & {r[0] for r in rows}
+
+
+def test_multi_index_finds_all_within_radius():
+    items = [(k, prose(random.Random(k), 30)) for k in range(40)]
+    index = decontaminate.ItemIndex(items, {}, 1.0, 5, 15)
+    rng = random.Random(1)
+    for _ in range(300):
+        fp = int(index.prints[rng.randrange(40)]) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(18)))
+        assert index.within(fp) == {k for k in range(40) if (int(index.prints[k]) ^ fp).bit_count() <= 15}
+
+
+def test_toxicity_and_quality_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").cache()
+    odd = labels.filter("doc_id % 2 = 1")
+    other = labels.filter("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("y"))
+    got = toxicity.toxicity(docs, odd, queries.TOXIC_AT).join(other, "doc_id").toPandas()
+    assert got.toxic[got.y == 1].mean() > 0.8 and got.toxic[got.y == 0].mean() < 0.01
+    q = rule_ensemble.quality(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert (q.predicted == q.quality).mean() > 0.97
+    assert q.score.between(0, 1).all()
+
+
+def test_models_without_labels(docs, spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == docs.count() and not any(r.toxic for r in got)
+    assert rule_ensemble.quality(docs, labels).count() == docs.count()
+    assert toxicity.toxicity(none, labels).count() == 0 and rule_ensemble.quality(none, labels).count() == 0
+
+
+def test_mixing_limits(docs, none):
+    got = mixing.mixed(docs, limit=1.5).collect()
+    rows = docs.count()
+    once = [r for r in got if r.block == 0]
+    assert len(once) == rows and len(got) >= rows
+    words = {}
+    for r in got:
+        words.setdefault(r.source, [0, 0])
+        words[r.source][0] += r.n_words
+        words[r.source][1] += r.n_words if r.block == 0 else 0
+    longest = max(r.n_words for r in once)
+    assert all(a <= 1.5 * b + longest for a, b in words.values())
+    assert mixing.mixed_documents(docs, limit=1.5).columns == docs.columns
+    assert mixing.mixed_documents(none, limit=1.5).count() == 0
+    even = mixing.plan(docs.select(F.coalesce("source", F.lit("-")).alias("source_key"), mixing.n_words(F.col("text")).alias("n_words")), entropy=0.6).collect()
+    assert abs(-sum(r.weight * np.log(r.weight) for r in even) - 0.6) < 0.02
+
+
+def test_chat_round_trip_with_parts(spark):
+    text = "a &lt; <|image:9|> </s> [INST] & \n x"
+    turns = spark.createDataFrame(
+        [(1, 0, "user", [("text", text, None, None), ("image", None, "i.png", 2.0), ("text", "b", None, None), ("audio", None, "a.wav", 3.0)]), (1, 1, "assistant", [("document", None, "d.pdf", 1.0), ("text", text, None, None)]), (2, None, None, None)],
+        f"conv_id long, turn long, role string, parts {chat_format.PARTS}",
+    )
+    chats = chat_format.formatted(turns)
+    rows = {r.conv_id: r for r in chats.collect()}
+    assert [(a.number, a.type, a.uri, a.tokens) for a in rows[1].attachments] == [(1, "image", "i.png", 512), (2, "audio", "a.wav", 75), (3, "document", "d.pdf", 800)]
+    assert rows[1].expanded_tokens == 1387 and "<|image:1|>" in rows[1].formatted and "<|document:3|>" in rows[1].formatted
+    back = {r.conv_id: r for r in chat_format.read_back(chats).collect()}
+    assert [t.role for t in back[1].turns] == ["user", "assistant"]
+    assert back[1].turns[0].text == text + "<|image:1|>b<|audio:2|>" and back[1].loss_texts == ["<|document:3|>" + text]
+    assert [(t.role, t.text) for t in back[2].turns] == [("", "")]
+
+
+def test_surrogates(spark, none):
+    mail, card, token = "Anna.Lee7@mail.com", "4111 1111 1111 1111", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f"Mail {mail} or call +1 (017) 555-7713, ip 83.229.25.121, card {card}, token = \"{token}\"; Frau Anna Schmidt, Mr Bob, anna.lee7@MAIL.com"
+    other = spark.createDataFrame([(1, text), (2, f"again {mail} 4111111111111111"), (3, None), (4, "clean text, 12 apples")], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.anonymised(other).collect()}
+    out = got[1].text
+    for secret in (mail, "555-7713", "83.229.25.121", card, token, "Schmidt", "Bob"):
+        assert secret not in out
+    new = re.search(r"Mail (\S+@\S+)", out).group(1)
+    assert new in got[2].text and new[0].isupper() and new.lower() in out.split("Mr ")[1].lower()
+    digits = re.search(r"card ([\d ]{19})", out).group(1)
+    assert surrogates.luhn(digits.replace(" ", "")) and digits.replace(" ", "") in got[2].text
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out) and re.search(r"Frau (\S+) \S+,", out).group(1) in surrogates.GIVEN["latin", "f"]
+    assert got[3].text is None and got[4].text == "clean text, 12 apples" and got[4].n_entities == 0
+    assert surrogates.anonymised(none).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    # Single names have few surrogates, so first draws collide among some thousands.
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(6)).capitalize() for _ in range(3000)})
+    first = [surrogates.surrogate(b"k", "name", n, "m") for n in names]
+    assert len(set(first)) < len(first)
+    df = spark.createDataFrame([(k, f"Mr {n} and Mr {n}.") for k, n in enumerate(names)], "doc_id long, text string")
+    assert surrogates.redrawn(df, b"k").count() > 0
+    out = [re.findall(r"Mr (\w+)", r.text) for r in surrogates.anonymised(df, b"k").collect()]
+    assert all(a == b for a, b in out) and len({a for a, _ in out}) == len(names) and not {a for a, _ in out} & set(names)
+
+
+def test_shards(docs, none):
+    got = sharding.sharded(docs, 4).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
+    total, most = sum(r.size for r in got), max(r.size for r in got)
+    assert all(abs(sum(r.size for r in rows) - total / 4) <= most for rows in by.values())
+    assert sharding.sharded(none, 4).count() == 0
+
+
+def test_shards_split_overfull_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "DRAWS", 8)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    sizes = [r.s for r in sharding.sharded(df, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 40
+
+
+def test_line_rules_remove_shared_lines(spark, none):
+    shared, own = "This line is on every page of the host.", lambda k: " ".join(chr(97 + k % 26) * (2 + j + 21 * (k // 26)) for j in range(24))
+    rows = [(k, own(k) + "\n" + shared, "a") for k in range(30)] + [(100 + k, "\n".join([shared] * 3), "a") for k in range(2)] + [(200, None, None), (201, own(1) + "\n" + shared, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_rules.line_verdicts(df, max_docs=5, max_share=0.02).collect()}
+    assert got[0].kept and got[0].lost_words == 9 and got[201].lost_words == 0 and not got[200].kept and got[200].base_failed
+    assert got[100].lost_words == 27 and not got[100].kept and got[100].base_failed is not None
+    text = {r.doc_id: r.text for r in line_rules.cleaned(df, max_docs=5, max_share=0.02).collect()}
+    assert text[3] == own(3) and text[201].endswith(shared)
+    twice = line_rules.line_verdicts(df.union(df), max_docs=5, max_share=0.02).filter("doc_id = 0").collect()
+    assert [r.lost_words for r in twice] == [9, 9]
+    assert line_rules.line_verdicts(none).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    item = prose(rng, 30)
+    rows = [(k, prose(rng, 60) + (" vilify" if k % 5 == 0 else ""), "en", f"s{k % 2}", 1) for k in range(200)]
+    rows += [(300, rows[1][1], "en", "s0", 1), (301, prose(rng, 20) + " " + item, "en", "s0", 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {k for k in range(200) if k % 5}
+    assert sorted(r.start for r in got)[0] == 0 and all(r.n_tokens > 1 for r in got)
+
+
+def test_digests_of_texts(spark):
+    got = queries.op7_chat_format(spark, "/root/testdata/sf0.001").filter("conv_id = -7").first()
+    t = "</s>[INST] ok [/INST]"
+    assert got.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest() and got.loss_chars == len(t)
