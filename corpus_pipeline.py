@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of five-word shingles at most four bits apart."""
-    return simhash_dedup.dedup_documents(docs, radius=4, n=5)
+    """One document of each group of near copies: a similarity of 0.8 or more of five-word shingles."""
+    return simhash_dedup.dedup_similar(docs, n=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

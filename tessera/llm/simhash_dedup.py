@@ -11,6 +11,13 @@ many near ones. Its rows are cut into blocks of a fixed size and every two block
 keeps one link for each fingerprint it connects (a spanning forest), never all pairs. Links become components by
 alternating large-star and small-star steps over written tables, so nothing grows on the driver.
 
+64 bits tell texts apart whose shingles are nearly all the same. For a similarity of 0.8 (`similar_documents`) the
+fingerprints are of 256 bits: texts whose sets of shingles have a Jaccard similarity of 0.8 differ in 38 of them on
+average (standard deviation 6), unrelated ones in 128 (8). Candidates link at WIDE.radius or fewer. A lookup in balls
+of one bit round each of WIDE's segments meets 98 % of pairs at 0.8 and nearly all above 0.85; a guarantee for that
+radius would take balls that hold most of the table. Candidate components are then read again with their exact sets of
+shingles, in blocks of bounded bytes of which every two meet, and only links of the exact similarity stay.
+
 Defined results: a null text has no words; no words give fingerprint 0, linked like any other; a null doc_id is dropped
 (it can't be named in a result); rows that repeat a doc_id are one document if their texts are equal, and otherwise
 several fingerprints of which the smallest stands for that id. An empty table gives an empty result.
@@ -19,6 +26,7 @@ several fingerprints of which the smallest stands for that id. An empty table gi
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +35,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import bounded_batches, stored
+from tessera.llm.textvec import mix, pieces, shingle_hashes, span_hashes, word_spans
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: (lowest bit, number of bits) of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: The same letters and separators for vectorised reading: lower case of each byte, and the bytes of words.
+LOWER_BYTES = np.frombuffer(LOWER, np.uint8)
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Rows of one side of a bucket that meet in one task; a dense block's search is over this many at most.
 BLOCK = 8192
+#: Bytes of exact sets in one side of a candidate component that meet in one task.
+SET_BYTES = 1 << 20
 #: Up to this many comparisons a bucket's pairs are formed at once; above, they are searched breadth first.
 DIRECT = 1 << 14
 
 
+class Index(NamedTuple):
+    """A multi-index: (column, lowest bit, bits) and ball radius of each segment, and the distance that links."""
+
+    columns: list[str]
+    segments: list[tuple[str, int, int]]
+    balls: list[int]
+    radius: int
+
+
+#: Four words of 64 bits, two segments in each.
+WIDE = Index([f"fp{k}" for k in range(4)], [(f"fp{k}", low, 13) for k in range(4) for low in (0, 32)], [1] * 8, 52)
+
+
+def narrow(radius: int) -> Index:
+    """The index over one 64-bit fingerprint that misses nothing within radius."""
+    return Index(["fp"], [("fp", low, size) for low, size in SEGMENTS], balls(radius), radius)
+
+
 def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
     """Bit b is 1 if it is set in over half of the shingles' XXH64 values."""
     from xxhash import xxh64_intdigest as h64
@@ -67,64 +100,109 @@ def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
 
 
+def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
+    """A row of WIDE's words for each text: bit b is 1 if it is set in over half of the shingles' hashes."""
+    out = np.zeros((len(texts), len(WIDE.columns)), np.uint64)
+    for row, rows, data, offsets in pieces(texts):
+        data = LOWER_BYTES[data]
+        starts, ends, of = word_spans(data, offsets, NOT_SPACE)
+        if not len(starts):
+            continue
+        words = span_hashes(data, starts, ends)
+        begin = np.searchsorted(of, np.arange(rows + 1))
+        shingles = shingle_hashes(words, n)
+        whole = of[: len(shingles)] == of[len(of) - len(shingles) :]  # not across two texts
+        short = np.flatnonzero((np.diff(begin) > 0) & (np.diff(begin) < n))
+        of_short = [shingle_hashes(words[begin[k] : begin[k + 1]], int(begin[k + 1] - begin[k])) for k in short.tolist()]
+        owner = np.concatenate([of[: len(shingles)][whole], short])
+        hashes = np.concatenate([shingles[whole], *of_short])
+        order = np.argsort(owner, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        size = np.diff(np.append(first, len(owner)))
+        # Eight counters of a byte each are summed at once, over runs short enough for them.
+        runs = -(-size // 255)
+        of_text = np.cumsum(runs) - runs
+        at = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(of_text, runs))
+        for k in range(out.shape[1]):
+            mixed = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+            fp = np.zeros(len(first), np.uint64)
+            for shift in range(8):
+                lanes = np.add.reduceat((mixed >> np.uint64(shift)) & np.uint64(0x0101010101010101), at)
+                counts = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), of_text, axis=0)
+                bits = (2 * counts > size[:, None]).astype(np.uint8)
+                fp |= bits.view("<u8").ravel().astype(np.uint64) << np.uint64(shift)
+            out[row + owner[first], k] = fp
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, fp0, fp1, fp2, fp3) as signed longs."""
+
+    def run(batches):
+        for batch in batches:
+            fp = wide_prints(batch.column(1), n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in fp.T]], names=["doc_id", *WIDE.columns])
+
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in WIDE.columns)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, schema)
+
+
 def balls(radius: int, segments=SEGMENTS) -> list[int]:
     """Ball radius of each segment that together miss no pair within radius."""
     a, b = divmod(radius, len(segments))
     return [a if k <= b else a - 1 for k in range(len(segments))]
 
 
-def _probes(radius: int, segments=SEGMENTS) -> list[tuple[int, int]]:
-    """(segment, flipped bits) that a fingerprint asks for, besides its own values."""
-    return [
+def candidates(classes: DataFrame, index: Index) -> DataFrame:
+    """classes' columns, bucket and asks: a row of each table entry and each lookup; classes: distinct fingerprints.
+
+    A lookup is an entry's segment with some bits flipped: up to the segment's ball radius of them.
+    """
+    values = [F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << size) - 1).cast("long")) for c, low, size in index.segments]
+    tag = lambda k, value: (F.lit(k).cast("long") * F.lit(1 << 40) + value).alias("bucket")
+    entries = F.array(*[F.struct(tag(k, v), F.lit(False).alias("asks")) for k, v in enumerate(values) if index.balls[k] >= 0])
+    masks = [
         (k, sum(1 << b for b in bits))
-        for k, r in enumerate(balls(radius, segments))
+        for k, r in enumerate(index.balls)
         for size in range(1, r + 1)
-        for bits in itertools.combinations(range(segments[k][1]), size)
+        for bits in itertools.combinations(range(index.segments[k][2]), size)
     ]
-
-
-def candidates(classes: DataFrame, radius: int) -> DataFrame:
-    """(bucket, fp, asks) of each table entry and lookup; classes: distinct fp."""
-    segments = SEGMENTS
-    values = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1).cast("long")) for low, size in segments]
-    tag = lambda k, value: (F.lit(k).cast("long") * F.lit(1 << 40) + value).alias("bucket")
-    entries = F.array(*[F.struct(tag(k, v), F.lit(False).alias("asks")) for k, v in enumerate(values) if balls(radius)[k] >= 0])
-    masks = [(k, m) for k, m in _probes(radius)]
     # One side of each pair asks: the one whose lowest flipped bit is 0.
     asks = [
         F.when(values[k].bitwiseAND(F.lit(m & -m).cast("long")) == 0, F.struct(tag(k, values[k].bitwiseXOR(F.lit(m).cast("long"))), F.lit(True).alias("asks")))
         for k, m in masks
     ]
     rows = F.concat(entries, F.filter(F.array(*asks), lambda x: x.isNotNull())) if asks else entries
-    return classes.select("fp", F.explode(rows).alias("r")).select(F.col("r.bucket").alias("bucket"), "fp", F.col("r.asks").alias("asks"))
+    return classes.withColumn("r", F.explode(rows)).select(*classes.columns, F.col("r.bucket").alias("bucket"), F.col("r.asks").alias("asks"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+    """Fingerprints are elements of a vector, or rows of a matrix of words."""
+    differ = np.bitwise_count(a ^ b)
+    return (differ.sum(axis=-1, dtype=np.int32) if b.ndim > 1 or a.ndim > 1 else differ) <= radius
 
 
-def _forest(entries: np.ndarray, asking: np.ndarray, radius: int):
-    """Links that connect what is linked between entries, and between entries and asking ones: breadth first, each
-    fingerprint once, so memory is linear and a dense group shrinks at the first step."""
-    fps = np.concatenate([entries, asking])
-    table = np.arange(len(fps)) < len(entries)
+def _forest(fps: np.ndarray, held: int, radius: int):
+    """Links (positions) that connect what is linked between the first `held` fingerprints, and between them and the
+    rest: breadth first, each fingerprint once, so memory is linear and a dense group shrinks at the first step."""
     left = np.arange(len(fps))
-    while len(left):
+    while len(left) and left[0] < held:  # what is left of the rest has no link
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = _close(fps[left], fps[at], radius)
-            if not table[at]:
-                near &= table[left]
+            if at >= held:
+                near &= left < held
             found = left[near]
             if len(found):
-                yield np.full(len(found), fps[at]), fps[found]
+                yield np.full(len(found), at), found
                 left = left[~near]
                 queue.extend(found.tolist())
 
 
 def _link(buckets: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: int):
-    """(fp, fp) arrays of links within whole buckets."""
+    """Arrays of linked positions within whole buckets."""
     order = np.lexsort((asks, buckets))
     buckets, fps, asks = buckets[order], fps[order], asks[order]
     cut = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
@@ -144,29 +222,55 @@ def _link(buckets: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: int):
         a = np.repeat(first[done:stop], many[done:stop])
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many[done:stop]) - many[done:stop], many[done:stop])
         near = _close(fps[a], fps[b], radius)
-        yield fps[a[near]], fps[b[near]]
+        yield order[a[near]], order[b[near]]
         done = stop
     for k in np.flatnonzero(work > DIRECT):
-        middle = cut[k] + held[k]
-        yield from _forest(fps[cut[k] : middle], fps[middle : end[k]], radius)
+        for a, b in _forest(fps[cut[k] : end[k]], int(held[k]), radius):
+            yield order[cut[k] + a], order[cut[k] + b]
 
 
 def links(classes: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b), a < b: links that connect every two fingerprints within radius; classes: distinct fp."""
-    rows = candidates(classes, radius)
+    return linked(classes.select("fp"), narrow(radius), "fp")
+
+
+def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
+    """(a, b), a < b: links by way of the index, between values of `node`, a long column of classes."""
+    rows = candidates(classes, index)
+    held, radius = classes.columns, index.radius
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Buckets that hold more than a block: their rows are dealt to blocks and every two blocks meet.
     hot = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.count(F.when(~F.col("asks"), 1)).alias("held"))
     hot = hot.filter(F.col("held") > 0)
     rows = rows.join(hot, "bucket")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
-    mine = F.pmod(F.xxhash64("fp", "asks"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64(*index.columns, "asks"), F.col("blocks"))
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, F.col("mine")) * F.col("blocks") + F.greatest(x, F.col("mine")))
-    rows = rows.filter("size > 1").select("bucket", "fp", "asks", F.explode(meets).alias("cell"))
+    rows = rows.filter("size > 1").select("bucket", *held, "asks", F.explode(meets).alias("cell"))
+
+    def work(t, k):
+        same = np.cumsum(np.concatenate([[False], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
+        fps = [t.column(c).to_numpy().view(np.uint64) for c in index.columns]
+        fps = fps[0] if len(fps) == 1 else np.column_stack(fps)
+        names = t.column(node).to_numpy()
+        asks = t.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
+        out = [(a, b) for a, b in _link(same, fps, asks, radius) if len(a)]
+        if out:
+            a, b = (names[np.concatenate(x)] for x in zip(*out, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return dealt.mapInArrow(_whole_groups(["bucket", "cell"], work), "a long, b long").distinct()
+
+
+def _whole_groups(keys: list[str], work):
+    """A function of Arrow batches that hands work(table, key matrix) whole groups of rows with equal long keys."""
 
     def run(batches):
-        key = lambda t: np.stack([t.column("bucket").to_numpy(), t.column("cell").to_numpy()])
+        key = lambda t: np.stack([t.column(c).to_numpy() for c in keys])
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -182,19 +286,69 @@ def links(classes: DataFrame, radius: int = 4) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from work(rest, key(rest))
 
+    return run
+
+
+def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    data = LOWER_BYTES[np.frombuffer((text or "").encode(), np.uint8)]
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_SPACE)
+    return np.unique(shingle_hashes(span_hashes(data, starts, ends), min(n, max(1, len(starts)))))
+
+
+def _similar_forest(sets: list[np.ndarray], similarity: float):
+    """Links (positions) that connect the sets of that Jaccard similarity or more: breadth first, by inverted lists."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    lists, start = owner[order], np.searchsorted(item[order], np.arange(int(item.max(initial=-1)) + 2))
+    of = np.concatenate([[0], np.cumsum(size)])
+    left = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            at = queue.pop()
+            own = item[of[at] : of[at + 1]]
+            long = start[own + 1] - start[own]
+            every = np.repeat(start[own] - np.cumsum(long) + long, long) + np.arange(long.sum())
+            common = np.bincount(lists[every], minlength=len(sets))
+            found = np.flatnonzero(left & (common > 0) & (common >= similarity * (size + size[at] - common) - 1e-9))
+            if len(found):
+                yield np.full(len(found), at), found
+                left[found] = False
+                queue.extend(found.tolist())
+
+
+def verified(docs: DataFrame, near: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: links of exact similarity within candidate components; near: (node, root), node a doc_id."""
+    members = near.union(near.select("root", "root")).distinct().toDF("node", "root")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "root", "text")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), n).astype("<u8").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "root", "hashes"])
+
+    rows = stored(bounded_batches(texts).mapInArrow(sets, "node long, root long, hashes binary"), "sets")
+    blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(SET_BYTES)).cast("long").alias("blocks"))
+    rows = rows.join(blocks.filter("blocks > 0"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, F.col("mine")) * F.col("blocks") + F.greatest(x, F.col("mine")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("root", F.explode(meets).alias("cell"), "node", "hashes").repartition(parts, "root", "cell").sortWithinPartitions("root", "cell")
+
     def work(t, k):
-        same = np.cumsum(np.concatenate([[False], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
-        fps = t.column("fp").to_numpy().view(np.uint64)
-        asks = t.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
-        out = [(a, b) for a, b in _link(same, fps, asks, radius) if len(a)]
-        if out:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        cut = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
+        names, hashes = t.column("node").to_numpy(), t.column("hashes")
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), t.num_rows], strict=True):
+            out = list(_similar_forest([np.frombuffer(hashes[i].as_py(), "<u8") for i in range(low, high)], similarity))
+            if out:
+                a, b = (names[low + np.concatenate(x)] for x in zip(*out, strict=True))
+                keep = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
 
-    dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(_whole_groups(["root", "cell"], work), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -225,28 +379,51 @@ def near_duplicates(docs: DataFrame, radius: int = 4, n: int = 4, seed: int = 42
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = stored(links(classes.select("fp"), radius), "links")
     named = found.join(classes.toDF("a", "first_a"), "a").join(classes.toDF("b", "first_b"), "b")
-    one = prints.groupBy("doc_id", "fp").count().groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return _components_of(prints, classes, named.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")), ["fp"])
+
+
+def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp0 to fp3, component_id): texts found by WIDE fingerprints link at that Jaccard similarity or more of
+    their sets of n-word shingles, and when their fingerprints are equal."""
+    prints = stored(wide_fingerprints(docs, n), "prints")
+    classes = stored(prints.groupBy(*WIDE.columns).agg(F.min("doc_id").alias("first")), "classes")
+    near = components(linked(classes, WIDE, "first"))
+    return _components_of(prints, classes, stored(verified(docs, near, n, similarity), "links"), WIDE.columns)
+
+
+def _components_of(prints: DataFrame, classes: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, fingerprint and component_id; named: links (a, b) between the first ids of classes."""
+    one = prints.groupBy("doc_id", *columns).count().groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if one:  # an id with several texts ties their classes together
-        same = prints.distinct().join(classes, "fp").select("doc_id", F.col("first").alias("first_a"))
-        named = named.select("first_a", "first_b").union(same.select("first_a", F.col("doc_id").alias("first_b")))
-    roots = components(named.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-    of_class = classes.join(roots, classes["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
+        same = prints.distinct().join(classes, columns).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        named = named.union(same)
+    roots = components(named)
+    of_class = classes.join(roots, classes["first"] == roots["node"], "left").select(*columns, F.coalesce("root", "first").alias("component_id"))
     if one:
-        prints = prints.groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+        prints = prints.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("fp")).select("doc_id", *[F.col(f"fp.{c}").alias(c) for c in columns])
+    return prints.join(of_class, columns).select("doc_id", *columns, "component_id")
 
 
 def dedup_documents(docs: DataFrame, radius: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one document of each component of near_duplicates()."""
+    return one_of_each(docs, near_duplicates(docs, radius, n, seed))
+
+
+def dedup_similar(docs: DataFrame, n: int = 5) -> DataFrame:
+    """docs with one document of each component of similar_documents()."""
+    return one_of_each(docs, similar_documents(docs, n))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id. Rows with a null doc_id stay.
 
     Rows that repeat a doc_id are that one document: the first of them in the order of all columns stays.
     """
-    linked = near_duplicates(docs, radius, n, seed)
-    drop = stored(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    drop = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    if linked.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        again = linked.groupBy("doc_id").count().filter("count > 1").select("doc_id")
         one = kept.join(again, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(docs.columns)
         kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
     return kept

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, line_rules, mixing, queries, rule_ensemble, sharding, simhash_dedup, surrogates, token_output, toxicity
+from tessera.llm import chat_format, decontaminate, line_rules, mixing, queries, rule_ensemble, sharding, simhash_dedup, surrogates, textvec, token_output, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to erent tion ande hesh inor stea onth blend wher thst ouran leth mardo venti suro kelim".split()
@@ -121,6 +122,63 @@ def test_dedup_keeps_one_of_each(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
 
 
+def shingles_of(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def alike(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return a == b or len(a & b) >= 0.8 * len(a | b) > 0
+
+
+def test_wide_prints_equal_brute_force():
+    texts = [None, "", " \t\n", "One", "a b c d", "a b c d E", "x " * 700, "a b c d e f g h i j", "é ü\u00a0z"]
+    got = simhash_dedup.wide_prints(pa.array(texts, pa.string()))
+    assert not got[:3].any() and got[3:].any(axis=1).all()
+    for k, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode().lower() if t != texts[-1] else t.encode(), np.uint8)
+        starts, ends, _ = textvec.word_spans(data, np.array([0, len(data)]), simhash_dedup.NOT_SPACE)
+        hashes = textvec.shingle_hashes(textvec.span_hashes(data, starts, ends), min(5, max(1, len(starts))))
+        for j in range(4):
+            mixed = [int(x) for x in textvec.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64)))]
+            assert got[k, j] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_dedup_similar_equals_brute_force(spark, monkeypatch, small):
+    if small:  # every block and bucket path
+        for name, value in (("DIRECT", 4), ("BLOCK", 20), ("SET_BYTES", 4000)):
+            monkeypatch.setattr(simhash_dedup, name, value)
+    rng = random.Random(8)
+    texts = [None, "", "One", "ONE", "a b c d e", "a b c d e f"] + [prose(rng, rng.randrange(30, 300)) for _ in range(40)]
+    for t in texts[6:26]:
+        for edits in (0, 1, 2, 4, 8, 16):
+            w = t.split()
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    chain = prose(rng, 200).split()
+    for step in range(40):  # each like the one before, the ends unlike
+        chain[5 * step] = f"step{step}"
+        texts.append(" ".join(chain))
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, texts[7], "en", "s", 1)]
+    root = list(range(len(texts)))
+    for _ in range(60):
+        before = list(root)
+        for a in range(len(texts)):
+            for b in range(a):
+                if root[a] != root[b] and alike(texts[a], texts[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == dict(enumerate(root))
+    kept = simhash_dedup.dedup_similar(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(root))
+    assert simhash_dedup.dedup_similar(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     rng = random.Random(3)
     items = [(k, prose(rng, rng.randrange(12, 40))) for k in range(6)] + [(90, None), (91, "alpha beta gamma")]
