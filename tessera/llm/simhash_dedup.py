@@ -8,7 +8,7 @@ segments' values and looks up, in the same table, the values in that small Hammi
 
 Copies cost nothing: equal fingerprints are one class before the search. A bucket (segment, value) may still hold very
 many near ones. Its rows are cut into blocks of a fixed size and every two blocks meet in a task of their own; a task
-keeps one link for each fingerprint it connects (a spanning forest), never all pairs. Links become components by
+returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. Links become components by
 alternating large-star and small-star steps over written tables, so nothing grows on the driver.
 
 64 bits tell texts apart whose shingles are nearly all the same. For a similarity of 0.8 (`similar_documents`) the
@@ -48,6 +48,8 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 BLOCK = 8192
 #: Bytes of exact sets in one side of a candidate component that meet in one task.
 SET_BYTES = 1 << 20
+#: Links that a task holds before it cuts them to a spanning forest.
+FOREST_LINKS = 1 << 18
 #: Up to this many comparisons a bucket's pairs are formed at once; above, they are searched breadth first.
 DIRECT = 1 << 14
 
@@ -255,15 +257,48 @@ def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
         fps = fps[0] if len(fps) == 1 else np.column_stack(fps)
         names = t.column(node).to_numpy()
         asks = t.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
-        out = [(a, b) for a, b in _link(same, fps, asks, radius) if len(a)]
-        if out:
-            a, b = (names[np.concatenate(x)] for x in zip(*out, strict=True))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        for a, b in _link(same, fps, asks, radius):
+            if len(a):
+                yield names[a], names[b]
+
+    def run(batches):
+        """Links of all buckets of a task, cut to a spanning forest whenever many have come."""
+        held, many = [], 0
+        for link in _whole_groups(["bucket", "cell"], work)(batches):
+            held.append(link)
+            many += len(link[0])
+            if many > FOREST_LINKS:
+                a, b = spanning(*map(np.concatenate, zip(*held, strict=True)))
+                if 2 * len(a) > FOREST_LINKS:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    held, many = [], 0
+                else:
+                    held, many = [(a, b)], len(a)
+        if held:
+            a, b = spanning(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
-    return dealt.mapInArrow(_whole_groups(["bucket", "cell"], work), "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (a, b) that still connect what all of them connect, as (smaller, larger): each component
+    takes one link to a component before it, until none is left."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root, kept = np.arange(len(nodes)), np.zeros(len(a), bool)
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        across = np.flatnonzero(low < high)
+        if not len(across):
+            return a[kept], b[kept]
+        joined, first = np.unique(high[across], return_index=True)
+        kept[across[first]] = True
+        root[joined] = low[across[first]]
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def _whole_groups(keys: list[str], work):

@@ -145,10 +145,31 @@ def test_wide_prints_equal_brute_force():
             assert got[k, j] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
 
 
+def test_spanning_connects_the_same():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (30, 20), (40, 200), (500, 450)):
+        a, b = rng.integers(-n, n, (2, m))
+        x, y = simhash_dedup.spanning(a, b)
+        assert set(zip(x, y)) <= set(zip(np.minimum(a, b), np.maximum(a, b)))
+
+        def roots(pairs):
+            root = {k: k for k in range(-n, n)}
+            find = lambda k: k if root[k] == k else find(root[k])
+            joins = 0
+            for p, q in pairs:
+                p, q = sorted((find(p), find(q)))
+                joins += p != q
+                root[q] = p
+            return {k: find(k) for k in root}, joins
+
+        got, joins = roots(zip(x.tolist(), y.tolist()))
+        assert got == roots(zip(a.tolist(), b.tolist()))[0] and joins == len(x)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_dedup_similar_equals_brute_force(spark, monkeypatch, small):
     if small:  # every block and bucket path
-        for name, value in (("DIRECT", 4), ("BLOCK", 20), ("SET_BYTES", 4000)):
+        for name, value in (("DIRECT", 4), ("BLOCK", 20), ("SET_BYTES", 4000), ("FOREST_LINKS", 8)):
             monkeypatch.setattr(simhash_dedup, name, value)
     rng = random.Random(8)
     texts = [None, "", "One", "ONE", "a b c d e", "a b c d e f"] + [prose(rng, rng.randrange(30, 300)) for _ in range(40)]
