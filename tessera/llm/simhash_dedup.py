@@ -8,8 +8,9 @@ segments' values and looks up, in the same table, the values in that small Hammi
 
 Copies cost nothing: equal fingerprints are one class before the search. A bucket (segment, value) may still hold very
 many near ones. Its rows are cut into blocks of a fixed size and every two blocks meet in a task of their own; a task
-returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. Links become components by
-alternating large-star and small-star steps over written tables, so nothing grows on the driver.
+returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
+several tasks may be merged to one. Links become components by alternating large-star and small-star steps over written
+tables, so nothing grows on the driver.
 
 64 bits tell texts apart whose shingles are nearly all the same. For a similarity of 0.8 (`similar_documents`) the
 fingerprints are of 256 bits: texts whose sets of shingles have a Jaccard similarity of 0.8 differ in 38 of them on
@@ -262,26 +263,51 @@ def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
                 yield names[a], names[b]
 
     def run(batches):
-        """Links of all buckets of a task, cut to a spanning forest whenever many have come."""
-        held, many = [], 0
-        for link in _whole_groups(["bucket", "cell"], work)(batches):
-            held.append(link)
-            many += len(link[0])
-            if many > FOREST_LINKS:
-                a, b = spanning(*map(np.concatenate, zip(*held, strict=True)))
-                if 2 * len(a) > FOREST_LINKS:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    held, many = [], 0
-                else:
-                    held, many = [(a, b)], len(a)
-        if held:
-            a, b = spanning(*map(np.concatenate, zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield from _forests(_whole_groups(["bucket", "cell"], work)(batches))
 
     dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _forests(found):
+    """Batches of a task's links, cut to a spanning forest whenever many have come; found: arrays of (a, b)."""
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    held, many = [], 0
+    for link in found:
+        held.append(link)
+        many += len(link[0])
+        if many > FOREST_LINKS:
+            a, b = spanning(*map(np.concatenate, zip(*held, strict=True)))
+            if 2 * len(a) > FOREST_LINKS:
+                yield batch(a, b)
+                held, many = [], 0
+            else:
+                held, many = [(a, b)], len(a)
+    if held:
+        yield batch(*spanning(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) that connect the same.
+
+    Every task that meets a group returns a tree of it, so a large group comes as many times as there are tasks. The
+    links are written, and read again in as many tasks as their bytes need; each cuts what it reads to one forest. This
+    goes on while it halves the links.
+    """
+
+    def run(batches):
+        yield from _forests((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b))
+
+    links = stored(links, "links")
+    many = links.count()
+    while many:
+        links, before = stored(links.mapInArrow(run, "a long, b long"), "merged"), many
+        many = links.count()
+        if 2 * many > before:
+            break
+    return links
+
+
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the links (a, b) that still connect what all of them connect, as (smaller, larger): each component
     takes one link to a component before it, until none is left."""
@@ -422,8 +448,8 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> D
     their sets of n-word shingles, and when their fingerprints are equal."""
     prints = stored(wide_fingerprints(docs, n), "prints")
     classes = stored(prints.groupBy(*WIDE.columns).agg(F.min("doc_id").alias("first")), "classes")
-    near = components(linked(classes, WIDE, "first"))
-    return _components_of(prints, classes, stored(verified(docs, near, n, similarity), "links"), WIDE.columns)
+    near = components(merged(linked(classes, WIDE, "first")))
+    return _components_of(prints, classes, merged(verified(docs, near, n, similarity)), WIDE.columns)
 
 
 def _components_of(prints: DataFrame, classes: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:

@@ -166,6 +166,19 @@ def test_spanning_connects_the_same():
         assert got == roots(zip(a.tolist(), b.tolist()))[0] and joins == len(x)
 
 
+@pytest.mark.parametrize("most", [8, 1 << 18])
+def test_merged_forests_connect_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash_dedup, "FOREST_LINKS", most)
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in zip(*np.sort(rng.integers(0, 40, (2, 900)), axis=0)) if a < b] + [(100, 101), (101, 102)]
+    given = spark.createDataFrame(pairs, "a long, b long").repartition(30)
+    got = simhash_dedup.merged(given)
+    assert got.count() < len(pairs) / 4 or most == 8
+    assert set(map(tuple, got.collect())) <= set(pairs)
+    assert sorted(simhash_dedup.components(got).collect()) == sorted(simhash_dedup.components(given).collect())
+    assert simhash_dedup.merged(given.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_dedup_similar_equals_brute_force(spark, monkeypatch, small):
     if small:  # every block and bucket path
