@@ -292,7 +292,7 @@ def merged(links: DataFrame) -> DataFrame:
 
     Every task that meets a group returns a tree of it, so a large group comes as many times as there are tasks. The
     links are written, and read again in as many tasks as their bytes need; each cuts what it reads to one forest. This
-    goes on while it halves the links.
+    goes on while it takes a quarter of the links off.
     """
 
     def run(batches):
@@ -303,7 +303,7 @@ def merged(links: DataFrame) -> DataFrame:
     while many:
         links, before = stored(links.mapInArrow(run, "a long, b long"), "merged"), many
         many = links.count()
-        if 2 * many > before:
+        if 4 * many > 3 * before:
             break
     return links
 
