@@ -6,7 +6,7 @@ pigeonhole rule two linked fingerprints agree in some segment up to a small numb
 segments' values and looks up, in the same table, the values in that small Hamming ball; what is found is verified on all
 64 bits. A pair that differs by one bit in a segment is seen once: only the fingerprint with the 0 asks.
 
-Copies cost nothing: equal fingerprints are one class before the search. A bucket (segment, value) may still hold very
+Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). A bucket (segment, value) may still hold very
 many near ones. Its rows are cut into blocks of a fixed size and every two blocks meet in a task of their own; a task
 returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
 several tasks may be merged to one. Links become components by alternating large-star and small-star steps over written
@@ -104,8 +104,9 @@ def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
 
 
 def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
-    """A row of WIDE's words for each text: bit b is 1 if it is set in over half of the shingles' hashes."""
-    out = np.zeros((len(texts), len(WIDE.columns)), np.uint64)
+    """A row of WIDE's words for each text: bit b is 1 if it is set in over half of the shingles' hashes. Last, a hash of
+    the text's set of shingles."""
+    out = np.zeros((len(texts), len(WIDE.columns) + 1), np.uint64)
     for row, rows, data, offsets in pieces(texts):
         data = LOWER_BYTES[data]
         starts, ends, of = word_spans(data, offsets, NOT_SPACE)
@@ -119,15 +120,19 @@ def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
         of_short = [shingle_hashes(words[begin[k] : begin[k + 1]], int(begin[k + 1] - begin[k])) for k in short.tolist()]
         owner = np.concatenate([of[: len(shingles)][whole], short])
         hashes = np.concatenate([shingles[whole], *of_short])
-        order = np.argsort(owner, kind="stable")
+        order = np.lexsort((hashes, owner))
         owner, hashes = owner[order], hashes[order]
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+        once, of_once = hashes[new], owner[new]
+        first = np.flatnonzero(np.concatenate([[True], of_once[1:] != of_once[:-1]]))
+        out[row + of_once[first], -1] = np.add.reduceat(mix(once), first)
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         size = np.diff(np.append(first, len(owner)))
         # Eight counters of a byte each are summed at once, over runs short enough for them.
         runs = -(-size // 255)
         of_text = np.cumsum(runs) - runs
         at = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(of_text, runs))
-        for k in range(out.shape[1]):
+        for k in range(len(WIDE.columns)):
             mixed = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
             fp = np.zeros(len(first), np.uint64)
             for shift in range(8):
@@ -140,14 +145,14 @@ def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, fp0, fp1, fp2, fp3) as signed longs."""
+    """(doc_id, fp0, fp1, fp2, fp3, shingles) as signed longs; shingles: the hash of the set of them."""
 
     def run(batches):
         for batch in batches:
             fp = wide_prints(batch.column(1), n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in fp.T]], names=["doc_id", *WIDE.columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in fp.T]], names=["doc_id", *WIDE.columns, "shingles"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in WIDE.columns)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in [*WIDE.columns, "shingles"])
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, schema)
 
 
@@ -445,11 +450,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, n: int = 4, seed: int = 42
 
 def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp0 to fp3, component_id): texts found by WIDE fingerprints link at that Jaccard similarity or more of
-    their sets of n-word shingles, and when their fingerprints are equal."""
+    their sets of n-word shingles. Equal sets are one class; equal fingerprints of other sets are candidates."""
     prints = stored(wide_fingerprints(docs, n), "prints")
-    classes = stored(prints.groupBy(*WIDE.columns).agg(F.min("doc_id").alias("first")), "classes")
-    near = components(merged(linked(classes, WIDE, "first")))
-    return _components_of(prints, classes, merged(verified(docs, near, n, similarity)), WIDE.columns)
+    columns = [*WIDE.columns, "shingles"]
+    classes = stored(prints.groupBy(*columns).agg(F.min("doc_id").alias("first")), "classes")
+    alike = classes.groupBy(*WIDE.columns).agg(F.min("first").alias("least"))
+    equal = classes.join(alike, WIDE.columns).filter("first > least").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    found = merged(linked(alike.withColumnRenamed("least", "first"), WIDE, "first"))
+    named = merged(verified(docs, components(found.union(equal)), n, similarity))
+    return _components_of(prints, classes, named, columns).select("doc_id", *WIDE.columns, "component_id")
 
 
 def _components_of(prints: DataFrame, classes: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:

@@ -213,6 +213,18 @@ def test_dedup_similar_equals_brute_force(spark, monkeypatch, small):
     assert simhash_dedup.dedup_similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_equal_wide_prints_are_only_candidates(spark):
+    # One shingle makes up over half of each text, the rest is the text's own.
+    rng = random.Random(12)
+    own = [prose(rng, 150) for _ in range(8)]
+    texts = [t + sign * 400 for t in own for sign in (" .", " -")] + [own[2].replace(" of ", " or ", 1) + " ." * 300]
+    want = [next(a for a in range(k + 1) if alike(texts[a], t)) for k, t in enumerate(texts)]
+    assert len(set(want)) < len(texts)
+    found = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(found).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     rng = random.Random(3)
     items = [(k, prose(rng, rng.randrange(12, 40))) for k in range(6)] + [(90, None), (91, "alpha beta gamma")]
