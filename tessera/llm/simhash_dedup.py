@@ -104,8 +104,8 @@ def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
 
 
 def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
-    """A row of WIDE's words for each text: bit b is 1 if it is set in over half of the shingles' hashes. Last, a hash of
-    the text's set of shingles."""
+    """A row of WIDE's words for each text: bit b is 1 if it is set in over half of the distinct shingles' hashes. Last, a
+    hash of the text's set of shingles."""
     out = np.zeros((len(texts), len(WIDE.columns) + 1), np.uint64)
     for row, rows, data, offsets in pieces(texts):
         data = LOWER_BYTES[data]
@@ -123,10 +123,9 @@ def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
         order = np.lexsort((hashes, owner))
         owner, hashes = owner[order], hashes[order]
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
-        once, of_once = hashes[new], owner[new]
-        first = np.flatnonzero(np.concatenate([[True], of_once[1:] != of_once[:-1]]))
-        out[row + of_once[first], -1] = np.add.reduceat(mix(once), first)
+        owner, hashes = owner[new], hashes[new]
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[row + owner[first], -1] = np.add.reduceat(mix(hashes), first)
         size = np.diff(np.append(first, len(owner)))
         # Eight counters of a byte each are summed at once, over runs short enough for them.
         runs = -(-size // 255)

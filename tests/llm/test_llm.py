@@ -225,6 +225,19 @@ def test_equal_wide_prints_are_only_candidates(spark):
     assert got == dict(enumerate(want))
 
 
+def test_wide_prints_count_a_shingle_once(spark):
+    rng = random.Random(13)
+    footer = prose(rng, 18)
+    texts = [f"{body} {' '.join([footer] * k)}" for body in (prose(rng, 204) for _ in range(3)) for k in (1, 5, 10, 20)]
+    want = [next(a for a in range(k + 1) if alike(texts[a], t)) for k, t in enumerate(texts)]
+    assert set(want) == {0, 4, 8}
+    prints = simhash_dedup.wide_prints(pa.array(texts, pa.string()))[:, :4]
+    far = np.bitwise_count(prints[[0] * 3 + [4] * 3 + [8] * 3] ^ prints[[1, 2, 3, 5, 6, 7, 9, 10, 11]]).sum(axis=1)
+    assert far.max() <= simhash_dedup.WIDE.radius
+    found = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(found).collect()} == dict(enumerate(want))
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows):
     rng = random.Random(3)
     items = [(k, prose(rng, rng.randrange(12, 40))) for k in range(6)] + [(90, None), (91, "alpha beta gamma")]
