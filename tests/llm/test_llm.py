@@ -340,6 +340,19 @@ def test_surrogates(spark, none):
     assert surrogates.anonymised(none).count() == 0
 
 
+def test_quick_accepts_what_find_matches():
+    rng = random.Random(6)
+    texts = ["+33 6 12 34 56 78", "+49-30-12-34-56-78", "+7 (49) 12 34 56 78", "+12 1 2 3 4 5 6", "(12) 345 6789", "123-456-7890", "123-45-6789"]
+    texts += ["٠٥٥-١٢٣-٤٥٦٧", "1.2.3.4", "a@b.cd", "1234 5678 1234 5", "1" * 13, "1" * 8, "Mr. Bob", "Г-жа Анна", "ab1cd2" * 6, "AB12CD" * 6]
+    texts += [f"{t} {w} Lee" for t in surrogates.HONORIFICS for w in ("Kim", "Анна")]
+    texts += ["".join(rng.choice(h) for _ in range(n)) for h in ("0123456789abcdef", "0123456789ABCDEF") for n in (32, 40, 64, 128) for _ in range(500)]
+    # Anything that FIND matches in random strings of its own characters.
+    texts += ["".join(rng.choice("+()- .1234567890٣@aF") for _ in range(24)) for _ in range(30_000)]
+    texts = [t for k, t in enumerate(texts) if surrogates.FIND.search(t)]
+    assert len(texts) > 4000 and {k for t in texts for k, _ in surrogates.TYPES if surrogates.FIND.search(t).group(k)} == {k for k, _ in surrogates.TYPES}
+    assert [t for t in texts if not surrogates.QUICK.search(t) or not list(surrogates.mentions(t))] == []
+
+
 def test_surrogates_stay_distinct(spark):
     # Single names have few surrogates, so first draws collide among some thousands.
     rng = random.Random(2)
