@@ -8,7 +8,8 @@ its honorific's gender, its number of words and its script.
 
 Distinctness: the distinct entities of a type and their surrogates are compared over the whole corpus. One whose
 surrogate is also that of another entity, or is itself an entity of the corpus, is drawn again (all but the smallest of
-those that share one) until none is left; only these redrawn entities form a table, and it is joined to the mentions of
+those that share one) until none is left; later draws of a name are longer, so there is room for any number. If the clashes
+stop falling (as when a corpus holds nearly all numbers of a length) that is an error. Only these redrawn entities form a table, and it is joined to the mentions of
 the documents that hold them, so it may be of any size.
 
 Defined results: a null text stays null with no entities; texts without entities are unchanged; overlapping finds keep
@@ -100,7 +101,7 @@ def surrogate(key: bytes, kind: str, canon: str, extra: str = "", attempt: int =
     elif kind == "name":
         script = "cyrillic" if re.search("[А-Яа-яЁё]", canon) else "latin"
         given, syllables = GIVEN[script, extra or "n"], SYLLABLES[script]
-        family = lambda: "".join(syllables[s.below(len(syllables))] for _ in range(3 + s.below(2))).capitalize()
+        family = lambda: "".join(syllables[s.below(len(syllables))] for _ in range(3 + s.below(2) + attempt % 1000 // 4)).capitalize()
         parts = re.split(r"([ -])", canon)
         words = parts[::2]
         new = [family()] if len(words) == 1 else [given[s.below(len(given))], *[family() for _ in words[1:]]]
@@ -151,7 +152,8 @@ def mentions(text: str | None):
 
 
 def redrawn(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """(kind, canon, extra, attempt) of the entities whose first surrogate is taken."""
+    """(kind, canon, extra, attempt) of the entities whose first surrogate is taken; fails if clashes are left that so many
+    rounds don't make fewer."""
 
     def run(batches):
         for batch in batches:
@@ -169,13 +171,19 @@ def redrawn(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     found = bounded_batches(docs).select("text").mapInArrow(run, "kind string, canon string, extra string").groupBy("kind", "canon", "extra").agg(F.lit(0).alias("attempt"))
     drawn = stored(found.mapInArrow(draw, schema + ", new string"), "entities")
     real = drawn.select("kind", F.col("canon").alias("new")).distinct()
-    for _ in range(rounds):
+    fewest, waited = None, 0
+    while True:
         shared = drawn.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("canon", "extra")).alias("first")).filter("n > 1")
         clash = drawn.join(shared, ["kind", "new"]).filter(F.struct("canon", "extra") != F.col("first")).select("kind", "canon", "extra", "attempt")
         clash = clash.union(drawn.join(real, ["kind", "new"], "left_semi").select("kind", "canon", "extra", "attempt")).distinct()
         clash = stored(clash, "clashes")
-        if not clash.limit(1).count():
+        left = clash.count()
+        if not left:
             break
+        waited = 0 if fewest is None or left < fewest else waited + 1
+        if waited >= rounds:
+            raise RuntimeError(f"{left} surrogates still clash after {rounds} rounds that made them no fewer")
+        fewest = left if fewest is None else min(fewest, left)
         again = clash.withColumn("attempt", F.col("attempt") + 1).mapInArrow(draw, schema + ", new string")
         drawn = stored(drawn.join(clash, ["kind", "canon", "extra"], "left_anti").select("kind", "canon", "extra", "attempt", "new").union(again), "entities")
     return drawn.filter("attempt > 0").select("kind", "canon", "extra", "attempt")

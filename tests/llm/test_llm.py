@@ -365,6 +365,17 @@ def test_surrogates_stay_distinct(spark):
     assert all(a == b for a, b in out) and len({a for a, _ in out}) == len(names) and not {a for a, _ in out} & set(names)
 
 
+def test_surrogates_settle_or_fail(spark):
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(6)).capitalize() for _ in range(3000)})
+    df = spark.createDataFrame([(k, f"Mr {n}.") for k, n in enumerate(names)], "doc_id long, text string")
+    again = {r.canon: r.attempt for r in surrogates.redrawn(df, b"k", rounds=1).collect()}
+    assert len({surrogates.surrogate(b"k", "name", n, "m", again.get(n, 0)) for n in names}) == len(names)
+    assert len(surrogates.surrogate(b"k", "name", "Bob", "m", 20)) >= 16  # later draws have more room
+    with pytest.raises(RuntimeError):
+        surrogates.redrawn(df, b"k", rounds=0)
+
+
 def test_shards(docs, none):
     got = sharding.sharded(docs, 4).collect()
     assert len(got) == docs.count()
