@@ -9,7 +9,9 @@ Found items are verified by the weighted Jaccard similarity of the two bags, `th
 
 A document shorter than an item is one window. Null texts match nothing; rows with a null doc_id or item_id are left out;
 equal items count once and the smallest item_id names them; rows that repeat a doc_id are looked at each. Items go to the
-executors in groups of at most ITEMS, each group one pass, so what is broadcast is bounded whatever the table's size.
+executors in groups of at most ITEMS, each group one pass, so the index that is broadcast is bounded whatever the table's
+size. Weights are those of the whole benchmark in every pass: a shingle of one item weighs as much as one of none, so a
+pass needs only those of several items (two sorted arrays).
 """
 
 from __future__ import annotations
@@ -54,16 +56,31 @@ def _print(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 1e-6, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def shingle_weights(items: list[tuple[int, str]], n: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """(shingles that several items hold, ascending, and their weights), and the weight of every other shingle."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for k in range(0, len(items), ITEMS):
+        bags = [np.unique(b) for b in _bags([t for _, t in items[k : k + ITEMS]], n)]
+        found, held = np.unique(np.concatenate(bags), return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, held]), len(keys)).astype(np.int64)
+    several = counts > 1
+    return (keys[several], np.log1p(len(items) / counts[several])), math.log1p(len(items))
+
+
 class ItemIndex:
     """What one pass broadcasts: bags, weights, fingerprints and the multi-index of a group of items."""
 
-    def __init__(self, items: list[tuple[int, str]], weights: dict[int, float], default: float, n: int, radius: int):
-        self.n, self.radius, self.weights, self.default = n, radius, weights, default
+    def __init__(self, items: list[tuple[int, str]], weights: dict | tuple[np.ndarray, np.ndarray], default: float, n: int, radius: int):
+        self.n, self.radius, self.default = n, radius, default
+        if isinstance(weights, dict):
+            weights = np.array(sorted(weights), np.uint64), np.array([weights[h] for h in sorted(weights)])
+        self.keys, self.values = weights
         self.ids = [i for i, _ in items]
         bags = _bags([t for _, t in items], n)
         self.bags = [Counter(b.tolist()) for b in bags]
         self.length = np.array([len(b) for b in bags])  # shingles of a window of this item
-        self.total = [sum(c * self.weight(h) for h, c in b.items()) for b in self.bags]
+        self.total = [float(self.weigh(b).sum()) for b in bags]
         prints = [_print((_signs(b) * self.weigh(b)[:, None]).sum(axis=0, keepdims=True))[0] if len(b) else 0 for b in bags]
         self.prints = np.array(prints, np.uint64)
         holders = defaultdict(set)
@@ -87,10 +104,16 @@ class ItemIndex:
             self.tables.append((np.searchsorted(keys[order], np.arange((1 << width) + 1)), which[order]))
 
     def weight(self, h: int) -> float:
-        return self.weights.get(h, self.default)
+        at = int(np.searchsorted(self.keys, np.uint64(h)))
+        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == h else self.default
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        return np.array([self.weight(h) for h in hashes.tolist()], np.float32)
+        out = np.full(len(hashes), self.default)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            same = self.keys[at] == hashes
+            out[same] = self.values[at[same]]
+        return out
 
     def within(self, fp: int) -> set[int]:
         """Items whose fingerprint is within radius of fp: from the tables, verified on all bits."""
@@ -153,8 +176,9 @@ class ItemIndex:
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard of the two bags of shingles."""
         bag, mine = self.bags[item], Counter(window.tolist())
-        common = sum(min(c, bag[h]) * self.weight(h) for h, c in mine.items() if h in bag)
-        every = sum(c * self.weight(h) for h, c in mine.items()) + self.total[item] - common
+        weights = self.weigh(np.fromiter(mine, np.uint64, len(mine))).tolist()
+        common = sum(min(c, bag[h]) * w for (h, c), w in zip(mine.items(), weights, strict=True) if h in bag)
+        every = sum(c * w for c, w in zip(mine.values(), weights, strict=True)) + self.total[item] - common
         return common / every if every else 0.0
 
 
@@ -178,12 +202,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = benchmark.select(F.col("item_id").cast("long"), text.alias("text")).filter("item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     # toLocalIterator: a group at a time is on the driver; the table of a benchmark is small against the corpus.
     rows = [(r.item_id, r.text) for r in items.orderBy("item_id").toLocalIterator()]
+    weights, default = shingle_weights(rows, n)
     found = None
     for group in _groups(rows):
         bags = _bags([t for _, t in group], n)
-        held = Counter(h for b in bags for h in set(b.tolist()))
-        weights = {h: math.log1p(len(group) / c) for h, c in held.items()}
-        index = ItemIndex([g for g, b in zip(group, bags, strict=True) if len(b)], weights, math.log1p(len(group)), n, radius)
+        index = ItemIndex([g for g, b in zip(group, bags, strict=True) if len(b)], weights, default, n, radius)
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

@@ -260,6 +260,20 @@ def test_decontamination_equals_brute_force(spark, docs, rows):
     assert not {d for d, _ in got} & {r[0] for r in rows}
 
 
+def test_item_weights_do_not_depend_on_the_pass(spark, monkeypatch):
+    rng = random.Random(21)
+    preamble = prose(rng, 60)
+    items = [(k, f"{preamble} {prose(rng, 7)}") for k in range(21)]
+    texts = [f"{prose(rng, 30)} {preamble} {prose(rng, 30)}", prose(rng, 20) + " " + items[20][1], items[3][1] + " " + prose(rng, 9)]
+    found = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for most in (1000, 20):  # the last item in a pass of its own
+        monkeypatch.setattr(decontaminate, "ITEMS", most)
+        got.append(sorted(map(tuple, decontaminate.contaminated(found, bench).select("doc_id", "item_id", F.round("similarity", 9)).collect())))
+    assert got[0] == got[1] and {(1, 20), (2, 3)} <= {g[:2] for g in got[0]} and not [g for g in got[0] if g[0] == 0]
+
+
 def test_multi_index_finds_all_within_radius():
     items = [(k, prose(random.Random(k), 30)) for k in range(40)]
     index = decontaminate.ItemIndex(items, {}, 1.0, 5, 15)
