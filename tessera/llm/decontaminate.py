@@ -5,7 +5,9 @@ item: its whole text); a shingle weighs ln(1 + items / items that hold it). A do
 an item: every window start at which the window holds one of the item's shingles (elsewhere their similarity is 0, so
 nothing is lost). Each window's weighted SimHash is looked up in a multi-index: the fingerprint is cut into BLOCKS runs
 of bits and each run's table lists the items within the run's Hamming ball, so every item within `radius` is found.
-Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more.
+Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more. A window of that
+similarity may lie beyond the radius, so windows whose shingles of the item weigh `threshold` of it or more are verified
+too: the similarity can't be higher than that share, so every window of `threshold` or more is found.
 
 A document shorter than an item is one window. Null texts match nothing; rows with a null doc_id or item_id are left out;
 equal items count once and the smallest item_id names them; rows that repeat a doc_id are looked at each. Items go to the
@@ -150,8 +152,29 @@ class ItemIndex:
             ordered = np.array(sorted(starts))
             for k in range(0, len(ordered), 2048):
                 self._windows(shingles, ordered[k : k + 2048], size, threshold, best)
+        for k, at in wanted.items():
+            self._sharing(shingles, k, np.array(at), threshold, best)
         return best
 
+    def _sharing(self, shingles, item, at, threshold, best) -> None:
+        """Windows that hold enough of the item's shingles, which stand at `at`, ascending."""
+        size = min(int(self.length[item]), len(shingles))
+        sums = np.concatenate([[0.0], np.cumsum(self.weigh(shingles[at]))]) / self.total[item]
+        most = lambda starts: sums[np.searchsorted(at, starts + size)] - sums[np.searchsorted(at, starts)]
+        # The window with most of them may start at one of them.
+        if most(np.minimum(at, len(shingles) - size)).max() < threshold - 1e-9:
+            return
+        starts = np.arange(max(0, int(at[0]) - size + 1), min(int(at[-1]), len(shingles) - size) + 1)
+        share = most(starts)
+        for k in np.flatnonzero(share >= threshold - 1e-9).tolist():
+            if item in best and share[k] <= best[item][0] + 1e-12:
+                continue
+            window = shingles[starts[k] : starts[k] + size]
+            like = self.similarity(item, window)
+            if like >= threshold and (item not in best or like > best[item][0] + 1e-12):
+                fp = int(_print((_signs(window) * self.weigh(window)[:, None]).sum(axis=0, keepdims=True))[0])
+                best[item] = like, int(starts[k]), (int(self.prints[item]) ^ fp).bit_count()
+
     def _windows(self, shingles, starts, size, threshold, best) -> None:
         # Runs of neighbouring starts share one running sum.
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):

@@ -260,6 +260,23 @@ def test_decontamination_equals_brute_force(spark, docs, rows):
     assert not {d for d, _ in got} & {r[0] for r in rows}
 
 
+def test_decontamination_misses_nothing_at_the_threshold():
+    rng = random.Random(17)
+    items = [(k, prose(rng, rng.randrange(49, 60))) for k in range(300)]
+    index = decontaminate.ItemIndex(items, {}, 1.0, 5, 15)
+    far = 0
+    for k, text in items:
+        w = text.split()
+        w[rng.randrange(6, len(w) - 6)] = "changedword"
+        mine = decontaminate._bags([f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}"], 5)[0]
+        n = int(index.length[k])
+        want = max(index.similarity(k, mine[s : s + n]) for s in range(len(mine) - n + 1))
+        got = index.matches(mine, index.hits(mine), 0.8)
+        assert (k in got) == (want >= 0.8) and (k not in got or abs(got[k][0] - want) < 1e-9)
+        far += k in got and got[k][2] > 15
+    assert far
+
+
 def test_item_weights_do_not_depend_on_the_pass(spark, monkeypatch):
     rng = random.Random(21)
     preamble = prose(rng, 60)
