@@ -1,13 +1,14 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased runs of letters and digits. An item is the weighted bag of its SHINGLE-word shingles (a shorter
-item: its whole text); a shingle weighs ln(1 + items / items that hold it). A document is read through windows as long as
-an item: every window start at which the window holds one of the item's shingles (elsewhere their similarity is 0, so
-nothing is lost). Each window's weighted SimHash is looked up in a multi-index: the fingerprint is cut into BLOCKS runs
-of bits and each run's table lists the items within the run's Hamming ball, so every item within `radius` is found.
-Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more. A window of that
-similarity may lie beyond the radius, so windows whose shingles of the item weigh `threshold` of it or more are verified
-too: the similarity can't be higher than that share, so every window of `threshold` or more is found.
+item: its whole text, searched as it stands in documents of any length); a shingle weighs ln(1 + items / items that hold
+it). A document is read through windows as long as an item: every window start at which the window holds one of the
+item's shingles (elsewhere their similarity is 0, so nothing is lost). Each window's weighted SimHash is looked up in a
+multi-index: the fingerprint is cut into BLOCKS runs of bits and each run's table lists the items within the run's
+Hamming ball, so every item within `radius` is found. Found items are verified by the weighted Jaccard similarity of the
+two bags, `threshold` or more. A window of that similarity may lie beyond the radius, so windows whose shingles of the
+item weigh `threshold` of it or more are verified too: the similarity can't be higher than that share, so every window
+of `threshold` or more is found.
 
 A document shorter than an item is one window. Null texts match nothing; rows with a null doc_id or item_id are left out;
 equal items count once and the smallest item_id names them; rows that repeat a doc_id are looked at each. Items go to the
@@ -36,19 +37,22 @@ BLOCKS = 4
 ITEMS, ITEM_WORDS = 1000, 200_000
 
 
-def _bags(text: list[str | None], n: int) -> list[np.ndarray]:
-    """Hashes of each text's shingles, in order."""
+def _words(text: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words, in order."""
     out = []
     for row, rows, data, offsets in pieces(pa.array(text, pa.string())):
         starts, ends, of = word_spans(data, offsets)
         words = span_hashes(data, starts, ends)
         at = np.searchsorted(of, np.arange(rows + 1))
-        for k in range(rows):
-            w = words[at[k] : at[k + 1]]
-            out.append(shingle_hashes(w, n if len(w) >= n else max(1, len(w))))
+        out += [words[at[k] : at[k + 1]] for k in range(rows)]
     return out
 
 
+def _bags(text: list[str | None], n: int) -> list[np.ndarray]:
+    """Hashes of each text's shingles, in order."""
+    return [shingle_hashes(w, min(n, max(1, len(w)))) for w in _words(text)]
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """+1 and -1 for the 64 bits of each hash."""
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
@@ -80,6 +84,8 @@ class ItemIndex:
         self.keys, self.values = weights
         self.ids = [i for i, _ in items]
         bags = _bags([t for _, t in items], n)
+        #: Words of a shingle: n, and the lengths of shorter items.
+        self.sizes = sorted({n} | {len(w) for w in _words([t for _, t in items]) if 0 < len(w) < n})
         self.bags = [Counter(b.tolist()) for b in bags]
         self.length = np.array([len(b) for b in bags])  # shingles of a window of this item
         self.total = [float(self.weigh(b).sum()) for b in bags]
@@ -242,24 +248,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                         continue
                     words = span_hashes(data, starts, ends)
                     begin = np.searchsorted(of, np.arange(len(offsets)))
-                    count = np.diff(begin)
-                    shingles = shingle_hashes(words, n)
-                    # A shingle that runs into the next text is none; texts of fewer than n words are one shingle.
-                    last = begin[1:][of[: len(shingles)]] - n
-                    hits = index.hits(shingles)
-                    hits = hits[hits <= last[hits]]
-                    for k in np.unique(of[hits]).tolist():
-                        mine = shingles[begin[k] : begin[k + 1] - n + 1]
-                        own = hits[(hits >= begin[k]) & (hits < begin[k + 1])] - begin[k]
-                        out += [(row + k, i, *m, len(mine)) for i, m in index.matches(mine, own, threshold).items()]
-                    for k in np.flatnonzero((count > 0) & (count < n)).tolist():
-                        mine = shingle_hashes(words[begin[k] : begin[k + 1]], int(count[k]))
-                        own = index.hits(mine)
-                        if len(own):
-                            out += [(row + k, i, *m, 1) for i, m in index.matches(mine, own, threshold).items()]
+                    for m in index.sizes:
+                        shingles = shingle_hashes(words, m)
+                        # A shingle that runs into the next text is none.
+                        last = begin[1:][of[: len(shingles)]] - m
+                        hits = index.hits(shingles)
+                        hits = hits[hits <= last[hits]]
+                        for k in np.unique(of[hits]).tolist():
+                            mine = shingles[begin[k] : begin[k + 1] - m + 1]
+                            own = hits[np.searchsorted(hits, begin[k]) : np.searchsorted(hits, begin[k + 1])] - begin[k]
+                            out += [(row + k, i, *found, len(mine), m) for i, found in index.matches(mine, own, threshold).items()]
                 if out:
-                    at, item, like, start, far, size = zip(*out, strict=True)
-                    item_words = [min(int(index.length[i]), s) + n - 1 for i, s in zip(item, size, strict=True)]
+                    at, item, like, start, far, size, of_words = zip(*out, strict=True)
+                    item_words = [min(int(index.length[i]), s) + m - 1 for i, s, m in zip(item, size, of_words, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(at)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(like), pa.array(far, pa.int32()), pa.array(start, pa.int64()), pa.array(item_words, pa.int32())],
                         names=["doc_id", "item_id", "similarity", "hamming", "first_word", "n_words"],

@@ -277,6 +277,15 @@ def test_decontamination_misses_nothing_at_the_threshold():
     assert far
 
 
+def test_short_items_are_found_in_longer_texts(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (4, "one two three four"), (5, "one two three four five")]
+    texts = ["Alpha", "x y z alpha!", "so beta, gamma and more of it", "beta", "gamma alphas", "we say one two three four times", "a one two three four five b", None]
+    found = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS).coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontaminate.contaminated(found, bench).collect()}
+    assert got == {(0, 1, 0, 1), (1, 1, 3, 1), (2, 2, 1, 2), (5, 4, 2, 4), (6, 4, 1, 4), (6, 5, 1, 5)}
+
+
 def test_item_weights_do_not_depend_on_the_pass(spark, monkeypatch):
     rng = random.Random(21)
     preamble = prose(rng, 60)
