@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import bounded_batches, shared_dir
-from tessera.llm.tokens import PieceEncoder
+from tessera.llm.tokens import encoder
 
 BLOCK = 4096
 PERCENTILES = (0.8, 0.9, 0.95, 0.98, 0.99, 1.0)
 SEGMENT_IDS = 1 << 20
+#: Bytes of text for a task that encodes, on average.
+RANGE_BYTES = 512 << 20
 SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids binary, doc_lengths binary, payload binary"
 
 
@@ -111,14 +113,20 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     """Encode (doc_id, text) and write the segment table.
 
     One shuffle: texts are dealt by ranges of doc_id, sorted, encoded and packed in the same task, so ids never move.
-    Null texts are empty ones (just the end id); null doc_ids come first; repeated doc_ids all stay, ordered by text.
-    The tokenizer file is read on the driver and sent to the executors as its own text.
+    Null texts are empty ones (just the end id); null doc_ids come first; repeated doc_ids all stay, in the order of a
+    hash of the text (so one id with most of the rows is many ranges); equal rows are told apart by where they stand in
+    the input, which shows nowhere. An empty table writes no segments. The tokenizer file is read on the driver and sent
+    to the executors as its own text. A task sorts RANGE_BYTES of text (spilling beyond its memory) and holds texts of
+    1 MB of characters or one longer text, and SEGMENT_IDS ids or those of one such batch.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with open(tokenizer_path, encoding="utf-8") as file:
+        tokenizer = spark.sparkContext.broadcast(file.read())
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // RANGE_BYTES))
 
     def pack(batches):
-        encoder = PieceEncoder(tokenizer_path)
+        pieces = encoder(tokenizer.value)
         part, number = TaskContext.get().partitionId(), 0
         ids, lengths, names, held = [], [], [], 0
 
@@ -151,7 +159,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
                     taken.append(texts[k].as_py() or "")
                     chars += len(taken[-1])
                     k += 1
-                values, counts = encoder.encode(taken)
+                values, counts = pieces.encode(taken)
                 ids.append(values)
                 lengths.extend(counts.tolist())
                 names.extend(NULL_ID if d is None else d for d in doc_ids[first:k])
@@ -161,7 +169,8 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         if names:
             yield row()
 
-    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(n, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(pack, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

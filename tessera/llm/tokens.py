@@ -2,8 +2,11 @@
 
 A byte-level BPE first cuts a text into pieces (letters, digits, other marks, white space) and encodes each piece on its
 own. The cuts are found here for a whole batch with array operations; the library encodes every distinct piece, so the
-ids are its ids (tests compare them with encoding the whole text). A text that holds an added token goes to the library
-whole.
+ids are its ids (tests compare them with encoding the whole text). A piece is looked up by a hash and then compared
+character by character with the piece that is known under it; a text with a piece that only shares a hash goes to the
+library whole, as does a text that holds an added token.
+
+Known pieces outlive a task: encoder() keeps one PieceEncoder for each tokenizer in the worker process.
 """
 
 from __future__ import annotations
@@ -30,17 +33,24 @@ def char_classes() -> np.ndarray:
     return found
 
 
+@lru_cache(1)
+def encoder(tokenizer: str) -> PieceEncoder:
+    """The encoder of this process for a tokenizer given as JSON."""
+    return PieceEncoder(tokenizer)
+
+
 class PieceEncoder:
-    """Encodes lists of texts; keeps at most max_pieces encoded pieces (about 60 bytes each), then starts over.
+    """Encodes lists of texts; keeps at most max_pieces encoded pieces (about 100 bytes each), then only those that
+    several batches held.
 
     The pieces known so far are an open-addressing table of hashes in arrays, so a batch is looked up at once.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000):
+    def __init__(self, tokenizer: str, max_pieces: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_pieces = max_pieces
         self.forget()
@@ -49,8 +59,11 @@ class PieceEncoder:
         self.n, self.used = 0, 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
+        # The code points of the known pieces, one after the other, and where each begins.
+        self.codes, self.spelt = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self._table(16)
-        self.known = np.zeros(1 << 14, np.uint64)
+        self.known, self.again = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, bool)
 
     def _table(self, bits: int) -> None:
         self.bits = bits
@@ -81,38 +94,59 @@ class PieceEncoder:
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        total, n = int(size.sum()), len(found)
-        while self.used + total > len(self.flat):
+        size, length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, texts))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        self._append(hashes, size, ids, length, np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+
+    def _append(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray, length: np.ndarray, codes: np.ndarray) -> None:
+        n = len(hashes)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.spelt + len(codes) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
         while self.n + n > len(self.size):
-            self.begin, self.size, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.known))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            self.begin, self.size, self.first, self.length, self.known, self.again = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.first, self.length, self.known, self.again)
+            )
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.codes[self.spelt : self.spelt + len(codes)] = codes
         new = slice(self.n, self.n + n)
         self.begin[new], self.size[new], self.known[new] = self.used + np.cumsum(size) - size, size, hashes
-        self.used, self.n = self.used + total, self.n + n
+        self.first[new], self.length[new], self.again[new] = self.spelt + np.cumsum(length) - length, length, False
+        self.used, self.spelt, self.n = self.used + len(ids), self.spelt + len(codes), self.n + n
         if 2 * self.n > 1 << self.bits:
             self._table((4 * self.n).bit_length())
             self._put(self.known[: self.n], np.arange(self.n, dtype=np.int32))
         else:
             self._put(hashes, np.arange(self.n - n, self.n, dtype=np.int32))
 
+    def _shed(self) -> None:
+        """Forget the pieces that only one batch held; all, if that leaves over half."""
+        keep = np.flatnonzero(self.again[: self.n])
+        keep = keep[: 0 if 2 * len(keep) > self.max_pieces else None]
+        size, length, hashes = self.size[keep], self.length[keep], self.known[keep]
+        ids, codes = self.flat[_runs(self.begin[keep], size)], self.codes[_runs(self.first[keep], length)]
+        self.forget()
+        self._append(hashes, size, ids, length, codes)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        odd = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        ids, counts, unlike = self._plain([t if i not in odd else "" for i, t in enumerate(texts)])
+        odd |= set(unlike)
         if not odd:
-            return self._plain(texts)
-        ids, counts = self._plain([t if i not in set(odd) else "" for i, t in enumerate(texts)])
+            return ids, counts
         parts = np.split(ids, np.cumsum(counts)[:-1])
         for i in odd:
             parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids, counts, and the texts whose ids are wrong: those with a piece unlike the known one of its hash."""
         joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         if not joined:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64), []
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         try:
             codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
@@ -126,19 +160,35 @@ class PieceEncoder:
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         slot = self._find(hashes)
         new = np.flatnonzero(slot < 0)
+        self.again[slot[slot >= 0]] = True
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)
             if self.n + len(distinct) > self.max_pieces and self.n:
-                self.forget()
-                distinct, first = np.unique(hashes, return_index=True)
-                new = np.arange(len(hashes))
+                self._shed()
+                slot = self._find(hashes)
+                new = np.flatnonzero(slot < 0)
+                distinct, first = np.unique(hashes[new], return_index=True)
             at = new[first]
             self._learn(distinct, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slot[new] = self._find(hashes[new])
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.begin[slot] - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(starts, bounds)])
+        ids = self.flat[_runs(self.begin[slot], size)]
+        # The pieces themselves: lengths first, then every character.
+        unlike = np.flatnonzero(self.length[slot] != ends - starts)
+        if not len(unlike):
+            same = self.codes[_runs(self.first[slot], ends - starts)] == codes
+            unlike = np.searchsorted(starts, np.flatnonzero(~same), "right") - 1
+        else:
+            unlike = np.arange(len(starts))
+        wrong = np.unique(np.searchsorted(bounds, starts[unlike], "right") - 1) if len(unlike) else unlike
+        return ids, np.diff(total[np.searchsorted(starts, bounds)]), wrong.tolist()
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... size[0] of them, then those of begin[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def piece_starts(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:

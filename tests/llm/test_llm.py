@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, line_rules, mixing, queries, rule_ensemble, sharding, simhash_dedup, surrogates, textvec, token_output, toxicity
+from tessera.llm import chat_format, decontaminate, line_rules, mixing, queries, rule_ensemble, sharding, simhash_dedup, surrogates, textvec, token_output, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to erent tion ande hesh inor stea onth blend wher thst ouran leth mardo venti suro kelim".split()
@@ -53,6 +53,55 @@ def test_token_ids_match_whole_text_encoding(docs, rows):
         start += len(ids)
 
 
+def encoder_of(**limits):
+    with open(queries.tokenizer_path(), encoding="utf-8") as file:
+        return tokens.PieceEncoder(file.read(), **limits)
+
+
+def encoded(encoder, texts):
+    ids, counts = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_pieces_that_share_a_hash_are_told_apart():
+    # A word of Thue and Morse and its mirror collide in every polynomial hash modulo 2**64 of an odd base.
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    ends = np.array([len(one), 2 * len(one)])
+    same = textvec.span_hashes(np.frombuffer((one + other).encode(), np.uint8), ends - len(one), ends)
+    assert same[0] == same[1]
+    plain = encoder_of().tokenizer
+    for batches in ([[one], [other]], [[one, f"so {other}", "plain", other + one]], [[other, one, one]]):
+        encoder = encoder_of()
+        for texts in batches:
+            assert encoded(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_forgets_and_goes_on():
+    rng, small = random.Random(4), encoder_of(max_pieces=300)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abcdé '1.\n世") for _ in range(rng.randrange(90))) for _ in range(20)]
+        assert encoded(small, texts) == [small.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert small.n <= 300 + 20 * 90
+
+
+def test_token_ids_of_repeated_ids_and_an_empty_table(spark, none):
+    assert token_output.token_documents(none, queries.tokenizer_path()).collect() == []
+    rows = [(7, f"text {k % 40}") for k in range(300)] + [(None, "x")] * 5 + [(8, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.start, r.n_tokens, r.doc_id, r.ids_crc32) for r in token_output.token_documents(df, queries.tokenizer_path()).collect())
+    assert [g[2] for g in got] == [None] * 5 + [7] * 300 + [8] * 3
+    at = 0
+    for start, n, *_ in got:
+        assert start == at
+        at += n
+    plain = encoder_of().tokenizer
+    crc = lambda t: zlib.crc32(np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted((d or 0, crc(t)) for d, t in rows) == sorted((g[2] or 0, g[3]) for g in got)
+
+
 @pytest.mark.parametrize("values", [[], [7], [0] * 5, [2**32 - 1, 0], list(range(9000)), [5] * 4096 + [70_000], [3] * 5000 + [2**31]])
 def test_segment_round_trip(values):
     data = token_output.encode_segment(np.array(values, np.uint32))
