@@ -1,230 +1,392 @@
 """PII surrogates: each entity becomes another of its type, format and script, the same one wherever it stands.
 
-Entities: e-mail addresses, IPv4 addresses, card numbers, telephone numbers, hexadecimal secrets, long numbers, and names
-after an honorific. A surrogate is drawn from a keyed hash of the entity's canonical form, so it is the same in every
-document (coreference) without a table of all entities: letters stay letters of their case and script, digits digits,
-marks stay; an address keeps a reserved domain, a card number that satisfies the Luhn check still does, and a name keeps
-its honorific's gender, its number of words and its script.
-
-Distinctness: the distinct entities of a type and their surrogates are compared over the whole corpus. One whose
-surrogate is also that of another entity, or is itself an entity of the corpus, is drawn again (all but the smallest of
-those that share one) until none is left; later draws of a name are longer, so there is room for any number. If the clashes
-stop falling (as when a corpus holds nearly all numbers of a length) that is an error. Only these redrawn entities form a table, and it is joined to the mentions of
-the documents that hold them, so it may be of any size.
+Entities: e-mail addresses, IPv4 and IPv6 addresses, IBANs, card numbers, telephone numbers, hexadecimal secrets, keys of
+known forms, values given to `password=` and the like, long numbers, street addresses, and names (after an honorific, or
+a known given name before a capitalised word; then every word of such a name wherever it stands in that document).
+
+A surrogate is a keyed bijection of the entity's canonical form within its class, so no table of entities is needed, one
+pass over the texts does everything, and neither the plan nor the result depends on what else the corpus holds:
+
+- The class is all that stays: the type, the length, which characters are digits, letters of which script, vowels or
+  marks, and what the type fixes (an IBAN's country, a telephone number's first digit after +, a key's prefix). The other
+  characters are a number below the class's size, and a Feistel network on that number, cycle-walked into the class, is a
+  permutation P. The surrogate is P'(P(x) + 1): also a permutation, and one without fixed points, so an entity never
+  stays as it is unless its class has no other member.
+- Distinctness: different entities of one class have different surrogates, classes have different forms, and check
+  digits are recomputed (a valid card or IBAN stays valid, an invalid card number invalid by the same amount).
+- Coreference: numbers are mapped without their marks, addresses and secrets without their case where it has no meaning,
+  names word by word. "Mr John Smith", "John Smith", "SMITH" and "Dr Smith" agree in every word, in every document.
+- Names keep their script, their capitals and their number of words. A given name of GIVEN becomes another of its list,
+  which has its gender. Another given name keeps its pattern of vowels and ends in a letter pair of its gender that no
+  name of GIVEN ends in: the gender of an honorific that it stands after in the document, else that of its own ending.
+
+E-mail surrogates end in the reserved domain .example. Since surrogates of a class fill it, one may equal another entity
+of the corpus; that entity has itself been replaced, so the mapping stays one to one.
 
 Defined results: a null text stays null with no entities; texts without entities are unchanged; overlapping finds keep
-the leftmost, then the type listed first; rows that repeat a doc_id are treated alike; a null doc_id stays null.
+the leftmost, then the type listed first; rows that repeat a doc_id or a text are each replaced, alike; a null doc_id stays
+null; an empty table gives an empty result; other columns are not read. A batch of BATCH_ROWS texts is held at once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
+import ipaddress
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored
+from tessera.llm.common import bounded_batches
 
+ROUNDS = 8
+BATCH_ROWS = 256
 #: Honorifics and the gender that they tell.
 HONORIFICS = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Г-н": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Г-жа": "f",
     "Dr": "n", "Prof": "n", "Professor": "n",
 }
-#: Given names by script and gender, and family names by script.
+#: Given names by script and gender.
 GIVEN = {
-    ("latin", "m"): "Adrian Bruno Carl Daniel Emil Felix Gabriel Hugo Ivan Jonas Karl Leon Martin Noel Oscar Paul Robin Simon Tomas Victor".split(),
-    ("latin", "f"): "Alma Berta Clara Diana Elena Flora Greta Hanna Irene Julia Karla Laura Maria Nora Olga Petra Rosa Sara Tina Vera".split(),
-    ("latin", "n"): "Alex Chris Dana Eli Kim Lee Luca Mika Nikita Noa Robin Sacha Sam Toni".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Павел Роман".split(),
-    ("cyrillic", "f"): "Алла Вера Галина Дарья Елена Жанна Зоя Инна Лидия Мария Нина Ольга".split(),
-    ("cyrillic", "n"): "Саша Женя Валя Слава".split(),
-}
-SYLLABLES = {"latin": "ba be bo da de di fa ga go ha ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te ti to va ve vi vo".split(), "cyrillic": "ба бе бо ва ве ви га го да де ка ко ла ле ли ло ма ме ми мо на не но па ра ре ро са се со та те ти".split()}
+    ("latin", "m"): "Adrian Alan Albert Alexander Andrew Anton Arthur Bernard Brian Bruno Carl Carlos Charles Christian Daniel David Dennis Diego Edward Emil Erik Felix Francis Frank Frederic Gabriel George Gerard Harald Henry Hugo Ivan Jacob James John Jonas Jorge José Joseph Juan Jürgen Karl Klaus Kurt Leon Louis Luis Manuel Marcel Mark Martin Matthew Max Michael Miguel Nicolas Noel Oscar Otto Pablo Patrick Paul Pedro Peter Philip Pierre Ralph Richard Robert Simon Stefan Steven Thomas Tomas Victor Walter Werner William".split(),
+    ("latin", "f"): "Alice Alma Amelia Andrea Angela Anna Barbara Beatrice Berta Camille Carla Carmen Caroline Catherine Cecilia Charlotte Christine Clara Claire Daniela Diana Dorothea Elena Elisabeth Elizabeth Emma Erika Eva Flora Florence Gabriela Greta Hanna Heidi Helen Ingrid Irene Isabel Jane Jennifer Julia Karen Karla Katharina Laura Lena Linda Louise Lucia Margaret Maria Marie Marta Mary Michelle Monica Nina Nora Olga Patricia Petra Renate Rosa Ruth Sabine Sandra Sara Sofia Sonja Susan Sylvie Teresa Tina Ursula Vera Victoria".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Антон Борис Виктор Владимир Глеб Денис Дмитрий Егор Иван Игорь Кирилл Лев Максим Михаил Николай Олег Павел Петр Роман Сергей Юрий".split(),
+    ("cyrillic", "f"): "Алла Анна Валентина Вера Галина Дарья Екатерина Елена Жанна Зоя Инна Ирина Лидия Людмила Мария Наталья Нина Ольга Светлана Татьяна Юлия".split(),
+}
+_gender_of = {n.lower(): k for k, names in GIVEN.items() for n in names}
+#: Endings of made-up given names by script and gender; no name of GIVEN ends in one.
+ENDINGS = {("latin", "m"): "ejo", ("latin", "f"): "ija", ("latin", "n"): "une", ("cyrillic", "m"): "еж", ("cyrillic", "f"): "ижа", ("cyrillic", "n"): "уже"}
+#: Alphabets of which one letter becomes another of the same.
+PLAIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"]
+EXACT = [*PLAIN[:1], PLAIN[1], PLAIN[1].upper(), PLAIN[2], PLAIN[2].upper()]
+HEX = ["0123456789abcdef"]
+SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "áàâäãåéèêëíìîïóòôöõøúùûüýÿ", "ñçßð"]
+SPACE = r"[ \u00a0]"
+UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+WORD = rf"[{UPPER}][{LOWER}]+"
 _title = "|".join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))
-NAME = rf"\b(?P<title>{_title})\.?[  ](?P<who>[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[  -][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+){{0,2}})"
+NAME = rf"\b(?P<title>{_title})\.?{SPACE}(?P<who>{WORD}(?:[ \u00a0-]{WORD}){{0,2}})"
 #: Types in order of preference at one place.
 TYPES = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("assigned", r"(?i:\b(?:password|passwd|pwd|passphrase|api[_-]?key|secret|access[_-]?token|token)[\"']?)[ \t]{0,3}(?:=|:(?=[^\n]{0,40}\d))[ \t]{0,3}[\"']?(?P<value>[^\s\"'<>,;]{4,200})"),
+    ("key", r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![0-9A-Za-z])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|:)(?:(?::[0-9A-Fa-f]{1,4}){1,6})?(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[ \u00a0]?[0-9A-Z]{4}){2,7}(?:[ \u00a0]?[0-9A-Z]{1,3})?(?!\w)"),
+    ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4}|\d{3}-\d{2}-\d{4})(?!\w)"),
     ("card", r"(?<![\w])(?:\d{4}[ -]){3}\d{1,7}(?!\w)|(?<!\w)\d{13,19}(?!\w)"),
     ("number", r"(?<![\w.,])\d{8,12}(?!\w)"),
+    ("address", rf"(?<!\w)\d{{1,5}}{SPACE}{WORD}(?:{SPACE}{WORD})?{SPACE}(?:Street|Avenue|Road|Lane|Drive|Boulevard|St\.|Ave\.|Rd\.|Blvd\.)(?!\w)|(?<!\w)[{UPPER}][{LOWER}]+(?:straße|strasse|gasse|platz|weg){SPACE}\d{{1,4}}(?!\w)|(?<!\w)\d{{1,4}},?{SPACE}(?:rue|avenue|boulevard|calle)(?:{SPACE}(?:de|du|des|la|le|del)){{0,2}}{SPACE}{WORD}"),
     ("name", NAME),
-]
+]
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in TYPES))
-#: Holds wherever FIND does. Each of FIND's alternatives needs one of these: an address @ or digits round a dot, a secret
-#: its 32 digits, a telephone number + and a digit or three digits in a row, card and number three digits, a name its title.
-QUICK = re.compile(rf"\d{{3}}|@|\b(?:{_title})\b|\d\.\d|\+\d|[0-9A-Fa-f]{{32}}")
+#: Two capitalised words: a name if the first is a given name.
+PAIR = re.compile(rf"({WORD}){SPACE}{WORD}")
+#: No match of FIND goes over a line's end, and each holds one of these: a digit, an @ or another head of a key, a title,
+#: or a sign after a word for secrets. They start with characters that the search can skip to.
+DIGIT, HEAD, SIGN = re.compile(r"\d"), re.compile("@|AKIA|ASIA|gh|sk-|xox|eyJ"), re.compile("[=:]")
+TITLE = re.compile(rf"(?:{_title})\.?{SPACE}[{UPPER}]")
+ASSIGNED = re.compile(r"(?i)(?:word|wd|phrase|key|secret|token)[\"']?[ \t]{0,3}\Z")
+
+
+class Cipher:
+    """Keyed permutations of the numbers below n."""
+
+    def __init__(self, key: bytes):
+        self.key = hashlib.sha256(key).digest()
+
+    def _walk(self, label: bytes, n: int, x: int, back: bool) -> int:
+        half = max(1, ((n - 1).bit_length() + 1) // 2)
+        mask, size = (1 << half) - 1, (half + 7) // 8
+        seed = hashlib.shake_256(self.key + len(label).to_bytes(4, "big") + label + n.to_bytes((n.bit_length() + 7) // 8, "big"))
+
+        def mixed(k: int, r: int) -> int:
+            h = seed.copy()
+            h.update(bytes([k]) + r.to_bytes(size, "big"))
+            return int.from_bytes(h.digest(size), "big") & mask
+
+        while True:
+            a, b = x >> half, x & mask
+            if back:
+                for k in reversed(range(ROUNDS)):
+                    a, b = b ^ mixed(k, a), a
+            else:
+                for k in range(ROUNDS):
+                    a, b = b, a ^ mixed(k, b)
+            x = a << half | b
+            if x < n:
+                return x
+
+    def moved(self, label: str, n: int, x: int) -> int:
+        """A permutation without fixed points of the numbers below n (n of 2 or more)."""
+        if n < 2:
+            return x
+        raw = label.encode()
+        return self._walk(raw, n, (self._walk(raw, n, x, False) + 1) % n, True)
+
+    def text(self, kind: str, text: str, alphabets: list[str], keep: int = 0) -> str:
+        """text with each letter of an alphabet moved within it, all at once; the first `keep` and other marks stay."""
+        sets = [next((a for a in alphabets if c in a), "") if k >= keep else "" for k, c in enumerate(text)]
+        form = "".join(chr(97 + alphabets.index(s)) if s else c + "\x00" for s, c in zip(sets, text, strict=True))
+        n, x = 1, 0
+        for s, c in zip(sets, text, strict=True):
+            if s:
+                n, x = n * len(s), x * len(s) + s.index(c)
+        x = self.moved(f"{kind}\x01{form}", n, x)
+        out = []
+        for s, c in zip(reversed(sets), reversed(text), strict=True):
+            if s:
+                x, at = divmod(x, len(s))
+                c = s[at]
+            out.append(c)
+        return "".join(reversed(out))
+
+
+@lru_cache(4)
+def cipher(key: bytes) -> Cipher:
+    return Cipher(key)
 
 
 def canonical(kind: str, text: str) -> str:
     """What makes two mentions one entity."""
     if kind in ("card", "phone", "number"):
-        return re.sub(r"[^\d+]", "", text)
-    return text.lower() if kind in ("email", "secret") else re.sub(r"[\s ]+", " ", text)
+        return "".join(str(int(c)) if c.isdecimal() else c for c in re.sub(r"[^\d+]", "", text))
+    if kind == "iban":
+        return re.sub(r"\s", "", text)
+    if kind == "ipv6":
+        return ipaddress.ip_address(text).exploded
+    return text.lower() if kind in ("email", "secret") else re.sub(r"\s+", " ", text)
+
+
+def luhn_digit(digits: str) -> int:
+    """The digit that makes the number before it satisfy the Luhn check."""
+    twice = [int(d) * 2 for d in digits[::-2]]
+    return -(sum(map(int, digits[-2::-2])) + sum(d - 9 if d > 9 else d for d in twice)) % 10
 
 
 def luhn(digits: str) -> bool:
-    twice = [int(d) * 2 for d in digits[-2::-2]]
-    return (sum(map(int, digits[::-2])) + sum(d - 9 if d > 9 else d for d in twice)) % 10 == 0
+    return luhn_digit(digits[:-1]) == int(digits[-1])
+
+
+def _rest97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-class Stream:
-    """Numbers from a keyed hash."""
+def valid_iban(text: str) -> bool:
+    return _rest97(text[4:] + text[:4]) == 1
 
-    def __init__(self, key: bytes, *parts: str):
-        self.key, self.seed, self.n, self.left = key, "\x00".join(parts).encode(), 0, b""
 
-    def below(self, n: int) -> int:
-        if len(self.left) < 4:
-            self.left += hmac.new(self.key, self.seed + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
-            self.n += 1
-        value, self.left = int.from_bytes(self.left[:4], "big"), self.left[4:]
-        return value % n
+def _digits(c: Cipher, canon: str) -> str:
+    """A number of the same length; a first digit other than 0 stays one, + and the digit after it stay."""
+    keep = 2 if canon.startswith("+") else 0
+    first = "123456789" if canon[keep : keep + 1] != "0" else "0"
+    sets = [first, *["0123456789"] * (len(canon) - keep - 1)]
+    n, x = 1, 0
+    for s, d in zip(sets, canon[keep:], strict=False):
+        n, x = n * len(s), x * len(s) + s.index(d)
+    x, out = c.moved(f"digits\x01{canon[:keep]}\x01{len(canon)}\x01{first}", n, x), ""
+    for s in reversed(sets[: len(canon) - keep]):
+        x, at = divmod(x, len(s))
+        out = s[at] + out
+    return canon[:keep] + out
 
 
-def surrogate(key: bytes, kind: str, canon: str, extra: str = "", attempt: int = 0) -> str:
-    """The canonical surrogate of an entity; extra: a name's gender."""
-    s = Stream(key, kind, canon, str(attempt))
+@lru_cache(1 << 16)
+def surrogate(key: bytes, kind: str, canon: str) -> str:
+    """The canonical surrogate of an entity other than a name."""
+    c = cipher(key)
     if kind == "email":
-        local, _, domain = canon.partition("@")
-        out = "".join(_like(s, c) for c in local) + f"@{_plain(s, max(4, len(domain.split('.')[0])))}.example.org"
-    elif kind == "ip":
-        out = ".".join(str(x) for x in (10, s.below(256), s.below(256), 1 + s.below(254)))
-    elif kind == "secret":
-        out = "".join("0123456789abcdef"[s.below(16)] for _ in canon)
-    elif kind == "name":
-        script = "cyrillic" if re.search("[А-Яа-яЁё]", canon) else "latin"
-        given, syllables = GIVEN[script, extra or "n"], SYLLABLES[script]
-        family = lambda: "".join(syllables[s.below(len(syllables))] for _ in range(3 + s.below(2) + attempt % 1000 // 4)).capitalize()
-        parts = re.split(r"([ -])", canon)
-        words = parts[::2]
-        new = [family()] if len(words) == 1 else [given[s.below(len(given))], *[family() for _ in words[1:]]]
-        out = "".join(x + sep for x, sep in zip(new, [*parts[1::2], ""], strict=True))
-    else:
-        plus = len(re.match(r"\+?\d?", canon).group()) if canon.startswith("+") else 0  # the country's first digit stays
-        digits = [c for c in canon[plus:]]
-        new = [str(s.below(10)) if k else str(1 + s.below(9)) for k in range(len(digits))]
-        if kind == "card" and luhn(canon):
-            new[-1] = next(d for d in "0123456789" if luhn("".join(new[:-1]) + d))
-        out = canon[:plus] + "".join(new)
-    return out if out != canon or attempt > 50 else surrogate(key, kind, canon, extra, attempt + 1000)
-
-
-def _like(s: Stream, c: str) -> str:
-    if c.isdigit():
-        return str(s.below(10))
-    return chr(97 + s.below(26)) if c.isalpha() else c
-
-
-def _plain(s: Stream, n: int) -> str:
-    return "".join(chr(97 + s.below(26)) for _ in range(n))
+        return c.text("email", canon, PLAIN) + ".example"
+    if kind == "ip":
+        x = c.moved("ip", 1 << 32, int(ipaddress.ip_address(".".join(str(int(p)) for p in canon.split(".")))))
+        return str(ipaddress.ip_address(x))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(c.moved("ipv6", 1 << 128, int(ipaddress.ip_address(canon)))).exploded
+    if kind == "iban":
+        new = c.text("iban" + canon[:2], canon[4:], EXACT[:1] + EXACT[2:3])
+        if not valid_iban(canon):
+            return canon[:2] + c.text("iban", canon[2:4], PLAIN[:1]) + new
+        return f"{canon[:2]}{98 - _rest97(new + canon[:2] + '00'):02d}{new}"
+    if kind == "card":
+        new = _digits(c, canon[:-1])
+        return new + str((luhn_digit(new) + int(canon[-1]) - luhn_digit(canon[:-1])) % 10)
+    if kind == "secret":
+        return c.text("hex", canon, HEX)
+    if kind == "key":
+        return c.text("key", canon, EXACT, len(re.match(r"AKIA|ASIA|gh._|sk-|xox.-|eyJ|", canon).group()))
+    return _digits(c, canon)
+
+
+@lru_cache(1 << 16)
+def name_word(key: bytes, word: str, given: str) -> str:
+    """The surrogate of a lower-case word of a name; given: '' for a family name, else the gender of an unknown given name."""
+    c = cipher(key)
+    if word in _gender_of:
+        names = GIVEN[_gender_of[word]]
+        at = [n.lower() for n in names].index(word)
+        return names[c.moved("given" + "".join(_gender_of[word]), len(names), at)].lower()
+    new = c.text("given" if given else "family", word, SOUNDS)
+    return new + ENDINGS["cyrillic" if re.search("[а-яё]", word) else "latin", given] if given else new
+
+
+def _cased(old: str, new: str) -> str:
+    up = lambda x: "".join(u if len(u := c.upper()) == 1 else c for c in x)
+    if old[1:] and up(old) == old:
+        return up(new)
+    return "".join(up(n) if o.isupper() else n for o, n in zip(old, new, strict=False)) + new[len(old) :]
 
 
 def laid_out(kind: str, text: str, new: str) -> str:
     """The surrogate in the mention's own format: its marks, its case."""
     if kind in ("card", "phone", "number"):
         signs = iter(new.replace("+", ""))
-        return "".join(next(signs) if c.isdigit() else c for c in text)
+        return "".join(chr(ord(c) - int(c) + int(next(signs))) if c.isdecimal() else c for c in text)
+    if kind == "iban":
+        signs = iter(new)
+        return "".join(next(signs) if c.isalnum() else c for c in text)
     if kind == "email":
-        local = text.partition("@")[0]
-        head, _, tail = new.partition("@")
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(local, head, strict=True)) + "@" + tail
+        return _cased(text, new)
+    if kind == "ip":
+        return new
+    if kind == "ipv6":
+        new = new if len(text) == 39 else ipaddress.ip_address(new).compressed
+        return new.upper() if text.upper() == text and text.lower() != text else new
     if kind == "secret":
         return new.upper() if text.upper() == text else new
     return new
 
 
-def mentions(text: str | None):
-    """(kind, begin, end, text, canonical form, extra) of each entity, left to right."""
-    if not text or not QUICK.search(text):
-        return
-    for m in FIND.finditer(text):
-        kind = next(k for k, _ in TYPES if m.group(k) is not None)
-        begin, end = m.span("who" if kind == "name" else kind)
-        found = text[begin:end]
-        yield kind, begin, end, found, canonical(kind, found), HONORIFICS[m.group("title")] if kind == "name" else ""
+def _valid6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return len(re.findall("[0-9A-Fa-f]+", text)) > 2 and bool(DIGIT.search(text))
 
 
-def redrawn(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
-    """(kind, canon, extra, attempt) of the entities whose first surrogate is taken; fails if clashes are left that so many
-    rounds don't make fewer."""
+def _lines(text: str):
+    """(begin, end) of the lines that FIND can match in, in order."""
+    ends = [0]
+    for pattern in (DIGIT, HEAD, TITLE, SIGN):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            if pattern is not SIGN or ASSIGNED.search(text, max(0, m.start() - 16), m.start()):
+                end = text.find("\n", m.start())
+                at = end + 1 if end >= 0 else len(text)
+                ends.append(at)
+                if end < 0:
+                    break
+    for end in sorted(set(ends))[1:]:
+        yield text.rfind("\n", 0, end - 1) + 1, end
 
-    def run(batches):
-        for batch in batches:
-            rows = {(k, c, x) for t in batch.column(0).to_pylist() for k, _, _, _, c, x in mentions(t)}
-            if rows:
-                k, c, x = zip(*sorted(rows), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(x)], names=["kind", "canon", "extra"])
 
-    def draw(batches):
-        for batch in batches:
-            new = [surrogate(key, k, c, x, a) for k, c, x, a in zip(*(col.to_pylist() for col in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "canon", "extra", "attempt", "new"])
-
-    schema = "kind string, canon string, extra string, attempt int"
-    found = bounded_batches(docs).select("text").mapInArrow(run, "kind string, canon string, extra string").groupBy("kind", "canon", "extra").agg(F.lit(0).alias("attempt"))
-    drawn = stored(found.mapInArrow(draw, schema + ", new string"), "entities")
-    real = drawn.select("kind", F.col("canon").alias("new")).distinct()
-    fewest, waited = None, 0
-    while True:
-        shared = drawn.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("canon", "extra")).alias("first")).filter("n > 1")
-        clash = drawn.join(shared, ["kind", "new"]).filter(F.struct("canon", "extra") != F.col("first")).select("kind", "canon", "extra", "attempt")
-        clash = clash.union(drawn.join(real, ["kind", "new"], "left_semi").select("kind", "canon", "extra", "attempt")).distinct()
-        clash = stored(clash, "clashes")
-        left = clash.count()
-        if not left:
-            break
-        waited = 0 if fewest is None or left < fewest else waited + 1
-        if waited >= rounds:
-            raise RuntimeError(f"{left} surrogates still clash after {rounds} rounds that made them no fewer")
-        fewest = left if fewest is None else min(fewest, left)
-        again = clash.withColumn("attempt", F.col("attempt") + 1).mapInArrow(draw, schema + ", new string")
-        drawn = stored(drawn.join(clash, ["kind", "canon", "extra"], "left_anti").select("kind", "canon", "extra", "attempt", "new").union(again), "entities")
-    return drawn.filter("attempt > 0").select("kind", "canon", "extra", "attempt")
+def mentions(text: str | None):
+    """(kind, begin, end, honorific's gender or '') of each entity that FIND or PAIR names, left to right."""
+    found = [f for begin, end in _lines(text or "") for f in _found(text, begin, end)]
+    at = 0
+    for m in PAIR.finditer(text or ""):
+        if m.group(1).lower() in _gender_of and not text[m.start() - 1 : m.start()].isalnum():
+            while at < len(found) and found[at][2] <= m.start():
+                at += 1
+            if at == len(found) or m.end() <= found[at][1]:
+                found.insert(at, ("name", *m.span(), ""))
+    return found
+
+
+def _found(text: str, begin: int, end: int):
+    for m in FIND.finditer(text, begin, end):
+        kind = next(k for k, _ in TYPES if m.group(k) is not None)
+        if kind == "ipv6" and not _valid6(m.group()):
+            continue
+        if kind == "name":
+            yield "name", *m.span("who"), HONORIFICS[m.group("title")]
+        elif kind == "assigned":
+            value = m.group("value")
+            kind = "secret" if re.fullmatch("[0-9a-f]{32,128}|[0-9A-F]{32,128}", value) else "key"
+            yield kind, *m.span("value"), ""
+        else:
+            yield kind, *m.span(), ""
+
+
+SPLIT = re.compile(r"([ \u00a0-])")
+
+
+def _people(text: str, names: list[tuple[int, int, str]]) -> tuple[dict[str, str], re.Pattern | None]:
+    """(lower-case word -> '' or the gender of a given name, a pattern of these words wherever they stand)."""
+    family, ending, titled = {}, {}, {}
+    for begin, end, title in names:
+        words = [w.lower() for w in SPLIT.split(text[begin:end])[::2]]
+        if len(words) > 1 and title in ("m", "f"):
+            titled.setdefault(words[0], title)
+        elif len(words) > 1:
+            ending.setdefault(words[0], "f" if words[0].endswith(("a", "а", "я")) else "m")
+        family.update(dict.fromkeys(words[len(words) > 1 :], ""))
+    roles = family | ending | titled
+    words = sorted({f for w in roles if len(w) > 2 for f in (w.capitalize(), w.upper())}, key=lambda w: (-len(w), w))
+    if not words:
+        return roles, None
+    one = "|".join(map(re.escape, words))
+    return roles, re.compile(rf"(?<!\w)(?:{one})(?:[ \u00a0-](?:{one}))*(?!\w)")
+
+
+def replaced(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
+    """(text with surrogates, how many mentions of each type)."""
+    found = [(begin, end, kind, title) for kind, begin, end, title in mentions(text)]
+    if not found:
+        return text, {}
+    names = [(begin, end, title) for begin, end, kind, title in found if kind == "name"]
+    roles: dict[str, str] = {}
+    if names:
+        roles, again = _people(text, names)
+        if again:
+            taken = sorted(f[:2] for f in found)
+            at = 0
+            for m in again.finditer(text):
+                while at < len(taken) and taken[at][1] <= m.start():
+                    at += 1
+                if at == len(taken) or m.end() <= taken[at][0]:
+                    found.append((*m.span(), "name", ""))
+            found.sort()
+    parts, at, counts = [], 0, {}
+    for begin, end, kind, _ in found:
+        old = text[begin:end]
+        if kind == "name":
+            pieces = SPLIT.split(old)
+            new = "".join(p if k % 2 else _cased(p, name_word(key, p.lower(), roles[p.lower()])) for k, p in enumerate(pieces))
+        elif kind == "address":
+            c = cipher(key)
+            # Words that name the kind of street are its format.
+            new = re.sub(
+                rf"\d+|(?!Street|Avenue|Road|Lane|Drive|Boulevard|St\.|Ave\.|Rd\.|Blvd\.)[{UPPER}][{LOWER}]+?(?=(?:straße|strasse|gasse|platz|weg){SPACE}\d|\b)",
+                lambda m: laid_out("number", m.group(), _digits(c, canonical("number", m.group()))) if m.group().isdecimal() else _cased(m.group(), c.text("street", m.group().lower(), SOUNDS)), old,
+            )
+        else:
+            new = laid_out(kind, old, surrogate(key, kind, canonical(kind, old)))
+        parts += [text[at:begin], new]
+        at = end
+        counts[kind] = counts.get(kind, 0) + 1
+    return "".join(parts) + text[at:], counts
 
 
 def anonymised(docs: DataFrame, key: bytes = b"tessera") -> DataFrame:
     """docs (doc_id, text) with n_entities, kinds (how many of each type, as a string) and the text with surrogates."""
-    again = stored(redrawn(docs, key), "redrawn")
-    # Documents that hold a redrawn entity get the list of theirs; most get none.
-    entities = "array<struct<kind:string,canon:string,extra:string>>"
 
-    def holders(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[{"kind": k, "canon": c, "extra": x} for k, c, x in sorted({(k, c, x) for k, _, _, _, c, x in mentions(t)})] for t in batch.column(1).to_pylist()], pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string()), ("extra", pa.string())])))],
-                names=["text_hash", "es"],
-            )
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    if again.limit(1).count():
-        held = rows.select("text_hash", "text").mapInArrow(holders, f"text_hash long, es {entities}").select("text_hash", F.explode("es").alias("e")).select("text_hash", "e.*").distinct()
-        mine = held.join(again, ["kind", "canon", "extra"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "canon", "extra", "attempt")).alias("again"))
-        rows = rows.join(mine, "text_hash", "left")
-    else:
-        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,canon:string,extra:string,attempt:int>>"))
-
-    def replace(batches):
+    def run(batches):
         for batch in batches:
-            ids, texts, lists = (batch.column(k).to_pylist() for k in range(3))
-            n, kinds, out = [], [], []
-            for text, redo in zip(texts, lists, strict=True):
-                attempts = {(r["kind"], r["canon"], r["extra"]): r["attempt"] for r in redo or ()}
-                parts, at, counts = [], 0, {}
-                for kind, begin, end, found, canon, extra in mentions(text):
-                    new = surrogate(key, kind, canon, extra, attempts.get((kind, canon, extra), 0))
-                    parts += [text[at:begin], laid_out(kind, found, new)]
-                    at = end
-                    counts[kind] = counts.get(kind, 0) + 1
-                n.append(sum(counts.values()))
-                kinds.append(",".join(f"{k}:{counts[k]}" for k in sorted(counts)))
-                out.append(text if not at else "".join(parts) + text[at:])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.string())], names=["doc_id", "n_entities", "kinds", "text"])
-
-    return rows.select(F.col("doc_id").cast("long"), "text", "again").mapInArrow(replace, "doc_id long, n_entities long, kinds string, text string")
+            for k in range(0, len(batch), BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                n, kinds, out = [], [], []
+                for text in part.column(1).to_pylist():
+                    new, counts = replaced(text, key)
+                    n.append(sum(counts.values()))
+                    kinds.append(",".join(f"{kind}:{counts[kind]}" for kind in sorted(counts)))
+                    out.append(new)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.string())], names=["doc_id", "n_entities", "kinds", "text"])
+
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_entities long, kinds string, text string")
