@@ -64,17 +64,18 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back from the formatted conversations."""
+    """Digests of what is read back from the formatted conversations; references in their texts are typed parts."""
     turns = _conversations(spark, sf_dir)
-    chats = chat_format.formatted(turns.select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))
+    chats = chat_format.formatted(turns.select("conv_id", "turn", "role", chat_format.parts_of(F.col("text")).alias("parts")))
     chats = stored(chats, "chats")
     back = chat_format.read_back(chats)
     digest = lambda x: F.sha2(x.cast("binary"), 256)
     loss = F.array_join("loss_texts", "")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(every).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars"
-    )
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(every).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars",
+        "n_attachments", "expanded_tokens",
+    )
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,21 +142,31 @@ UNION ALL
 SELECT doc_id, source, n, block::BIGINT, round(weight, 9), key FROM p WHERE before < rest
 """
 
-OP7 = """
+OP7 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 x AS (
   SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;') AS et,
-         replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), chr(10), '&nl;') AS er
-  FROM t)
+         replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), chr(10), '&nl;') AS er,
+         regexp_replace(text, '!\[[^\]\n]*\]\([^()\s]+\)', '', 'g') AS bare,
+         list_transform(regexp_extract_all(text, '!\[[^\]\n]*\]\([^()\s]+\)'), lambda r: CASE
+           WHEN regexp_matches(r, '(?i)\.(?:mp3|wav|ogg|flac)\)$') THEN 'audio'
+           WHEN regexp_matches(r, '(?i)\.(?:pdf|docx|txt)\)$') THEN 'document' ELSE 'image' END) AS kinds
+  FROM t),
+y AS (
+  SELECT *, coalesce(sum(len(kinds)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, er, et ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM x),
+z AS (
+  SELECT *, length(replace(replace(replace(bare, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'))
+         + coalesce(list_sum(list_transform(kinds, lambda k, i: 5 + length(k) + length((ahead + i)::VARCHAR))), 0) AS chars FROM y)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, er, et)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (7 + sum(18 + length(er) + length(et)))::BIGINT AS formatted_chars
-FROM x GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (7 + sum(18 + length(er) + chars))::BIGINT AS formatted_chars, sum(len(kinds))::BIGINT AS n_attachments,
+       sum(coalesce(list_sum(list_transform(kinds, lambda k: CASE k WHEN 'audio' THEN 25 WHEN 'document' THEN 800 ELSE 256 END)), 0))::BIGINT AS expanded_tokens
+FROM z GROUP BY conv_id
 """
 
 OP10 = rf"""
