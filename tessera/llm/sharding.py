@@ -1,39 +1,50 @@
 """Sharding by sampled splitters: near-equal bytes, equal texts side by side.
 
-A row's key is (hash of its text, doc_id, hash of its other columns), its size the UTF-8 bytes of its text plus 1. Keys are
-drawn with probability proportional to size; quantiles of the draw are the boundaries of RANGES ranges. The exact size of
-each range is then counted, and a range over SLACK times its due is subdivided by a draw of its own, until none is or its
-rows share one key. Ranges in key order are laid end to end; a row belongs to the shard in which the middle of its bytes
-falls, so shards differ by about one record, and its slot is its place among the shard's rows.
-
-Defined results: a null text has size 1 and hashes as empty; a null doc_id sorts first; repeated rows keep a row each; an
-empty table gives an empty result. The draw decides only how work is spread, never the sizes, which are exact.
+A row's key is (hash of its text, doc_id, a number of its own), its size the UTF-8 bytes of its text plus 1. Keys are drawn
+with probability proportional to size; quantiles of the draw are the splitters of ranges of about RANGE_ROWS rows, from
+LEAST_RANGES to MOST_RANGES of them. The records are partitioned by these ranges and each range's exact bytes counted; a
+range over SLACK times its due is subdivided by a draw of its own, until there is none (a range of which one row is over
+half stays). Ranges in key order fill the shards: shard k is due the bytes from k / shards to (k + 1) / shards of all. A
+range that fits into its shard goes there whole. One that would overfill it is subdivided once more, at the record whose
+middle byte is the first beyond the shard's due; so shards differ by about one record.
+
+The driver holds the splitters, the draws (DRAWS for each range) and a row for each range; no task holds more than a range.
+
+Defined results: a null text has size 1 and hashes as empty; a null doc_id sorts first; repeated rows keep a row each, the
+number of their own being the place in the input; ties of hash and doc_id are in that order, which the result does not
+show; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import stored
 
-RANGES, DRAWS, SLACK, ROUNDS = 128, 4096, 2.0, 4
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 128, 8192
+DRAWS, SLACK = 32, 2.0
+NULL_ID = -(1 << 63)
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, h): what placing needs of each document; texts stay where they are."""
+    """(doc_id, size, text_crc32, h, d, r): what placing needs of each document; texts stay where they are. The key is
+    (h, d, r)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(
+        doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("h"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("d"), F.monotonically_increasing_id().alias("r"),
+    )
 
 
-def _draw(rows: DataFrame, total: int, draws: int, seed: int) -> list[tuple]:
-    """About `draws` keys, each with probability proportional to its row's size, sorted; a heavy row may come often."""
-    rate = draws / max(1, total)
-    luck = F.pmod(F.xxhash64("h", "doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("size") * rate + luck)
-    got = rows.select("h", "doc_id", times.alias("times")).filter("times > 0").groupBy("h", "doc_id").agg(F.sum("times").alias("times")).collect()
-    return sorted(((r.h, -(1 << 63) if r.doc_id is None else r.doc_id), r.times) for r in got)
+def _draw(rows: DataFrame, n_bytes: int, draws: int, seed: int) -> list[tuple]:
+    """(key, times) in order of the key: about `draws` of them, each row as often as its share of n_bytes."""
+    luck = F.pmod(F.xxhash64("h", "d", "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(F.col("size") * (draws / max(1, n_bytes)) + luck)
+    got = rows.select("h", "d", "r", times.alias("times")).filter("times > 0").collect()  # bounded by draws
+    return sorted(((x.h, x.d, x.r), x.times) for x in got)
 
 
 def _quantiles(drawn: list[tuple], parts: int) -> list[tuple]:
@@ -45,53 +56,74 @@ def _quantiles(drawn: list[tuple], parts: int) -> list[tuple]:
     return sorted(set(out))
 
 
-def _ranged(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
-    """rows with `range`: how many boundaries are at or below the key. A two-level search, so a row meets few of them."""
-    key = F.struct(F.col("h").alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"))
-    if not bounds:
-        return rows.withColumn("range", F.lit(0))
-    lit = lambda xs: F.from_json(F.lit("[" + ",".join(f'{{"h":{h},"d":{d}}}' for h, d in xs) + "]"), "array<struct<h:long,d:long>>")
-    wide = max(1, int(len(bounds) ** 0.5))
-    coarse, fine = lit(bounds[::wide]), lit(bounds)
+def _range_of(splitters: list[tuple]) -> Column:
+    """How many splitters are at or below a row's key: a search in two steps, so a row meets few of them."""
+    if not splitters:
+        return F.lit(0)
+    key = F.struct(F.col("h").alias("h"), F.col("d").alias("d"), F.col("r").alias("r"))
+    lit = lambda xs: F.from_json(F.lit("[" + ",".join(f'{{"h":{h},"d":{d},"r":{r}}}' for h, d, r in xs) + "]"), "array<struct<h:long,d:long,r:long>>")
+    wide = max(1, int(len(splitters) ** 0.5))
     count = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    rows = rows.withColumn("__c", count(coarse))
-    low = F.greatest(F.lit(0), (F.col("__c") - 1) * wide)
-    return rows.withColumn("range", low + count(F.slice(fine, low + 1, F.lit(wide)))).drop("__c")
+    low = F.greatest(F.lit(0), (count(lit(splitters[::wide])) - 1) * wide)
+    return F.transform(F.array(low), lambda at: at + count(F.slice(lit(splitters), at + 1, F.lit(wide))))[0]
+
+
+def split(rows: DataFrame, n_rows: int, n_bytes: int, seed: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """rows with `range`, and (bytes, rows) of each range in order."""
+    ranges = max(LEAST_RANGES, min(MOST_RANGES, n_rows // RANGE_ROWS))
+    splitters = _quantiles(_draw(rows, n_bytes, DRAWS * ranges, seed), ranges)
+    due = n_bytes / ranges
+    while True:
+        ranged = rows.withColumn("range", _range_of(splitters))
+        found = {r.range: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("most")).collect()}
+        over = [r for r in found.values() if r.bytes > SLACK * due and r.bytes > 2 * r.most]
+        if not over:
+            return ranged, [(found[k].bytes, found[k].n) if k in found else (0, 0) for k in range(len(splitters) + 1)]
+        n_over = sum(r.bytes for r in over)
+        seed += 1
+        parts = 2 * len(over) + int(2 * n_over / due)
+        more = _quantiles(_draw(ranged.filter(F.col("range").isin([r.range for r in over])), n_over, DRAWS * parts, seed), parts)
+        splitters = sorted({*splitters, *more})
 
 
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot)."""
+    spark = docs.sparkSession
     rows = stored(records(docs), "records")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    bounds = _quantiles(_draw(rows, total, DRAWS, seed), RANGES)
-    for k in range(ROUNDS):
-        ranged = _ranged(rows, bounds)
-        over = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("h", "doc_id").alias("keys")).filter(
-            (F.col("bytes") > SLACK * total / RANGES) & (F.col("keys") > 1)
-        )
-        wide = {r.range: r.bytes for r in over.collect()}  # at most RANGES / SLACK rows
-        if not wide:
-            break
-        inner = ranged.filter(F.col("range").isin(list(wide)))
-        more = _quantiles(_draw(inner, sum(wide.values()), 32 * len(wide) * 4, seed + k + 1), 4 * max(len(wide), sum(wide.values()) * RANGES // max(1, total)))
-        bounds = sorted({*bounds, *more})
-    ranged = _ranged(rows, bounds)
-    # Exact places: the few ranges' sums first, then inside each range.
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
-    sums = sums.select("range", (F.sum("bytes").over(Window.orderBy("range")) - F.col("bytes")).alias("ahead"))
-    inside = Window.partitionBy("range").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.join(sums, "range").withColumn("at", F.col("ahead") + F.sum("size").over(inside) - F.col("size"))
-    middle = F.col("at") + F.col("size") / 2
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(1, total))))).cast("int"))
-    # Slots: rows of a shard in earlier ranges, then the place in this one.
-    placed = stored(placed.select("doc_id", "size", "text_crc32", "h", "range", "shard", "at"), "placed")
-    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
-    counts = counts.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("ahead"))
-    mine = Window.partitionBy("shard", "range").orderBy("at")
-    return placed.join(counts, ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("ahead") + F.row_number().over(mine) - 1).alias("slot"))
+    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    n_bytes = total.bytes or 0
+    ranged, sums = split(rows, total.n, n_bytes, seed)
+    # The shard of a byte's place; a range goes whole to a shard if its first and last byte do.
+    shard_at = lambda place: min(shards - 1, int(place * shards // max(1, n_bytes)))
+    plan, at = [], 0
+    for k, (size, _) in enumerate(sums):
+        first, last = shard_at(at), shard_at(max(at, at + size - 1))
+        plan.append((k, at, first if first == last else None))
+        at += size
+    ranges = spark.createDataFrame(plan, "range int, ahead long, whole int")
+    order = Window.partitionBy("range").orderBy("h", "d", "r")
+    placed = ranged.join(F.broadcast(ranges), "range")  # a row for each range, at most 2 * MOST_RANGES or so
+    start = F.col("ahead") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = placed.select("doc_id", "size", "text_crc32", "range", "whole", F.row_number().over(order).alias("nth"), start.alias("start"))
+    # Twice the middle of a row's bytes, in whole numbers.
+    middle = (2 * F.col("start") + F.col("size")).cast("decimal(38,0)") * shards
+    cut = F.least(F.lit(shards - 1), F.floor(middle / F.lit(max(1, 2 * n_bytes)).cast("decimal(38,0)"))).cast("int")
+    placed = stored(placed.select("doc_id", "size", "text_crc32", "range", "nth", F.coalesce("whole", cut).alias("shard")), "placed")
+    # Slots: the rows of the shard in ranges before, then the place in this one.
+    base, filled, slots = {}, {}, []
+    for r in sorted(placed.groupBy("range", "shard").agg(F.count("*").alias("n")).collect()):
+        slots.append((r.range, r.shard, filled.get(r.shard, 0) - base.get(r.range, 0) - 1))
+        filled[r.shard] = filled.get(r.shard, 0) + r.n
+        base[r.range] = base.get(r.range, 0) + r.n
+    ahead = spark.createDataFrame(slots, "range int, shard int, shift long")
+    return placed.join(F.broadcast(ahead), ["range", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("nth") + F.col("shift")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42) -> None:
-    """docs (doc_ids not null and distinct) with shard and slot, a folder for each shard, rows in slot order in each file."""
-    placed = sharded(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """docs (doc_ids not null and distinct) with shard and slot, a folder for each shard. Files are ranges of slots, written
+    by as many tasks as the session has shuffle partitions, whatever the number of shards."""
+    placed = sharded(docs, shards, seed).select(F.col("doc_id").alias("_placed_id"), F.col("shard").alias("_placed_shard"), F.col("slot").alias("_placed_slot"))
+    rows = docs.join(placed, docs["doc_id"] == placed["_placed_id"])
+    rows = rows.select(*[docs[c] for c in docs.columns if c not in ("shard", "slot")], F.col("_placed_shard").alias("shard"), F.col("_placed_slot").alias("slot"))
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

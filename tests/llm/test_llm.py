@@ -572,11 +572,52 @@ def test_shards(docs, none):
     assert sharding.sharded(none, 4).count() == 0
 
 
-def test_shards_split_overfull_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "DRAWS", 8)
+def brute_shards(rows, shards):
+    """(doc_id, size, shard, slot) by one sort of all rows."""
+    from xxhash import xxh64_intdigest
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = sorted((signed(xxh64_intdigest((t or "").encode(), 42)), sharding.NULL_ID if d is None else d, len((t or "").encode()) + 1, d) for d, t in rows)
+    total, at, slots, out = sum(k[2] for k in keyed), 0, {}, []
+    for _, _, size, d in keyed:
+        shard = min(shards - 1, (2 * at + size) * shards // (2 * total))
+        slots[shard] = slots.get(shard, -1) + 1
+        out.append((d, size, shard, slots[shard]))
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_shards_equal_brute_force(spark, monkeypatch, small):
+    if small:  # bad splitters: many ranges to subdivide
+        monkeypatch.setattr(sharding, "DRAWS", 1)
+        monkeypatch.setattr(sharding, "LEAST_RANGES", 20)
+    rng = random.Random(4)
+    rows = [(k, "same text") for k in range(700)] + [(7000, "same row")] * 500 + [(k, f"t{k} " * rng.randrange(9)) for k in range(1000, 2000)]
+    rows += [(None, None), (None, ""), (None, "x"), (3000, "y" * 3000)] + [(None, "same null")] * 40
+    df = spark.createDataFrame([(d, t, "h", 1, 2) for d, t in rows], "doc_id long, text string, range string, size int, shard int").repartition(5)
+    got = [(r.doc_id, r.size, r.shard, r.slot) for r in sharding.sharded(df, 16).collect()]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(got, key=order) == sorted(brute_shards(rows, 16), key=order)
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "DRAWS", 1)
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
-    sizes = [r.s for r in sharding.sharded(df, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
-    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 40
+    rows = sharding.records(df).cache()
+    n, size = rows.count(), rows.agg(F.sum("size")).first()[0]
+    ranged, sums = sharding.split(rows, n, size, 1)
+    assert sum(b for b, _ in sums) == size and max(b for b, _ in sums) <= sharding.SLACK * size / sharding.LEAST_RANGES
+    assert ranged.groupBy("range").count().count() == sum(1 for _, k in sums if k)
+
+
+def test_written_shards(spark, tmp_path, docs):
+    df = docs.filter("doc_id is not null").withColumn("slot", F.lit("clash"))
+    sharding.write_shards(df, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    want = {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(df, 3).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == want and len(want) == df.count()
+    assert len(list((tmp_path / "s").glob("*/*.parquet"))) > 3
 
 
 def test_line_rules_remove_shared_lines(spark, none):
