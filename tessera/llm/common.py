@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +16,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@lru_cache(1)
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests only) a local one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local mode takes a folder of its own (as
+    in tests); a cluster has none, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
@@ -51,3 +62,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
+
+
+def whole_groups(keys: list[str], work):
+    """A function of Arrow batches that hands work(table, key matrix) whole groups of rows with equal long keys."""
+
+    def run(batches):
+        key = lambda t: np.stack([t.column(c).to_numpy() for c in keys])
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            k = key(t)
+            if not t.num_rows:
+                continue
+            whole = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0))
+            stop = int(whole[-1]) + 1 if len(whole) else 0
+            if stop:
+                yield from work(t.slice(0, stop), k[:, :stop])
+            rest = t.slice(stop)
+        if rest is not None and rest.num_rows:
+            yield from work(rest, key(rest))
+
+    return run

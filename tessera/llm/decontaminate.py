@@ -2,24 +2,28 @@
 
 Words are lower-cased runs of letters and digits. An item is the weighted bag of its SHINGLE-word shingles (a shorter
 item: its whole text, searched as it stands in documents of any length); a shingle weighs ln(1 + items / items that hold
-it). A document is read through windows as long as an item: every window start at which the window holds one of the
-item's shingles (elsewhere their similarity is 0, so nothing is lost). Each window's weighted SimHash is looked up in a
-multi-index: the fingerprint is cut into BLOCKS runs of bits and each run's table lists the items within the run's
-Hamming ball, so every item within `radius` is found. Found items are verified by the weighted Jaccard similarity of the
-two bags, `threshold` or more. A window of that similarity may lie beyond the radius, so windows whose shingles of the
-item weigh `threshold` of it or more are verified too: the similarity can't be higher than that share, so every window
-of `threshold` or more is found.
-
-A document shorter than an item is one window. Null texts match nothing; rows with a null doc_id or item_id are left out;
-equal items count once and the smallest item_id names them; rows that repeat a doc_id are looked at each. Items go to the
-executors in groups of at most ITEMS, each group one pass, so the index that is broadcast is bounded whatever the table's
-size. Weights are those of the whole benchmark in every pass: a shingle of one item weighs as much as one of none, so a
-pass needs only those of several items (two sorted arrays).
+it), as a whole number of 1/SCALE, so every sum is exact. A document is read through windows as long as an item (a shorter
+document is one window). Each window's weighted SimHash is looked up in a multi-index: the fingerprint is cut into BLOCKS
+runs of bits and each run's table lists the items within the run's Hamming ball, so every item within `radius` is found.
+Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more. A window of that
+similarity may lie beyond the radius, so windows whose shingles of the item weigh `threshold` of it or more are verified
+too: the similarity can't be higher than that share, so every window of `threshold` or more is found.
+
+Items are a distributed table. A window of the threshold lacks at most 1 - threshold of its item's weight, so it holds one
+of the item's rarest shingles that together weigh more than that (its probes). One scan of the documents keeps those with
+a probe: it meets a broadcast Bloom filter of 2**FEWEST_BITS to 2**MOST_BITS bits (32 MB at most) over the probes and the
+shingles of several items. What passes is joined with the tables themselves, so a full filter costs time, not results. A
+document then meets the items of its probes in one task, where the windows that hold a probe are looked up. Weights
+are those of the whole benchmark, however the work is dealt out.
+
+Defined results: null texts and texts without words match nothing; null item_ids are left out; equal items count once and
+the smallest item_id names them; a null doc_id is a document like any other; rows that repeat a doc_id are looked at each;
+the best window is the first of the most similar ones; empty tables give an empty result; other columns are not read.
+Hashes have 64 bits, so unlike shingles count as equal with a probability of about 2**-64 a pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -28,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored
+from tessera.llm.common import bounded_batches, stored, whole_groups
 from tessera.llm.textvec import pieces, shingle_hashes, span_hashes, word_spans
 
 SHINGLE = 5
 BLOCKS = 4
-#: Items of one pass, and words of one pass: together they bound the index that is broadcast.
-ITEMS, ITEM_WORDS = 1000, 200_000
+SCALE = 1 << 16
+#: The filter has FILL bits for each of its shingles, within these powers of two.
+FILL, FEWEST_BITS, MOST_BITS = 64, 20, 28
 
 
 def _words(text: list[str | None]) -> list[np.ndarray]:
@@ -48,58 +53,55 @@ def _words(text: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _bags(text: list[str | None], n: int) -> list[np.ndarray]:
-    """Hashes of each text's shingles, in order."""
+def bags(text: list[str | None], n: int) -> list[np.ndarray]:
+    """Hashes of each text's shingles, in order; a text of fewer words is one shingle."""
     return [shingle_hashes(w, min(n, max(1, len(w)))) for w in _words(text)]
 
 
+def weight(items: int, held: np.ndarray) -> np.ndarray:
+    """Of shingles that so many of the items hold; none counts as one."""
+    return np.rint(np.log1p(items / np.maximum(1, held)) * SCALE).astype(np.int64)
+
+
+def probes(shingles: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest distinct shingles of an item that together weigh more than a window of the threshold can lack."""
+    distinct, at, counts = np.unique(shingles, return_index=True, return_counts=True)
+    order = np.lexsort((distinct, -weights[at]))
+    total = np.cumsum((weights[at] * counts)[order])
+    enough = np.searchsorted(total, (1 - threshold) * total[-1] + 1e-6 * SCALE, "right") + 1
+    return distinct[order[:enough]]
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """+1 and -1 for the 64 bits of each hash."""
-    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
 
 
 def _print(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 1e-6, axis=1, bitorder="little").view("<u8").ravel()
-
-
-def shingle_weights(items: list[tuple[int, str]], n: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
-    """(shingles that several items hold, ascending, and their weights), and the weight of every other shingle."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for k in range(0, len(items), ITEMS):
-        bags = [np.unique(b) for b in _bags([t for _, t in items[k : k + ITEMS]], n)]
-        found, held = np.unique(np.concatenate(bags), return_counts=True)
-        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, held]), len(keys)).astype(np.int64)
-    several = counts > 1
-    return (keys[several], np.log1p(len(items) / counts[several])), math.log1p(len(items))
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
 class ItemIndex:
-    """What one pass broadcasts: bags, weights, fingerprints and the multi-index of a group of items."""
+    """Bags, weights, fingerprints and the multi-index of some items: (item_id, shingles in order).
+
+    known: (shingles, ascending, and how many of all items hold each); any other shingle is one of no or one item.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], weights: dict | tuple[np.ndarray, np.ndarray], default: float, n: int, radius: int):
-        self.n, self.radius, self.default = n, radius, default
-        if isinstance(weights, dict):
-            weights = np.array(sorted(weights), np.uint64), np.array([weights[h] for h in sorted(weights)])
-        self.keys, self.values = weights
+    def __init__(self, items: list[tuple[int, np.ndarray]], known: tuple[np.ndarray, np.ndarray], total: int, radius: int = 15, threshold: float = 0.8):
+        self.radius, self.default = radius, int(weight(total, np.ones(1))[0])
+        self.keys, self.values = known[0], weight(total, known[1])
         self.ids = [i for i, _ in items]
-        bags = _bags([t for _, t in items], n)
-        #: Words of a shingle: n, and the lengths of shorter items.
-        self.sizes = sorted({n} | {len(w) for w in _words([t for _, t in items]) if 0 < len(w) < n})
-        self.bags = [Counter(b.tolist()) for b in bags]
-        self.length = np.array([len(b) for b in bags])  # shingles of a window of this item
-        self.total = [float(self.weigh(b).sum()) for b in bags]
-        prints = [_print((_signs(b) * self.weigh(b)[:, None]).sum(axis=0, keepdims=True))[0] if len(b) else 0 for b in bags]
-        self.prints = np.array(prints, np.uint64)
-        holders = defaultdict(set)
-        for k, b in enumerate(self.bags):
-            for h in b:
-                holders[h].add(k)
-        self.holders = {h: sorted(ks) for h, ks in holders.items()}
-        self.shingles = np.array(sorted(holders), np.uint64)
-        # A small table of the top bits rejects nearly all shingles without a search.
-        self.bloom = np.zeros(1 << 20, bool)
-        self.bloom[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
+        self.bags = [Counter(b.tolist()) for _, b in items]
+        self.length = np.array([len(b) for _, b in items])  # shingles of a window of this item
+        self.total = [int(self.weigh(b).sum()) for _, b in items]
+        self.prints = np.array([_print((_signs(b) * self.weigh(b)[:, None]).sum(axis=0, keepdims=True))[0] for _, b in items], np.uint64)
+        self.holders, self.probed = defaultdict(list), defaultdict(list)
+        for k, (_, b) in enumerate(items):
+            for h in self.bags[k]:
+                self.holders[h].append(k)
+            for h in probes(b, self.weigh(b), threshold).tolist():
+                self.probed[h].append(k)
+        self.shingles = np.array(sorted(self.holders), np.uint64)
         a, b = divmod(radius, BLOCKS)
         width = 64 // BLOCKS
         self.tables = []
@@ -109,14 +111,10 @@ class ItemIndex:
             keys = (own[:, None] ^ np.array(ball, np.int32)[None, :]).ravel()
             which = np.repeat(np.arange(len(own), dtype=np.int32), len(ball))
             order = np.argsort(keys, kind="stable")
-            self.tables.append((np.searchsorted(keys[order], np.arange((1 << width) + 1)), which[order]))
-
-    def weight(self, h: int) -> float:
-        at = int(np.searchsorted(self.keys, np.uint64(h)))
-        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == h else self.default
+            self.tables.append((keys[order], which[order]))
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.default)
+        out = np.full(len(hashes), self.default, np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             same = self.keys[at] == hashes
@@ -127,26 +125,31 @@ class ItemIndex:
         """Items whose fingerprint is within radius of fp: from the tables, verified on all bits."""
         width = 64 // BLOCKS
         found: set[int] = set()
-        for k, (start, which) in enumerate(self.tables):
+        for k, (keys, which) in enumerate(self.tables):
             key = fp >> k * width & (1 << width) - 1
-            found.update(which[start[key] : start[key + 1]].tolist())
+            found.update(which[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")].tolist())
         return {k for k in found if (int(self.prints[k]) ^ fp).bit_count() <= self.radius}
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Positions whose shingle is one of an item's."""
-        at = np.flatnonzero(self.bloom[(shingles >> np.uint64(44)).astype(np.int64)])
-        found = np.searchsorted(self.shingles, shingles[at])
+        if not len(self.shingles):
+            return np.zeros(0, np.int64)
+        found = np.searchsorted(self.shingles, shingles)
         found[found == len(self.shingles)] = 0
-        return at[self.shingles[found] == shingles[at]] if len(self.shingles) else at[:0]
+        return np.flatnonzero(self.shingles[found] == shingles)
 
-    def matches(self, shingles: np.ndarray, hits: np.ndarray, threshold: float) -> dict[int, tuple]:
+    def matches(self, shingles: np.ndarray, threshold: float) -> dict[int, tuple]:
         """item -> (similarity, start, Hamming distance) of its best window in one text."""
-        wanted: dict[int, list[int]] = defaultdict(list)
-        for p in hits.tolist():
-            for k in self.holders[int(shingles[p])]:
-                wanted[k].append(p)
+        held: dict[int, list[int]] = defaultdict(list)
+        probed: dict[int, list[int]] = defaultdict(list)
+        for p in self.hits(shingles).tolist():
+            h = int(shingles[p])
+            for k in self.probed.get(h, ()):
+                probed[k].append(p)
+            for k in self.holders[h]:
+                held[k].append(p)
         spans: dict[int, set[int]] = defaultdict(set)
-        for k, at in wanted.items():
+        for k, at in probed.items():
             size = min(int(self.length[k]), len(shingles))
             starts = spans[size]
             reach = -1
@@ -158,28 +161,33 @@ class ItemIndex:
             ordered = np.array(sorted(starts))
             for k in range(0, len(ordered), 2048):
                 self._windows(shingles, ordered[k : k + 2048], size, threshold, best)
-        for k, at in wanted.items():
-            self._sharing(shingles, k, np.array(at), threshold, best)
+        for k in probed:
+            self._sharing(shingles, k, np.array(held[k]), threshold, best)
         return best
 
+    def _better(self, best: dict, item: int, like: float, start: int, fp: int) -> None:
+        old = best.get(item)
+        if old is None or like > old[0] or like == old[0] and start < old[1]:
+            best[item] = like, start, (int(self.prints[item]) ^ fp).bit_count()
+
     def _sharing(self, shingles, item, at, threshold, best) -> None:
         """Windows that hold enough of the item's shingles, which stand at `at`, ascending."""
         size = min(int(self.length[item]), len(shingles))
-        sums = np.concatenate([[0.0], np.cumsum(self.weigh(shingles[at]))]) / self.total[item]
+        sums = np.concatenate([[0], np.cumsum(self.weigh(shingles[at]))])
         most = lambda starts: sums[np.searchsorted(at, starts + size)] - sums[np.searchsorted(at, starts)]
+        least = threshold * self.total[item] - 1e-6
         # The window with most of them may start at one of them.
-        if most(np.minimum(at, len(shingles) - size)).max() < threshold - 1e-9:
+        if most(np.minimum(at, len(shingles) - size)).max() < least:
             return
         starts = np.arange(max(0, int(at[0]) - size + 1), min(int(at[-1]), len(shingles) - size) + 1)
         share = most(starts)
-        for k in np.flatnonzero(share >= threshold - 1e-9).tolist():
-            if item in best and share[k] <= best[item][0] + 1e-12:
+        for k in np.flatnonzero(share >= least).tolist():
+            if item in best and share[k] / self.total[item] < best[item][0]:
                 continue
             window = shingles[starts[k] : starts[k] + size]
             like = self.similarity(item, window)
-            if like >= threshold and (item not in best or like > best[item][0] + 1e-12):
-                fp = int(_print((_signs(window) * self.weigh(window)[:, None]).sum(axis=0, keepdims=True))[0])
-                best[item] = like, int(starts[k]), (int(self.prints[item]) ^ fp).bit_count()
+            if like >= threshold:
+                self._better(best, item, like, int(starts[k]), int(_print((_signs(window) * self.weigh(window)[:, None]).sum(axis=0, keepdims=True))[0]))
 
     def _windows(self, shingles, starts, size, threshold, best) -> None:
         # Runs of neighbouring starts share one running sum.
@@ -188,19 +196,20 @@ class ItemIndex:
                 continue
             low = int(run[0])
             part = shingles[low : int(run[-1]) + size]
-            sums = np.zeros((len(part) + 1, 64), np.float64)
+            sums = np.zeros((len(part) + 1, 64), np.int64)
             np.cumsum(_signs(part) * self.weigh(part)[:, None], axis=0, out=sums[1:])
             prints = _print(sums[run - low + size] - sums[run - low])
             seen: dict[int, set[int]] = {}
             for s, fp in zip(run.tolist(), prints.tolist(), strict=True):
                 if fp not in seen:
-                    seen[fp] = self.within(fp)
+                    # A window is compared with items of its own length only.
+                    seen[fp] = {k for k in self.within(fp) if min(int(self.length[k]), len(shingles)) == size}
                 for k in seen[fp]:
-                    if k in best and best[k][0] >= 1 - 1e-9:
+                    if k in best and best[k][0] == 1 and best[k][1] < s:
                         continue
                     like = self.similarity(k, shingles[s : s + size])
-                    if like >= threshold and (k not in best or like > best[k][0] + 1e-12):
-                        best[k] = like, s, (int(self.prints[k]) ^ fp).bit_count()
+                    if like >= threshold:
+                        self._better(best, k, like, s, fp)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard of the two bags of shingles."""
@@ -211,67 +220,144 @@ class ItemIndex:
         return common / every if every else 0.0
 
 
-def _groups(items: list) -> list[list]:
-    out, words = [[]], 0
-    for item in items:
-        size = len(item[1].split())
-        if len(out[-1]) == ITEMS or out[-1] and words + size > ITEM_WORDS:
-            out.append([])
-            words = 0
-        out[-1].append(item)
-        words += size
-    return [g for g in out if g]
+def item_table(benchmark: DataFrame, n: int = SHINGLE) -> tuple[DataFrame, DataFrame, int]:
+    """((item_id, m, shingles), (shingle, held), number of items): m words make a shingle; held: by so many items."""
+
+    def run(batches):
+        for batch in batches:
+            words = _words(batch.column(1).to_pylist())
+            m = [min(n, len(w)) for w in words]
+            some = [k for k, size in enumerate(m) if size]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some, pa.int64())), pa.array([m[k] for k in some], pa.int64()), pa.array([shingle_hashes(words[k], m[k]).view(np.int64) for k in some], pa.list_(pa.int64()))],
+                names=["item_id", "m", "shingles"],
+            )
+
+    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).filter("item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    items = stored(bounded_batches(rows).select("item_id", "text").mapInArrow(run, "item_id long, m long, shingles array<long>"), "items")
+    held = items.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held"))
+    return items, stored(held, "held"), items.count()
+
+
+def _filter_of(marks: DataFrame) -> np.ndarray:
+    """A Bloom filter of two positions for each shingle, as bytes; a row for every 64 of its bits is all the driver sees."""
+    n = marks.count()
+    bits = max(FEWEST_BITS, min(MOST_BITS, (FILL * n).bit_length()))
+    low = F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    at = marks.select(F.explode(F.array(low, F.shiftrightunsigned("shingle", 64 - bits))).alias("at"))
+    word = at.select(F.shiftrightunsigned("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _passes(bloom: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    bits = len(bloom).bit_length() - 1 + 6
+    out = np.ones(len(shingles), bool)
+    for at in ((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), (shingles >> np.uint64(64 - bits)).astype(np.int64)):
+        out &= (bloom[at >> 6] >> (at & 63)) & 1 == 1
+    return out
+
+
+#: What leaks() finds: `text_key` is the MD5 of the text, on which alone a document's rows depend.
+FOUND = "doc_id long, text_key string, item_id long, similarity double, hamming int, first_word long, n_words int"
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
+    """contaminated() with text_key."""
+    spark = docs.sparkSession
+    items, held, total = item_table(benchmark, n)
+    sizes = sorted(r.m for r in items.select("m").distinct().collect())  # at most n
+    counts = items.select("item_id", "m", F.posexplode("shingles").alias("at", "shingle")).join(held, "shingle")
+    counts = counts.groupBy("item_id", "m").agg(F.sort_array(F.collect_list(F.struct("at", "shingle", "held"))).alias("s"))
+    items = stored(counts.select("item_id", "m", F.col("s.shingle").alias("shingles"), F.col("s.held").alias("held")), "weighed")
+
+    def rarest(batches):
+        for batch in batches:
+            for item, m, shingles, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = probes(np.array(shingles, np.int64).view(np.uint64), weight(total, np.array(many)), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), item)), pa.array(np.full(len(found), m)), pa.array(found.view(np.int64))], names=["item_id", "m", "shingle"])
+
+    probe = stored(items.mapInArrow(rarest, "item_id long, m long, shingle long"), "probes")
+    marks = probe.select("shingle").union(held.filter("held > 1").select("shingle")).distinct()
+    shared = spark.sparkContext.broadcast(_filter_of(marks))
+
+    def scan(batches):
+        bloom = shared.value
+        for batch in batches:
+            out = []
+            for row, _, data, offsets in pieces(batch.column(3)):
+                starts, ends, of = word_spans(data, offsets)
+                if not len(starts):
+                    continue
+                words = span_hashes(data, starts, ends)
+                begin = np.searchsorted(of, np.arange(len(offsets)))
+                for m in sizes:
+                    shingles = shingle_hashes(words, m)
+                    hit = np.flatnonzero(_passes(bloom, shingles))
+                    hit = hit[hit <= begin[1:][of[hit]] - m]  # a shingle that runs into the next text is none
+                    cut = np.flatnonzero(np.diff(of[hit], prepend=-1))
+                    for part in np.split(hit, cut[1:]) if len(hit) else ():
+                        k = int(of[part[0]])
+                        out.append((row + k, m, np.unique(shingles[part]).view(np.int64), shingles[begin[k] : begin[k + 1] - m + 1].view(np.int64)))
+            if out:
+                at, m, hits, shingles = zip(*out, strict=True)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(at) for c in range(3)], pa.array(m, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))],
+                    names=["r", "doc_id", "text_key", "m", "hits", "shingles"],
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = stored(bounded_batches(rows).mapInArrow(scan, "r long, doc_id long, text_key string, m long, hits array<long>, shingles array<long>"), "hits")
+    hits = texts.select("r", "m", F.explode("hits").alias("shingle"))
+    pairs = hits.join(probe, ["shingle", "m"]).select("r", "m", "item_id").distinct()
+    # A document's rows in one group: itself, what is known of its shingles, and its items.
+    none = lambda kind: F.lit(None).cast(kind)
+    wanted = pairs.select("r", "m").distinct()
+    known = hits.join(wanted, ["r", "m"], "left_semi").join(held.filter("held > 1"), "shingle").groupBy("r", "m").agg(F.collect_list(F.struct("shingle", "held")).alias("s"))
+    known = known.select("r", "m", F.col("s.shingle").alias("shingles"), F.col("s.held").alias("held"))
+    group = texts.join(wanted, ["r", "m"], "left_semi").select("r", "m", "doc_id", "text_key", none("long").alias("item_id"), "shingles", none("array<long>").alias("held"))
+    group = group.unionByName(known.select("r", "m", none("long").alias("doc_id"), none("string").alias("text_key"), none("long").alias("item_id"), "shingles", "held"))
+    of_items = pairs.join(items.drop("m"), "item_id").select("r", "m", none("long").alias("doc_id"), none("string").alias("text_key"), "item_id", "shingles", "held")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = group.unionByName(of_items).repartition(parts, "r", "m").sortWithinPartitions("r", "m")
+
+    def work(t, _):
+        found, mine, seen, keys, many = t.column("item_id").to_pylist(), {}, [], [], []
+        shingles, held = t.column("shingles").combine_chunks(), t.column("held").combine_chunks()
+        row = lambda column, k: column.slice(k, 1).flatten().to_numpy()
+        for k in range(t.num_rows):
+            if held[k].is_valid:
+                keys.append(row(shingles, k).view(np.uint64))
+                many.append(row(held, k))
+                if found[k] is not None:
+                    mine[found[k]] = keys[-1]
+            else:
+                seen.append(k)
+        keys, first = np.unique(np.concatenate(keys), return_index=True) if keys else (np.zeros(0, np.uint64), [])
+        many = np.concatenate(many)[first] if many else np.zeros(0)
+        index = ItemIndex(sorted(mine.items()), (keys, many), total, radius, threshold)
+        doc_id, text_key, m, out = t.column("doc_id"), t.column("text_key"), t.column("m"), []
+        for k in seen:
+            text, size = row(shingles, k).view(np.uint64), m[k].as_py()
+            for i, (like, start, far) in index.matches(text, threshold).items():
+                out.append((doc_id[k].as_py(), text_key[k].as_py(), index.ids[i], like, far, start, min(int(index.length[i]), len(text)) + size - 1))
+        if out:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+    return dealt.mapInArrow(whole_groups(["r", "m"], work), FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, similarity, hamming, first_word, n_words): each document's best window for each item it holds."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, similarity double, hamming int, first_word long, n_words int"
-    text = F.lower(F.coalesce("text", F.lit("")))
-    items = benchmark.select(F.col("item_id").cast("long"), text.alias("text")).filter("item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    # toLocalIterator: a group at a time is on the driver; the table of a benchmark is small against the corpus.
-    rows = [(r.item_id, r.text) for r in items.orderBy("item_id").toLocalIterator()]
-    weights, default = shingle_weights(rows, n)
-    found = None
-    for group in _groups(rows):
-        bags = _bags([t for _, t in group], n)
-        index = ItemIndex([g for g, b in zip(group, bags, strict=True) if len(b)], weights, default, n, radius)
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                out = []
-                for row, _, data, offsets in pieces(batch.column(1)):
-                    starts, ends, of = word_spans(data, offsets)
-                    if not len(starts):
-                        continue
-                    words = span_hashes(data, starts, ends)
-                    begin = np.searchsorted(of, np.arange(len(offsets)))
-                    for m in index.sizes:
-                        shingles = shingle_hashes(words, m)
-                        # A shingle that runs into the next text is none.
-                        last = begin[1:][of[: len(shingles)]] - m
-                        hits = index.hits(shingles)
-                        hits = hits[hits <= last[hits]]
-                        for k in np.unique(of[hits]).tolist():
-                            mine = shingles[begin[k] : begin[k + 1] - m + 1]
-                            own = hits[np.searchsorted(hits, begin[k]) : np.searchsorted(hits, begin[k + 1])] - begin[k]
-                            out += [(row + k, i, *found, len(mine), m) for i, found in index.matches(mine, own, threshold).items()]
-                if out:
-                    at, item, like, start, far, size, of_words = zip(*out, strict=True)
-                    item_words = [min(int(index.length[i]), s) + m - 1 for i, s, m in zip(item, size, of_words, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(like), pa.array(far, pa.int32()), pa.array(start, pa.int64()), pa.array(item_words, pa.int32())],
-                        names=["doc_id", "item_id", "similarity", "hamming", "first_word", "n_words"],
-                    )
-
-        got = bounded_batches(docs).select(F.col("doc_id").cast("long"), text.alias("text")).filter("doc_id is not null").mapInArrow(run, schema)
-        found = got if found is None else found.union(got)
-    return found if found is not None else spark.createDataFrame([], schema)
+    return leaks(docs, benchmark, threshold, radius, n).drop("text_key")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
-    """docs without the documents that hold an item; rows with a null doc_id stay."""
-    bad = stored(contaminated(docs, benchmark, threshold, radius, n).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds an item, whatever their doc_id; rows of a null text stay."""
+    bad = stored(leaks(docs, benchmark, threshold, radius, n).select(F.col("text_key").alias("_leak_key")).distinct(), "leaks")
+    return docs.join(bad, F.md5(docs["text"]) == bad["_leak_key"], "left_anti")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import bounded_batches, stored
+from tessera.llm.common import bounded_batches, stored, whole_groups
 from tessera.llm.textvec import mix, pieces, shingle_hashes, span_hashes, word_spans
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -267,7 +267,7 @@ def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
                 yield names[a], names[b]
 
     def run(batches):
-        yield from _forests(_whole_groups(["bucket", "cell"], work)(batches))
+        yield from _forests(whole_groups(["bucket", "cell"], work)(batches))
 
     dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -331,29 +331,6 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
-def _whole_groups(keys: list[str], work):
-    """A function of Arrow batches that hands work(table, key matrix) whole groups of rows with equal long keys."""
-
-    def run(batches):
-        key = lambda t: np.stack([t.column(c).to_numpy() for c in keys])
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            k = key(t)
-            if not t.num_rows:
-                continue
-            whole = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0))
-            stop = int(whole[-1]) + 1 if len(whole) else 0
-            if stop:
-                yield from work(t.slice(0, stop), k[:, :stop])
-            rest = t.slice(stop)
-        if rest is not None and rest.num_rows:
-            yield from work(rest, key(rest))
-
-    return run
-
-
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending."""
     data = LOWER_BYTES[np.frombuffer((text or "").encode(), np.uint8)]
@@ -413,7 +390,7 @@ def verified(docs: DataFrame, near: DataFrame, n: int, similarity: float) -> Dat
                 keep = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
 
-    return dealt.mapInArrow(_whole_groups(["root", "cell"], work), "a long, b long").distinct()
+    return dealt.mapInArrow(whole_groups(["root", "cell"], work), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
