@@ -4,8 +4,9 @@ Boosted shallow trees over text statistics give their paths as conjunctive rules
 rules (and the clipped, scaled statistics) keeps a few; the kept rules become one Spark Column over the statistics, which
 are Columns too. Scoring runs no Python.
 
-At most `sample` labelled rows (those of the smallest keyed hash of doc_id) are used for fitting, a documented bound;
-every whole text is scored. Null and empty texts have statistics 0 and a score. Null labels are not used; without labels,
+At most `sample` labelled texts (those of the smallest keyed hash of doc_id) are used for fitting, a documented bound;
+every whole text is scored, and an empty table gives an empty result. Of rows that repeat a doc_id each different text is
+one training row. Null and empty texts have statistics 0 and a score. Null labels are not used; without labels,
 or with one class, the score is the class's share. Rows that repeat a doc_id are scored each; doc_id, lang, source and
 labels never enter a score.
 """
@@ -105,8 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l1: float =
     """Rules fitted on the labelled rows given (leave the held-out ones out of `labels`)."""
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     chosen = marks.orderBy(F.xxhash64(F.lit("rules"), "doc_id"), "doc_id").limit(sample)  # bounded, so broadcast and collected
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = statistics(mine, "doc_id", "y").orderBy("doc_id", *STATISTICS).toPandas()
+    # An id may have many texts: copies are one row, and what is left is bounded again.
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+    mine = mine.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy(F.xxhash64(F.lit("rules"), "doc_id"), "doc_id", "h").limit(sample)
+    rows = statistics(mine, "doc_id", "h", "y").orderBy("doc_id", "h").toPandas()
     return fit(rows[STATISTICS].to_numpy(np.float64), rows["y"].to_numpy(np.int64), l1)
 
 

@@ -1,13 +1,18 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in order. Each has a linear (logistic, lasso) model over the presence of VOCABULARY words and
-a few shares of the text, and over the probabilities of the categories before it. While training, those earlier
-probabilities are out-of-fold ones, so a later model learns from what it will meet when it scores.
-
-The models are fitted on at most `sample` distinct labelled texts (those of the smallest keyed hash of doc_id), a
-documented bound; scoring reads every whole text. A null or empty text has no words and scores by its intercepts; null
-labels are not used; without labels, or with one class only, a category's probability is its share (0 without labels).
-Rows that repeat a doc_id are scored each.
+The categories are kinds of toxicity, predicted in order: `insult` (the text holds an indicator, a word that hardly any
+but toxic texts hold), `severe` (two or more different indicators) and `toxic` as a whole. Each has a linear (logistic,
+lasso) model over the presence of VOCABULARY words and a few shares of the text, and over the probabilities of the
+categories before it. While training, those earlier probabilities are out-of-fold ones, so a later model learns from what
+it will meet when it scores. Labels tell `toxic` only; the other two are marked by rule on the training texts: toxic ones,
+by the indicators found among them (words of LEAST_DOCS texts or more, INDICATES of which are toxic).
+
+The models are fitted on at most `sample` distinct labelled texts (those of the smallest keyed hash), a documented bound,
+and over at most VOCABULARY words, a parameter of the model; scoring reads every whole text. A text's score depends on the
+text alone. A null or empty text has no words and scores by its intercepts; null labels are not used; copies of a text
+are one in training, toxic if one of them is; without labels, or with one class only, a category's probability is its
+share (0 without labels). Rows that repeat a doc_id, or have none, are scored each. An empty table gives an empty result.
+Batches of BATCH_ROWS texts are held at once.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, stored
@@ -24,7 +29,9 @@ from tessera.llm.learn import logistic, sigmoid
 
 WORDS = re.compile(r"[^\W\d_]+")
 SAMPLE, VOCABULARY, FOLDS = 12_000, 160, 3
-LEAST_DOCS = 4
+LEAST_DOCS, INDICATES = 4, 0.9
+BATCH_ROWS = 512
+CATEGORIES = ["insult", "severe", "toxic"]
 SHARES = 5
 _classes = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?"), 1):
@@ -80,81 +87,93 @@ def _fit(x, y, l1):
     return logistic(x, y.astype(np.float32), l1=l1, rounds=500)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, l1: float = 4e-5) -> Chain:
-    """Fit a chain on the labelled documents; categories: name -> a 0/1 Column over labels, in the order of the chain."""
-    spark = docs.sparkSession
-    names = list(categories)
-    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c.cast("int")).alias(f"y{k}") for k, c in enumerate(categories.values())])
+def kinds(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """A column of 0, 1 or -1 (unknown) for each of CATEGORIES; x: which words each text holds, toxic: 0, 1 or -1."""
+    known = toxic >= 0
+    held, bad = x[known].sum(axis=0), x[known & (toxic == 1)].sum(axis=0)
+    indicators = (held >= LEAST_DOCS) & (bad >= INDICATES * held)
+    n = x[:, indicators].sum(axis=1)
+    mark = lambda yes: np.where(known, (toxic == 1) & yes, -1).astype(np.int8)
+    return np.column_stack([mark(n >= 1), mark(n >= 2), toxic.astype(np.int8)])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(text_hash, y, words, shares): at most `sample` distinct labelled texts."""
+    marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     order = F.xxhash64(F.lit("chain"), "doc_id")
-    chosen = marks.orderBy(order, "doc_id").limit(sample)  # bounded: it may be broadcast and its words collected
-    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    marked = [F.coalesce(f"y{k}", F.lit(-1)).alias(f"y{k}") for k in range(len(names))]
+    chosen = marks.orderBy(order, "doc_id").limit(sample)  # bounded, so it may be broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Copies would weigh as often as they are copied: one row of each text. An id may have many texts.
+    texts = texts.select("text", "y", F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(F.max("y").alias("y"), F.first("text").alias("text"))
+    texts = texts.orderBy(F.xxhash64(F.lit("chain"), "text_hash"), "text_hash").limit(sample)
 
     def words(batches):
         for batch in batches:
+            found = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([sorted(words_in(t)) for t in batch.columns[-1].to_pylist()], pa.list_(pa.string())), pa.array([shares(t).tolist() for t in batch.columns[-1].to_pylist()], pa.list_(pa.float32()))],
-                names=[*batch.schema.names[:-1], "words", "shares"],
+                [*batch.columns[:2], pa.array([sorted(words_in(t)) for t in found], pa.list_(pa.string())), pa.array([shares(t).tolist() for t in found], pa.list_(pa.float32()))],
+                names=["text_hash", "y", "words", "shares"],
             )
 
-    schema = "doc_id long, text_hash long, " + "".join(f"y{k} int, " for k in range(len(names))) + "words array<string>, shares array<float>"
-    bags = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), *marked, "text").mapInArrow(words, schema)
-    # Copies would weigh as often as they are copied: one row of each text.
-    bags = stored(bags.groupBy("text_hash").agg(*[F.max(c).alias(c) for c in bags.columns if c.startswith("y")], F.first("words").alias("words"), F.first("shares").alias("shares")), "bags")
-    exploded = bags.select(*[c for c in bags.columns if c.startswith("y")], F.explode("words").alias("word"))
-    of = exploded.groupBy("word").agg(F.count("*").alias("n"), *[F.sum((F.col(f"y{k}") > 0).cast("int")).alias(f"n{k}") for k in range(len(names))]).filter(F.col("n") >= LEAST_DOCS)
-    totals = bags.agg(F.count("*"), *[F.sum((F.col(f"y{k}") > 0).cast("int")) for k in range(len(names))]).first()
-    vocabulary: dict[str, None] = {}
-    for k in range(len(names)):
-        share = (totals[k + 1] or 0) / max(1, totals[0])
-        expected = F.col("n") * F.lit(share)
-        surprise = F.pow(F.col(f"n{k}") - expected, 2) / F.greatest(expected, F.lit(0.5))
-        top = of.filter(F.col(f"n{k}") > expected).orderBy(F.desc(surprise), "word").limit(VOCABULARY // len(names))
-        vocabulary.update(dict.fromkeys(r.word for r in top.select("word").collect()))
-    chain = Chain(names, list(vocabulary))
-    index = F.create_map(*[F.lit(x) for w, k in chain.vocabulary.items() for x in (w, k)]) if vocabulary else None
-    kept = F.filter(F.transform("words", lambda w: F.try_element_at(index, w)), lambda x: x.isNotNull()) if vocabulary else F.array().cast("array<int>")
-    rows = bags.select("text_hash", *[f"y{k}" for k in range(len(names))], kept.alias("at"), "shares").orderBy("text_hash").collect()
-    x = np.zeros((len(rows), len(vocabulary) + SHARES), np.float32)
-    y = np.zeros((len(rows), len(names)), np.int8)
+    bags = bounded_batches(texts).select("text_hash", "y", "text").mapInArrow(words, "text_hash long, y int, words array<string>, shares array<float>")
+    return stored(bags, "bags")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l1: float = 4e-5) -> Chain:
+    """Fit the chain on labelled documents; labels: (doc_id, toxic)."""
+    bags = labelled(docs, labels, sample)
+    of = bags.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).filter(F.col("n") >= LEAST_DOCS)
+    total = bags.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
+    expected = F.col("n") * F.lit((total.bad or 0) / max(1, total.n))
+    surprise = F.pow(F.col("bad") - expected, 2) / F.greatest(expected, F.lit(0.5))
+    top = of.filter(F.col("bad") > expected).orderBy(F.desc(surprise), "word").limit(VOCABULARY)
+    chain = Chain(CATEGORIES, [r.word for r in top.select("word").collect()])
+    index = F.create_map(*[F.lit(x) for w, k in chain.vocabulary.items() for x in (w, k)]) if chain.vocabulary else None
+    kept = F.filter(F.transform("words", lambda w: F.try_element_at(index, w)), lambda x: x.isNotNull()) if chain.vocabulary else F.array().cast("array<int>")
+    rows = bags.select("text_hash", "y", kept.alias("at"), "shares").orderBy("text_hash").collect()  # bounded by sample
+    x = np.zeros((len(rows), len(chain.vocabulary) + SHARES), np.float32)
     for i, r in enumerate(rows):
         x[i, list(r["at"])] = 1
         x[i, -SHARES:] = r["shares"]
-        y[i] = [r[f"y{k}"] for k in range(len(names))]
+    y = kinds(x[:, : len(chain.vocabulary)], np.array([r["y"] for r in rows], np.int8))
     fold = np.array([r["text_hash"] % FOLDS for r in rows], np.int64)
     chain.fit(x, y, fold, l1)
     return chain
 
 
+def _predicted(chain: Chain, texts: pa.Array) -> np.ndarray:
+    return chain.predict(np.stack([chain.row(t or "") for t in texts.to_pylist()]))
+
+
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and one probability column p_<category> for each category."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        chain = shared.value
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                p = chain.predict(np.stack([chain.row(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=["doc_id", *[f"p_{n}" for n in chain.names]])
+            for k in range(0, len(batch), BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                p = _predicted(shared.value, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in p.T]], names=["doc_id", *[f"p_{n}" for n in shared.value.names]])
 
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def label_chain() -> dict[str, Column]:
-    """The chain over the labels table: poor quality first, then toxicity."""
-    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, toxic)."""
-    chain = train(docs, labels, label_chain(), sample)
-    return scored(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+    """(doc_id, p_insult, p_severe, p_toxic, toxic)."""
+    return scored(docs, train(docs, labels, sample)).withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def nontoxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that toxicity() marks; rows with a null doc_id stay."""
-    bad = stored(toxicity(docs, labels, threshold, sample).filter("toxic").select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that toxicity() marks, whatever their doc_id: rows are scored and left out where they stand."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                yield part.filter(pa.array(_predicted(shared.value, part.column(at))[:, -1] < threshold))
+
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

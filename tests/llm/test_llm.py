@@ -440,6 +440,103 @@ def test_toxicity_and_quality_on_held_out_labels(spark):
     assert q.score.between(0, 1).all()
 
 
+def test_chain_equals_brute_force(spark):
+    rng = random.Random(11)
+    bad = ["vilify", "scorn", "jeer"]
+    texts, toxic = [], []
+    for k in range(400):
+        mine = rng.sample(bad, rng.choice([1, 1, 2])) if k % 4 == 0 else []
+        words = prose(rng, rng.randrange(20, 60)).split() + mine
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(int(bool(mine)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, t in enumerate(toxic) if k % 3], "doc_id long, toxic int")
+    bags = toxicity.labelled(docs, labels, 1000).orderBy("text_hash").collect()
+    assert len(bags) == sum(1 for k in range(400) if k % 3) and toxicity.labelled(docs, labels, 50).count() == 50
+    chain = toxicity.train(docs, labels)
+    # The rule that marks the kinds, the folds and the chain, each row and category on its own.
+    x = np.zeros((len(bags), len(chain.vocabulary) + toxicity.SHARES), np.float32)
+    for i, r in enumerate(bags):
+        for w in r["words"]:
+            if w in chain.vocabulary:
+                x[i, chain.vocabulary[w]] = 1
+        x[i, -toxicity.SHARES :] = r["shares"]
+    holds = lambda r: sum(w in r["words"] for w in bad)
+    marked = toxicity.kinds(x[:, : len(chain.vocabulary)], np.array([r["y"] for r in bags]))
+    assert marked.tolist() == [[int(r["y"] and holds(r) > 0), int(r["y"] and holds(r) > 1), r["y"]] for r in bags]
+    fold = np.array([r["text_hash"] % toxicity.FOLDS for r in bags])
+    rows = x
+    for k in range(3):
+        w, b = toxicity._fit(rows, marked[:, k], 4e-5)
+        assert np.allclose(w, chain.models[k][0], rtol=1e-3, atol=5e-3) and abs(b - chain.models[k][1]) < 5e-3  # single precision
+        early = np.zeros(len(x), np.float32)
+        for f in range(toxicity.FOLDS):
+            v, c = toxicity._fit(rows[fold != f], marked[fold != f, k], 4e-5)
+            for i in np.flatnonzero(fold == f):
+                early[i] = 1 / (1 + math.exp(-max(-30, min(30, float(rows[i] @ v + c)))))
+        rows = np.column_stack([rows, early])
+    got = {r.doc_id: r for r in toxicity.scored(docs, chain).collect()}
+    for k, t in enumerate(texts[:60]):
+        row = [1.0 if w in set(t.lower().split()) else 0.0 for w in chain.vocabulary] + toxicity.shares(t).tolist()
+        for (w, b), name in zip(chain.models, chain.names):
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(a * c for a, c in zip(row, w.tolist())) + b))))
+            assert abs(got[k][f"p_{name}"] - p) < 1e-4
+            row.append(p)
+    held = [k for k in range(400) if not k % 3]
+    assert np.mean([(got[k].p_toxic >= 0.5) == toxic[k] for k in held]) > 0.97
+
+
+def test_nontoxic_rows_go_by_their_text(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 40) + (" vilify" if k % 4 == 0 else "")) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    odd = [(None, "a vilify row without an id"), (None, "clean row of words and words"), (700, prose(rng, 40)), (700, rows[8][1]), (900, None), (901, ""), (902, "of the " * 30_000)]
+    df = spark.createDataFrame([(d, t, {"k": 1}, "c") for d, t in rows + odd], "doc_id long, text string, p_toxic map<string,int>, toxic string")
+    kept = toxicity.nontoxic(df, labels, 0.4)
+    assert kept.columns == df.columns and kept.schema == df.schema
+    want = [(d, t) for d, t in rows + odd if "vilify" not in (t or "")]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(want, key=order)
+    assert toxicity.nontoxic(df.filter("false"), labels).count() == 0
+
+
+def test_rules_equal_brute_force(spark):
+    rng = random.Random(13)
+    texts = [(prose(rng, rng.randrange(5, 80)) + ("$$ ## !! " * 5 if k % 3 == 0 else ".")) for k in range(300)] + [None, "", "ONE 2!\n\nONE 2!\n", "é | ß & \t x" * 5000]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(5, "second text of an id", "x"), (None, texts[0], "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(300)], "doc_id long, quality int")
+    rules = rule_ensemble.train(docs, labels.filter(~rule_ensemble.held_out(F.col("doc_id"))))
+    assert rules.rules
+
+    def brute(t):
+        t = t or ""
+        words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], [x for x in t.split("\n") if x.strip(" ")]
+        per = lambda a, b: a / max(1, b)
+        count = lambda marks: sum(t.count(m) for m in marks)
+        return {
+            "chars": math.log1p(len(t)), "words": math.log1p(len(words)), "word_chars": per(len(t), len(words)), "symbols": per(count("#*$%&<>"), len(t)), "bars": per(count("|"), len(t)),
+            "cries": per(count("!?"), len(t)), "capitals": per(sum(c.isupper() for c in t), len(t)), "digits": per(count("0123456789"), len(t)), "lines": per(len(words), len(lines)),
+            "repeated_lines": per(len(lines) - len(set(lines)), len(lines)), "distinct_words": per(len(set(words)), len(words)), "short_words": per(sum(len(w) < 4 for w in words), len(words)), "stops": per(count(".,"), len(words)),
+        }
+
+    found = rule_ensemble.statistics(docs, "doc_id", "text").collect()
+    for r in found:
+        want = brute(r.text)
+        assert all(abs(r[s] - want[s]) < 1e-9 for s in rule_ensemble.STATISTICS), r.text[:80]
+    got = {r.doc_id: r for r in rule_ensemble.quality(docs, labels).collect() if r.doc_id != 5}
+    for k, t in [*enumerate(texts), (None, texts[0])]:
+        if k == 5:
+            continue
+        x = brute(t)
+        total = rules.intercept + sum(w for tests, w in rules.rules if all((x[s] > bound) == above for s, bound, above in tests))
+        total += sum(min(max(x[s], low), high) * w for s, low, high, w in rules.linear)
+        assert abs(got[k].score - 1 / (1 + math.exp(-total))) < 1e-9 and got[k].predicted == int(got[k].score >= 0.3)
+        assert got[k].held_out == (k is not None and zlib.crc32(str(k).encode()) % 5 == 0)
+    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0 and k != 5]
+    assert np.mean([got[k].predicted == (k % 3 != 0) for k in held]) > 0.95
+
+
 def test_models_without_labels(docs, spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
