@@ -51,7 +51,7 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     got = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), radius=4, n=4, seed=42)
-    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "stays")
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,32 +6,36 @@ pigeonhole rule two linked fingerprints agree in some segment up to a small numb
 segments' values and looks up, in the same table, the values in that small Hamming ball; what is found is verified on all
 64 bits. A pair that differs by one bit in a segment is seen once: only the fingerprint with the 0 asks.
 
-Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). A bucket (segment, value) may still hold very
-many near ones. Its rows are cut into blocks of a fixed size and every two blocks meet in a task of their own; a task
-returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
+Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). Segments
+are longer, and for wide fingerprints more, the more classes there are, so an average bucket (segment, value) does not grow
+with the corpus (wide ones: up to 2**22 classes). One that holds very many near ones is cut into blocks of a fixed size before its rows are dealt out, and every two
+blocks meet in a task of their own; a task returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
 several tasks may be merged to one. Links become components by alternating large-star and small-star steps over written
 tables, so nothing grows on the driver.
 
 64 bits tell texts apart whose shingles are nearly all the same. For a similarity of 0.8 (`similar_documents`) the
 fingerprints are of 256 bits: texts whose sets of shingles have a Jaccard similarity of 0.8 differ in 38 of them on
 average (standard deviation 6), unrelated ones in 128 (8). Candidates link at WIDE.radius or fewer. A lookup in balls
-of one bit round each of WIDE's segments meets 98 % of pairs at 0.8 and nearly all above 0.85; a guarantee for that
+of one bit round each of the segments meets 98 % of pairs at 0.8 and nearly all above 0.85; a guarantee for that
 radius would take balls that hold most of the table. Candidate components are then read again with their exact sets of
 shingles, in blocks of bounded bytes of which every two meet, and only links of the exact similarity stay.
 
-Defined results: a null text has no words; no words give fingerprint 0, linked like any other; a null doc_id is dropped
-(it can't be named in a result); rows that repeat a doc_id are one document if their texts are equal, and otherwise
-several fingerprints of which the smallest stands for that id. An empty table gives an empty result.
+Defined results: a null text has no words; no words give fingerprint 0, linked like any other (for a similarity: one set,
+the empty one). Every row is a document, also one with a null doc_id or one that repeats a doc_id; a component is named by
+its smallest doc_id, null if it has none. Of a component stays the row with that doc_id (then the smallest MD5 of the text,
+then, of rows that repeat both, the first in the order of all columns as JSON). An empty table gives an empty result.
+Other columns are not read, and may have any name and type.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,13 +68,31 @@ class Index(NamedTuple):
     radius: int
 
 
-#: Four words of 64 bits, two segments in each.
-WIDE = Index([f"fp{k}" for k in range(4)], [(f"fp{k}", low, 13) for k in range(4) for low in (0, 32)], [1] * 8, 52)
+#: Classes up to which the three segments of 21 and 22 bits do; beyond, two of 32 bits.
+FEW = 1 << 24
+#: The share of differing bits at a similarity of 0.8, and the share of such pairs that the wide index is to meet.
+DIFFER, MEET = 0.15, 0.98
 
 
-def narrow(radius: int) -> Index:
+def wide(classes: int) -> Index:
+    """The index over four words of 64 bits, of segments whose values are some sixteen times fewer than the classes (up to
+    2**22 of them: longer segments would have to share so many bits that pairs would be missed)."""
+    size = min(18, max(13, classes.bit_length() - 4))
+    near = (1 - DIFFER) ** size + size * DIFFER * (1 - DIFFER) ** (size - 1)
+    count = math.ceil(math.log(1 - MEET) / math.log(1 - near))
+    each = -(-count // 4)  # in a word; they overlap if they must
+    step = 32 if each == 2 else (64 - size) // max(1, each - 1)
+    segments = [(f"fp{k % 4}", k // 4 * step, size) for k in range(count)]
+    return Index([f"fp{k}" for k in range(4)], segments, [1] * count, 52)
+
+
+WIDE = wide(1)
+
+
+def narrow(radius: int, classes: int = 1) -> Index:
     """The index over one 64-bit fingerprint that misses nothing within radius."""
-    return Index(["fp"], [("fp", low, size) for low, size in SEGMENTS], balls(radius), radius)
+    segments = SEGMENTS if classes <= FEW else ((0, 32), (32, 32))
+    return Index(["fp"], [("fp", low, size) for low, size in segments], balls(radius, segments), radius)
 
 
 def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
@@ -93,14 +115,18 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+    """(doc_id, text_key, fp) with fp as a signed long."""
 
     def run(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), n, seed) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), n, seed) for t in batch.column(2)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(*_named(docs), "text").mapInArrow(run, "doc_id long, text_key string, fp long")
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.md5(docs["text"]), F.lit("")).alias("text_key")]
 
 
 def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
@@ -144,15 +170,15 @@ def wide_prints(texts: pa.Array, n: int = 5) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, fp0, fp1, fp2, fp3, shingles) as signed longs; shingles: the hash of the set of them."""
+    """(doc_id, text_key, fp0, fp1, fp2, fp3, shingles), the last as signed longs; shingles: the hash of the set of them."""
 
     def run(batches):
         for batch in batches:
-            fp = wide_prints(batch.column(1), n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(x)) for x in fp.T]], names=["doc_id", *WIDE.columns, "shingles"])
+            fp = wide_prints(batch.column(2), n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(x)) for x in fp.T]], names=["doc_id", "text_key", *WIDE.columns, "shingles"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in [*WIDE.columns, "shingles"])
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").mapInArrow(run, schema)
+    schema = "doc_id long, text_key string, " + ", ".join(f"{c} long" for c in [*WIDE.columns, "shingles"])
+    return bounded_batches(docs).select(*_named(docs), "text").mapInArrow(run, schema)
 
 
 def balls(radius: int, segments=SEGMENTS) -> list[int]:
@@ -247,14 +273,12 @@ def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
     held, radius = classes.columns, index.radius
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Buckets that hold more than a block: their rows are dealt to blocks and every two blocks meet.
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.count(F.when(~F.col("asks"), 1)).alias("held"))
-    hot = hot.filter(F.col("held") > 0)
-    rows = rows.join(hot, "bucket")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
-    mine = F.pmod(F.xxhash64(*index.columns, "asks"), F.col("blocks"))
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    hot = hot.select("bucket", F.ceil(F.col("size") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    rows = rows.join(hot, "bucket", "left").withColumn("mine", F.pmod(F.xxhash64(*index.columns, "asks"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, F.col("mine")) * F.col("blocks") + F.greatest(x, F.col("mine")))
-    rows = rows.filter("size > 1").select("bucket", *held, "asks", F.explode(meets).alias("cell"))
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)
+    rows = rows.select("bucket", *held, "asks", F.explode(cells).alias("cell"))
 
     def work(t, k):
         same = np.cumsum(np.concatenate([[False], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
@@ -269,7 +293,9 @@ def linked(classes: DataFrame, index: Index, node: str) -> DataFrame:
     def run(batches):
         yield from _forests(whole_groups(["bucket", "cell"], work)(batches))
 
-    dealt = rows.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    # Most rows are alone in their cell: they go before Python sees them.
+    group = Window.partitionBy("bucket", "cell")
+    dealt = rows.repartition(n, "bucket", "cell").withColumn("size", F.count("*").over(group)).filter("size > 1").drop("size").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -363,17 +389,18 @@ def _similar_forest(sets: list[np.ndarray], similarity: float):
                 queue.extend(found.tolist())
 
 
-def verified(docs: DataFrame, near: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: links of exact similarity within candidate components; near: (node, root), node a doc_id."""
+def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: links of exact similarity within candidate components; near: (node, root), classes: (node, best)."""
     members = near.union(near.select("root", "root")).distinct().toDF("node", "root")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").select("node", "root", "text")
+    members = members.join(classes.select("node", F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key")), "node")
+    texts = docs.select(*_named(docs), "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "root", "text")
 
     def sets(batches):
         for batch in batches:
             found = [shingle_set(t.as_py(), n).astype("<u8").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "root", "hashes"])
 
-    rows = stored(bounded_batches(texts).mapInArrow(sets, "node long, root long, hashes binary"), "sets")
+    rows = stored(bounded_batches(texts).mapInArrow(sets, "node long, root long, hashes binary").groupBy("node", "root").agg(F.first("hashes").alias("hashes")), "sets")  # rows may repeat
     blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(SET_BYTES)).cast("long").alias("blocks"))
     rows = rows.join(blocks.filter("blocks > 0"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, F.col("mine")) * F.col("blocks") + F.greatest(x, F.col("mine")))
@@ -416,38 +443,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links lead to, its own included."""
+    """(doc_id, text_key, fp, component_id, stays) of each row: component_id is the smallest doc_id that links lead to, its
+    own included; text_key the MD5 of the text; stays: whether the row is the one of its component that dedup keeps."""
     prints = stored(fingerprints(docs, n, seed), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = stored(links(classes.select("fp"), radius), "links")
-    named = found.join(classes.toDF("a", "first_a"), "a").join(classes.toDF("b", "first_b"), "b")
-    return _components_of(prints, classes, named.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")), ["fp"])
+    classes = _classes(prints, ["fp"])
+    found = stored(linked(classes.select("fp", "node"), narrow(radius, classes.count()), "node"), "links")
+    return _components_of(prints, classes, found, ["fp"])
 
 
 def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp0 to fp3, component_id): texts found by WIDE fingerprints link at that Jaccard similarity or more of
-    their sets of n-word shingles. Equal sets are one class; equal fingerprints of other sets are candidates."""
+    """(doc_id, text_key, fp0 to fp3, component_id, stays): texts found by WIDE fingerprints link at that Jaccard similarity
+    or more of their sets of n-word shingles. Equal sets are one class; equal fingerprints of other sets are candidates."""
     prints = stored(wide_fingerprints(docs, n), "prints")
     columns = [*WIDE.columns, "shingles"]
-    classes = stored(prints.groupBy(*columns).agg(F.min("doc_id").alias("first")), "classes")
-    alike = classes.groupBy(*WIDE.columns).agg(F.min("first").alias("least"))
-    equal = classes.join(alike, WIDE.columns).filter("first > least").select(F.col("least").alias("a"), F.col("first").alias("b"))
-    found = merged(linked(alike.withColumnRenamed("least", "first"), WIDE, "first"))
-    named = merged(verified(docs, components(found.union(equal)), n, similarity))
-    return _components_of(prints, classes, named, columns).select("doc_id", *WIDE.columns, "component_id")
-
-
-def _components_of(prints: DataFrame, classes: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, fingerprint and component_id; named: links (a, b) between the first ids of classes."""
-    one = prints.groupBy("doc_id", *columns).count().groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if one:  # an id with several texts ties their classes together
-        same = prints.distinct().join(classes, columns).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-        named = named.union(same)
-    roots = components(named)
-    of_class = classes.join(roots, classes["first"] == roots["node"], "left").select(*columns, F.coalesce("root", "first").alias("component_id"))
-    if one:
-        prints = prints.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("fp")).select("doc_id", *[F.col(f"fp.{c}").alias(c) for c in columns])
-    return prints.join(of_class, columns).select("doc_id", *columns, "component_id")
+    classes = _classes(prints, columns)
+    alike = classes.groupBy(*WIDE.columns).agg(F.min("node").alias("least"))
+    equal = classes.join(alike, WIDE.columns).filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = merged(linked(alike.withColumnRenamed("least", "node"), wide(classes.count()), "node"))
+    named = merged(verified(docs, classes, components(found.union(equal)), n, similarity))
+    return _components_of(prints, classes, named, columns).drop("shingles")
+
+
+def _row() -> Column:
+    """What orders the rows of a component: a doc_id before none, then the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+
+
+def _classes(prints: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, best (the first row of the class) and node, a number of its own."""
+    return stored(prints.groupBy(*columns).agg(F.min(_row()).alias("best")).withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _components_of(prints: DataFrame, classes: DataFrame, links: DataFrame, columns: list[str]) -> DataFrame:
+    """prints with component_id and stays; links: (a, b) between the nodes of classes."""
+    rooted = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min("best").alias("chosen"))
+    of_class = rooted.join(first, "root").select(*columns, "chosen")
+    found = prints.join(of_class, columns)
+    return found.select("doc_id", "text_key", *columns, F.col("chosen.doc_id").alias("component_id"), (_row() == F.col("chosen")).alias("stays"))
 
 
 def dedup_documents(docs: DataFrame, radius: int = 4, n: int = 4, seed: int = 42) -> DataFrame:
@@ -461,15 +494,14 @@ def dedup_similar(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows with a null doc_id stay.
-
-    Rows that repeat a doc_id are that one document: the first of them in the order of all columns stays.
-    """
-    drop = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        one = kept.join(again, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    """docs with the one row that stays of each component; found: (doc_id, text_key, stays) of each row."""
+    found = stored(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("stays").alias("_stays")).agg(F.count("*").alias("_n")), "stays")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.coalesce(F.md5(docs["text"]), F.lit("")) == found["_key"])
+    kept = docs.join(found.filter("not _stays"), same, "left_anti")
+    again = found.filter("_stays and _n > 1")
+    if again.limit(1).count():  # rows that repeat both
+        rows = docs.join(again, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), found["_id"], found["_key"])
+        order = Window.partitionBy("_id", "_key").orderBy(F.to_json("_row"))
+        one = rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select("_row.*")
+        kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept

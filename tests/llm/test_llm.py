@@ -150,8 +150,60 @@ def test_simhash_components_equal_brute_force(docs, rows):
     want = brute_prints(rows)
     root = components_of(want)
     got = simhash_dedup.near_duplicates(docs).collect()
-    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == {k: v for k, v in want.items() if k is not None}
-    assert {r.doc_id: r.component_id for r in got} == root
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == want and len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == root | {None: None}
+    assert Counter(r.component_id for r in got if r.stays) == Counter(set(root.values()) | {None})
+    assert simhash_dedup.near_duplicates(docs.filter("false")).count() == 0
+
+
+def test_simhash_rows_of_repeated_and_missing_ids(spark, rows):
+    texts = [rows[k][1] for k in range(5)]
+    given = [(5, texts[0]), (5, texts[1]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (9, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame([(d, t, {"m": k}, k) for k, (d, t) in enumerate(given)], "doc_id long, text string, fp map<string,int>, _n int").repartition(3)
+    got = simhash_dedup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(5, 5), (5, 5), (None, 5), (None, 3), (3, 3), (None, None), (None, None), (9, 9), (9, 9)])
+    want = [(5, texts[0]), (5, texts[1]), (3, texts[2]), (None, texts[3]), (9, texts[4])]
+    for dedup in (simhash_dedup.dedup_documents, simhash_dedup.dedup_similar):
+        kept = dedup(df)
+        assert kept.schema == df.schema
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    assert {r["_n"] for r in kept.collect()} >= {5, 7}
+
+
+@pytest.mark.parametrize("classes", [1, 1 << 20, 1 << 40])
+def test_wide_index_meets_pairs_at_the_threshold(classes):
+    # 1,000 planted pairs of texts at a similarity of 0.8 to 0.82, by the exact sets.
+    rng, index = random.Random(15), simhash_dedup.wide(classes)
+    assert all(0 <= low and low + size <= 64 for _, low, size in index.segments)
+    texts = []
+    while len(texts) < 2000:
+        w = prose(rng, rng.randrange(120, 260)).split()
+        v = list(w)
+        for at in range(rng.randrange(11, 44), len(w) - 5, 44):
+            v[at] = f"new{rng.randrange(10**6)}"
+        a, b = shingles_of(" ".join(w)), shingles_of(" ".join(v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.83:
+            texts += [" ".join(w), " ".join(v)]
+    prints = simhash_dedup.wide_prints(pa.array(texts, pa.string()))[:, :4]
+    differ = prints[0::2] ^ prints[1::2]
+    met = np.zeros(len(differ), bool)
+    for (name, low, size), ball in zip(index.segments, index.balls):
+        met |= np.bitwise_count((differ[:, int(name[2])] >> np.uint64(low)) & np.uint64((1 << size) - 1)) <= ball
+    met &= np.bitwise_count(differ).sum(axis=1) <= index.radius
+    assert met.mean() >= 0.95
+
+
+def test_narrow_index_of_many_classes_loses_nothing(spark):
+    rng = random.Random(16)
+    centre = [rng.getrandbits(64) for _ in range(30)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for c in centre for _ in range(5)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, node long")
+    index = simhash_dedup.narrow(4, 1 << 30)
+    assert [size for _, _, size in index.segments] == [32, 32]
+    root = list(range(len(fps)))
+    for a, b in sorted(map(tuple, simhash_dedup.linked(df, index, "node").collect())) * 6:
+        root[a] = root[b] = min(root[a], root[b])
+    assert dict(enumerate(root)) == components_of(dict(enumerate(fps)))
 
 
 @pytest.mark.parametrize("radius", [0, 1, 4, 7])
@@ -180,6 +232,7 @@ def test_dedup_keeps_one_of_each(docs, rows):
     kept = simhash_dedup.dedup_documents(twice, n=4)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(root.values()))
+    assert kept.filter("doc_id is null").count() == 1
 
 
 def shingles_of(text, n=5):
@@ -267,9 +320,9 @@ def test_dedup_similar_equals_brute_force(spark, monkeypatch, small):
         if root == before:
             break
     got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == dict(enumerate(root))
+    assert got == dict(enumerate(root)) | {None: root[7]}
     kept = simhash_dedup.dedup_similar(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(root))
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
     assert simhash_dedup.dedup_similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
