@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import lines_of
+
 
 def escape(x: Column, quote: bool = False) -> Column:
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")] + [('"', "&quot;"), ("'", "&#039;")] * quote
@@ -46,7 +48,7 @@ def between_tags(x: Column, change) -> Column:
 
 
 def heading_level(x: Column) -> Column:
-    """h2 for capitals and numbered headings, else h3."""
+    """h2 for capitals and numbered headings (a fixed pattern), else h3."""
     numbered = r"^(?:[IVXLC]+\.?\s|Глава\s|ГЛАВА\s|Раздел\s|РАЗДЕЛ\s|Приложение\s|ПРИЛОЖЕНИЕ\s|\d+(?:\.\d+)*\.?\s+[А-ЯЁ][А-ЯЁ\s,.-]{6,}$)"
     return F.when(is_upper(x) | F.rlike(x, F.lit(numbered)), "h2").otherwise("h3")
 
@@ -66,7 +68,7 @@ def text_line(x: Column) -> Column:
 
 
 def text_html(x: Column) -> Column:
-    lines = F.filter(F.split(x, "\n"), lambda v: F.rlike(v, F.lit(r"(?U)\S")))
+    lines = F.filter(lines_of(x), lambda v: F.rlike(v, F.lit(r"(?U)\S")))
     return F.array_join(F.transform(lines, text_line), "\n")
 
 

@@ -18,6 +18,7 @@ MEDIA_TYPES = {
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
 FRESH = ("html", "json", "js", "webmanifest")
+#: Fixed value: paths that are never served.
 DENIED = r"(?i)(^|/)(\.|_srv(/|$)|auth(/|$))|\.(php|phtml|phar|sql|ini|log|sh|py)$"
 
 #: Schemas of the tables (times are epoch seconds, 0 for never).
@@ -27,12 +28,96 @@ TOKENS = "id long, token string, user_id long, kind string, expires long"
 ATTEMPTS = "id long, ip string, email string, at long"
 
 
+def token_hash(token: Column) -> Column:
+    """What the tables hold of a presented token; null for what is no token."""
+    return F.when(F.rlike(token, F.lit(HEX64)), F.sha2(token, 256))
+
+
 def valid_sessions(sessions: DataFrame, users: DataFrame, now: int) -> DataFrame:
     """Sessions that have not expired, of active and verified users, with the user's columns (prefix u_)."""
     u = users.filter("status = 'active' and verified = 1").select([F.col(c).alias(f"u_{c}") for c in users.columns])
     return sessions.filter(F.col("expires") >= now).join(u, F.col("user_id") == F.col("u_id"))
 
 
+def session_users(presented: DataFrame, sessions: DataFrame, users: DataFrame, now: int) -> DataFrame:
+    """presented (column token: as the visitor sent it) with the valid session it names and the user's columns."""
+    live = valid_sessions(sessions, users, now).withColumnRenamed("token", "hashed")
+    return presented.withColumn("hashed", token_hash(F.col("token"))).join(live, "hashed").drop("hashed")
+
+
+def token_users(presented: DataFrame, tokens: DataFrame, kind: str, now: int) -> DataFrame:
+    """(token, user_id) of presented tokens (column token) that are valid for this use."""
+    live = valid_tokens(tokens, kind, now).select(F.col("token").alias("hashed"), "user_id")
+    return presented.select("token", token_hash(F.col("token")).alias("hashed")).join(live, "hashed").select("token", "user_id")
+
+
+def used(tokens: DataFrame, presented: DataFrame, kind: str, now: int) -> DataFrame:
+    """tokens after the valid ones among the presented are used."""
+    gone = token_users(presented, tokens, kind, now).select(token_hash(F.col("token")).alias("token"))
+    return without(tokens, gone, "token")
+
+
+def opened(sessions: DataFrame, logins: DataFrame, now: int, days: int = 90) -> DataFrame:
+    """sessions after logins (id, token, user_id): expired ones are gone, the new ones hold the token's hash."""
+    end = F.lit(now + days * 86_400).cast("long")
+    new = logins.select("id", token_hash(F.col("token")).alias("token"), "user_id", end.alias("expires"), F.lit(now).cast("long").alias("created"))
+    return sessions.filter(F.col("expires") >= now).unionByName(new)
+
+
+def new_users(rows: DataFrame, how: str, now: int, open_registration: bool = False, verify: bool = True) -> DataFrame:
+    """Users of rows (id, email, name, pass: hashed); how: first (the site's administrator), self or added."""
+    role, status, verified = {
+        "first": ("admin", "active", 1),
+        "self": ("user", "active" if open_registration else "pending", 0 if verify else 1),
+        "added": ("user", "active", 1),
+    }[how]
+    name = F.trim("name")
+    return rows.select(
+        "id", norm_email(F.col("email")).alias("email"), (F.left(name, F.lit(100)) if how == "added" else name).alias("name"), "pass", F.lit(role).alias("role"), F.lit(status).alias("status"),
+        F.lit(verified).alias("verified"), F.lit(now).cast("long").alias("created"), F.lit(0).cast("long").alias("last_login"),
+    )
+
+
+def updated(users: DataFrame, acts: DataFrame) -> DataFrame:
+    """users after acts (id, act, value), one for a user: rehash, verify, reset, approve, block, role (admin or user) or
+    login (value: the time)."""
+    a = acts.select(F.col("id").alias("_act_id"), F.col("act").alias("_act"), F.col("value").alias("_value"))
+    is_ = lambda *names: F.coalesce(F.col("_act").isin(*names), F.lit(False))
+    changes = {
+        "pass": F.when(is_("rehash", "reset"), F.col("_value")),
+        "role": F.when(is_("role"), F.col("_value")),
+        "status": F.when(is_("approve"), "active").when(is_("block"), "blocked"),
+        "verified": F.when(is_("verify", "reset", "approve"), 1),
+        "last_login": F.when(is_("login"), F.col("_value").cast("long")),
+    }
+    rows = users.join(a, users["id"] == a["_act_id"], "left")
+    return rows.select(*[F.coalesce(changes[c], F.col(c)).alias(c) if c in changes else users[c] for c in users.columns])
+
+
+def closed_by(acts: DataFrame) -> DataFrame:
+    """(user_id) whose sessions end: reset, blocked and deleted ones."""
+    return acts.filter(F.col("act").isin("reset", "block", "delete")).select(F.col("id").alias("user_id")).distinct()
+
+
+def deleted(users: DataFrame, sessions: DataFrame, tokens: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the users of gone (user_id) and what belongs to them."""
+    return without(users, gone.select(F.col("user_id").alias("id")), "id"), without(sessions, gone, "user_id"), without(tokens, gone, "user_id")
+
+
+def after_attempts(attempts: DataFrame, new: DataFrame, now: int, keep: int = 86_400) -> DataFrame:
+    """attempts after new ones (id, ip, email, at); those over a day old are gone, addresses cut to the column's width."""
+    new = new.select("id", F.left("ip", F.lit(45)).alias("ip"), "email", "at")
+    return attempts.filter(F.col("at") >= now - keep).unionByName(new)
+
+
+def user_by_email(users: DataFrame, email: str) -> DataFrame:
+    return users.filter(F.col("email") == email)
+
+
+def active_admins(users: DataFrame) -> DataFrame:
+    return users.filter("role = 'admin' and status = 'active'").select("email")
+
+
 def renewed(sessions: DataFrame, now: int, days: int = 90) -> DataFrame:
     """Sessions with a new end, unless the old one is less than a day short of it."""
     end = F.lit(now + days * 86_400).cast("long")
@@ -134,14 +219,74 @@ def byte_range(header: Column, size: Column) -> Column:
 
 def file_parameter(x: Column) -> Column:
     """A PDF under files/ without a step up, else null."""
-    return F.when(F.rlike(x, F.lit(r"^files/.+\.pdf$")) & ~F.contains(x, F.lit("..")), x)
+    return F.when(F.rlike(x, F.lit(r"(?i)^files/[^?#]+\.pdf$")) & ~F.contains(x, F.lit("..")), x)
+
+
+def file_title(x: Column) -> Column:
+    """The last part of a file parameter, decoded, without its ending, underscores and blanks as one blank."""
+    last = url_unquote(F.element_at(F.split(x, "/"), -1))
+    return F.regexp_replace(F.regexp_replace(last, r"(?i)\.pdf$", ""), r"(?U)[_\s]+", " ")
 
 
 def url_quote(x: Column) -> Column:
-    """Percent encoding, a space as %20."""
-    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but letters, digits and -._~ (a form's encoding differs in three signs)."""
+    x = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    return F.replace(F.replace(x, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def url_unquote(x: Column) -> Column:
+    """Percent decoding; + stays, and so does a text that is not validly encoded."""
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
 
 
 def stale_versions(urls: DataFrame, current: str) -> DataFrame:
-    """Cached URLs (column url) whose v parameter is another build's."""
-    return urls.filter(F.regexp_extract("url", r"[?&]v=([^&#]*)", 1) != current)
+    """Cached URLs (column url) whose v parameter is another build's; those without one stay."""
+    v = F.regexp_extract("url", r"[?&]v=([^&#]*)", 1)
+    return urls.filter((v != "") & (v != current))
+
+
+def worker_route(path: Column) -> Column:
+    """How the site's worker answers: pages of the login from the network only, entry points from it first, the rest from
+    the cache first."""
+    fresh = F.rlike(path, F.lit(r"/$|/(?:index\.html|pdf\.html|meta\.json|tickets\.json|sw\.js)$"))
+    return F.when(F.contains(path, F.lit("/auth/")), "network only").when(fresh, "network first").otherwise("cache first")
+
+
+#: What a user's status is called.
+STATUS = {"pending": "заявка", "active": "доступ открыт", "blocked": "заблокирован"}
+
+
+def status_label(status: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return F.coalesce(F.try_element_at(kinds, status), status)
+
+
+def seen_text(created: Column, last_login: Column) -> Column:
+    """Since when, and when last; a last login of 0 is none."""
+    at = lambda x, form: F.date_format(F.timestamp_seconds(x), form)
+    return F.concat(F.lit("с "), at(created, "dd.MM.yyyy"), F.when(last_login != 0, F.concat(F.lit(", последний вход "), at(last_login, "dd.MM.yyyy HH:mm"))).otherwise(""))
+
+
+def who_json(users: DataFrame, pending: DataFrame) -> DataFrame:
+    """(id, json) of what the site tells a user; only administrators learn how many applications wait. pending: one row."""
+    admin = F.col("role") == "admin"
+    shown = F.struct("email", "name", admin.alias("admin"), F.when(admin, F.col("pending")).otherwise(0).alias("pending"))
+    return users.crossJoin(F.broadcast(pending.select("pending"))).select("id", F.to_json(shown).alias("json"))
+
+
+def pending_count(users: DataFrame) -> DataFrame:
+    return users.agg(F.count(F.when((F.col("status") == "pending") & (F.col("verified") == 1), 1)).alias("pending"), F.count("*").alias("users"))
+
+
+def _base64(x: Column) -> Column:
+    """In one line, whatever the session's setting for long texts."""
+    return F.regexp_replace(F.base64(x.cast("binary")), r"[\r\n]", "")
+
+
+def mail_header(x: Column) -> Column:
+    return F.concat(F.lit("=?UTF-8?B?"), _base64(x), F.lit("?="))
+
+
+def mail_body(x: Column) -> Column:
+    """Base64 in lines of 76, each with its end."""
+    return F.regexp_replace(_base64(x), "(.{1,76})", "$1\r\n")

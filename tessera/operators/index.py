@@ -9,15 +9,23 @@ from pyspark.sql.window import Window
 from tessera.functions import text as T
 
 LINES, PER_PAGE, SHARD_BYTES, K1, B = 60, 40, 60_000, 1.5, 0.75
-#: Keys of one bucket of a running total; the total over buckets is one row for this many keys.
-SPAN = 4096
+#: Chunk numbers of one block of a posting list.
+BLOCK_CHUNKS = 1 << 16
+#: Rows of one range of a running total, and the most ranges.
+SPAN, MOST_RANGES = 65_536, 4096
+
+
+def spread(docs: DataFrame, rows: int = 1 << 14) -> DataFrame:
+    """A small table is one file and so one task: its rows are dealt out before long folds. Larger ones are left as they
+    are; they have tasks enough, and whole texts would be shuffled."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.select(F.lit(1)).limit(rows).count() < rows else docs
 
 
 def text_parts(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(doc_id, part, label, text): blocks of so many lines; part counts from 1."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    """(doc_id, part, label, text): blocks of so many lines; part counts from 1, and an empty text has none."""
     n = F.ceil(F.size("l") / lines).cast("int")
-    rows = docs.select("doc_id", split.alias("l")).select("doc_id", "l", F.explode(F.sequence(F.lit(1), n)).alias("part"))
+    rows = spread(docs).select("doc_id", T.lines_of(F.col("text")).alias("l")).filter(F.size("l") > 0).select("doc_id", "l", F.explode(F.sequence(F.lit(1), n)).alias("part"))
     body = F.array_join(F.slice("l", (F.col("part") - 1) * lines + 1, F.lit(lines)), "\n")
     return rows.select("doc_id", F.col("part").cast("long").alias("part"), F.concat(F.lit("часть "), "part").alias("label"), body.alias("text"))
 
@@ -30,17 +38,41 @@ def chunks(docs: DataFrame, fix=None) -> DataFrame:
 
 
 def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """counts with `start`: the sum of value over smaller keys. Totals of key ranges first, then inside each range."""
-    rows = counts.withColumn("__b", F.floor(F.col(key) / SPAN))
+    """counts (distinct keys of any type) with `start`: the sum of value over smaller keys.
+
+    Keys are cut at quantiles of a bounded sample into ranges of about SPAN rows, so neither their type nor their spread
+    matters; totals of ranges first, then inside each. No window holds more than a range.
+    """
+    cuts = _quantiles(counts, key)
+    at = F.lit(0)
+    if cuts:  # two steps, so a row meets few of the cuts
+        kind = counts.schema[key].dataType.simpleString()
+        lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
+        wide = max(1, int(len(cuts) ** 0.5))
+        count = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col(key)))
+        low = F.greatest(F.lit(0), (count(lit(cuts[::wide])) - 1) * wide)
+        at = T.let(low, lambda k: k + count(F.slice(lit(cuts), k + 1, F.lit(wide))))
+    rows = counts.withColumn("__b", at)
     totals = rows.groupBy("__b").agg(F.sum(value).alias("__t"))
-    totals = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__a"))
+    totals = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__a"))  # a row for each range
     inside = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(totals, "__b").withColumn("start", F.col("__a") + F.sum(value).over(inside) - F.col(value)).drop("__b", "__a")
 
 
+def _quantiles(rows: DataFrame, key: str) -> list:
+    """Keys that cut rows into ranges of about SPAN rows, at most MOST_RANGES of them: every k-th of a sample by hash."""
+    n = rows.count()
+    ranges = min(MOST_RANGES, n // SPAN)
+    if ranges < 2:
+        return []
+    every = max(1, n // (16 * ranges))
+    drawn = sorted(r[0] for r in rows.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(key).collect())
+    return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
+
+
 def doc_offsets(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(doc_id, parts, chunks, start)."""
-    parts = text_parts(docs).groupBy("doc_id").agg(F.count("*").alias("parts"))
+    """(doc_id, parts, chunks, start); a document without text has neither."""
+    parts = docs.select("doc_id", F.ceil(F.size(T.lines_of(F.col("text"))) / LINES).cast("long").alias("parts"))
     counts = parts.join(pieces.groupBy("doc_id").agg(F.count("*").alias("chunks")), "doc_id", "left").na.fill(0, ["chunks"])
     return running_total(counts, "doc_id", "chunks")
 
@@ -54,12 +86,20 @@ def numbered(docs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def tokens(pieces: DataFrame, *keys: str) -> DataFrame:
     """(keys, term) for each token of each chunk."""
+    return term_counts(pieces, *keys).select(*keys, F.explode(F.array_repeat("term", F.col("tf").cast("int"))).alias("term"))
+
+
+def term_counts(pieces: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term, tf). Words are counted first, in their chunk; only words with a Cyrillic vowel have another stem, and
+    those that stand for one stem are then added up."""
     words = pieces.select(*keys, F.explode(T.raw_tokens(F.col("text"))).alias("word")).filter(T.is_token(F.col("word")))
-    return words.select(*keys, T.stem(F.col("word")).alias("term"))
+    counted = words.groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    stems = F.when(F.rlike("word", F.lit(f"[{T.VOWELS}]")), T.stem(F.col("word"))).otherwise(F.col("word"))
+    return counted.select(*keys, stems.alias("term"), "tf").groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
 
 def term_freq(pieces: DataFrame) -> DataFrame:
-    return tokens(pieces, "chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return term_counts(pieces, "chunk_id")
 
 
 def chunk_len(pieces: DataFrame, tf: DataFrame) -> DataFrame:
@@ -92,10 +132,18 @@ def bm25(pieces: DataFrame, tf: DataFrame, k1: float = K1, b: float = B) -> Data
     return rows.select("chunk_id", "term", "tf", F.greatest(F.lit(1), F.bround(score)).cast("long").alias("weight"))
 
 
-def postings(weights: DataFrame) -> DataFrame:
-    """(term, flat): chunk, weight, chunk, weight, ... by chunk."""
+def posting_blocks(weights: DataFrame, chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """(term, block, flat): chunk, weight, chunk, weight, ... by chunk, of so many neighbouring chunk numbers. A common
+    term has many blocks, so none of its lists is longer than a block."""
     pairs = F.sort_array(F.collect_list(F.struct("chunk_id", "weight")))
-    return weights.groupBy("term").agg(F.flatten(F.transform(pairs, lambda p: F.array(p["chunk_id"], p["weight"]))).alias("flat"))
+    rows = weights.withColumn("block", F.floor(F.col("chunk_id") / chunks))
+    return rows.groupBy("term", "block").agg(F.flatten(F.transform(pairs, lambda p: F.array(p["chunk_id"], p["weight"]))).alias("flat"))
+
+
+def postings(weights: DataFrame) -> DataFrame:
+    """(term, flat): whole lists, from blocks; a list is one row, as the index file wants it."""
+    blocks = F.sort_array(F.collect_list(F.struct("block", "flat")))
+    return posting_blocks(weights).groupBy("term").agg(F.flatten(F.transform(blocks, lambda b: b["flat"])).alias("flat"))
 
 
 def shard_plan(weights: DataFrame) -> DataFrame:

@@ -18,22 +18,29 @@ from tessera.session import table
 
 QUERY = "the reading of an erer tion enter"
 SESSION_NOW = 1_704_067_200
+#: Of the last folder that queries read: pieces, chunks, term frequencies and weights, which one query reads several times.
 _kept: dict[tuple, DataFrame] = {}
 
 
-def _keep(df: DataFrame, *key) -> DataFrame:
-    """df, persisted (memory, then disk) once for a session and folder: several queries start from it."""
-    key = (df.sparkSession.sparkContext.applicationId, *key)
-    if key not in _kept:
-        _kept[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return _kept[key]
+def release() -> None:
+    """Give back what queries have kept."""
+    for df in _kept.values():
+        df.unpersist()
+    _kept.clear()
+
+
+def _keep(df: DataFrame, d: str, name: str) -> DataFrame:
+    """df, persisted (memory, then disk) while queries read this folder."""
+    app = df.sparkSession.sparkContext.applicationId
+    if any(key[:2] != (app, d) for key in _kept):
+        release()
+    if (app, d, name) not in _kept:
+        _kept[app, d, name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[app, d, name]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    # One small file is one task: deal it out before the folds.
-    n = spark.sparkContext.defaultParallelism
-    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
 def _chunks(spark, d):
@@ -150,6 +157,33 @@ def _lines(spark, d):
     return parts.select("doc_id", F.col("part").alias("page"), "text", (F.col("i") * 10.0).alias("y0"), (F.col("i") * 10.0 + 8).alias("y1"), F.lit(600.0).alias("height"))
 
 
+def _cyrillic(spark):
+    """Words of Russian look, put together from parts by their number."""
+    parts = [
+        "поезд тормоз след скор неисправн провер локомотив длин движ останавлив важн вагон путев сигнал стр нов открыт стрел приказ станц".split(),
+        ["", "а", "я", "и", "ова", "ейш", "ость", "нн"],
+        "а я ов ев ами ях ий ый ая ую ого ему ыми ить ать яли ете ся ивши ившись вшись ующий ющая нный ем ость ости ейший ейше ь и ы у".split(),
+    ]
+    rows, step, word = spark.range(len(parts[0]) * len(parts[1]) * len(parts[2])), 1, []
+    for xs in parts:
+        word.append(F.element_at(F.array(*map(F.lit, xs)), (F.floor(F.col("id") / step) % len(xs) + 1).cast("int")))
+        step *= len(xs)
+    return rows.select(F.concat(*word).alias("word")).distinct()
+
+
+def stem_words(spark, d):
+    return _cyrillic(spark).select("word", T.stem(F.col("word")).alias("stem"))
+
+
+def cyrillic_terms(spark, d):
+    """Term frequencies of chunks of fifty such words, each repeated one to three times, in capitals and with ё."""
+    nth = _cyrillic(spark).withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # some thousand generated rows
+    shown = F.upper(F.when(F.col("i") % 2 == 0, F.replace("word", F.lit("е"), F.lit("ё"))).otherwise(F.col("word")))
+    chunk = F.floor(F.col("i") / 50).alias("chunk_id")
+    texts = nth.select(chunk, F.concat(F.repeat(F.concat(shown, F.lit(", ")), (F.col("i") % 3 + 1).cast("int"))).alias("t"))
+    return I.term_freq(texts.groupBy("chunk_id").agg(F.array_join(F.collect_list("t"), " ").alias("text")))
+
+
 def header_footer(spark, d):
     return L.repeated_edges(_lines(spark, d))
 
@@ -175,12 +209,12 @@ def margin_pct(spark, d):
 
 
 def distinct_first(spark, d):
-    words = S.words_first_seen(_docs(spark, d), "doc_id", "text", "[A-Za-z]+")
+    words = S.words_first_seen(_docs(spark, d), "doc_id", "text", r"\p{L}+")
     return words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long"))
 
 
 def _words(spark, d, name, key):
-    rows = table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
+    rows = table(spark, d, name).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     return rows.select(F.lower("word").alias("word")).distinct()
 
 
@@ -241,6 +275,116 @@ def valid_tokens(spark, d):
     return A.valid_tokens(rows, "signup", SESSION_NOW + 25 * 86_400)
 
 
+def _members(spark, d):
+    """Customers as users."""
+    bal = F.col("c_acctbal")
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.lower("c_name").alias("email"), F.col("c_mktsegment").alias("name"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("pass"),
+        F.when(F.col("c_nationkey") == 0, "admin").otherwise("user").alias("role"), F.when(bal < 0, "blocked").when(bal < 1000, "pending").otherwise("active").alias("status"),
+        F.when(bal > 500, 1).otherwise(0).alias("verified"), (F.lit(800_000_000) + F.col("c_custkey") * 1000).alias("created"), F.when(bal > 5000, 900_000_000 + F.col("c_custkey")).otherwise(0).cast("long").alias("last_login"),
+    )
+
+
+def _acts(spark, d):
+    """An act for two of three users."""
+    names = ["rehash", "verify", "reset", "approve", "block", "role", "login", "delete"]
+    act = F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 8 + 1).cast("int"))
+    value = F.when(act == "role", "admin").when(act == "login", "950000000").otherwise(F.concat(F.lit("new"), "id"))
+    return _members(spark, d).filter("id % 3 <> 0").select("id", act.alias("act"), value.alias("value"))
+
+
+def user_updates(spark, d):
+    return A.updated(_members(spark, d), _acts(spark, d)).select("id", "pass", "role", "status", "verified", "last_login")
+
+
+def user_inserts(spark, d):
+    rows = _members(spark, d).select("id", F.concat(F.lit(" "), F.upper("email")).alias("email"), F.concat(F.lit(" "), F.repeat("name", F.lit(15))).alias("name"), "pass")
+    kinds = [("first", "id % 3 = 0", {}), ("self", "id % 3 = 1", {"open_registration": False}), ("added", "id % 3 = 2", {})]
+    made = [A.new_users(rows.filter(which), how, 870_000_000, **kw) for how, which, kw in kinds]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("id", "email", "name", "role", "status", "verified", "created")
+
+
+def user_deletes(spark, d):
+    """What is left of users, sessions and tokens."""
+    gone = _acts(spark, d).filter("act = 'delete'").select(F.col("id").alias("user_id"))
+    tokens = _sessions(spark, d).select("id", "user_id").filter("id % 5 = 0")
+    left = A.deleted(_members(spark, d), A.without(_sessions(spark, d), A.closed_by(_acts(spark, d)), "user_id"), tokens, gone)
+    named = [t.groupBy().agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids")) for n, t in zip(("users", "sessions", "tokens"), left, strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def token_users(spark, d):
+    """Visitors present what they were sent: the tables hold hashes, and a damaged token is none."""
+    raw = F.sha2(F.concat(F.lit("t"), "o_orderkey"), 256)
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    orders = table(spark, d, "orders")
+    tokens = orders.select(F.col("o_orderkey").alias("id"), F.sha2(raw, 256).alias("token"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "O", "verify").otherwise("reset").alias("kind"), (at + 86_400).alias("expires"))
+    presented = orders.select(F.when(F.col("o_orderkey") % 4 == 0, F.upper(raw)).otherwise(raw).alias("token"))
+    return A.token_users(presented, tokens, "verify", _now(spark, d))
+
+
+def session_users(spark, d):
+    raw = F.sha2(F.concat(F.lit("s"), "id"), 256)
+    sessions = _sessions(spark, d).withColumn("token", F.sha2(raw, 256))
+    presented = _sessions(spark, d).filter("id % 2 = 0").select(raw.alias("token"))
+    return A.session_users(presented, sessions, _members(spark, d), _now(spark, d)).select("id", "user_id", "u_email")
+
+
+def opened_sessions(spark, d):
+    logins = _members(spark, d).filter("status = 'active'").select("id", F.sha2(F.concat(F.lit("l"), "id"), 256).alias("token"), F.col("id").alias("user_id"))
+    return A.opened(_sessions(spark, d), logins, _now(spark, d)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("expires").alias("last"))
+
+
+def attempt_purge(spark, d):
+    rows = table(spark, d, "events").filter("event_type = 'error'").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("10.0."), F.col("user_id"), F.repeat(F.lit(".1"), F.lit(30))).alias("ip"), F.concat(F.lit("u"), "user_id").alias("email"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")
+    )
+    now = SESSION_NOW + 20 * 86_400
+    return A.after_attempts(rows.filter(F.col("at") < now), rows.filter(F.col("at") == now + 60).union(rows.filter(f"id % 97 = 0 and at >= {now}")), now).select("id", "ip", "email", "at")
+
+
+def who_json(spark, d):
+    users = _members(spark, d)
+    return A.who_json(users, A.pending_count(users))
+
+
+def user_listing(spark, d):
+    label = A.status_label(F.when(F.col("id") % 11 == 0, "odd").otherwise(F.col("status")))
+    return _members(spark, d).select("id", label.alias("label"), A.seen_text(F.col("created"), F.col("last_login")).alias("seen"))
+
+
+def admin_mail(spark, d):
+    rows = A.active_admins(_members(spark, d))
+    text = F.concat(F.lit("Заявка от "), "email", F.repeat(F.lit(" текст"), F.lit(9)))
+    return rows.select("email", A.mail_header(F.col("email")).alias("header"), A.mail_body(text).alias("body"))
+
+
+def url_codec(spark, d):
+    x = F.concat("url", F.lit(" ~*(+)é"))
+    return table(spark, d, "pages").select("page_id", A.url_quote(x).alias("quoted"), A.url_unquote(F.concat(F.lit("a+b%20"), A.url_quote(x))).alias("back"))
+
+
+def file_titles(spark, d):
+    last = F.regexp_replace("url", "[^A-Za-z0-9]+", "_")
+    x = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("files/../"), last, F.lit(".pdf"))).otherwise(F.concat(F.lit("files/a%20b/%D0%9F_"), last, F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".pdf")))
+    ok = A.file_parameter(x)
+    return table(spark, d, "pages").select("page_id", ok.alias("file"), A.file_title(ok).alias("title"))
+
+
+def etags(spark, d):
+    return table(spark, d, "pages").select("page_id", A.etag(F.col("page_id") * 1_000_003 + 1_600_000_000, F.length("html").cast("long")).alias("etag"))
+
+
+def worker_route(spark, d):
+    path = F.concat(F.regexp_replace("url", "^https?://[^/]*", ""), F.element_at(F.array(*map(F.lit, ["", "/index.html", "/auth/x", "/"])), (F.col("page_id") % 4 + 1).cast("int")))
+    return table(spark, d, "pages").select("page_id", A.worker_route(path).alias("route"))
+
+
+def stale_urls(spark, d):
+    v = F.element_at(F.array(*map(F.lit, ["?v=1a", "?q=1&v=2b#x", "", "?v="])), (F.col("page_id") % 4 + 1).cast("int"))
+    return A.stale_versions(table(spark, d, "pages").select("page_id", F.concat("url", v).alias("url")), "1a").select("page_id")
+
+
 def rate_limit(spark, d):
     rows = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     return A.recent_count(rows, "user_id", F.col("at")).withColumn("limited", F.col("n") >= A.PER_EMAIL)
@@ -253,7 +397,7 @@ def case_order(spark, d):
 
 
 def pending_count(spark, d):
-    return table(spark, d, "orders").agg(F.count(F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100_000), 1)).alias("pending"), F.count("*").alias("users"))
+    return A.pending_count(_members(spark, d))
 
 
 def path_acl(spark, d):
@@ -281,10 +425,11 @@ def content_cache(spark, d):
 
 def queries():
     names = [
-        text_parts, text_lines_html, chunks, chunk_ids, chunk_pages, doc_offsets, doc_records, tokens, term_freq, chunk_len, doc_freq, corpus_stats, idf, bm25_weights,
+        stem_words, cyrillic_terms, text_parts, text_lines_html, chunks, chunk_ids, chunk_pages, doc_offsets, doc_records, tokens, term_freq, chunk_len, doc_freq, corpus_stats, idf, bm25_weights,
         postings, shard_plan, index_shards, vocab, index_meta, search_topk, search_typo, header_footer, noise_lines, heading_level, merge_adjacent, margin_pct, distinct_first,
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
-        safe_next, mime_lookup, norm_text, content_cache,
+        safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
+        user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

@@ -1,12 +1,31 @@
-"""DuckDB SQL for the catalog's queries over tables, written from the definitions and not from the Spark code."""
+"""DuckDB SQL for the catalog's queries over tables, written from the definitions; nothing here comes from the Spark code."""
 
-from tessera.functions.text import CHUNK_CHARS, STOP_WORDS
-from tessera.operators.access import DENIED, MEDIA_TYPES
+CHUNK_CHARS = 1200
+#: The stop words.
+STOP_WORDS = """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по
+только ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть
+был него до вас нибудь опять уж вам сказал ведь там потом себя ничего ей может они тут где есть надо
+ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того
+потому этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех
+никогда можно при наконец два об другой хоть после над больше тот через эти нас про всего них какая
+много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им более
+всегда конечно всю между какие такое такие какую каком который которая которые которого""".split()
+#: Media types by extension.
+MEDIA_TYPES = {
+    "html": "text/html; charset=utf-8", "js": "application/javascript; charset=utf-8", "css": "text/css; charset=utf-8",
+    "json": "application/json; charset=utf-8", "webmanifest": "application/manifest+json", "txt": "text/plain; charset=utf-8",
+    "md": "text/plain; charset=utf-8", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "svg": "image/svg+xml",
+    "ico": "image/x-icon", "webp": "image/webp", "pdf": "application/pdf", "woff2": "font/woff2",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+}
+#: Fixed value: paths that are never served.
+DENIED = r"(?i)(^|/)(\.|_srv(/|$)|auth(/|$))|\.(php|phtml|phar|sql|ini|log|sh|py)$"
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 PARTS = r"""
-docs AS (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+cut AS (SELECT doc_id, source, lang, string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS s FROM documents),
+docs AS (SELECT doc_id, source, lang, CASE WHEN s[len(s)] = '' THEN s[1:len(s) - 1] ELSE s END AS l FROM cut),
 parts AS (
   SELECT doc_id, p AS part, array_to_string(l[(p - 1) * 60 + 1 : p * 60], chr(10)) AS text
   FROM docs, unnest(range(1, (len(l) + 59) // 60 + 1)) u(p))"""
@@ -52,7 +71,7 @@ plan AS (SELECT sum(bytes)::BIGINT AS bytes, greatest(1, round_even(sum(bytes) /
 )
 
 OFFSETS = """,
-np AS (SELECT doc_id, count(*) AS parts FROM parts GROUP BY doc_id),
+np AS (SELECT doc_id, (len(l) + 59) // 60 AS parts FROM docs),
 nc AS (SELECT doc_id, count(*) AS chunks FROM chunk GROUP BY doc_id),
 off AS (
   SELECT doc_id, parts, coalesce(chunks, 0) AS chunks,
@@ -67,18 +86,61 @@ UNESC = "replace(replace(replace(replace(replace(replace(replace(replace(g, '&lt
 EXT = r"lower(regexp_extract(regexp_replace({}, '[?#].*$', ''), '\.([^./]*)$', 1))"
 SESSIONS = """s AS (SELECT o_orderkey AS id, o_custkey AS user_id, epoch_us(o_orderdate) // 1000000 + 7776000 AS expires FROM orders),
 u AS (SELECT c_custkey, lower(c_name) AS u_email, CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'active' END AS u_status, c_acctbal > 1000 AS ok FROM customer)"""
-WORDS = lambda t: f"(SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM {t})"
+WORDS = lambda t: f"(SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\\p{{L}}+'))) AS w FROM {t})"
 # Every string one edit away from a word, made letter by letter.
 EDITS = """
 SELECT w, left(w, i - 1) || substr(w, i + 1) AS e FROM {0}, range(1, 40) t(i) WHERE i <= length(w)
 UNION SELECT w, left(w, i - 1) || substr(w, i + 1, 1) || substr(w, i, 1) || substr(w, i + 2) FROM {0}, range(1, 40) t(i) WHERE i < length(w)
-UNION SELECT w, left(w, i - 1) || c || substr(w, i + 1) FROM {0}, range(1, 40) t(i), unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) a(c) WHERE i <= length(w)
-UNION SELECT w, left(w, i - 1) || c || substr(w, i) FROM {0}, range(1, 40) t(i), unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) a(c) WHERE i <= length(w) + 1"""
+UNION SELECT w, left(w, i - 1) || c || substr(w, i + 1) FROM {0}, range(1, 40) t(i), unnest((SELECT list(DISTINCT c) FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM benchmark UNION SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''))))) a(c) WHERE i <= length(w)
+UNION SELECT w, left(w, i - 1) || c || substr(w, i) FROM {0}, range(1, 40) t(i), unnest((SELECT list(DISTINCT c) FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM benchmark UNION SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''))))) a(c) WHERE i <= length(w) + 1"""
+
+MEMBERS = """m AS (SELECT c_custkey AS id, lower(c_name) AS email, c_mktsegment AS name, sha256(c_custkey::VARCHAR) AS pass, CASE c_nationkey WHEN 0 THEN 'admin' ELSE 'user' END AS role,
+  CASE WHEN c_acctbal < 0 THEN 'blocked' WHEN c_acctbal < 1000 THEN 'pending' ELSE 'active' END AS status, CASE WHEN c_acctbal > 500 THEN 1 ELSE 0 END AS verified,
+  800000000 + c_custkey * 1000 AS created, CASE WHEN c_acctbal > 5000 THEN 900000000 + c_custkey ELSE 0 END AS last_login FROM customer)"""
+ACTS = "a AS (SELECT c_custkey AS id, ['rehash', 'verify', 'reset', 'approve', 'block', 'role', 'login', 'delete'][c_custkey % 8 + 1] AS act FROM customer WHERE c_custkey % 3 <> 0)"
+
+# Words of Russian look, put together from parts by their number.
+ROOTS = "поезд тормоз след скор неисправн провер локомотив длин движ останавлив важн вагон путев сигнал стр нов открыт стрел приказ станц".split()
+MIDDLES = ["", "а", "я", "и", "ова", "ейш", "ость", "нн"]
+TAILS = "а я ов ев ами ях ий ый ая ую ого ему ыми ить ать яли ете ся ивши ившись вшись ующий ющая нный ем ость ости ейший ейше ь и ы у".split()
+CYRILLIC = f"""r AS (SELECT {ROOTS} AS a, {MIDDLES} AS b, {TAILS} AS c),
+w AS (SELECT DISTINCT a[i % len(a) + 1] || b[i // len(a) % len(b) + 1] || c[i // (len(a) * len(b)) % len(c) + 1] AS w FROM r, range({len(ROOTS) * len(MIDDLES) * len(TAILS)}) t(i))"""
+# Endings of the stemmer; those after the bar stand only after а or я.
+ENDINGS = {
+    "gerund": "ив ивши ившись ыв ывши ывшись | в вши вшись",
+    "adjective": "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею |",
+    "participle": "ивш ывш ующ | ем нн вш ющ щ",
+    "verb": "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю | ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно",
+    "noun": "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я |",
+}
+
+
+def _cut(x: str, kind: str) -> str:
+    """SQL for x without its longest ending of a kind, null if it has none."""
+    free, bound = (e.split() for e in ENDINGS[kind].split("|"))
+    longest = f"greatest(0, list_max([CASE WHEN {x} LIKE '%' || e THEN length(e) ELSE 0 END FOR e IN {free}])"
+    longest += f", list_max([CASE WHEN {x} LIKE '%а' || e OR {x} LIKE '%я' || e THEN length(e) ELSE 0 END FOR e IN {bound}]))" if bound else ")"
+    return f"CASE WHEN {longest} > 0 THEN left({x}, length({x}) - {longest}) END"
+
+
+STEM = f"""{CYRILLIC},
+s1 AS (SELECT w, regexp_extract(w, '^[^аеиоуыэюя]*[аеиоуыэюя]') AS head FROM w),
+s2 AS (SELECT w, head, substr(w, length(head) + 1) AS rv FROM s1),
+s3 AS (SELECT *, {_cut("rv", "gerund")} AS g, regexp_replace(rv, '(ся|сь)$', '') AS p FROM s2),
+s4 AS (SELECT *, {_cut("p", "adjective")} AS adj, {_cut("p", "verb")} AS verb, {_cut("p", "noun")} AS noun FROM s3),
+s5 AS (SELECT w, head, coalesce(g, coalesce({_cut("adj", "participle")}, adj), verb, noun, p) AS t FROM s4),
+s6 AS (SELECT w, head, CASE WHEN t LIKE '%и' THEN left(t, length(t) - 1) ELSE t END AS t FROM s5),
+s7 AS (SELECT w, head, CASE WHEN regexp_matches(t, '[^аеиоуыэюя][аеиоуыэюя].*ость?$') THEN regexp_replace(t, 'ость?$', '') ELSE t END AS t FROM s6),
+s8 AS (SELECT w, head, CASE WHEN t LIKE '%ь' THEN left(t, length(t) - 1) ELSE regexp_replace(t, 'ейше?$', '') END AS u, t LIKE '%ь' AS soft FROM s7),
+stems AS (SELECT w AS word, CASE WHEN head = '' THEN w WHEN NOT soft AND u LIKE '%нн' THEN head || left(u, length(u) - 1) ELSE head || u END AS stem FROM s8)"""
 
 SQL = {
+    "stem_words": f"WITH {STEM} SELECT word, stem FROM stems",
+    "cyrillic_terms": f"""WITH {STEM}, n AS (SELECT word, stem, row_number() OVER (ORDER BY word) - 1 AS i FROM stems)
+SELECT i // 50 AS chunk_id, stem AS term, sum(1 + i % 3)::BIGINT AS tf FROM n WHERE word NOT IN ({STOP}) GROUP BY 1, 2""",
     "text_parts": f"WITH {PARTS} SELECT doc_id, part, 'часть ' || part AS label, length(text) AS chars, md5(text) AS digest FROM parts",
     "text_lines_html": rf"""
-WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS y FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS s FROM documents)),
 x AS (SELECT doc_id, k, trim(regexp_replace(y, '\s+', ' ', 'g')) AS x FROM l WHERE trim(regexp_replace(y, '\s+', ' ', 'g')) <> ''),
 h AS (SELECT doc_id, k, CASE WHEN length(x) < 120 AND {UPPER} THEN '<h2>' || {ESC("x")} || '</h2>' ELSE '<p>' || {ESC("x")} || '</p>' END AS h FROM x),
 a AS (SELECT doc_id, string_agg(h, chr(10) ORDER BY k) AS h FROM h GROUP BY doc_id)
@@ -120,7 +182,7 @@ SELECT doc_id, count(*) FILTER ({UPPER} OR regexp_matches(x, '{HEAD}')) AS h2, c
 b AS (SELECT conv_id, role, min(turn) AS t, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM a GROUP BY conv_id, role, g)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS island, role, n, digest FROM b""",
     "margin_pct": """SELECT l_orderkey, list_sort(list(l_extendedprice))[count(*) // 10 + 1] AS "left", list_reverse_sort(list(l_extendedprice + l_quantity))[greatest(1, count(*) // 10)] AS "right" FROM lineitem GROUP BY l_orderkey""",
-    "distinct_first": """WITH w AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS x FROM documents)),
+    "distinct_first": """WITH w AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS word FROM (SELECT doc_id, regexp_extract_all(text, '\\p{L}+') AS x FROM documents)),
 f AS (SELECT doc_id, word, min(i) AS pos FROM w GROUP BY ALL) SELECT doc_id, word, pos AS "at", row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM f""",
     "oov_words": f"SELECT w AS word, w AS part FROM {WORDS('documents')} d WHERE length(w) >= 3 AND w NOT IN (SELECT w FROM {WORDS('benchmark')})",
     "edit1_suggest": f"""WITH b AS (SELECT w FROM {WORDS('benchmark')} x WHERE length(w) > 2), e AS ({EDITS.format("b")}),
@@ -141,7 +203,37 @@ SELECT t.* FROM t JOIN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION
     "rate_limit": """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000) AS sec FROM events WHERE event_type = 'error')
 SELECT event_id, user_id, sec AS "at", n, n >= 10 AS limited FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS n FROM e)""",
     "case_order": "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS rank FROM orders",
-    "pending_count": "SELECT count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 100000) AS pending, count(*) AS users FROM orders",
+    "pending_count": "SELECT count(*) FILTER (c_acctbal > 500 AND c_acctbal < 1000) AS pending, count(*) AS users FROM customer",
+    "user_updates": f"WITH {MEMBERS}, {ACTS} "+'''SELECT id, CASE WHEN act IN ('rehash', 'reset') THEN 'new' || id ELSE pass END AS pass, CASE act WHEN 'role' THEN 'admin' ELSE role END AS role,
+  CASE act WHEN 'approve' THEN 'active' WHEN 'block' THEN 'blocked' ELSE status END AS status, CASE WHEN act IN ('verify', 'reset', 'approve') THEN 1 ELSE verified END AS verified,
+  CASE act WHEN 'login' THEN 950000000 ELSE last_login END AS last_login FROM m LEFT JOIN a USING (id)''',
+    "user_inserts": f"WITH {MEMBERS} "+'''SELECT id, email, CASE id % 3 WHEN 2 THEN left(repeat(name, 15), 100) ELSE repeat(name, 15) END AS name, CASE id % 3 WHEN 0 THEN 'admin' ELSE 'user' END AS role,
+  CASE id % 3 WHEN 1 THEN 'pending' ELSE 'active' END AS status, CASE id % 3 WHEN 1 THEN 0 ELSE 1 END AS verified, 870000000::BIGINT AS created FROM m''',
+    "user_deletes": f"WITH {MEMBERS}, {ACTS} "+'''SELECT 'users' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM m WHERE id NOT IN (SELECT id FROM a WHERE act = 'delete')
+UNION ALL SELECT 'sessions', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_custkey NOT IN (SELECT id FROM a WHERE act IN ('reset', 'block', 'delete'))
+UNION ALL SELECT 'tokens', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey NOT IN (SELECT id FROM a WHERE act = 'delete')''',
+    "token_users": '''SELECT sha256('t' || o_orderkey) AS token, o_custkey AS user_id FROM orders
+WHERE o_orderkey % 4 <> 0 AND o_orderstatus = 'O' AND epoch_us(o_orderdate) // 1000000 + 86400 > 852076800''',
+    "session_users": '''SELECT o_orderkey AS id, o_custkey AS user_id, lower(c_name) AS u_email FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderkey % 2 = 0 AND c_acctbal >= 1000 AND epoch_us(o_orderdate) // 1000000 + 7776000 >= 852076800''',
+    "opened_sessions": '''WITH s AS (SELECT o_custkey AS user_id, epoch_us(o_orderdate) // 1000000 + 7776000 AS expires FROM orders WHERE epoch_us(o_orderdate) // 1000000 + 7776000 >= 852076800
+UNION ALL SELECT c_custkey, 852076800 + 7776000 FROM customer WHERE c_acctbal >= 1000) SELECT user_id, count(*) AS n, max(expires) AS last FROM s GROUP BY user_id''',
+    "attempt_purge": '''WITH e AS (SELECT event_id AS id, left('10.0.' || user_id || repeat('.1', 30), 45) AS cut, '10.0.' || user_id || repeat('.1', 30) AS ip, 'u' || user_id AS email, epoch_us(ts) // 1000000 AS s FROM events WHERE event_type = 'error')
+SELECT id, ip, email, s AS "at" FROM e WHERE s < 1705795200 AND s >= 1705795200 - 86400 UNION ALL SELECT id, cut, email, s FROM e WHERE s = 1705795260 UNION ALL SELECT id, cut, email, s FROM e WHERE id % 97 = 0 AND s >= 1705795200''',
+    "who_json": f"WITH {MEMBERS} "+'''SELECT id, '{"email":"' || email || '","name":"' || name || '","admin":' || (role = 'admin') || ',"pending":' ||
+  CASE role WHEN 'admin' THEN (SELECT count(*) FROM m WHERE status = 'pending' AND verified = 1) ELSE 0 END || '}' AS json FROM m''',
+    "user_listing": f"WITH {MEMBERS} "+'''SELECT id, CASE WHEN id % 11 = 0 THEN 'odd' WHEN status = 'pending' THEN 'заявка' WHEN status = 'active' THEN 'доступ открыт' ELSE 'заблокирован' END AS label,
+  'с ' || strftime(make_timestamp(created * 1000000), '%d.%m.%Y') || CASE WHEN last_login <> 0 THEN ', последний вход ' || strftime(make_timestamp(last_login * 1000000), '%d.%m.%Y %H:%M') ELSE '' END AS seen FROM m''',
+    "admin_mail": f"WITH {MEMBERS} "+'''SELECT email, '=?UTF-8?B?' || base64(encode(email)) || '?=' AS header,
+  regexp_replace(base64(encode('Заявка от ' || email || repeat(' текст', 9))), '(.{1,76})', '\\1' || chr(13) || chr(10), 'g') AS body FROM m WHERE role = 'admin' AND status = 'active' ''',
+    "url_codec": "SELECT page_id, url_encode(url || ' ~*(+)é') AS quoted, 'a+b ' || url || ' ~*(+)é' AS back FROM pages",
+    "file_titles": '''WITH p AS (SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') AS x FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN 'files/a%20b/%D0%9F_' || x || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '.pdf' END END AS file,
+  CASE WHEN page_id % 5 <> 0 THEN regexp_replace('П_' || x, '_+', ' ', 'g') END AS title FROM p''',
+    "etags": '''SELECT page_id, '"' || lower(to_hex(page_id * 1000003 + 1600000000)) || '-' || lower(to_hex(length(html))) || '"' AS etag FROM pages''',
+    "worker_route": r'''WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') || CASE page_id % 4 WHEN 1 THEN '/index.html' WHEN 2 THEN '/auth/x' WHEN 3 THEN '/' ELSE '' END AS p FROM pages)
+SELECT page_id, CASE WHEN p LIKE '%/auth/%' THEN 'network only' WHEN p LIKE '%/' OR regexp_matches(p, '/(index\.html|pdf\.html|meta\.json|tickets\.json|sw\.js)$') THEN 'network first' ELSE 'cache first' END AS route FROM p''',
+    "stale_urls": "SELECT page_id FROM pages WHERE page_id % 4 = 1",
     "path_acl": rf"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/?', '') AS p FROM pages)
 SELECT page_id, regexp_matches(p, '{DENIED}') AS denied, 'private, ' || CASE WHEN lower(regexp_extract(p, '\.([^./]*)$', 1)) IN ('html', 'json', 'js', 'webmanifest') THEN 'no-cache' ELSE 'max-age=600' END AS policy FROM p""",
     "safe_next": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS p FROM pages)

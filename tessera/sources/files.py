@@ -48,9 +48,10 @@ def parsed(files: DataFrame) -> DataFrame:
     PDF and DOCX readers are optional packages."""
     from tessera.operators.layout import docx_parts
 
-    text = files.filter(F.col("ext").isin("txt", "md")).select("path", F.split(decoded(F.col("content")), r"\R").alias("l"))
+    text = files.filter(F.col("ext").isin("txt", "md")).select("path", lines_of(decoded(F.col("content"))).alias("l"))
     n = F.ceil(F.size("l") / 60).cast("int")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.concat(F.lit("часть "), k).alias("label"), F.array_join(F.slice("l", (k - 1) * 60 + 1, F.lit(60)), "\n").alias("text")))
+    numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(numbers, lambda k: F.struct(F.concat(F.lit("часть "), k).alias("label"), F.array_join(F.slice("l", (k - 1) * 60 + 1, F.lit(60)), "\n").alias("text")))
     text = text.select("path", parts.alias("parts"))
 
     def pdf(batches):
