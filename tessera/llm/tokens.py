@@ -46,7 +46,7 @@ class PieceEncoder:
     The pieces known so far are an open-addressing table of hashes in arrays, so a batch is looked up at once.
     """
 
-    def __init__(self, tokenizer: str, max_pieces: int = 1_000_000):
+    def __init__(self, tokenizer: str, max_pieces: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
