@@ -8,7 +8,7 @@ segments' values and looks up, in the same table, the values in that small Hammi
 
 Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). Segments
 are longer, and for wide fingerprints more, the more classes there are, so an average bucket (segment, value) does not grow
-with the corpus (wide ones: up to 2**22 classes). One that holds very many near ones is cut into blocks of a fixed size before its rows are dealt out, and every two
+with the corpus (wide ones: up to 2**24 classes). One that holds very many near ones is cut into blocks of a fixed size before its rows are dealt out, and every two
 blocks meet in a task of their own; a task returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
 several tasks may be merged to one. Links become components by alternating large-star and small-star steps over written
 tables, so nothing grows on the driver.
@@ -75,9 +75,9 @@ DIFFER, MEET = 0.15, 0.98
 
 
 def wide(classes: int) -> Index:
-    """The index over four words of 64 bits, of segments whose values are some sixteen times fewer than the classes (up to
-    2**22 of them: longer segments would have to share so many bits that pairs would be missed)."""
-    size = min(18, max(13, classes.bit_length() - 4))
+    """The index over four words of 64 bits, of segments whose values are some sixty-four times fewer than the classes
+    (up to 2**24 of them: longer segments would have to share so many bits that pairs would be missed)."""
+    size = min(18, max(13, classes.bit_length() - 6))
     near = (1 - DIFFER) ** size + size * DIFFER * (1 - DIFFER) ** (size - 1)
     count = math.ceil(math.log(1 - MEET) / math.log(1 - near))
     each = -(-count // 4)  # in a word; they overlap if they must
@@ -400,7 +400,10 @@ def verified(docs: DataFrame, classes: DataFrame, near: DataFrame, n: int, simil
             found = [shingle_set(t.as_py(), n).astype("<u8").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "root", "hashes"])
 
-    rows = stored(bounded_batches(texts).mapInArrow(sets, "node long, root long, hashes binary").groupBy("node", "root").agg(F.first("hashes").alias("hashes")), "sets")  # rows may repeat
+    rows = stored(bounded_batches(texts).mapInArrow(sets, "node long, root long, hashes binary"), "sets")
+    again = rows.groupBy("node").count().filter("count > 1").select("node")
+    if again.limit(1).count():  # rows that repeat doc_id and text
+        rows = rows.join(again, "node", "left_anti").unionByName(rows.join(again, "node", "left_semi").dropDuplicates(["node"]))
     blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(SET_BYTES)).cast("long").alias("blocks"))
     rows = rows.join(blocks.filter("blocks > 0"), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, F.col("mine")) * F.col("blocks") + F.greatest(x, F.col("mine")))
