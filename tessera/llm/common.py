@@ -41,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of a caller's table, whatever it calls its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable holds it, so nothing re-evaluates it per element."""
     return F.transform(F.array(value), lambda v: body(v))[0]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored, whole_groups
+from tessera.llm.common import bounded_batches, fresh, stored, whole_groups
 from tessera.llm.textvec import pieces, shingle_hashes, span_hashes, word_spans
 
 SHINGLE = 5
@@ -359,5 +359,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
     """docs without the rows whose text holds an item, whatever their doc_id; rows of a null text stay."""
-    bad = stored(leaks(docs, benchmark, threshold, radius, n).select(F.col("text_key").alias("_leak_key")).distinct(), "leaks")
-    return docs.join(bad, F.md5(docs["text"]) == bad["_leak_key"], "left_anti")
+    (key,) = fresh(docs, "key")
+    bad = stored(leaks(docs, benchmark, threshold, radius, n).select(F.col("text_key").alias(key)).distinct(), "leaks")
+    return docs.join(bad, F.md5(docs["text"]) == bad[key], "left_anti")

@@ -8,7 +8,8 @@ rejected.
 
 Defined results: null texts have no words; a null source is a host of its own; a null doc_id is a document too; rows that
 repeat doc_id, source and text are one document in the counts and get the same verdict. An empty table gives an empty
-result.
+result. Other columns are not read by the verdicts. A row's words, their hashes and those of its windows are in one
+task's memory at once, some 100 bytes a word, so a text of 100 MB needs about 2 GB there.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, words_of
+from tessera.llm.common import fresh, let, words_of
 
 #: Windows are of 8 words: three doublings.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -66,12 +67,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, source, text_hash, line, words): each distinct normalised line with a word, and its words over all its
     occurrences in the document."""
     text = F.coalesce("text", F.lit(""))
-    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
-    rows = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.explode(F.split(text, "\n")).alias("x")).select("doc_id", "source", "text_hash", normal(F.col("x")).alias("x")).filter("x <> ''")
+    rows = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.explode(F.split(text, "\n")).alias("x")).select("doc_id", "source", "text_hash", normalised(F.col("x")).alias("x")).filter("x <> ''")
     words = F.length("x") - F.length(F.replace("x", F.lit(" "))) + 1
     return rows.select("doc_id", "source", "text_hash", F.xxhash64("x").alias("line"), words.cast("long").alias("words"))
 
@@ -100,19 +104,19 @@ def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
 
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """docs that line_verdicts() keeps, without their removed lines; rows need a doc_id."""
-    verdicts = line_verdicts(docs, max_docs, max_share, least_left).filter("kept").select("doc_id", "source", "text_hash").distinct()
+    """docs that line_verdicts() keeps, without their removed lines; other columns stay and may have any name."""
+    keep, k_doc, k_source, k_hash, bad, b_doc, b_source, b_hash = fresh(docs, "keep", "k_doc", "k_source", "k_hash", "bad", "b_doc", "b_source", "b_hash")
+    plain = docs.select("doc_id", "source", "text")
+    verdicts = line_verdicts(plain, max_docs, max_share, least_left).filter("kept").select("doc_id", "source", "text_hash").distinct().toDF(k_doc, k_source, k_hash)
     host = F.coalesce("source", F.lit("\x00")).alias("host")
-    lines = host_lines(docs)
-    once = lines.select("doc_id", "source", "text_hash", "line").distinct()
-    sizes = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct().groupBy(host).agg(F.count("*").alias("docs"))
+    once = host_lines(plain).select("doc_id", "source", "text_hash", "line").distinct()
+    sizes = plain.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct().groupBy(host).agg(F.count("*").alias("docs"))
     often = once.groupBy(host, "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).join(sizes, "host").filter(F.col("n") > F.col("docs") * max_share).select("host", "line")
-    bad = once.withColumn("host", host).join(often, ["host", "line"]).groupBy("doc_id", "source", "text_hash").agg(F.collect_list("line").alias("bad"))
-    bad = bad.toDF("b_doc", "b_source", "b_hash", "bad")
-    v = verdicts.toDF("v_doc", "v_source", "v_hash")
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.join(v, F.col("doc_id").eqNullSafe(F.col("v_doc")) & F.col("source").eqNullSafe(F.col("v_source")) & (h == F.col("v_hash")), "left_semi")
-    rows = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("b_doc")) & F.col("source").eqNullSafe(F.col("b_source")) & (h == F.col("b_hash")), "left")
-    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad", F.xxhash64(normal(x)))), "\n")
-    return rows.withColumn("text", F.when(F.col("bad").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    held = once.withColumn("host", host).join(often, ["host", "line"]).groupBy("doc_id", "source", "text_hash").agg(F.collect_list("line").alias(bad)).toDF(b_doc, b_source, b_hash, bad)
+    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = lambda t, doc, source, hash_: docs["doc_id"].eqNullSafe(t[doc]) & docs["source"].eqNullSafe(t[source]) & (h == t[hash_])
+    rows = docs.join(verdicts, same(verdicts, k_doc, k_source, k_hash), "left_semi")
+    rows = rows.join(held, same(held, b_doc, b_source, b_hash), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains(held[bad], F.xxhash64(normalised(x)))), "\n")
+    text = F.when(held[bad].isNull(), docs["text"]).otherwise(left).alias("text")
+    return rows.select(*[text if c == "text" else docs[c] for c in docs.columns])

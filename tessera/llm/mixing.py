@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WORD, md5_hex, stored
+from tessera.llm.common import WORD, fresh, md5_hex, stored
 
 STEPS = 40
 #: Hex digits of the permutation key that name a bucket: 4096 for each source.
@@ -96,11 +96,18 @@ def mixed(docs: DataFrame, seed: int = 42, **target) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, **target) -> DataFrame:
-    """docs, each row as often as mixed() takes its document. Rows with a null doc_id stay once."""
-    taken = mixed(docs.filter("doc_id is not null"), seed, **target)
-    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"))
-    rows = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    # Rows of one doc_id share its takes: each gets the equal part, rounded up.
-    each = times.join(rows, "__id").select("__id", F.ceil(F.col("__times") / F.col("__rows")).cast("int").alias("__times"))
-    again = docs.join(each, docs["doc_id"] == each["__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
-    return again.unionByName(docs.filter("doc_id is null"))
+    """docs, each row as often as mixed() takes its document. Rows with a null doc_id stay once. Rows that repeat a doc_id
+    share its takes: as many each, and the first of them, by the text's hash, one more if need be."""
+    taken = mixed(docs.select("doc_id", "source", "text").filter("doc_id is not null"), seed, **target)
+    takes, rows, id_, nth, copy = fresh(docs, "takes", "rows", "id", "nth", "copy")
+    times = taken.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(takes))
+    held = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias(rows))
+    each = stored(times.join(held, id_), "takes")
+    mine = docs.join(each, docs["doc_id"] == each[id_])
+    one, several = mine.filter(F.col(rows) == 1).withColumn(nth, F.lit(1)), mine.filter(F.col(rows) > 1)
+    if each.filter(F.col(rows) > 1).limit(1).count():
+        order = Window.partitionBy(id_).orderBy(F.xxhash64("text"), F.length("text"))
+        one = one.unionByName(several.withColumn(nth, F.row_number().over(order)))
+    count = F.floor((F.col(takes) + F.col(rows) - F.col(nth)) / F.col(rows)).cast("int")
+    again = one.withColumn(takes, count).filter(F.col(takes) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(takes))))
+    return again.select(docs.columns).unionByName(docs.filter("doc_id is null"))

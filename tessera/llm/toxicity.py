@@ -30,6 +30,8 @@ from tessera.llm.learn import logistic, sigmoid
 WORDS = re.compile(r"[^\W\d_]+")
 SAMPLE, VOCABULARY, FOLDS = 12_000, 160, 3
 LEAST_DOCS, INDICATES = 4, 0.9
+#: Chi-square of a word's toxic texts that chance exceeds once in a thousand words.
+LEAST_SURPRISE = 10.83
 BATCH_ROWS = 512
 CATEGORIES = ["insult", "severe", "toxic"]
 SHARES = 5
@@ -54,6 +56,8 @@ class Chain:
 
     def __init__(self, names: list[str], vocabulary: list[str]):
         self.names, self.vocabulary, self.models = names, {w: k for k, w in enumerate(vocabulary)}, []
+        # What training has seen: a share beyond it counts as the nearest, so no model is carried on past its data.
+        self.low, self.high = (np.full(len(vocabulary) + SHARES, v, np.float32) for v in (0, 1e9))
 
     def row(self, text: str) -> np.ndarray:
         out = np.zeros(len(self.vocabulary) + SHARES, np.float32)
@@ -63,6 +67,9 @@ class Chain:
 
     def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, l1: float) -> None:
         """y: a column for each category, -1 for an unknown label."""
+        n = len(self.vocabulary)
+        if len(x):
+            self.low[n:], self.high[n:] = x[:, n:].min(axis=0), x[:, n:].max(axis=0)
         for k in range(len(self.names)):
             known = y[:, k] >= 0
             self.models.append(_fit(x[known], y[known, k], l1))
@@ -73,7 +80,7 @@ class Chain:
             x = np.column_stack([x, out_of_fold])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(self.models)))
+        out, x = np.zeros((len(x), len(self.models))), np.clip(x, self.low, self.high)
         for k, (w, b) in enumerate(self.models):
             out[:, k] = sigmoid(x @ w + b)
             x = np.column_stack([x, out[:, k]])
@@ -126,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l1: float =
     total = bags.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
     expected = F.col("n") * F.lit((total.bad or 0) / max(1, total.n))
     surprise = F.pow(F.col("bad") - expected, 2) / F.greatest(expected, F.lit(0.5))
-    top = of.filter(F.col("bad") > expected).orderBy(F.desc(surprise), "word").limit(VOCABULARY)
+    # A long text holds nearly every word, so words that stand out by chance must stay out.
+    top = of.filter((F.col("bad") > expected) & (surprise >= LEAST_SURPRISE)).orderBy(F.desc(surprise), "word").limit(VOCABULARY)
     chain = Chain(CATEGORIES, [r.word for r in top.select("word").collect()])
     index = F.create_map(*[F.lit(x) for w, k in chain.vocabulary.items() for x in (w, k)]) if chain.vocabulary else None
     kept = F.filter(F.transform("words", lambda w: F.try_element_at(index, w)), lambda x: x.isNotNull()) if chain.vocabulary else F.array().cast("array<int>")
