@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines_of
+from tessera.functions.text import let, lines_of
 
 
 def escape(x: Column, quote: bool = False) -> Column:
@@ -47,6 +47,56 @@ def between_tags(x: Column, change) -> Column:
     return F.array_join(F.flatten(F.zip_with(gaps, tags, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
 
 
+def fixed_between_tags(x: Column, change) -> Column:
+    """change(texts) on the array of all texts between tags, so that what it remembers goes from one to the next; they are
+    unescaped before and escaped after, and tags stay."""
+    gaps = F.split(x, TAG, -1)
+    tags = F.regexp_extract_all(x, F.lit(f"({TAG})"), F.lit(1))
+    fixed = F.transform(change(F.transform(gaps, unescape)), lambda g: escape(g))
+    return F.array_join(F.flatten(F.zip_with(fixed, tags, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
+
+
+#: What opens a right-hand block, and numbered headings, which are not joined.
+RIGHT, NUMBERED = '<p class="r">', r"^<h2>(?:[IVXLC]+\.|\d+\.|Глава|ГЛАВА|Раздел|РАЗДЕЛ)\s"
+
+
+def merged_blocks(x: Column) -> Column:
+    """Lines of a page's HTML: neighbouring right-hand blocks become one, and so do neighbouring h2 before the first plain
+    paragraph or h3, unless numbered. Whether a line joins the one before it depends on both lines' openings only."""
+    starts = lambda v, head: F.startswith(v, F.lit(head))
+
+    def merged(lines: Column) -> Column:
+        kinds = F.transform(lines, lambda v: F.when(starts(v, RIGHT), "r").when(starts(v, "<h2>"), F.when(F.rlike(v, F.lit(NUMBERED)), "H").otherwise("h")).when(starts(v, "<p>") | starts(v, "<h3>"), "p").otherwise(""))
+
+        def joined(k: Column) -> Column:
+            first = F.array_position(k, "p")
+            early = lambda i: (first == 0) | (first > i)  # noqa: E731  no plain paragraph among the lines before i
+            joins = lambda i: F.coalesce((i > 0) & ((F.get(k, i) == "r") & (F.get(k, i - 1) == "r") | (F.get(k, i) == "h") & F.get(k, i - 1).isin("h", "H") & early(i)), F.lit(False))
+            tag = lambda i: F.when(F.get(k, i) == "r", len(RIGHT)).otherwise(4)
+            close = lambda i: F.when(F.get(k, i) == "r", 4).otherwise(5)
+            body = lambda v, i: F.when(joins(i), F.concat(F.lit("<br>"), F.substring(v, tag(i) + 1, F.length(v)))).otherwise(F.concat(F.when(i > 0, "\n").otherwise(""), v))
+            cut = lambda b, i: F.when(joins(i + 1), F.substring(b, F.lit(1), F.length(b) - close(i))).otherwise(b)
+            return F.array_join(F.transform(lines, lambda v, i: cut(body(v, i), i)), "")
+
+        return let(kinds, joined)
+
+    return let(F.split(x, "\n", -1), merged)
+
+
+def page_body(x: Column, pairs: list[tuple[str, str]]) -> Column:
+    """A page's HTML in one style: all rules between its tags, with quotes followed through it, then joined blocks."""
+    from tessera.functions.style import fixed_parts
+
+    return merged_blocks(fixed_between_tags(x, lambda texts: fixed_parts(texts, pairs)))
+
+
+def page_log(x: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Array of the distinct (was, became) that page_body() changes by correction or punctuation, in order."""
+    from tessera.functions.style import parts_log
+
+    return parts_log(F.transform(F.split(x, TAG, -1), unescape), pairs)
+
+
 def heading_level(x: Column) -> Column:
     """h2 for capitals and numbered headings (a fixed pattern), else h3."""
     numbered = r"^(?:[IVXLC]+\.?\s|Глава\s|ГЛАВА\s|Раздел\s|РАЗДЕЛ\s|Приложение\s|ПРИЛОЖЕНИЕ\s|\d+(?:\.\d+)*\.?\s+[А-ЯЁ][А-ЯЁ\s,.-]{6,}$)"

@@ -61,7 +61,7 @@ def _comma_before(m: Column) -> Column:
     return F.when(skip, m).otherwise(F.concat(left, F.lit(", "), word, F.lit(" "), right))
 
 
-#: (pattern, change) of the punctuation rules, in order.
+#: Fixed values: (pattern, change) of the punctuation rules, in order.
 PUNCTUATION = [
     (r"[,;:]{2,}", lambda m: F.left(m, F.lit(1))),
     (r"(?U)\w+[,;][А-Яа-яЁё]+", lambda m: F.regexp_replace(m, "([,;])", "$1 ")),
@@ -91,7 +91,7 @@ def fix_log(x: Column) -> Column:
 
 
 def typography(x: Column) -> Column:
-    """Spaces, dashes, number signs and hard spaces, in this order."""
+    """Spaces, dashes, number signs and hard spaces, in this order (fixed patterns)."""
     nbsp = "\u00a0"
     for pattern, new in [
         (r"[ \t\u00a0]{2,}", " "),
@@ -148,6 +148,17 @@ def fixer(x: Column, pairs: list[tuple[str, str]]) -> Column:
     return quotes(typography(punctuation(apply_corrections(x, pairs))))
 
 
+def fixed_parts(parts: Column, pairs: list[tuple[str, str]]) -> Column:
+    """All rules on the texts of one document, each text on its own but for the quotes, which go on from one to the next."""
+    return quotes_through(F.transform(parts, lambda x: typography(punctuation(apply_corrections(x, pairs)))))
+
+
+def parts_log(parts: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Array of the distinct (was, became) of corrections and punctuation in those texts, in the order first made."""
+    logs = F.transform(parts, lambda x: F.concat(correction_hits(x, pairs).cast("array<struct<was:string,became:string>>"), fix_log(apply_corrections(x, pairs))))
+    return F.array_distinct(F.flatten(logs))
+
+
 def applies(names: list[str], file: Column, stem: Column, folder: Column) -> Column:
     """A document is under the rules if the list has its file name, its stem, its folder or a star."""
     return F.arrays_overlap(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), F.array(F.lit("*"), file, stem, folder))
@@ -199,12 +210,16 @@ def words_first_seen(rows: DataFrame, key: str, text: str, pattern: str = r"[А-
 
 
 def unknown_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows of words (column word) of which a hyphen part of 3 letters or more, not all capitals, is unknown; `part` is
-    the first such part. lexicon: known, in lower case with е for ё. Distinct parts meet the lexicon, not mentions."""
+    """Rows of words (column word) that are unknown as a whole and of which a hyphen part of 3 letters or more, not all
+    capitals, is unknown; `part` is the first such part. lexicon: known, in lower case with е for ё. Distinct parts meet the lexicon, not mentions."""
     norm = lambda c: F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
-    parts = words.select("word").distinct().select("word", F.posexplode(F.split("word", "-")).alias("k", "part"))
+    known = lexicon.select(F.col("known").alias("__k")).distinct()
+    whole = words.select("word").distinct()
+    hyphened = whole.filter(F.contains("word", F.lit("-"))).join(known, norm(F.col("word")) == F.col("__k"), "left_anti")
+    whole = whole.filter(~F.contains("word", F.lit("-"))).unionByName(hyphened)
+    parts = whole.select("word", F.posexplode(F.split("word", "-")).alias("k", "part"))
     parts = parts.filter((F.length("part") >= 3) & (F.col("part") != F.upper("part")))
-    bad = parts.join(lexicon.select(F.col("known").alias("__k")).distinct(), norm(F.col("part")) == F.col("__k"), "left_anti")
+    bad = parts.join(known, norm(F.col("part")) == F.col("__k"), "left_anti")
     first = bad.groupBy("word").agg(F.min(F.struct("k", "part")).alias("m")).select("word", "m.part")
     return words.join(first, "word")
 
@@ -236,17 +251,57 @@ def suggestions(words: DataFrame, lexicon: DataFrame, most: int = 3) -> DataFram
     return top.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list("known")), ", ").alias("suggestions"))
 
 
+def first_parses(forms: DataFrame, most: int = 4) -> DataFrame:
+    """The first few parses of each form; forms: a morphology table (form, rank, pos, case, number, gender)."""
+    return forms.filter(F.col("rank") <= most)
+
+
 def participle_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
-    """(key, at): participles right after the noun they agree with, not before a word they agree with.
+    """(key, at): participles right after the noun they agree with, unless a word they agree with follows among the next six
+    without a break.
 
-    forms: a morphology table (form, pos, case, number, gender); agreement is an equi-join on case and number, and on
-    gender in the singular.
+    forms: a morphology table (form, pos, case, number, gender, and rank if a form's parses are ordered). Words meet by
+    their position: a participle looks at the one word before it and the six after it, so the work is linear in a text.
     """
-    toks = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"([А-Яа-яЁё]+)"), F.lit(1))).alias("i", "t")).withColumn("t", F.lower("t"))
-    part = toks.join(forms.filter("pos = 'PRTF'"), F.col("t") == F.col("form")).select(key, "i", "case", "number", "gender")
-    noun = toks.join(forms.filter("pos in ('NOUN', 'NPRO')"), F.col("t") == F.col("form")).select(key, F.col("i").alias("j"), F.col("case").alias("c2"), F.col("number").alias("n2"), F.col("gender").alias("g2"), F.col("t").alias("noun"))
+    tokens = F.regexp_extract_all(text, F.lit(r"(?U)([А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)*|\d+|\S)"), F.lit(1))
+    toks = rows.select(key, F.posexplode(tokens).alias("i", "t")).withColumn("t", F.lower("t"))
+    word = F.rlike("t", F.lit("^[а-яё]"))
+    # `run` counts what is no word, so words of one run have nothing between them.
+    toks = toks.withColumn("run", F.sum(F.when(word, 0).otherwise(1)).over(Window.partitionBy(key).orderBy("i"))).filter(word)
+    toks = toks.withColumn("next", F.lead("run").over(Window.partitionBy(key).orderBy("i")))
+    nouns = (first_parses(forms) if "rank" in forms.columns else forms).filter("pos in ('NOUN', 'NPRO')")
+    noun = toks.join(nouns, F.col("t") == F.col("form")).select(key, F.col("i").alias("j"), "run", F.col("case").alias("c2"), F.col("number").alias("n2"), F.col("gender").alias("g2"), F.col("t").alias("noun"), F.col("pos").alias("p2"))
+    if "rank" in forms.columns:  # the word before must be a noun by its first parse
+        named = forms.filter("rank = 1 and pos = 'NOUN'").select(F.col("form").alias("noun"), F.lit(True).alias("named"))
+        noun = noun.join(named, "noun", "left").withColumn("p2", F.when(F.col("named"), "NOUN").otherwise("")).drop("named")
+    part = toks.filter(F.col("next") == F.col("run")).join(forms.filter("pos = 'PRTF'"), F.col("t") == F.col("form")).select(key, "i", "run", "case", "number", "gender")
+    part = part.withColumn("j", F.explode(F.concat(F.array(F.col("i") - 1), F.sequence(F.col("i") + 1, F.col("i") + 6))))
     agree = (F.col("case") == F.col("c2")) & (F.col("number") == F.col("n2")) & ((F.col("number") == "plur") | F.col("g2").isNull() | (F.col("gender") == F.col("g2")))
-    pairs = part.join(noun, key).filter(agree)
-    after = pairs.filter((F.col("j") == F.col("i") - 1) & (F.length("noun") > 2) & ~F.col("noun").isin("числа", "числе")).select(key, "i").distinct()
-    ahead = pairs.filter((F.col("j") > F.col("i")) & (F.col("j") < F.col("i") + 7)).select(key, "i").distinct()
+    pairs = part.join(noun, [key, "run", "j"]).filter(agree)
+    after = pairs.filter((F.col("j") < F.col("i")) & (F.col("p2") == "NOUN") & (F.length("noun") > 2) & ~F.col("noun").isin("числа", "числе")).select(key, "i").distinct()
+    ahead = pairs.filter(F.col("j") > F.col("i")).select(key, "i").distinct()
     return after.join(ahead, [key, "i"], "left_anti").select(key, F.col("i").alias("at"))
+
+
+def clause_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
+    """(key, at): the word before which a comma lacks for a clause with котор-, by a morphology table (form, pos, case, rank).
+
+    In the genitive the comma goes back over up to five nouns, pronouns, adjectives, participles, numerals, prepositions,
+    infinitives and adverbs (`работа, качество которых`); else over prepositions and then one infinitive. No comma after a
+    conjunction, or where no word stands before.
+    """
+    first = forms.filter("rank = 1").select(F.col("form").alias("_form"), F.col("pos").alias("_pos"), F.col("case").alias("_case"))
+    toks = rows.select(key, F.posexplode(token_offsets(F.col(text))).alias("i", "t")).select(key, "i", F.col("t.token").alias("t"))
+    toks = toks.join(first, F.lower("t") == F.col("_form"), "left").withColumn("word", F.rlike("t", F.lit("^[А-Яа-яЁё]")))
+    w = Window.partitionBy(key).orderBy("i")
+    back = F.array(*[F.struct(F.lag("word", k).over(w).alias("word"), F.lag("_pos", k).over(w).alias("pos"), F.lower(F.lag("t", k).over(w)).alias("low")) for k in range(1, 12)])
+    hit = toks.withColumn("b", back).filter(F.startswith(F.lower("t"), F.lit("котор")) & F.col("word"))
+    runs = lambda xs, ok: F.coalesce(F.array_min(F.transform(F.filter(F.transform(xs, lambda x, k: F.struct(k.alias("k"), F.coalesce(ok(x), F.lit(False)).alias("ok"))), lambda x: ~x["ok"]), lambda x: x["k"])), F.size(xs))
+    wide = ("NOUN", "NPRO", "ADJF", "PRTF", "NUMR", "PREP", "INFN", "ADVB")
+    genitive = runs(F.slice("b", 1, 5), lambda x: x["word"] & x["pos"].isin(*wide))
+    # Prepositions in a row are few; beyond ten words back the search ends.
+    preps = runs(F.slice("b", 1, 10), lambda x: x["word"] & (x["pos"] == "PREP"))
+    other = preps + F.coalesce(F.get("b", preps)["pos"] == "INFN", F.lit(False)).cast("int")
+    hit = hit.withColumn("n", F.when(F.col("_case") == "gent", genitive).otherwise(other)).withColumn("before", F.get("b", F.col("n")))
+    ok = F.coalesce(F.col("before.word"), F.lit(False)) & ~F.col("before.low").isin(CONJUNCTIONS)
+    return hit.filter(ok).select(key, (F.col("i") - F.col("n")).alias("at"))

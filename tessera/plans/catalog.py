@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import access as A
 from tessera.operators import index as I
 from tessera.operators import layout as L
+from tessera.operators import pages as P
 from tessera.plans import fixtures as X
 from tessera.session import table
 
@@ -184,6 +185,107 @@ def cyrillic_terms(spark, d):
     return I.term_freq(texts.groupBy("chunk_id").agg(F.array_join(F.collect_list("t"), " ").alias("text")))
 
 
+def _page_lines(spark, d):
+    """Documents as whole pages of forty lines, their lines repeated to fill the last: every twentieth line is a bold
+    centred title, the tenth after it centred, five and six more on to the right; every fourth is indented."""
+    tidy = lambda x: F.trim(F.regexp_replace(F.left(x, F.lit(80)), "[^A-Za-z]+", " "))
+    rows = I.spread(_docs(spark, d)).select("doc_id", F.filter(F.transform(T.lines_of(F.col("text")), tidy), lambda t: t != "").alias("l")).filter("size(l) > 0")
+    i = F.explode(F.sequence(F.lit(0), (F.ceil(F.size("l") / 40) * 40 - 1).cast("int")))
+    return rows.select("doc_id", "l", i.alias("i")).select("doc_id", "i", F.get("l", F.col("i") % F.size("l")).alias("t"))
+
+
+def _spans(spark, d):
+    k, i = F.col("i") % 20, F.col("i")
+    at = lambda title, centre, right, first, rest: F.when(k == 0, title).when(k == 10, centre).when(k.isin(15, 16), right).when(i % 4 == 1, first).otherwise(rest).cast("double")
+    x0, x1, y0 = at(200, 200, 400, 70, 50), at(400, 400, 550, 550, 550), (i % 40 * 14 + 100).cast("double")
+    words = F.array_join(F.slice(F.split("t", " "), 1, 1), ""), F.regexp_replace("t", "^[A-Za-z]+", "")
+    two = F.posexplode(F.filter(F.array(*words), lambda w: w != "")).alias("span", "text")
+    lines = _page_lines(spark, d).select("doc_id", "i", x0.alias("a"), x1.alias("b"), y0.alias("y"), F.when(k == 0, 16).otherwise(0).alias("flags"), two)
+    return lines.select(
+        "doc_id", (F.floor(i / 40) + 1).cast("int").alias("page"), (i % 40).cast("int").alias("line"), "span", "text", F.lit("Times").alias("font"), "flags", F.lit(10.0).alias("size"), F.lit(0).alias("color"),
+        F.when(F.col("span") == 0, F.col("a")).otherwise(F.col("a") + 5).alias("x0"), F.when(F.col("span") == 0, F.col("a") + 5).otherwise(F.col("b")).alias("x1"),
+        F.col("a").alias("line_x0"), F.col("y").alias("line_y0"), F.col("b").alias("line_x1"), (F.col("y") + 10).alias("line_y1"), F.lit(0.0).alias("dir_y"), F.lit(1000.0).alias("height"),
+    )
+
+
+def _blocks(spark, d):
+    spans = _spans(spark, d)
+    # A line of one word would end short of the margin.
+    spans = spans.withColumn("x1", F.when(F.col("x1") < F.col("line_x1") - 5, F.max("line_x1").over(Window.partitionBy("doc_id", "page", "line"))).otherwise(F.col("x1")))
+    spans = spans.withColumn("x1", F.when((F.col("span") == 0) & (F.count("*").over(Window.partitionBy("doc_id", "page", "line")) == 2), F.col("x0") + 5).otherwise(F.col("x1")))
+    pages = spans.select("doc_id", "page").distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(1000.0))
+    boxes = pages.filter("page % 3 = 0").select("doc_id", "page", F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(200.0).alias("x1"), F.lit(60.0).alias("y1"))
+    cells = F.array(F.array(F.lit("a"), F.lit(""), F.lit("b &")), F.array(F.lit(""), F.lit(""), F.lit("")), F.array(F.lit("c-\nd"), F.lit(" "), F.col("page").cast("string")))
+    images = pages.filter("page % 2 = 0").select("doc_id", "page", F.lit(300.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(500.0).alias("x1"), F.when(F.col("page") % 4 == 0, 60.0).otherwise(45.0).alias("y1"))
+    return P.blocks(P.lines_of_spans(spans), boxes.withColumn("rows", cells), images, pages)
+
+
+def page_blocks(spark, d):
+    return _blocks(spark, d).select("doc_id", "kind", "page", F.md5("html").alias("digest"))
+
+
+def page_documents(spark, d):
+    """Whole pages: how many blocks of each kind, and how long they are."""
+    found = _blocks(spark, d)
+    page = P.documents_html(found).select("doc_id", F.length(P.page_html(F.concat(F.lit("<"), F.col("doc_id"), F.lit(">")), F.col("html"), "p{}", F.lit("files/a&b.pdf"), F.col("doc_id") % 2 == 0)).cast("long").alias("chars"))
+    return page.join(found.groupBy("doc_id").agg(F.count("*").alias("blocks")), "doc_id")
+
+
+def sidecar_html(spark, d):
+    parts = I.text_parts(_docs(spark, d)).select("doc_id", "part", F.concat(F.lit("=== стр. "), "part", F.lit(" ===\n"), "text", F.lit("\n")).alias("x"))
+    texts = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "x"))), lambda p: p["x"]), "").alias("x"))
+    return texts.select("doc_id", F.md5(P.sidecar_html(F.concat(F.lit("dropped\n"), "x"))).alias("digest"))
+
+
+def docx_tables(spark, d):
+    """Orders as tables: a row for each line, in which the second cell is merged with the third."""
+    cell = lambda n, *ps: F.struct(n.cast("string").alias("id"), F.array(*ps).alias("paragraphs"))
+    n = F.col("l_linenumber")
+    row = F.array(cell(n, F.col("l_returnflag"), F.lit(" ")), cell(n + 100, F.concat(F.lit(" <"), "l_linestatus"), F.lit("&")), cell(n + 100, F.concat(F.lit(" <"), "l_linestatus"), F.lit("&")))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct(n.alias("n"), row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return rows.select("l_orderkey", P.docx_table_html(F.col("rows")).alias("html"))
+
+
+def boxes(spark, d):
+    """Parts' names as frames of one column: cells go on until one ends a sentence."""
+    words = F.split("p_name", " ")
+    cells = F.transform(words, lambda w, i: F.array(F.when(i % 3 == 2, F.concat(w, F.lit("."))).otherwise(w)))
+    rows = table(spark, d, "part").select("p_partkey", cells.alias("rows"))
+    none = rows.sparkSession.createDataFrame([], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    pages = rows.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(900.0).alias("height"))
+    tables = rows.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0))], "rows")
+    lines = P.lines_of_spans(rows.sparkSession.createDataFrame([], P.SPANS))
+    return P.blocks(lines, tables, none, pages).filter("kind = 'table'").select(F.col("doc_id").alias("p_partkey"), "html")
+
+
+#: What a page's texts are put together from, and what the rules make of each.
+RULES = ["тепловоз -> локомотив", "по прибытию -> по прибытии"]
+SAMPLES = [
+    "да,, нет", "вагон,локомотив", "поезд а вагон", "далее - ПТЭ", "N 1215/р", "длина 5 км", 'он "сам" ушел', "a &amp; b  c", "старый тепловоз", "слово , слово", "По прибытию поезда", "не позднее, чем завтра",
+]
+
+
+def _cyrillic_pages(spark):
+    """Pages of forty lines: paragraphs, right-hand blocks, titles; an open quote in one line is closed in the next but one."""
+    k, i = F.col("id") % 40, F.floor(F.col("id") / 40)
+    pick = F.element_at(F.array(*map(F.lit, SAMPLES)), ((F.col("id") * 7 + i) % len(SAMPLES) + 1).cast("int"))
+    body = F.when(k == 20, F.concat(pick, F.lit(' "и'))).when(k == 22, F.concat(pick, F.lit(' тут"'))).otherwise(pick)
+    tag = lambda a, b: F.concat(F.lit(a), body, F.lit(b))
+    title = F.when((k < 3) | (k == 30) | (k == 31), tag("<h2>", "</h2>")).when(k == 3, tag("<h2>I. ", "</h2>")).when(k == 4, tag("<h2>", "</h2>"))
+    line = F.coalesce(title, F.when(k.isin(6, 7, 8, 33, 35), tag('<p class="r">', "</p>")).when(k == 5, tag("<h3><b>", "</b></h3>")).otherwise(tag("<p>", "</p>")))
+    rows = spark.range(40 * 300).select(i.alias("page_id"), k.alias("k"), line.alias("x"))
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n").alias("html"))
+
+
+def page_body(spark, d):
+    return _cyrillic_pages(spark).select("page_id", H.page_body(F.col("html"), S.parse_corrections(RULES)).alias("html"))
+
+
+def page_log(spark, d):
+    log = H.page_log(F.col("html"), S.parse_corrections(RULES))
+    return _cyrillic_pages(spark).select("page_id", F.explode(log).alias("f")).groupBy("f.was", "f.became").agg(F.count("*").alias("pages"))
+
+
 def header_footer(spark, d):
     return L.repeated_edges(_lines(spark, d))
 
@@ -425,7 +527,7 @@ def content_cache(spark, d):
 
 def queries():
     names = [
-        stem_words, cyrillic_terms, text_parts, text_lines_html, chunks, chunk_ids, chunk_pages, doc_offsets, doc_records, tokens, term_freq, chunk_len, doc_freq, corpus_stats, idf, bm25_weights,
+        stem_words, cyrillic_terms, page_blocks, page_documents, sidecar_html, docx_tables, boxes, page_body, page_log, text_parts, text_lines_html, chunks, chunk_ids, chunk_pages, doc_offsets, doc_records, tokens, term_freq, chunk_len, doc_freq, corpus_stats, idf, bm25_weights,
         postings, shard_plan, index_shards, vocab, index_meta, search_topk, search_typo, header_footer, noise_lines, heading_level, merge_adjacent, margin_pct, distinct_first,
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,

@@ -134,7 +134,57 @@ s7 AS (SELECT w, head, CASE WHEN regexp_matches(t, '[^аеиоуыэюя][аеи
 s8 AS (SELECT w, head, CASE WHEN t LIKE '%ь' THEN left(t, length(t) - 1) ELSE regexp_replace(t, 'ейше?$', '') END AS u, t LIKE '%ь' AS soft FROM s7),
 stems AS (SELECT w AS word, CASE WHEN head = '' THEN w WHEN NOT soft AND u LIKE '%нн' THEN head || left(u, length(u) - 1) ELSE head || u END AS stem FROM s8)"""
 
+PAGES = f"""{PARTS},
+ln AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS x FROM docs),
+tx AS (SELECT doc_id, k, trim(regexp_replace(left(x, 80), '[^A-Za-z]+', ' ', 'g')) AS t FROM ln),
+ls AS (SELECT doc_id, list(t ORDER BY k) AS t FROM tx WHERE t <> '' GROUP BY doc_id),
+nu AS (SELECT doc_id, t, unnest(range((len(t) + 39) // 40 * 40)) AS i FROM ls),
+pl AS (SELECT doc_id, i, t[i % len(t) + 1] AS t FROM nu),
+kd AS (SELECT *, i // 40 + 1 AS page, CASE WHEN i % 20 = 0 THEN 'h' WHEN i % 20 = 10 THEN 'c' WHEN i % 20 IN (15, 16) THEN 'r' ELSE 'p' END AS kind FROM pl),
+nw AS (SELECT *, CASE WHEN kind = 'p' AND i % 4 <> 1 AND lag(kind) OVER o = 'p' OR kind = 'r' AND i % 20 = 16 THEN 0 ELSE 1 END AS fresh FROM kd WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+gr AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM nw),
+bl AS (SELECT doc_id, g, any_value(kind) AS kind, max(page) AS page, CASE kind WHEN 'r' THEN string_agg(t, '<br>' ORDER BY i) ELSE string_agg(t, ' ' ORDER BY i) END AS t FROM gr GROUP BY doc_id, g, kind),
+pg AS (SELECT DISTINCT doc_id, page FROM kd),
+im AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS n FROM pg WHERE page % 4 = 0),
+hb AS (
+  SELECT doc_id, kind, page, CASE kind WHEN 'h' THEN CASE WHEN t = upper(t) OR regexp_matches(t, '^[IVXLC]+ ') THEN '<h2>' || t || '</h2>' ELSE '<h3>' || t || '</h3>' END
+    WHEN 'p' THEN '<p>' || t || '</p>' ELSE '<p class="' || kind || '">' || t || '</p>' END AS html FROM bl
+  UNION ALL SELECT doc_id, 'page', page, '<a id="page=' || page || '"></a>' FROM pg
+  UNION ALL SELECT doc_id, 'table', page, '<div class="tbl"><table><tr><td>a</td><td>b &amp;</td></tr><tr><td>cd</td><td>' || page || '</td></tr></table></div>' FROM pg WHERE page % 3 = 0
+  UNION ALL SELECT doc_id, 'image', page, '<figure><img src="img/' || n || '.png" alt="" loading="lazy"></figure>' FROM im)"""
+
+# What the rules make of each sample, by hand.
+RULED = [
+    "да, нет", "вагон, локомотив", "поезд, а вагон", "далее\u00a0— ПТЭ", "№\u00a01215/р", "длина 5\u00a0км", "он {} ушел", "a &amp; b c", "старый локомотив", "слово, слово", "По прибытии поезда", "не позднее чем завтра",
+]
+PAGE_BODY = f"""WITH a AS (SELECT i, i % 40 AS k, i // 40 AS page_id, [{", ".join(f"'{x}'" for x in RULED)}][(i * 7 + i // 40) % 12 + 1] AS t FROM range(12000) r(i)),
+q AS (SELECT *, replace(t, '{{}}', CASE WHEN k IN (21, 22) THEN '„сам“' ELSE '«сам»' END) || CASE k WHEN 20 THEN ' «и' WHEN 22 THEN ' тут»' ELSE '' END AS x FROM a),
+l AS (SELECT *, CASE WHEN k IN (6, 7, 8, 33, 35) THEN 'r' WHEN k IN (0, 1, 2, 4, 30, 31) THEN 'h' WHEN k = 3 THEN 'H' WHEN k = 5 THEN 'b' ELSE 'p' END AS kind FROM q),
+j AS (SELECT *, k IN (1, 2, 4, 7, 8) AS joins FROM l),
+b AS (SELECT page_id, sum((NOT joins)::INT) OVER (PARTITION BY page_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g, k, kind, CASE kind WHEN 'H' THEN 'I. ' || x ELSE x END AS x FROM j),
+m AS (SELECT page_id, g, first(kind ORDER BY k) AS kind, string_agg(x, '<br>' ORDER BY k) AS x FROM b GROUP BY page_id, g)
+SELECT page_id, string_agg(CASE kind WHEN 'r' THEN '<p class="r">' || x || '</p>' WHEN 'p' THEN '<p>' || x || '</p>' WHEN 'b' THEN '<h3><b>' || x || '</b></h3>' ELSE '<h2>' || x || '</h2>' END, chr(10) ORDER BY g) AS html
+FROM m GROUP BY page_id"""
+
 SQL = {
+    "page_blocks": f"WITH {PAGES} SELECT doc_id, kind, page, md5(html) AS digest FROM hb",
+    "page_documents": f"""WITH {PAGES} SELECT doc_id, count(*) AS blocks, sum(length(html))::BIGINT + count(*) - 1 + 2 * length('&lt;' || doc_id || '&gt;') + CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 0 END
+  + length('<!doctype html><html lang="ru"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width,initial-scale=1"><title></title><style>p{{}}</style></head><body><div class="bar"><span></span><a href="files/a&amp;b.pdf">Оригинал</a></div><main>')
+  + 2 + length('</main></body></html>') AS chars FROM hb GROUP BY doc_id""",
+    "sidecar_html": rf"""WITH {PARTS},
+l AS (SELECT doc_id, part, generate_subscripts(s, 1) AS k, unnest(s) AS y FROM (SELECT doc_id, part, string_split(text, chr(10)) AS s FROM parts)),
+x AS (SELECT doc_id, part, k, trim(regexp_replace(y, '\s+', ' ', 'g')) AS x FROM l WHERE trim(regexp_replace(y, '\s+', ' ', 'g')) <> ''),
+h AS (SELECT doc_id, part, k, CASE WHEN length(x) < 120 AND {UPPER} THEN '<h2>' || {ESC("x")} || '</h2>' ELSE '<p>' || {ESC("x")} || '</p>' END AS h FROM x
+  UNION ALL SELECT doc_id, part, 0, '<a id="page=' || part || '"></a>' FROM parts)
+SELECT doc_id, md5(string_agg(h, chr(10) ORDER BY part, k)) AS digest FROM h GROUP BY doc_id""",
+    "docx_tables": """SELECT l_orderkey, '<div class="tbl"><table>' || string_agg('<tr><td>' || l_returnflag || '</td><td>&lt;' || l_linestatus || '<br>&amp;</td></tr>', '' ORDER BY l_linenumber, l_returnflag, l_linestatus) || '</table></div>' AS html
+FROM lineitem GROUP BY l_orderkey""",
+    "boxes": """WITH w AS (SELECT p_partkey, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS w FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)),
+g AS (SELECT p_partkey, i // 3 AS g, string_agg(w, ' ' ORDER BY i) || CASE WHEN count(*) = 3 THEN '.' ELSE '' END AS t FROM w GROUP BY ALL)
+SELECT p_partkey, '<div class="box">' || string_agg('<p>' || t || '</p>', '' ORDER BY g) || '</div>' AS html FROM g GROUP BY p_partkey""",
+    "page_body": PAGE_BODY,
+    "page_log": """WITH f AS (SELECT * FROM (VALUES (0, ',,', ','), (1, 'вагон,локомотив', 'вагон, локомотив'), (2, 'поезд а вагон', 'поезд, а вагон'), (8, 'тепловоз', 'локомотив'), (10, 'По прибытию', 'По прибытии'),
+  (11, 'не позднее, чем', 'не позднее чем')) t(s, was, became)) SELECT was, became, count(DISTINCT i // 40) AS pages FROM range(12000) r(i) JOIN f ON s = (i * 7 + i // 40) % 12 GROUP BY ALL""",
     "stem_words": f"WITH {STEM} SELECT word, stem FROM stems",
     "cyrillic_terms": f"""WITH {STEM}, n AS (SELECT word, stem, row_number() OVER (ORDER BY word) - 1 AS i FROM stems)
 SELECT i // 50 AS chunk_id, stem AS term, sum(1 + i % 3)::BIGINT AS tf FROM n WHERE word NOT IN ({STOP}) GROUP BY 1, 2""",
