@@ -103,10 +103,6 @@ def heading_level(x: Column) -> Column:
     return F.when(is_upper(x) | F.rlike(x, F.lit(numbered)), "h2").otherwise("h3")
 
 
-def is_caption(x: Column) -> Column:
-    return F.rlike(x, F.lit(r"^(Таблица|Рисунок)\s+[\dIVXА-Я]"))
-
-
 def is_upper(x: Column) -> Column:
     return (x == F.upper(x)) & (x != F.lower(x))
 

@@ -143,11 +143,6 @@ def quotes_through(parts: Column) -> Column:
     return F.split(quotes(F.array_join(parts, SEAM), SEAM), SEAM, -1)
 
 
-def fixer(x: Column, pairs: list[tuple[str, str]]) -> Column:
-    """All rules on one text: corrections, punctuation, typography, quotes."""
-    return quotes(typography(punctuation(apply_corrections(x, pairs))))
-
-
 def fixed_parts(parts: Column, pairs: list[tuple[str, str]]) -> Column:
     """All rules on the texts of one document, each text on its own but for the quotes, which go on from one to the next."""
     return quotes_through(F.transform(parts, lambda x: typography(punctuation(apply_corrections(x, pairs)))))

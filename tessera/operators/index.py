@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.functions.style import fixed_parts
 
 LINES, PER_PAGE, SHARD_BYTES, K1, B = 60, 40, 60_000, 1.5, 0.75
 #: Chunk numbers of one block of a posting list.
@@ -30,10 +31,17 @@ def text_parts(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return rows.select("doc_id", F.col("part").cast("long").alias("part"), F.concat(F.lit("часть "), "part").alias("label"), body.alias("text"))
 
 
-def chunks(docs: DataFrame, fix=None) -> DataFrame:
-    """(doc_id, part, piece, label, text): cleaned, optionally corrected, cut greedily inside each part."""
-    cleaned = T.clean(F.col("text"))
-    parts = text_parts(docs).select("doc_id", "part", "label", (fix(cleaned) if fix else cleaned).alias("text"))
+def chunks(docs: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, part, piece, label, text): cleaned parts, cut greedily inside each. With correction pairs (also none of
+    them) all rules apply, and quotes are followed through a document's parts."""
+    if pairs is None:
+        parts = text_parts(docs).select("doc_id", "part", "label", T.clean(F.col("text")).alias("text"))
+    else:
+        n = F.ceil(F.size("l") / LINES).cast("int")
+        rows = spread(docs).select("doc_id", T.lines_of(F.col("text")).alias("l")).filter(F.size("l") > 0)
+        texts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: T.clean(F.array_join(F.slice("l", k * LINES + 1, F.lit(LINES)), "\n")))
+        parts = rows.select("doc_id", F.posexplode(fixed_parts(texts, pairs)).alias("k", "text"))
+        parts = parts.select("doc_id", (F.col("k") + 1).cast("long").alias("part"), F.concat(F.lit("часть "), F.col("k") + 1).alias("label"), "text")
     return parts.select("doc_id", "part", "label", F.posexplode(T.split_text(F.col("text"))).alias("piece", "text")).select("doc_id", "part", F.col("piece").cast("long").alias("piece"), "label", "text")
 
 
@@ -163,6 +171,26 @@ def vocabulary(tf: DataFrame) -> DataFrame:
     return doc_freq(tf).filter((F.length("term") >= 4) & ~F.rlike("term", F.lit("^[0-9]+$")))
 
 
+def metadata(docs: DataFrame, pieces: DataFrame, weights: DataFrame, at: int) -> DataFrame:
+    """One row: v (the build's version, from its time in epoch seconds), built, docs, chunks, shards, per, bytes (of the
+    chunks' texts and posting lists), secs (sections in their natural order) and stop (the stop words, sorted). The records
+    of the documents are a table of their own (doc_offsets)."""
+    count = docs.agg(F.count("*").alias("docs"))
+    held = pieces.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("text_bytes"))
+    named = docs.select(F.coalesce("source", F.lit("")).alias("sec")).filter("sec <> ''").distinct()  # few: the site's folders
+    secs = named.agg(F.transform(F.sort_array(F.collect_list(T.section_key(F.col("sec")))), lambda s: s["name"]).alias("secs"))
+    row = count.crossJoin(held).crossJoin(secs).crossJoin(shard_plan(weights))  # one row each
+    return row.select(
+        F.lower(F.hex(F.lit(at).cast("long"))).alias("v"), F.date_format(F.timestamp_seconds(F.lit(at)), "dd.MM.yyyy").alias("built"), "docs", "chunks", "shards", F.lit(PER_PAGE).alias("per"),
+        (F.col("text_bytes") + F.col("bytes")).alias("bytes"), "secs", F.array(*[F.lit(w) for w in sorted(set(T.STOP_WORDS))]).alias("stop"),
+    )
+
+
+def bytes_on_disk(files: DataFrame) -> DataFrame:
+    """(bytes) of scanned files (column length)."""
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def write_index(pieces: DataFrame, weights: DataFrame, path: str) -> None:
     """Postings by shard, chunk texts by page and the vocabulary, as partitioned tables."""
     lists = postings(weights).join(index_shards(weights).select("term", "shard"), "term")

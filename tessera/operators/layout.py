@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def is_noise(x: Column) -> Column:
-    """Blank, or only digits, dashes, dots and the letters of a page mark."""
+    """Blank, or only digits, dashes, dots and the letters of a page mark (a fixed pattern)."""
     return F.rlike(x, F.lit(r"(?U)^[\s\d\-–—./стрСтр]*$"))
 
 
@@ -85,18 +85,9 @@ def margins(lines: DataFrame, *page: str) -> DataFrame:
     return rows.select(*page, F.element_at("a", tenth + 1).alias("left"), F.element_at("b", -F.greatest(F.lit(1), tenth)).alias("right"))
 
 
-def line_class(plain: Column, bold: Column, italic: Column, coloured: Column, x0: Column, x1: Column, left: Column, right: Column) -> Column:
-    """ed, h, c, r or p of a line on its own (the paragraph before it may still change h)."""
-    from tessera.functions.html import heading_level
-
-    indent, middle = x0 - left, (left + right) / 2
-    centred = (indent > 25) & (F.abs((x0 + x1) / 2 - middle) < 25) & (x1 < right - 15)
-    head = bold & (F.length(plain) < 220) & (centred | (heading_level(plain) == "h2"))
-    return F.when(italic & coloured, "ed").when(head, "h").when(centred & (x1 - x0 < (right - left) * 0.85), "c").when(indent > (right - left) * 0.4, "r").otherwise("p")
-
-
 def joined(before: Column, after: Column) -> Column:
-    """Two lines of one paragraph: a hyphen at the end goes, unless it is that of a compound, else a space between."""
+    """Two lines of one paragraph: a hyphen at the end goes, unless it is that of a compound, else a space between (fixed
+    patterns)."""
     a, b = F.regexp_replace(before, r"(?U)\s+$", ""), F.regexp_replace(after, r"(?U)^\s+", "")
     small = F.rlike(b, F.lit("^[а-яё]"))
     compound = F.rlike(a, F.lit("[а-яё]{4,}(?:ико|но)-$")) & small
@@ -122,11 +113,6 @@ def pruned_table(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(columns, lambda j: F.coalesce(F.get(r, j), F.lit(""))))
 
 
-def is_box(rows: Column) -> Column:
-    """A frame rather than a table: one column, or one row of at most two cells."""
-    return (F.array_max(F.transform(rows, F.size)) == 1) | ((F.size(rows) == 1) & (F.size(F.element_at(rows, 1)) <= 2))
-
-
 def merge_adjacent(rows: DataFrame, group: str, order: str, kind: str, text: str, sep: str = "\n") -> DataFrame:
     """(group, island, kind, n, text): neighbouring rows of one kind joined."""
     w = Window.partitionBy(group).orderBy(order)

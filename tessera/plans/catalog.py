@@ -137,10 +137,8 @@ def vocab(spark, d):
 
 
 def index_meta(spark, d):
-    offsets = I.doc_offsets(_docs(spark, d), _chunks(spark, d)).agg(F.count("*").alias("docs"), F.sum("chunks").alias("chunks"))
-    secs = _docs(spark, d).agg(F.countDistinct("source").alias("secs"))
-    plan = I.shard_plan(_weights(spark, d)).select("shards")
-    return offsets.crossJoin(secs).crossJoin(plan).select("docs", "chunks", "secs", "shards", F.lit(I.PER_PAGE).alias("per"), F.lit(len(T.STOP_WORDS)).alias("stop"))  # one row each
+    row = I.metadata(_docs(spark, d), _chunks(spark, d), _weights(spark, d), 1_700_000_000)
+    return row.select("v", "built", "docs", "chunks", "shards", "per", "bytes", F.array_join("secs", "|").alias("secs"), F.md5(F.array_join("stop", " ")).alias("stop"))
 
 
 def search_topk(spark, d):

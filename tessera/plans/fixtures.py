@@ -111,8 +111,9 @@ def table_prune(spark, d):
 
 
 def tickets_explode(spark, d):
-    deck = [("Билеты", [(1, ["что", "где"]), (2, ["когда"])])]
-    rows = spark.createDataFrame(deck, "title string, tickets array<struct<n:int,q:array<string>>>")
+    deck = '{"title": "Билеты", "tickets": [{"n": 1, "q": ["что", "где"]}, {"n": 2, "q": ["когда"]}]}'
+    kind = "title string, tickets array<struct<n:int,q:array<string>>>"
+    rows = spark.createDataFrame([(deck,)], "value string").select(F.from_json("value", kind).alias("d")).select("d.*")
     one = rows.select("title", F.explode("tickets").alias("t"))
     return one.select("title", F.col("t.n").alias("n"), F.posexplode("t.q").alias("k", "question")).withColumn("k", F.col("k").cast("long"))
 

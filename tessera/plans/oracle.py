@@ -212,7 +212,9 @@ SELECT d.doc_id, md5(coalesce(h, '')) AS digest FROM documents d LEFT JOIN a USI
     "index_shards": f"""{R}{BM25} SELECT list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)),
   lambda h, c: (xor(h, c) * 16777619) & 4294967295) % shards AS shard, term, df FROM size, plan""",
     "vocab": f"{R}{BM25} SELECT term, df FROM df WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')",
-    "index_meta": f"{R}{BM25}{OFFSETS} SELECT (SELECT count(*) FROM off) AS docs, (SELECT sum(chunks)::BIGINT FROM off) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS secs, shards, 40 AS per, 161 AS stop FROM plan",
+    "index_meta": f"""{R}{BM25} SELECT lower(to_hex(1700000000)) AS v, '14.11.2023' AS built, (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM chunk) AS chunks, shards, 40 AS per,
+  (bytes + (SELECT sum(strlen(text)) FROM chunk))::BIGINT AS bytes, (SELECT string_agg(DISTINCT source, '|' ORDER BY source) FROM documents WHERE source <> '') AS secs,
+  (SELECT md5(string_agg(DISTINCT w, ' ' ORDER BY w)) FROM (SELECT unnest([{STOP}]) AS w)) AS stop FROM plan""",
     "search_topk": f"""{R}{BM25}, hit AS (SELECT chunk_id, sum(weight)::BIGINT AS score FROM weights WHERE term IN ('the', 'reading', 'of', 'an', 'erer', 'tion', 'enter') GROUP BY 1),
 top AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM hit) SELECT chunk_id, score, rank FROM top WHERE rank <= 10""",
     "search_typo": f"""{R}{BM25}, v AS (SELECT term, df FROM df WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')),

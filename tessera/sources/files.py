@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let, lines_of, strip
+
 EXTENSIONS = ("pdf", "docx", "txt", "md")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file, stem, ext, sec, length, content): files of the folder and of its folders, one level deep; names that
-    start with a dot, and folders that start with a dot or underscore, are left out."""
+    start with a dot, and folders that start with a dot or underscore, are left out, and so are empty files, which Spark's
+    reader does not list."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split("://")[-1].split(":", 1)[-1]
     rel = F.regexp_replace("path", rf"^.*?\Q{root}\E/", "")
@@ -43,65 +46,79 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^\\uFEFF", "")
 
 
+PARTS = "array<struct<label:string,text:string>>"
+
+
 def parsed(files: DataFrame) -> DataFrame:
-    """(path, parts: array of (label, text)) of text, PDF and DOCX files. A file that can't be read has no parts; the
-    PDF and DOCX readers are optional packages."""
+    """(path, parts: array of (label, text), error) of text, PDF and DOCX files. A file that can't be read has no parts and
+    says why; a reader's package that is missing is an error of the whole job. PDF and DOCX readers are optional packages."""
     from tessera.operators.layout import docx_parts
 
     text = files.filter(F.col("ext").isin("txt", "md")).select("path", lines_of(decoded(F.col("content"))).alias("l"))
     n = F.ceil(F.size("l") / 60).cast("int")
     numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     parts = F.transform(numbers, lambda k: F.struct(F.concat(F.lit("часть "), k).alias("label"), F.array_join(F.slice("l", (k - 1) * 60 + 1, F.lit(60)), "\n").alias("text")))
-    text = text.select("path", parts.alias("parts"))
+    text = text.select("path", parts.alias("parts"), F.lit(None).cast("string").alias("error"))
+    pages = _read_each(files.filter("ext = 'pdf'"), _pdf_reader, "array<string>")
+    labelled = F.transform("found", lambda t, k: F.struct(F.concat(F.lit("стр. "), k + 1).alias("label"), t.alias("text")))
+    blocks = _read_each(files.filter("ext = 'docx'"), _docx_reader, "array<struct<kind:string,rows:array<array<string>>>>")
+    read = text.unionByName(pages.select("path", labelled.alias("parts"), "error"))
+    return read.unionByName(blocks.select("path", docx_parts(docx_blocks(F.col("found"))).alias("parts"), "error"))
 
-    def pdf(batches):
-        from pypdf import PdfReader
 
-        for pdf_files in batches:
-            pdf_files["parts"] = [_guarded(lambda c=c: [{"label": f"стр. {i}", "text": p.extract_text() or ""} for i, p in enumerate(PdfReader(io.BytesIO(c)).pages, 1)]) for c in pdf_files["content"]]
-            yield pdf_files[["path", "parts"]]
+def _read_each(files: DataFrame, reader, kind: str) -> DataFrame:
+    """(path, found, error) by a function of a file's bytes, which `reader` makes once in each task."""
+
+    def run(batches):
+        read = None
+        for batch in batches:
+            read = read or reader()
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((path, read(bytes(content)), None))
+                except Exception as error:  # one broken file must not stop the rest
+                    rows.append((path, [], f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "found", "error"])
 
-    def docx(batches):
-        for files in batches:
-            files["blocks"] = [_guarded(lambda c=c: _docx_blocks(c)) for c in files["content"]]
-            yield files[["path", "blocks"]]
+    return files.select("path", "content").mapInPandas(run, f"path string, found {kind}, error string")
 
-    kind = "array<struct<label:string,text:string>>"
-    pages = files.filter("ext = 'pdf'").select("path", "content").mapInPandas(pdf, f"path string, parts {kind}")
-    blocks = files.filter("ext = 'docx'").select("path", "content").mapInPandas(docx, "path string, blocks array<struct<kind:string,text:string>>")
-    return text.unionByName(pages).unionByName(blocks.select("path", docx_parts(F.col("blocks")).alias("parts")))
 
+def _pdf_reader():
+    from pypdf import PdfReader
 
-def _guarded(read) -> list:
-    try:
-        return read()
-    except Exception:  # one broken file must not stop the rest
-        return []
+    return lambda content: [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
 
 
-def _docx_blocks(content: bytes) -> list[dict]:
-    """Paragraphs and tables in order; equal neighbours among a row's cells are one merged cell."""
-    import docx
+def _docx_reader():
+    """Blocks in the order of the document's body: a paragraph as one cell, a table as its rows of cells, all as they are."""
+    from docx import Document
+    from docx.oxml.ns import qn
     from docx.table import Table
     from docx.text.paragraph import Paragraph
 
-    document, out = docx.Document(io.BytesIO(content)), []
-    for child in document.element.body.iterchildren():
-        kind = child.tag.rpartition("}")[2]
-        if kind == "p" and (text := Paragraph(child, document).text.strip()):
-            out.append({"kind": "p", "text": text})
-        elif kind == "tbl":
-            rows = []
-            for row in Table(child, document).rows:
-                cells = [" ".join(c.text.split()) for c in row.cells]
-                rows.append(" | ".join(c for k, c in enumerate(cells) if not k or c != cells[k - 1]))
-            out.append({"kind": "t", "text": "\n".join(rows)})
-    return out
+    def read(content: bytes) -> list[dict]:
+        document = Document(io.BytesIO(content))
+        make = {qn("w:p"): lambda e: ("p", [[Paragraph(e, document).text]]), qn("w:tbl"): lambda e: ("t", [[c.text for c in r.cells] for r in Table(e, document).rows])}
+        found = (make[e.tag](e) for e in document.element.body if e.tag in make)
+        return [{"kind": kind, "rows": rows} for kind, rows in found]
+
+    return read
+
+
+def docx_blocks(found: Column) -> Column:
+    """Array of (kind, text) from blocks (kind, rows): paragraphs stripped, blank ones dropped; a table's rows are lines of
+    its cells with blanks collapsed, equal neighbours (a merged cell) once."""
+    cells = lambda r: collapsed(F.transform(r, lambda c: F.regexp_replace(strip(c), r"(?U)\s+", " ")))
+    table = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(cells(r), " | ")), "\n")
+    text = lambda b: F.when(b["kind"] == "p", strip(b["rows"][0][0])).otherwise(table(b["rows"]))
+    blocks = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), text(b).alias("text")))
+    return F.filter(blocks, lambda b: (b["kind"] != "p") | (b["text"] != ""))
 
 
 def collapsed(cells: Column) -> Column:
     """An array without items equal to the one before."""
-    return F.filter(cells, lambda v, i: (i == 0) | (v != F.get(cells, i - 1)))
+    return let(cells, lambda xs: F.filter(xs, lambda v, i: (i == 0) | (v != F.get(xs, i - 1))))
 
 
 def with_scans(parts: DataFrame, sidecars: DataFrame) -> DataFrame:
