@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,8 +50,10 @@ def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
     """counts (distinct keys of any type) with `start`: the sum of value over smaller keys.
 
     Keys are cut at quantiles of a bounded sample into ranges of about SPAN rows, so neither their type nor their spread
-    matters; totals of ranges first, then inside each. No window holds more than a range.
+    matters; totals of ranges first, then inside each. No window holds more than a range. counts is read three times, so it
+    is kept (memory, then disk; a row for each key).
     """
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     cuts = _quantiles(counts, key)
     at = F.lit(0)
     if cuts:  # two steps, so a row meets few of the cuts

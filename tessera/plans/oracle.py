@@ -150,7 +150,7 @@ hb AS (
   SELECT doc_id, kind, page, CASE kind WHEN 'h' THEN CASE WHEN t = upper(t) OR regexp_matches(t, '^[IVXLC]+ ') THEN '<h2>' || t || '</h2>' ELSE '<h3>' || t || '</h3>' END
     WHEN 'p' THEN '<p>' || t || '</p>' ELSE '<p class="' || kind || '">' || t || '</p>' END AS html FROM bl
   UNION ALL SELECT doc_id, 'page', page, '<a id="page=' || page || '"></a>' FROM pg
-  UNION ALL SELECT doc_id, 'table', page, '<div class="tbl"><table><tr><td>a</td><td>b &amp;</td></tr><tr><td>cd</td><td>' || page || '</td></tr></table></div>' FROM pg WHERE page % 3 = 0
+  UNION ALL SELECT doc_id, 'table', page, '<div class="tbl"><table><tr><td>a</td><td>b &amp;</td></tr><tr><td>c- d</td><td>' || page || '</td></tr></table></div>' FROM pg WHERE page % 3 = 0
   UNION ALL SELECT doc_id, 'image', page, '<figure><img src="img/' || n || '.png" alt="" loading="lazy"></figure>' FROM im)"""
 
 # What the rules make of each sample, by hand.
