@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, line_rules, mixing, rule_ensemble, sharding, simhash_dedup, surrogates, token_output, toxicity
+from tessera.llm import chat_format, collocations, decontaminate, line_rules, mixing, phrase_prints, rule_ensemble, sharding, simhash_dedup, spelling, surrogates, token_output, toxicity
 from tessera.llm.common import stored
 
 TOXIC_AT = 0.4
@@ -95,6 +95,21 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept")
 
 
+def op11_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every document and its edited text, and their likeness to each other and the next document."""
+    return phrase_prints.likenesses(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its form and root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline."""
     import corpus_pipeline
@@ -105,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     import corpus_pipeline  # noqa: F401  the pipeline is part of this subpackage
 
-    found = [op1_token_blocks, op2_toxicity_chain, op3_decontaminate, op4_temperature_mix, op5_rule_ensemble, op6_simhash, op7_chat_format, op8_surrogates, op9_shards, op10_line_rules, pipeline]
+    found = [op1_token_blocks, op2_toxicity_chain, op3_decontaminate, op4_temperature_mix, op5_rule_ensemble, op6_simhash, op7_chat_format, op8_surrogates, op9_shards, op10_line_rules, op11_phrase_prints, op12_spelling, op13_collocations, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -203,5 +218,62 @@ FROM r
 """
 
 
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, {AZ}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT d, run, count(*) AS c FROM o WHERE length(run) >= 5 GROUP BY d, run),
+b AS (
+  SELECT run, c, flatten(list_transform(string_split(d || ':' || run, ''),
+         lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS bytes FROM r),
+h AS (
+  SELECT run, c, xor(list_reduce(list_concat([4294967295], bytes), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM b, crc),
+m AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+del AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other FROM del a JOIN del b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT del.word, v.word FROM del JOIN v ON rest = v.word
+  UNION SELECT v.word, del.word FROM del JOIN v ON rest = v.word),
+best AS (
+  SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS place
+  FROM near JOIN v ON other = v.word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word AND place = 1),
+way AS (
+  SELECT word, word AS at FROM f
+  UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN way USING (word) JOIN f AS last ON way.at = last.word WHERE last.form IS NULL
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(text, {AZ}) AS t FROM documents),
+p AS (SELECT rid, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+         list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS phrase FROM w),
+f AS (SELECT lang, phrase, count(*) AS f FROM o GROUP BY lang, phrase),
+s AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE phrase NOT LIKE '% %' GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE f >= 10 AND phrase LIKE '% %'),
+k AS (SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM x),
+e AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a AS more FROM c WHERE len(ws) = 3 UNION ALL SELECT lang, array_to_string(ws[2:], ' '), a FROM c WHERE len(ws) = 3),
+z AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM y WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.lang = y.lang AND e.phrase = y.phrase AND 100 * e.more >= 50 * y.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN s USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_temperature_mix": OP4, "op7_chat_format": OP7, "op10_line_rules": OP10}
+    return {"op4_temperature_mix": OP4, "op7_chat_format": OP7, "op10_line_rules": OP10, "op12_spelling": OP12, "op13_collocations": OP13}
