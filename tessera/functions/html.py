@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import let, lines_of
+from tessera.functions.text import let, lines_of, replace_matches
 
 
 def escape(x: Column, quote: bool = False) -> Column:
@@ -16,21 +19,58 @@ def escape(x: Column, quote: bool = False) -> Column:
     return x
 
 
-def unescape(x: Column) -> Column:
-    """The named entities that escape() writes, and &nbsp;. For all of HTML's names use unescape_udf()."""
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+#: Fixed value: what may be a character reference.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The longest name that stands without a semicolon.
+SHORT_NAME = max(len(name) for name in html5 if not name.endswith(";"))
+
+
+@lru_cache(1)
+def _names() -> str:
+    """HTML's names by their first letter, as JSON."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by_letter.setdefault(name[0], {})[name] = text
+    return json.dumps(by_letter, ensure_ascii=False)
+
 
+def _named(name: Column) -> Column:
+    """The text of a name that HTML knows, else null."""
+    names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
+    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
 
-def unescape_udf():
-    import html
 
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else html.unescape(v))
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a numeric reference. Windows-1252 stands for the numbers of its letters, U+FFFD for what is no
+    character, and control and reserved numbers vanish."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    n = F.when(F.length(plain) <= 8, F.conv(plain, base, 10).cast("long")).otherwise(F.lit(0x110000))
 
-    return run
+    def character(n: Column) -> Column:
+        windows = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+        gone = (n < 9) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+        old = F.element_at(F.array(*[F.lit(c) for c in windows.values()]), (n - 0x7F).cast("int"))
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F), old)
+            .when(gone, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        )
+
+    return let(n, character)
+
+
+def _referred(m: Column) -> Column:
+    """What a reference stands for; a name that HTML doesn't know is cut to the longest known one at its beginning."""
+    body = F.substring(m, F.lit(2), F.length(m))
+    hexadecimal, decimal = F.regexp_extract(m, "^&#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(m, "^&#([0-9]+)", 1)
+    begins = [F.when(F.length(body) > k, F.concat(_named(F.left(body, F.lit(k))), F.substring(body, F.lit(k + 1), F.length(body)))) for k in range(SHORT_NAME, 1, -1)]
+    return F.when(hexadecimal != "", _numbered(hexadecimal, 16)).when(decimal != "", _numbered(decimal, 10)).otherwise(F.coalesce(_named(body), *begins, m))
+
+
+def unescape(x: Column) -> Column:
+    """All of HTML's character references as text, each read once: &amp;lt; is &lt;."""
+    return F.when(F.contains(x, F.lit("&")), replace_matches(x, REFERENCE, _referred)).otherwise(x)
 
 
 TAG = "<[^>]+>"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import replace_matches
+from tessera.functions.text import let, replace_matches, scan, starts_of
 
 #: Words after which no comma is added.
 CONJUNCTIONS = "и или а но либо да причем причём то что как также тоже не ни даже только лишь именно".split()
@@ -108,39 +108,69 @@ def typography(x: Column) -> Column:
 
 
 QUOTES = "[\"“”„«»]"
+#: Fixed value: the end of a text after which a quote opens.
+OPENS = r"(?U)[\s\x1C-\x1F(\[«„\-—/]\z"
 
 
-def quotes(x: Column, seam: str | None = None) -> Column:
-    """Straight and other quotes to « » and, inside, „ “. What is open carries over a seam, a mark between joined texts
-    that counts as nothing. The fold visits quotes, not characters."""
-    gaps = F.split(x, QUOTES, -1)
-    marks = F.regexp_extract_all(x, F.lit(f"({QUOTES})"), F.lit(1))
-    both = F.zip_with(gaps, F.concat(marks, F.array(F.lit(None).cast("string"))), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit("\n").alias("prev"))
+def _new_marks(gaps: Column, marks: Column) -> Column:
+    """What the quotes of a text become. gaps: what stands before each of them (and more).
 
-    def step(s: Column, p: Column) -> Column:
-        seen = F.replace(p["g"], F.lit(seam)) if seam else p["g"]
-        prev = F.when(seen == "", s["prev"]).otherwise(F.right(seen, F.lit(1)))
-        depth, m = s["depth"], p["m"]
-        opens = F.rlike(prev, F.lit(r"(?U)^[\s(\[«„\-—/]$"))
-        less = F.greatest(F.lit(0), depth - 1)
-        new = F.when(m.isin("«", "»"), m).when(opens, F.when(depth == 0, "«").otherwise("„")).otherwise(F.when(less == 0, "»").otherwise("“"))
-        after = F.when(m == "«", depth + 1).when(m == "»", less).when(opens, depth + 1).otherwise(less)
-        return F.struct(
-            F.when(m.isNull(), F.concat(s["out"], F.array(p["g"]))).otherwise(F.concat(s["out"], F.array(p["g"], new))).alias("out"),
-            F.when(m.isNull(), depth).otherwise(after).alias("depth"), F.when(m.isNull(), prev).otherwise(new).alias("prev"),
-        )
+    A quote opens after white space, a bracket, a dash, a slash or an opening quote. Right after another quote it does what that
+    one did, so whether it opens is the last answer among its neighbours: a scan. An opening quote adds one to the depth,
+    a closing one takes one off if it can: d -> max(least, d + add). Such functions compose to such functions, so the
+    depth is another scan. Neither follows the text character by character, or copies what it has."""
+    own = F.transform(
+        marks,
+        lambda m, i: F.when(i == 0, F.rlike(F.concat(F.lit("\n"), F.get(gaps, i)), F.lit(OPENS)))
+        .when(F.get(gaps, i) != "", F.rlike(F.get(gaps, i), F.lit(OPENS)))
+        .when(F.get(marks, i - 1).isin("«", "»"), F.get(marks, i - 1) == "«"),
+    )
+    opens = scan(own, lambda a, b: F.coalesce(b, a))
 
-    return F.aggregate(both, start, step, lambda s: F.array_join(s["out"], ""))
+    def with_depth(o: Column) -> Column:
+        up = F.transform(marks, lambda m, i: (m == "«") | (m != "»") & F.get(o, i))
+        change = F.transform(up, lambda u: F.struct(F.lit(0).alias("least"), F.when(u, 1).otherwise(-1).alias("add")))
+        after = scan(change, lambda f, g: F.struct(F.greatest(g["least"], f["least"] + g["add"]).alias("least"), (f["add"] + g["add"]).alias("add")))
 
+        def written(d: Column) -> Column:
+            depth = lambda i: F.coalesce(F.greatest(F.get(d, i)["least"], F.get(d, i)["add"]), F.lit(0))  # noqa: E731  from 0, after mark i
+            plain = lambda m, i: F.when(F.get(o, i), F.when(depth(i) == 1, "«").otherwise("„")).otherwise(F.when(depth(i) == 0, "»").otherwise("“"))
+            return F.transform(marks, lambda m, i: F.when(m.isin("«", "»"), m).otherwise(plain(m, i)))
 
-#: Between the parts of one document while quotes are followed through them.
-SEAM = "\ue000"
+        return let(after, written)
+
+    return let(opens, with_depth)
+
+
+def _put(gaps: Column, marks: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(gaps, marks, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+
+
+def _marks(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(f"({QUOTES})"), F.lit(1))
+
+
+def _rewritten(whole: Column) -> Column:
+    """The new marks of a text, in order."""
+    return let(F.struct(F.split(whole, QUOTES, -1).alias("gaps"), _marks(whole).alias("marks")), lambda t: _new_marks(t["gaps"], t["marks"]))
+
+
+def quotes(x: Column) -> Column:
+    """Straight and other quotes to « » and, inside, „ “."""
+    return let(x, lambda x: F.when(F.rlike(x, F.lit(QUOTES)), _put(F.split(x, QUOTES, -1), _rewritten(x))).otherwise(x))
 
 
 def quotes_through(parts: Column) -> Column:
-    """The parts of a document, quotes followed from one to the next."""
-    return F.split(quotes(F.array_join(parts, SEAM), SEAM), SEAM, -1)
+    """The parts of a document, quotes followed from one to the next as if they were one text. Each part keeps its own gaps
+    and takes as many of the new marks as it has."""
+
+    def through(parts: Column, whole: Column) -> Column:
+        counts = F.transform(parts, lambda x: F.size(_marks(x)))
+        t = let(counts, lambda n: F.struct(n.alias("n"), starts_of(n).alias("at"), _rewritten(whole).alias("marks")))
+        own = lambda t, x, i: F.when(F.get(t["n"], i) == 0, x).otherwise(_put(F.split(x, QUOTES, -1), F.slice(t["marks"], F.get(t["at"], i) + 1, F.get(t["n"], i))))
+        return F.when(F.rlike(whole, F.lit(QUOTES)), let(t, lambda t: F.transform(parts, lambda x, i: own(t, x, i)))).otherwise(parts)
+
+    return let(parts, lambda p: let(F.array_join(p, ""), lambda whole: through(p, whole)))
 
 
 def fixed_parts(parts: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -162,16 +192,13 @@ def applies(names: list[str], file: Column, stem: Column, folder: Column) -> Col
 def token_offsets(x: Column) -> Column:
     """Array of (token, begin): words, numbers and single other marks, with code-point offsets from 0."""
     pattern = r"(?U)[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)*|\d+|\S"
-    found = F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(x, pattern, -1)
-    zero = F.struct(F.array().cast("array<struct<token:string,begin:int>>").alias("out"), F.lit(0).alias("at"))
-    pairs = F.filter(F.zip_with(gaps, found, lambda g, t: F.struct(g.alias("g"), t.alias("t"))), lambda p: p["t"].isNotNull())
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["g"])
-        return F.struct(F.concat(s["out"], F.array(F.struct(p["t"].alias("token"), begin.alias("begin")))).alias("out"), (begin + F.length(p["t"])).alias("at"))
+    def placed(t: Column) -> Column:
+        # A gap and its token are one run; the token is the end of it.
+        sizes = F.transform(t["found"], lambda m, i: F.length(F.get(t["gaps"], i)) + F.length(m))
+        return let(scan(sizes, lambda a, b: a + b), lambda ends: F.transform(t["found"], lambda m, i: F.struct(m.alias("token"), (F.get(ends, i) - F.length(m)).alias("begin"))))
 
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    return let(F.struct(F.split(x, pattern, -1).alias("gaps"), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)).alias("found")), placed)
 
 
 def missing_commas(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -134,13 +134,17 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def weight(n: Column, df: Column, tf: Column, size: Column, avg_len: Column, k1: float = K1, b: float = B) -> Column:
+    """A whole-number weight, rounded half to even, 1 at least."""
+    score = 100 * idf(n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avg_len))
+    return F.greatest(F.lit(1), F.bround(score)).cast("long")
+
+
 def bm25(pieces: DataFrame, tf: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(chunk_id, term, tf, weight): whole-number weights, rounded half to even, 1 at least."""
+    """(chunk_id, term, tf, weight)."""
     lens = tf.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
     rows = tf.join(doc_freq(tf), "term").join(lens, "chunk_id").crossJoin(F.broadcast(corpus_stats(pieces, tf)))  # one row
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    score = 100 * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / norm
-    return rows.select("chunk_id", "term", "tf", F.greatest(F.lit(1), F.bround(score)).cast("long").alias("weight"))
+    return rows.select("chunk_id", "term", "tf", weight(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg_len"), k1, b).alias("weight"))
 
 
 def posting_blocks(weights: DataFrame, chunks: int = BLOCK_CHUNKS) -> DataFrame:
@@ -157,17 +161,22 @@ def postings(weights: DataFrame) -> DataFrame:
     return posting_blocks(weights).groupBy("term").agg(F.flatten(F.transform(blocks, lambda b: b["flat"])).alias("flat"))
 
 
-def shard_plan(weights: DataFrame) -> DataFrame:
-    """(bytes, shards) in one row, from counts of postings: lists need not be built."""
-    sizes = weights.groupBy("term").agg((2 * F.length("term") + 6 + 8 * F.count("*")).alias("bytes"))
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+def planned(terms: DataFrame) -> DataFrame:
+    """(bytes, shards) in one row, for terms (term, df): lists need not be built."""
+    total = terms.agg(F.coalesce(F.sum(2 * F.length("term") + 6 + 8 * F.col("df")), F.lit(0)).alias("bytes"))
     return total.select("bytes", F.greatest(F.lit(1), F.bround(F.col("bytes") / SHARD_BYTES)).cast("long").alias("shards"))
 
 
+def shard_plan(weights: DataFrame) -> DataFrame:
+    """(bytes, shards) in one row."""
+    return planned(doc_freq(weights))
+
+
 def index_shards(weights: DataFrame) -> DataFrame:
-    """(shard, term, df)."""
-    terms = weights.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(shard_plan(weights).select("shards")))  # one row
-    return terms.select((T.fnv(F.col("term")) % F.col("shards")).alias("shard"), "term", "df")
+    """(shard, term, df). The plan is read from the same table of terms, whose shuffle Spark reuses."""
+    terms = doc_freq(weights)
+    placed = terms.crossJoin(F.broadcast(planned(terms).select("shards")))  # one row
+    return placed.select((T.fnv(F.col("term")) % F.col("shards")).alias("shard"), "term", "df")
 
 
 def vocabulary(tf: DataFrame) -> DataFrame:

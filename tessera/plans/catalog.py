@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,13 @@ from tessera.functions import html as H
 from tessera.functions import style as S
 from tessera.functions import text as T
 from tessera.operators import access as A
+from tessera.operators import incremental as N
 from tessera.operators import index as I
 from tessera.operators import layout as L
 from tessera.operators import pages as P
+from tessera.operators import search as R
 from tessera.plans import fixtures as X
-from tessera.session import table
+from tessera.session import table, work_dir
 
 QUERY = "the reading of an erer tion enter"
 SESSION_NOW = 1_704_067_200
@@ -145,6 +149,36 @@ def search_topk(spark, d):
     return I.search(_weights(spark, d), QUERY)
 
 
+def stored_search(spark, d):
+    """The same search over the index as it is written."""
+    path = work_dir(spark)
+    R.write(_weights(spark, d), path)
+    return R.search(spark, path, QUERY)
+
+
+def stored_search_many(spark, d):
+    """Every item of the benchmark as a query over the written index."""
+    path = work_dir(spark)
+    R.write(_weights(spark, d), path)
+    return R.search_many(spark, path, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+
+
+def _updated(spark, d):
+    """An index built when there were no German texts yet and the Spanish ones were in capitals, then brought up to date."""
+    docs, root = _docs(spark, d), work_dir(spark)
+    old = docs.filter("lang <> 'de'").withColumn("text", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text")))
+    return N.update(docs, root, N.update(old, root))
+
+
+def incremental_weights(spark, d):
+    return N.weights(_updated(spark, d))
+
+
+def incremental_stats(spark, d):
+    """Chunks and words of the corpus, and how many texts the second build has read."""
+    return _updated(spark, d).stats
+
+
 def search_typo(spark, d):
     asked = spark.createDataFrame([("thn",), ("ther",), ("errre",), ("tionr",), ("anhte",)], "word string")
     return I.nearest_terms(I.vocabulary(_tf(spark, d)), asked)
@@ -342,6 +376,23 @@ def tag_aware_fix(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(H.between_tags(F.col("html"), change)).alias("digest"))
 
 
+def page_entities(spark, d):
+    """Pages' texts, and after them references by name, with and without what ends them, and by number."""
+    names = F.array(*map(F.lit, sorted(html5)))
+    k = F.sequence(F.lit(0), F.lit(19))
+    pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
+    p = F.col("page_id")
+    made = F.transform(
+        k,
+        lambda k: F.concat(
+            F.lit("&"), F.get(names, ((p * 20 + k) % len(html5)).cast("int")), pick(["", " ", "x", ";"], (p + k) % 4),
+            F.lit("&#"), ((p * 131 + k * 8191) % 1_200_000).cast("string"), pick([";", " "], k % 2), F.lit("&#x"), F.lower(F.hex((p * 37 + k) % 4096)), F.lit(";"),
+        ),
+    )
+    x = H.unescape(F.concat(F.regexp_replace("html", H.TAG, ""), F.array_join(made, "")))
+    return table(spark, d, "pages").select("page_id", x.alias("x")).select("page_id", F.length("x").cast("long").alias("chars"), F.md5("x").alias("digest"))
+
+
 def session_join(spark, d):
     """Orders as sessions (their date and ninety days) of customers as users."""
     return _sessions(spark, d).join(_users(spark, d), F.col("user_id") == F.col("u_id")).select("id", "user_id", "expires", "u_email", "u_status")
@@ -530,6 +581,7 @@ def queries():
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
         user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
+        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

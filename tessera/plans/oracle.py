@@ -1,5 +1,7 @@
 """DuckDB SQL for the catalog's queries over tables, written from the definitions; nothing here comes from the Spark code."""
 
+from html.entities import html5
+
 CHUNK_CHARS = 1200
 #: The stop words.
 STOP_WORDS = """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по
@@ -82,7 +84,18 @@ R = "WITH RECURSIVE "
 UPPER = "(x = upper(x) AND x <> lower(x))"
 HEAD = r"^(?:[IVXLC]+\.?\s|Глава\s|ГЛАВА\s|Раздел\s|РАЗДЕЛ\s|Приложение\s|ПРИЛОЖЕНИЕ\s|\d+(?:\.\d+)*\.?\s+[А-ЯЁ][А-ЯЁ\s,.-]{6,}$)"
 ESC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-UNESC = "replace(replace(replace(replace(replace(replace(replace(replace(g, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', ''''), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
+# HTML's character references: a map of all names, and numbers by code. UNESC needs nm, that map, among its columns.
+QUOTED = lambda v: "'" + v.replace("'", "''") + "'"
+NAMES = f"names AS (SELECT map_from_entries([{', '.join(f'({QUOTED(k)}, {QUOTED(v)})' for k, v in html5.items() if chr(0) not in v)}]) AS nm)"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{1,32};?)"
+WINDOWS = [bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)]
+NUMBER = f"""list_transform([{{}}], lambda n: CASE WHEN n IS NULL OR n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN [{', '.join(map(QUOTED, WINDOWS))}][n - 127]
+  WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END)[1]"""
+REFERRED = f"""CASE WHEN m = '' THEN '' WHEN regexp_matches(m, '^&#[0-9]') THEN {NUMBER.format("TRY_CAST(regexp_extract(m, '[0-9]+') AS BIGINT)")}
+  WHEN regexp_matches(m, '^&#[xX][0-9a-fA-F]') THEN {NUMBER.format("TRY_CAST('0x' || regexp_extract(m, '^&#[xX]([0-9a-fA-F]+)', 1) AS BIGINT)")}
+  ELSE coalesce(nm[substr(m, 2)], {', '.join(f'nm[substr(m, 2, {k})] || substr(m, {k + 2})' for k in range(6, 1, -1))}, m) END"""
+UNESC = f"""array_to_string(list_transform(list_zip(string_split_regex(g, '{REFERENCE}'), list_append(regexp_extract_all(g, '{REFERENCE}'), '')),
+  lambda p: p[1] || list_transform([p[2]], lambda m: {REFERRED})[1]), '')"""
 EXT = r"lower(regexp_extract(regexp_replace({}, '[?#].*$', ''), '\.([^./]*)$', 1))"
 SESSIONS = """s AS (SELECT o_orderkey AS id, o_custkey AS user_id, epoch_us(o_orderdate) // 1000000 + 7776000 AS expires FROM orders),
 u AS (SELECT c_custkey, lower(c_name) AS u_email, CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'active' END AS u_status, c_acctbal > 1000 AS ok FROM customer)"""
@@ -217,6 +230,16 @@ SELECT d.doc_id, md5(coalesce(h, '')) AS digest FROM documents d LEFT JOIN a USI
   (SELECT md5(string_agg(DISTINCT w, ' ' ORDER BY w)) FROM (SELECT unnest([{STOP}]) AS w)) AS stop FROM plan""",
     "search_topk": f"""{R}{BM25}, hit AS (SELECT chunk_id, sum(weight)::BIGINT AS score FROM weights WHERE term IN ('the', 'reading', 'of', 'an', 'erer', 'tion', 'enter') GROUP BY 1),
 top AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM hit) SELECT chunk_id, score, rank FROM top WHERE rank <= 10""",
+    "stored_search": f"""{R}{BM25}, hit AS (SELECT chunk_id, sum(weight)::BIGINT AS score FROM weights WHERE term IN ('the', 'reading', 'of', 'an', 'erer', 'tion', 'enter') GROUP BY 1),
+top AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM hit) SELECT chunk_id, score, rank FROM top WHERE rank <= 10""",
+    "stored_search_many": f"""{R}{BM25},
+qw AS (SELECT item_id, unnest(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[a-zа-я0-9]+')) AS term FROM benchmark),
+qt AS (SELECT DISTINCT item_id, term FROM qw WHERE term NOT IN ({STOP}) AND (length(term) > 1 OR regexp_full_match(term, '[0-9]+'))),
+hit AS (SELECT item_id, chunk_id, sum(weight)::BIGINT AS score FROM weights JOIN qt USING (term) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM hit) SELECT item_id AS query_id, chunk_id, score, rank FROM top WHERE rank <= 5""",
+    "incremental_weights": f"{R}{BM25} SELECT chunk_id, term, tf, weight FROM weights",
+    "incremental_stats": f"""{R}{TF}, old AS (SELECT CASE WHEN lang = 'es' THEN upper(text) ELSE text END AS t FROM documents WHERE lang <> 'de')
+SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT sum(tf) FROM tf)::BIGINT AS total, (SELECT count(DISTINCT coalesce(text, '')) FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(t, '') FROM old)) AS read""",
     "search_typo": f"""{R}{BM25}, v AS (SELECT term, df FROM df WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')),
 q AS (SELECT * FROM (VALUES ('thn'), ('ther'), ('errre'), ('tionr'), ('anhte')) t(w) WHERE w NOT IN (SELECT term FROM v)),
 e AS ({EDITS.format("q")}), r AS (SELECT w, term, v.df, row_number() OVER (PARTITION BY w ORDER BY v.df DESC, term) AS k FROM e JOIN v ON e = term)
@@ -243,9 +266,13 @@ r AS (SELECT DISTINCT word, w FROM d JOIN e ON word = e), k AS (SELECT *, row_nu
 SELECT word, string_agg(w, ', ' ORDER BY w) AS suggestions FROM k WHERE k <= 3 GROUP BY word""",
     "strip_tags": "SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages)",
     "html_escape": f"SELECT page_id, md5({ESC('html')}) AS plain, md5(replace(replace({ESC('html')}, '\"', '&quot;'), '''', '&#039;')) AS quoted FROM pages",
-    "tag_aware_fix": rf"""WITH a AS (SELECT page_id, string_split_regex(html, '<[^>]+>') AS gs, regexp_extract_all(html, '<[^>]+>') AS ts FROM pages),
+    "page_entities": f"""WITH {NAMES}, l AS (SELECT list_sort(map_keys(nm)) AS ks FROM names),
+t AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') || list_aggregate(list_transform(range(20), lambda k: '&' || ks[(page_id * 20 + k) % len(ks) + 1] || ['', ' ', 'x', ';'][(page_id + k) % 4 + 1]
+  || '&#' || (page_id * 131 + k * 8191) % 1200000 || [';', ' '][k % 2 + 1] || '&#x' || lower(to_hex((page_id * 37 + k) % 4096)) || ';'), 'string_agg', '') AS g FROM pages, l)
+SELECT page_id, length({UNESC}) AS chars, md5({UNESC}) AS digest FROM t, names""",
+    "tag_aware_fix": rf"""WITH {NAMES}, a AS (SELECT page_id, string_split_regex(html, '<[^>]+>') AS gs, regexp_extract_all(html, '<[^>]+>') AS ts FROM pages),
 b AS (SELECT page_id, ts, generate_subscripts(gs, 1) AS i, unnest(gs) AS g FROM a),
-c AS (SELECT page_id, i, regexp_replace(regexp_replace({UNESC}, '[ \t]{{2,}}', ' ', 'g'), ' +([,.;:!?)])', '\1', 'g') AS g, coalesce(ts[i], '') AS t FROM b)
+c AS (SELECT page_id, i, regexp_replace(regexp_replace({UNESC}, '[ \t]{{2,}}', ' ', 'g'), ' +([,.;:!?)])', '\1', 'g') AS g, coalesce(ts[i], '') AS t FROM b, names)
 SELECT page_id, md5(string_agg({ESC("g")} || t, '' ORDER BY i)) AS digest FROM c GROUP BY page_id""",
     "session_join": f"WITH {SESSIONS} SELECT id, user_id, expires, u_email, u_status FROM s JOIN u ON user_id = c_custkey",
     "valid_sessions": f"WITH {SESSIONS} SELECT id, user_id, expires, u_email FROM s JOIN u ON user_id = c_custkey WHERE expires >= 852076800 AND u_status = 'active' AND ok",

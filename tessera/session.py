@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +30,19 @@ def get_spark(app: str = "tessera", cores: str | None = None) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, as stored."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@lru_cache(1)
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir. Where that is unset, local mode
+    takes a folder of its own (as in tests); a cluster has none, and that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
+    return f"{found.rstrip('/')}/tessera-{uuid.uuid4().hex}"

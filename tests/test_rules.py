@@ -1,5 +1,11 @@
 """Rules on literal rows, sources on a temporary folder, snapshots of access tables, streams."""
 
+import html
+import random
+import re
+import time
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from tessera.functions import html as H
@@ -127,9 +133,82 @@ def test_scans_take_their_sidecar(spark):
     assert sorted(r.parts[0].text for r in X.with_scans(parts, side).collect()) == ["набрано", "текст"]
 
 
-def test_unescape_udf_and_nfc(spark):
-    df = spark.createDataFrame([("&eacute;\u0438\u0306",)], "x string")
-    assert df.select(H.unescape_udf()("x").alias("y")).select(T.nfc()("y").alias("z")).first().z == "\u00e9\u0439"
+def test_nfc(spark):
+    assert spark.createDataFrame([("и\u0306",)], "x string").select(T.nfc()("x").alias("z")).first().z == "\u0439"
+
+
+def test_unescape_is_that_of_html(spark):
+    rng = random.Random(1)
+    names = sorted(html5)
+    xs = ["&" + name + rng.choice(["", ";", "x", " "]) for name in names]
+    xs += [f"&#{k};&#x{k:X} " for k in [*range(0x180), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000]]
+    xs += ["&", "&&amp;", "&amp;lt;", "&#;", "&#x;", f"&#{'9' * 40};", f"&#x{'f' * 40};", f"&#{'0' * 40}65;", "&notit;", "&unknown;", "a&b;c", ""]
+    xs += ["".join(rng.choice(["&", "amp", ";", "lt", "#", "x", "6", "5", " ", "not", "\ue000"]) for _ in range(9)) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x string").select("i", H.unescape(F.col("x")).alias("y")).collect()
+    assert [r.y for r in sorted(rows)] == [html.unescape(x) for x in xs]
+
+
+def test_entities_between_tags(spark):
+    x = "<p>a &mdash; b &#8212; c &laquo;x&raquo; &lt;i&gt;</p>"
+    assert one(spark, x, lambda c: H.page_body(c, [])) == "<p>a\u00a0— b\u00a0— c «x» &lt;i&gt;</p>"
+
+
+class Sequential:
+    """The rule of quotes, one character after the other."""
+
+    def __init__(self):
+        self.last, self.depth = "\n", 0
+
+    def __call__(self, text):
+        out = []
+        for c in text:
+            if c in '"“”„':
+                opens = self.last.isspace() or self.last in "([«„-—/"
+                self.depth = self.depth + 1 if opens else max(0, self.depth - 1)
+                c = ("«" if self.depth == 1 else "„") if opens else ("»" if self.depth == 0 else "“")
+            elif c in "«»":
+                self.depth = self.depth + 1 if c == "«" else max(0, self.depth - 1)
+            out.append(c)
+            self.last = c
+        return "".join(out)
+
+
+def test_quotes_equal_the_sequential_rule(spark):
+    rng = random.Random(2)
+    docs = [["".join(rng.choice('"“”„«» аб(-—/\n\ue000') for _ in range(rng.choice([0, 0, 1, 2, 5, 40]))) for _ in range(rng.randrange(8))] for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, p array<string>").select("i", S.quotes_through(F.col("p")).alias("q"), S.quotes(F.array_join("p", "")).alias("w"))
+    for r in df.collect():
+        fold = Sequential()
+        want = [fold(x) for x in docs[r.i]]
+        assert r.q == want and r.w == "".join(want)
+
+
+def test_a_private_character_stays_in_its_part(spark):
+    x = "<p>один\ue000два</p><p>три</p><p>четыре</p>"
+    assert one(spark, x, lambda c: H.page_body(c, [])) == x
+    docs = spark.createDataFrame([(1, "да\ue000нет\n" * 61)], "doc_id long, text string")
+    assert [r.text.count("\ue000") for r in I.chunks(docs, []).orderBy("part").collect()] == [60, 1]
+
+
+def test_token_offsets_are_those_of_the_pattern(spark):
+    rng = random.Random(7)
+    xs = ["".join(rng.choice("аЯё- 12.,x\U0001F600\n") for _ in range(rng.randrange(40))) for _ in range(300)]
+    pattern = re.compile(r"[А-Яа-яЁё]+(?:-[А-Яа-яЁё]+)*|\d+|\S")
+    for r in spark.createDataFrame(list(enumerate(xs)), "i int, x string").select("i", S.token_offsets(F.col("x")).alias("t")).collect():
+        assert [(t.token, t.begin) for t in r.t] == [(m.group(), m.start()) for m in pattern.finditer(xs[r.i])]
+
+
+def test_long_texts_are_near_linear(spark):
+    """Twenty times the text is far from four hundred times the work."""
+
+    def took(n):
+        df = spark.createDataFrame([('"a" "' * n,)], "x string")
+        start = time.perf_counter()
+        df.select(F.md5(S.quotes(F.col("x"))), F.size(S.token_offsets(F.col("x")))).collect()
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(40_000) < 60 * max(0.2, took(2_000))
 
 
 def test_attempt_stream(spark, tmp_path):
