@@ -2,7 +2,7 @@
 
 Entities: e-mail addresses, IPv4 and IPv6 addresses, IBANs, card numbers, telephone numbers, hexadecimal secrets, keys of
 known forms, values given to `password=` and the like, long numbers, street addresses, and names (after an honorific, or
-a known given name before a capitalised word; then every word of such a name wherever it stands in that document).
+known given names and the capitalised word behind them; then every word of such a name wherever it stands in that document).
 
 A surrogate is a keyed bijection of the entity's canonical form within its class, so no table of entities is needed, one
 pass over the texts does everything, and neither the plan nor the result depends on what else the corpus holds:
@@ -12,13 +12,20 @@ pass over the texts does everything, and neither the plan nor the result depends
   characters are a number below the class's size, and a Feistel network on that number, cycle-walked into the class, is a
   permutation P. The surrogate is P'(P(x) + 1): also a permutation, and one without fixed points, so an entity never
   stays as it is unless its class has no other member.
-- Distinctness: different entities of one class have different surrogates, classes have different forms, and check
-  digits are recomputed (a valid card or IBAN stays valid, an invalid card number invalid by the same amount).
+- Distinctness: different entities of one class have different surrogates, and check digits are recomputed (a valid card
+  or IBAN stays valid, an invalid card number invalid by the same amount). Classes of other forms cannot meet. Names have
+  classes that can: given names of a list may have the form of other names, and a name's ending may come out of its other
+  letters. There each candidate is checked, and one that collides (it is on a list, or has another ending) is walked on
+  from, so the permutation is one of what is left: no two names share a surrogate.
 - Coreference: numbers are mapped without their marks, addresses and secrets without their case where it has no meaning,
-  names word by word. "Mr John Smith", "John Smith", "SMITH" and "Dr Smith" agree in every word, in every document.
+  names word by word, each word by itself alone: not by its honorific, its place or its document. "Mr John Smith", "John
+  Smith", "SMITH" and "Dr Smith" agree in every word, in every document.
 - Names keep their script, their capitals and their number of words. A given name of GIVEN becomes another of its list,
-  which has its gender. Another given name keeps its pattern of vowels and ends in a letter pair of its gender that no
-  name of GIVEN ends in: the gender of an honorific that it stands after in the document, else that of its own ending.
+  which has its gender. Another name keeps its pattern of vowels and the ending that tells its gender (ENDINGS), if it has one.
+
+Values have any length: a long run is mapped in pieces of PIECE characters, each in its place. A value after a colon counts
+if a digit follows on its line (`password: see below` is prose); a name counts after an honorific, or if it begins with
+given names of GIVEN.
 
 E-mail surrogates end in the reserved domain .example. Since surrogates of a class fill it, one may equal another entity
 of the corpus; that entity has itself been replaced, so the mapping stays one to one.
@@ -43,12 +50,8 @@ from tessera.llm.common import bounded_batches
 
 ROUNDS = 8
 BATCH_ROWS = 256
-#: Honorifics and the gender that they tell.
-HONORIFICS = {
-    "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Г-н": "m",
-    "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Г-жа": "f",
-    "Dr": "n", "Prof": "n", "Professor": "n",
-}
+#: Honorifics.
+HONORIFICS = "Mr Mister Sir Herr Herrn Monsieur Señor Sr Don Г-н Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Doña Г-жа Dr Prof Professor".split()
 #: Given names by script and gender.
 GIVEN = {
     ("latin", "m"): "Adrian Alan Albert Alexander Andrew Anton Arthur Bernard Brian Bruno Carl Carlos Charles Christian Daniel David Dennis Diego Edward Emil Erik Felix Francis Frank Frederic Gabriel George Gerard Harald Henry Hugo Ivan Jacob James John Jonas Jorge José Joseph Juan Jürgen Karl Klaus Kurt Leon Louis Luis Manuel Marcel Mark Martin Matthew Max Michael Miguel Nicolas Noel Oscar Otto Pablo Patrick Paul Pedro Peter Philip Pierre Ralph Richard Robert Simon Stefan Steven Thomas Tomas Victor Walter Werner William".split(),
@@ -57,8 +60,10 @@ GIVEN = {
     ("cyrillic", "f"): "Алла Анна Валентина Вера Галина Дарья Екатерина Елена Жанна Зоя Инна Ирина Лидия Людмила Мария Наталья Нина Ольга Светлана Татьяна Юлия".split(),
 }
 _gender_of = {n.lower(): k for k, names in GIVEN.items() for n in names}
-#: Endings of made-up given names by script and gender; no name of GIVEN ends in one.
-ENDINGS = {("latin", "m"): "ejo", ("latin", "f"): "ija", ("latin", "n"): "une", ("cyrillic", "m"): "еж", ("cyrillic", "f"): "ижа", ("cyrillic", "n"): "уже"}
+#: Endings that tell a name's gender.
+ENDINGS = "ова ева ёва ина ына ская цкая ая яя ов ев ёв ин ын ский цкий ий ый а я ova eva ina skaya ov ev in sky ski ska a".split()
+#: Characters that are mapped at once.
+PIECE = 256
 #: Alphabets of which one letter becomes another of the same.
 PLAIN = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"]
 EXACT = [*PLAIN[:1], PLAIN[1], PLAIN[1].upper(), PLAIN[2], PLAIN[2].upper()]
@@ -72,21 +77,21 @@ NAME = rf"\b(?P<title>{_title})\.?{SPACE}(?P<who>{WORD}(?:[ \u00a0-]{WORD}){{0,2
 #: Types in order of preference at one place.
 TYPES = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("assigned", r"(?i:\b(?:password|passwd|pwd|passphrase|api[_-]?key|secret|access[_-]?token|token)[\"']?)[ \t]{0,3}(?:=|:(?=[^\n]{0,40}\d))[ \t]{0,3}[\"']?(?P<value>[^\s\"'<>,;]{4,200})"),
+    ("assigned", r"(?i:\b(?:password|passwd|pwd|passphrase|api[_-]?key|secret|access[_-]?token|token)[\"']?)[ \t]{0,3}(?:=|:(?=[^\n]{0,40}\d))[ \t]{0,3}[\"']?(?P<value>[^\s\"'<>,;]{4,})"),
     ("key", r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![0-9A-Za-z])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|:)(?:(?::[0-9A-Fa-f]{1,4}){1,6})?(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:])"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[ \u00a0]?[0-9A-Z]{4}){2,7}(?:[ \u00a0]?[0-9A-Z]{1,3})?(?!\w)"),
-    ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4}|\d{3}-\d{2}-\d{4})(?!\w)"),
+    ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4}|\d{3}-\d{2}-\d{4}|0\d{2,4}[ /-]\d{5,8})(?!\w)"),
     ("card", r"(?<![\w])(?:\d{4}[ -]){3}\d{1,7}(?!\w)|(?<!\w)\d{13,19}(?!\w)"),
     ("number", r"(?<![\w.,])\d{8,12}(?!\w)"),
     ("address", rf"(?<!\w)\d{{1,5}}{SPACE}{WORD}(?:{SPACE}{WORD})?{SPACE}(?:Street|Avenue|Road|Lane|Drive|Boulevard|St\.|Ave\.|Rd\.|Blvd\.)(?!\w)|(?<!\w)[{UPPER}][{LOWER}]+(?:straße|strasse|gasse|platz|weg){SPACE}\d{{1,4}}(?!\w)|(?<!\w)\d{{1,4}},?{SPACE}(?:rue|avenue|boulevard|calle)(?:{SPACE}(?:de|du|des|la|le|del)){{0,2}}{SPACE}{WORD}"),
     ("name", NAME),
 ]
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in TYPES))
-#: Two capitalised words: a name if the first is a given name.
-PAIR = re.compile(rf"({WORD}){SPACE}{WORD}")
+#: A capitalised word before another: a name if it is a given name; and the word behind it.
+PAIR, BEHIND = re.compile(rf"({WORD})(?={SPACE}{WORD})"), re.compile(rf"{SPACE}({WORD})")
 #: No match of FIND goes over a line's end, and each holds one of these: a digit, an @ or another head of a key, a title,
 #: or a sign after a word for secrets. They start with characters that the search can skip to.
 DIGIT, HEAD, SIGN = re.compile(r"\d"), re.compile("@|AKIA|ASIA|gh|sk-|xox|eyJ"), re.compile("[=:]")
@@ -129,22 +134,31 @@ class Cipher:
         raw = label.encode()
         return self._walk(raw, n, (self._walk(raw, n, x, False) + 1) % n, True)
 
-    def text(self, kind: str, text: str, alphabets: list[str], keep: int = 0) -> str:
-        """text with each letter of an alphabet moved within it, all at once; the first `keep` and other marks stay."""
-        sets = [next((a for a in alphabets if c in a), "") if k >= keep else "" for k, c in enumerate(text)]
+    def text(self, kind: str, text: str, alphabets: list[str], keep: int = 0, tail: int = 0, free=None) -> str:
+        """text with each letter of an alphabet moved within it, all at once; the first `keep`, the last `tail` and other marks
+        stay. free(candidate): false for one that collides, which is walked on from. As the permutation is one cycle, what
+        is left of it is one too, and no text stays as it is unless it is alone."""
+        if len(text) > PIECE:
+            cut = lambda k: self.text(f"{kind}\x02{k}", text[k : k + PIECE], alphabets, max(0, keep - k))
+            return "".join(map(cut, range(0, len(text), PIECE)))
+        end = len(text) - tail
+        sets = [next((a for a in alphabets if c in a), "") if keep <= k < end else "" for k, c in enumerate(text)]
         form = "".join(chr(97 + alphabets.index(s)) if s else c + "\x00" for s, c in zip(sets, text, strict=True))
         n, x = 1, 0
         for s, c in zip(sets, text, strict=True):
             if s:
                 n, x = n * len(s), x * len(s) + s.index(c)
-        x = self.moved(f"{kind}\x01{form}", n, x)
-        out = []
-        for s, c in zip(reversed(sets), reversed(text), strict=True):
-            if s:
-                x, at = divmod(x, len(s))
-                c = s[at]
-            out.append(c)
-        return "".join(reversed(out))
+        while True:
+            x = self.moved(f"{kind}\x01{form}", n, x)
+            out, rest = [], x
+            for s, c in zip(reversed(sets), reversed(text), strict=True):
+                if s:
+                    rest, at = divmod(rest, len(s))
+                    c = s[at]
+                out.append(c)
+            new = "".join(reversed(out))
+            if free is None or free(new):
+                return new
 
 
 @lru_cache(4)
@@ -222,16 +236,23 @@ def surrogate(key: bytes, kind: str, canon: str) -> str:
     return _digits(c, canon)
 
 
+def _ending(word: str) -> str:
+    """The ending that tells a name's gender, if two letters or more stand before it."""
+    if len(word) > PIECE:
+        return ""
+    return next((e for e in sorted(ENDINGS, key=len, reverse=True) if word.endswith(e) and len(word) > len(e) + 1), "")
+
+
 @lru_cache(1 << 16)
-def name_word(key: bytes, word: str, given: str) -> str:
-    """The surrogate of a lower-case word of a name; given: '' for a family name, else the gender of an unknown given name."""
+def name_word(key: bytes, word: str) -> str:
+    """The surrogate of a lower-case word of a name."""
     c = cipher(key)
     if word in _gender_of:
         names = GIVEN[_gender_of[word]]
         at = [n.lower() for n in names].index(word)
         return names[c.moved("given" + "".join(_gender_of[word]), len(names), at)].lower()
-    new = c.text("given" if given else "family", word, SOUNDS)
-    return new + ENDINGS["cyrillic" if re.search("[а-яё]", word) else "latin", given] if given else new
+    ending = _ending(word)
+    return c.text("name" + ending, word, SOUNDS, tail=len(ending), free=lambda new: new not in _gender_of and _ending(new) == ending)
 
 
 def _cased(old: str, new: str) -> str:
@@ -287,15 +308,20 @@ def _lines(text: str):
 
 
 def mentions(text: str | None):
-    """(kind, begin, end, honorific's gender or '') of each entity that FIND or PAIR names, left to right."""
+    """(kind, begin, end) of each entity that FIND names or that given names begin, left to right."""
     found = [f for begin, end in _lines(text or "") for f in _found(text, begin, end)]
-    at = 0
+    at = over = 0
     for m in PAIR.finditer(text or ""):
-        if m.group(1).lower() in _gender_of and not text[m.start() - 1 : m.start()].isalnum():
-            while at < len(found) and found[at][2] <= m.start():
-                at += 1
-            if at == len(found) or m.end() <= found[at][1]:
-                found.insert(at, ("name", *m.span(), ""))
+        begin, end, given = *m.span(), m.group(1)
+        if begin < over or given.lower() not in _gender_of or text[begin - 1 : begin].isalnum():
+            continue
+        while given.lower() in _gender_of and (behind := BEHIND.match(text, end)):
+            given, end = behind.group(1), behind.end()
+        while at < len(found) and found[at][2] <= begin:
+            at += 1
+        if at == len(found) or end <= found[at][1]:
+            found.insert(at, ("name", begin, end))
+            over = end
     return found
 
 
@@ -305,60 +331,48 @@ def _found(text: str, begin: int, end: int):
         if kind == "ipv6" and not _valid6(m.group()):
             continue
         if kind == "name":
-            yield "name", *m.span("who"), HONORIFICS[m.group("title")]
+            yield "name", *m.span("who")
         elif kind == "assigned":
             value = m.group("value")
-            kind = "secret" if re.fullmatch("[0-9a-f]{32,128}|[0-9A-F]{32,128}", value) else "key"
-            yield kind, *m.span("value"), ""
+            kind = "secret" if re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value) else "key"
+            yield kind, *m.span("value")
         else:
-            yield kind, *m.span(), ""
+            yield kind, *m.span()
 
 
 SPLIT = re.compile(r"([ \u00a0-])")
 
 
-def _people(text: str, names: list[tuple[int, int, str]]) -> tuple[dict[str, str], re.Pattern | None]:
-    """(lower-case word -> '' or the gender of a given name, a pattern of these words wherever they stand)."""
-    family, ending, titled = {}, {}, {}
-    for begin, end, title in names:
-        words = [w.lower() for w in SPLIT.split(text[begin:end])[::2]]
-        if len(words) > 1 and title in ("m", "f"):
-            titled.setdefault(words[0], title)
-        elif len(words) > 1:
-            ending.setdefault(words[0], "f" if words[0].endswith(("a", "а", "я")) else "m")
-        family.update(dict.fromkeys(words[len(words) > 1 :], ""))
-    roles = family | ending | titled
-    words = sorted({f for w in roles if len(w) > 2 for f in (w.capitalize(), w.upper())}, key=lambda w: (-len(w), w))
+def _again(text: str, names: list[tuple[int, int]]) -> re.Pattern | None:
+    """A pattern of the words of these names wherever they stand."""
+    found = {w.lower() for begin, end in names for w in SPLIT.split(text[begin:end])[::2]}
+    words = sorted({f for w in found if len(w) > 2 for f in (w.capitalize(), w.upper())}, key=lambda w: (-len(w), w))
     if not words:
-        return roles, None
+        return None
     one = "|".join(map(re.escape, words))
-    return roles, re.compile(rf"(?<!\w)(?:{one})(?:[ \u00a0-](?:{one}))*(?!\w)")
+    return re.compile(rf"(?<!\w)(?:{one})(?:[ \u00a0-](?:{one}))*(?!\w)")
 
 
 def replaced(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """(text with surrogates, how many mentions of each type)."""
-    found = [(begin, end, kind, title) for kind, begin, end, title in mentions(text)]
+    found = [(begin, end, kind) for kind, begin, end in mentions(text)]
     if not found:
         return text, {}
-    names = [(begin, end, title) for begin, end, kind, title in found if kind == "name"]
-    roles: dict[str, str] = {}
-    if names:
-        roles, again = _people(text, names)
-        if again:
-            taken = sorted(f[:2] for f in found)
-            at = 0
-            for m in again.finditer(text):
-                while at < len(taken) and taken[at][1] <= m.start():
-                    at += 1
-                if at == len(taken) or m.end() <= taken[at][0]:
-                    found.append((*m.span(), "name", ""))
-            found.sort()
+    again = _again(text, [(begin, end) for begin, end, kind in found if kind == "name"])
+    if again:
+        taken, at = sorted(f[:2] for f in found), 0
+        for m in again.finditer(text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or m.end() <= taken[at][0]:
+                found.append((*m.span(), "name"))
+        found.sort()
     parts, at, counts = [], 0, {}
-    for begin, end, kind, _ in found:
+    for begin, end, kind in found:
         old = text[begin:end]
         if kind == "name":
             pieces = SPLIT.split(old)
-            new = "".join(p if k % 2 else _cased(p, name_word(key, p.lower(), roles[p.lower()])) for k, p in enumerate(pieces))
+            new = "".join(p if k % 2 else _cased(p, name_word(key, p.lower())) for k, p in enumerate(pieces))
         elif kind == "address":
             c = cipher(key)
             # Words that name the kind of street are its format.
