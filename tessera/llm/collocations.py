@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import let, stored
+from tessera.llm.common import let, small_batches, stored
 from tessera.llm.textvec import BASE, mix, pieces, span_hashes, word_spans
 
 #: Fixed by the contract: what ends a piece, what else ends a word, and the letters that are lower-cased.
@@ -43,7 +43,7 @@ ENDS_PIECE = np.isin(np.arange(256), [ord(c) for c in PIECE_ENDS])
 IN_WORD = ~(ENDS_PIECE | np.isin(np.arange(256), [ord(c) for c in BLANKS]))
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Bytes of text and words whose phrases are counted at once, and shares of a language in the first ranking.
-BATCH, STEP, SALTS = 8 << 20, 1 << 15, 64
+BATCH, STEP, SALTS = 4 << 20, 1 << 15, 64
 #: Bits of a phrase's hash and of the filter, and where in a hash its places in the filter begin.
 HASH_BITS, FILTER_BITS, PLACES = 48, 27, (0, 21)
 WIDE = "decimal(38,0)"
@@ -185,7 +185,8 @@ def unextended(candidates: DataFrame, share: int = 50) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases."""
-    counts = stored(phrase_counts(docs, max_n, least), "phrases")
+    with small_batches(docs.sparkSession):
+        counts = stored(phrase_counts(docs, max_n, least), "phrases")
     many = F.contains("phrase", F.lit(" "))
     totals = counts.filter(~many).groupBy("lang").agg(F.sum("f").alias("n"))
     candidates = counts.filter(many).select("lang", "phrase", F.col("f").alias("a"))

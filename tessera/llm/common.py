@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -74,6 +75,20 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """The same for what runs inside; then the session has its settings back."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def whole_groups(keys: list[str], work):
     """A function of Arrow batches that hands work(table, key matrix) whole groups of rows with equal long keys."""
 
