@@ -316,14 +316,21 @@ def clause_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) -> Dat
     toks = rows.select(key, F.posexplode(token_offsets(F.col(text))).alias("i", "t")).select(key, "i", F.col("t.token").alias("t"))
     toks = toks.join(first, F.lower("t") == F.col("_form"), "left").withColumn("word", F.rlike("t", F.lit("^[А-Яа-яЁё]")))
     w = Window.partitionBy(key).orderBy("i")
-    back = F.array(*[F.struct(F.lag("word", k).over(w).alias("word"), F.lag("_pos", k).over(w).alias("pos"), F.lower(F.lag("t", k).over(w)).alias("low")) for k in range(1, 12)])
-    hit = toks.withColumn("b", back).filter(F.startswith(F.lower("t"), F.lit("котор")) & F.col("word"))
-    runs = lambda xs, ok: F.coalesce(F.array_min(F.transform(F.filter(F.transform(xs, lambda x, k: F.struct(k.alias("k"), F.coalesce(ok(x), F.lit(False)).alias("ok"))), lambda x: ~x["ok"]), lambda x: x["k"])), F.size(xs))
-    wide = ("NOUN", "NPRO", "ADJF", "PRTF", "NUMR", "PREP", "INFN", "ADVB")
-    genitive = runs(F.slice("b", 1, 5), lambda x: x["word"] & x["pos"].isin(*wide))
-    # Prepositions in a row are few; beyond ten words back the search ends.
-    preps = runs(F.slice("b", 1, 10), lambda x: x["word"] & (x["pos"] == "PREP"))
-    other = preps + F.coalesce(F.get("b", preps)["pos"] == "INFN", F.lit(False)).cast("int")
-    hit = hit.withColumn("n", F.when(F.col("_case") == "gent", genitive).otherwise(other)).withColumn("before", F.get("b", F.col("n")))
-    ok = F.coalesce(F.col("before.word"), F.lit(False)) & ~F.col("before.low").isin(CONJUNCTIONS)
-    return hit.filter(ok).select(key, (F.col("i") - F.col("n")).alias("at"))
+    at = lambda k: F.struct(*[F.lag(c, k).over(w).alias(c) for c in ("word", "_pos", "t")])
+    wide = F.coalesce(F.col("word") & F.col("_pos").isin("NOUN", "NPRO", "ADJF", "PRTF", "NUMR", "PREP", "INFN", "ADVB"), F.lit(False))
+    prep = F.coalesce(F.col("word") & (F.col("_pos") == "PREP"), F.lit(False))
+    toks = toks.withColumn("one", at(1)).withColumn("wide", wide)
+    # The last token that is no preposition, and the one before it: however many prepositions follow.
+    own = F.struct("i", F.struct("word", "_pos", "t").alias("own"), "one")
+    stop = F.max(F.when(~prep, own)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.array(*[F.coalesce(F.lag("wide", k).over(w), F.lit(False)) for k in range(1, 6)])
+    hit = toks.withColumn("stop", stop).withColumn("run", run).withColumn("five", F.array(*[at(k) for k in range(1, 7)]))
+    hit = hit.filter(F.startswith(F.lower("t"), F.lit("котор")) & F.col("word"))
+    genitive = F.coalesce(F.nullif(F.array_position("run", False), F.lit(0)) - 1, F.lit(5)).cast("int")
+    infinitive = F.coalesce(F.col("stop.own.word") & (F.col("stop.own._pos") == "INFN"), F.lit(False))
+    preps = F.col("i") - 1 - F.coalesce(F.col("stop.i"), F.lit(-1))
+    is_genitive = F.col("_case") == "gent"
+    before = F.when(is_genitive, F.get("five", genitive)).when(infinitive, F.col("stop.one")).otherwise(F.col("stop.own"))
+    hit = hit.withColumn("n", F.when(is_genitive, genitive).otherwise(preps + infinitive.cast("int"))).withColumn("before", before)
+    ok = F.coalesce(F.col("before.word"), F.lit(False)) & ~F.lower("before.t").isin(CONJUNCTIONS)
+    return hit.filter(ok).select(key, (F.col("i") - F.col("n")).cast("int").alias("at"))

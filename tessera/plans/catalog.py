@@ -1,4 +1,4 @@
-"""All queries of the engine by name, each over whole tables or over literal fixtures of Russian text."""
+"""All queries of the engine by name, each over whole tables; Russian texts are made of their rows by key."""
 
 from __future__ import annotations
 
@@ -190,37 +190,37 @@ def _lines(spark, d):
     return parts.select("doc_id", F.col("part").alias("page"), "text", (F.col("i") * 10.0).alias("y0"), (F.col("i") * 10.0 + 8).alias("y1"), F.lit(600.0).alias("height"))
 
 
-def _cyrillic(spark):
-    """Words of Russian look, put together from parts by their number."""
+def _cyrillic(spark, d):
+    """(line, word): a word of Russian look for each line of the orders, put together from parts by its key."""
     parts = [
         "поезд тормоз след скор неисправн провер локомотив длин движ останавлив важн вагон путев сигнал стр нов открыт стрел приказ станц".split(),
         ["", "а", "я", "и", "ова", "ейш", "ость", "нн"],
         "а я ов ев ами ях ий ый ая ую ого ему ыми ить ать яли ете ся ивши ившись вшись ующий ющая нный ем ость ости ейший ейше ь и ы у".split(),
     ]
-    rows, step, word = spark.range(len(parts[0]) * len(parts[1]) * len(parts[2])), 1, []
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line")
+    rows, step, word = table(spark, d, "lineitem").select(line), 1, []
     for xs in parts:
-        word.append(F.element_at(F.array(*map(F.lit, xs)), (F.floor(F.col("id") / step) % len(xs) + 1).cast("int")))
+        word.append(F.get(F.array(*map(F.lit, xs)), (F.floor(F.col("line") / step) % len(xs)).cast("int")))
         step *= len(xs)
-    return rows.select(F.concat(*word).alias("word")).distinct()
+    return rows.select("line", F.concat(*word).alias("word"))
 
 
 def stem_words(spark, d):
-    return _cyrillic(spark).select("word", T.stem(F.col("word")).alias("stem"))
+    return _cyrillic(spark, d).select("word").distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
 def cyrillic_terms(spark, d):
-    """Term frequencies of chunks of fifty such words, each repeated one to three times, in capitals and with ё."""
-    nth = _cyrillic(spark).withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # some thousand generated rows
-    shown = F.upper(F.when(F.col("i") % 2 == 0, F.replace("word", F.lit("е"), F.lit("ё"))).otherwise(F.col("word")))
-    chunk = F.floor(F.col("i") / 50).alias("chunk_id")
-    texts = nth.select(chunk, F.concat(F.repeat(F.concat(shown, F.lit(", ")), (F.col("i") % 3 + 1).cast("int"))).alias("t"))
+    """Term frequencies of chunks of the words of fifty keys, each repeated one to three times, in capitals and with ё."""
+    i = F.col("line")
+    shown = F.upper(F.when(i % 2 == 0, F.replace("word", F.lit("е"), F.lit("ё"))).otherwise(F.col("word")))
+    texts = _cyrillic(spark, d).select(F.floor(i / 50).alias("chunk_id"), F.concat(F.repeat(F.concat(shown, F.lit(", ")), (i % 3 + 1).cast("int"))).alias("t"))
     return I.term_freq(texts.groupBy("chunk_id").agg(F.array_join(F.collect_list("t"), " ").alias("text")))
 
 
 def _page_lines(spark, d):
     """Documents as whole pages of forty lines, their lines repeated to fill the last: every twentieth line is a bold
     centred title, the tenth after it centred, five and six more on to the right; every fourth is indented."""
-    tidy = lambda x: F.trim(F.regexp_replace(F.left(x, F.lit(80)), "[^A-Za-z]+", " "))
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}]+", " "))
     rows = I.spread(_docs(spark, d)).select("doc_id", F.filter(F.transform(T.lines_of(F.col("text")), tidy), lambda t: t != "").alias("l")).filter("size(l) > 0")
     i = F.explode(F.sequence(F.lit(0), (F.ceil(F.size("l") / 40) * 40 - 1).cast("int")))
     return rows.select("doc_id", "l", i.alias("i")).select("doc_id", "i", F.get("l", F.col("i") % F.size("l")).alias("t"))
@@ -230,7 +230,7 @@ def _spans(spark, d):
     k, i = F.col("i") % 20, F.col("i")
     at = lambda title, centre, right, first, rest: F.when(k == 0, title).when(k == 10, centre).when(k.isin(15, 16), right).when(i % 4 == 1, first).otherwise(rest).cast("double")
     x0, x1, y0 = at(200, 200, 400, 70, 50), at(400, 400, 550, 550, 550), (i % 40 * 14 + 100).cast("double")
-    words = F.array_join(F.slice(F.split("t", " "), 1, 1), ""), F.regexp_replace("t", "^[A-Za-z]+", "")
+    words = F.array_join(F.slice(F.split("t", " "), 1, 1), ""), F.regexp_replace("t", "^[^ ]+", "")
     two = F.posexplode(F.filter(F.array(*words), lambda w: w != "")).alias("span", "text")
     lines = _page_lines(spark, d).select("doc_id", "i", x0.alias("a"), x1.alias("b"), y0.alias("y"), F.when(k == 0, 16).otherwise(0).alias("flags"), two)
     return lines.select(
@@ -297,25 +297,27 @@ SAMPLES = [
 ]
 
 
-def _cyrillic_pages(spark):
-    """Pages of forty lines: paragraphs, right-hand blocks, titles; an open quote in one line is closed in the next but one."""
-    k, i = F.col("id") % 40, F.floor(F.col("id") / 40)
-    pick = F.element_at(F.array(*map(F.lit, SAMPLES)), ((F.col("id") * 7 + i) % len(SAMPLES) + 1).cast("int"))
-    body = F.when(k == 20, F.concat(pick, F.lit(' "и'))).when(k == 22, F.concat(pick, F.lit(' тут"'))).otherwise(pick)
+def _cyrillic_pages(spark, d):
+    """Each page as forty lines with a word of its own: paragraphs, right-hand blocks, titles; an open quote in one line is closed in
+    the next but one."""
+    k, i = F.col("k"), F.col("page_id")
+    pick = F.get(F.array(*map(F.lit, SAMPLES)), ((k * 7 + i * 287) % len(SAMPLES)).cast("int"))
+    body = F.concat(pick, F.lit(" лист"), F.translate(i.cast("string"), "0123456789", "абвгдежзик"), F.when(k == 20, ' "и').when(k == 22, ' тут"').otherwise(""))
     tag = lambda a, b: F.concat(F.lit(a), body, F.lit(b))
     title = F.when((k < 3) | (k == 30) | (k == 31), tag("<h2>", "</h2>")).when(k == 3, tag("<h2>I. ", "</h2>")).when(k == 4, tag("<h2>", "</h2>"))
     line = F.coalesce(title, F.when(k.isin(6, 7, 8, 33, 35), tag('<p class="r">', "</p>")).when(k == 5, tag("<h3><b>", "</b></h3>")).otherwise(tag("<p>", "</p>")))
-    rows = spark.range(40 * 300).select(i.alias("page_id"), k.alias("k"), line.alias("x"))
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    rows = I.spread(rows).select("page_id", "k", line.alias("x"))
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]), "\n").alias("html"))
 
 
 def page_body(spark, d):
-    return _cyrillic_pages(spark).select("page_id", H.page_body(F.col("html"), S.parse_corrections(RULES)).alias("html"))
+    return _cyrillic_pages(spark, d).select("page_id", H.page_body(F.col("html"), S.parse_corrections(RULES)).alias("html"))
 
 
 def page_log(spark, d):
     log = H.page_log(F.col("html"), S.parse_corrections(RULES))
-    return _cyrillic_pages(spark).select("page_id", F.explode(log).alias("f")).groupBy("f.was", "f.became").agg(F.count("*").alias("pages"))
+    return _cyrillic_pages(spark, d).select("page_id", F.explode(log).alias("f")).groupBy("f.was", "f.became").agg(F.count("*").alias("pages"))
 
 
 def header_footer(spark, d):

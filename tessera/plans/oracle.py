@@ -117,7 +117,8 @@ ROOTS = "поезд тормоз след скор неисправн прове
 MIDDLES = ["", "а", "я", "и", "ова", "ейш", "ость", "нн"]
 TAILS = "а я ов ев ами ях ий ый ая ую ого ему ыми ить ать яли ете ся ивши ившись вшись ующий ющая нный ем ость ости ейший ейше ь и ы у".split()
 CYRILLIC = f"""r AS (SELECT {ROOTS} AS a, {MIDDLES} AS b, {TAILS} AS c),
-w AS (SELECT DISTINCT a[i % len(a) + 1] || b[i // len(a) % len(b) + 1] || c[i // (len(a) * len(b)) % len(c) + 1] AS w FROM r, range({len(ROOTS) * len(MIDDLES) * len(TAILS)}) t(i))"""
+k AS (SELECT i, a[i % len(a) + 1] || b[i // len(a) % len(b) + 1] || c[i // (len(a) * len(b)) % len(c) + 1] AS w FROM r, (SELECT l_orderkey * 8 + l_linenumber AS i FROM lineitem)),
+w AS (SELECT DISTINCT w FROM k)"""
 # Endings of the stemmer; those after the bar stand only after а or я.
 ENDINGS = {
     "gerund": "ив ивши ившись ыв ывши ывшись | в вши вшись",
@@ -149,11 +150,11 @@ stems AS (SELECT w AS word, CASE WHEN head = '' THEN w WHEN NOT soft AND u LIKE
 
 PAGES = f"""{PARTS},
 ln AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS x FROM docs),
-tx AS (SELECT doc_id, k, trim(regexp_replace(left(x, 80), '[^A-Za-z]+', ' ', 'g')) AS t FROM ln),
+tx AS (SELECT doc_id, k, trim(regexp_replace(x, '[^\\pL]+', ' ', 'g')) AS t FROM ln),
 ls AS (SELECT doc_id, list(t ORDER BY k) AS t FROM tx WHERE t <> '' GROUP BY doc_id),
 nu AS (SELECT doc_id, t, unnest(range((len(t) + 39) // 40 * 40)) AS i FROM ls),
 pl AS (SELECT doc_id, i, t[i % len(t) + 1] AS t FROM nu),
-kd AS (SELECT *, i // 40 + 1 AS page, CASE WHEN i % 20 = 0 THEN 'h' WHEN i % 20 = 10 THEN 'c' WHEN i % 20 IN (15, 16) THEN 'r' ELSE 'p' END AS kind FROM pl),
+kd AS (SELECT * REPLACE (CASE WHEN i % 20 = 0 AND length(t) >= 220 THEN '<b>' || t || '</b>' ELSE t END AS t), i // 40 + 1 AS page, CASE WHEN i % 20 = 0 AND length(t) < 220 THEN 'h' WHEN i % 10 = 0 THEN 'c' WHEN i % 20 IN (15, 16) THEN 'r' ELSE 'p' END AS kind FROM pl),
 nw AS (SELECT *, CASE WHEN kind = 'p' AND i % 4 <> 1 AND lag(kind) OVER o = 'p' OR kind = 'r' AND i % 20 = 16 THEN 0 ELSE 1 END AS fresh FROM kd WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 gr AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM nw),
 bl AS (SELECT doc_id, g, any_value(kind) AS kind, max(page) AS page, CASE kind WHEN 'r' THEN string_agg(t, '<br>' ORDER BY i) ELSE string_agg(t, ' ' ORDER BY i) END AS t FROM gr GROUP BY doc_id, g, kind),
@@ -170,7 +171,7 @@ hb AS (
 RULED = [
     "да, нет", "вагон, локомотив", "поезд, а вагон", "далее\u00a0— ПТЭ", "№\u00a01215/р", "длина 5\u00a0км", "он {} ушел", "a &amp; b c", "старый локомотив", "слово, слово", "По прибытии поезда", "не позднее чем завтра",
 ]
-PAGE_BODY = f"""WITH a AS (SELECT i, i % 40 AS k, i // 40 AS page_id, [{", ".join(f"'{x}'" for x in RULED)}][(i * 7 + i // 40) % 12 + 1] AS t FROM range(12000) r(i)),
+PAGE_BODY = f"""WITH a AS (SELECT k, page_id, [{", ".join(f"'{x}'" for x in RULED)}][(k * 7 + page_id * 287) % 12 + 1] || ' лист' || translate(page_id::VARCHAR, '0123456789', 'абвгдежзик') AS t FROM pages, range(40) r(k)),
 q AS (SELECT *, replace(t, '{{}}', CASE WHEN k IN (21, 22) THEN '„сам“' ELSE '«сам»' END) || CASE k WHEN 20 THEN ' «и' WHEN 22 THEN ' тут»' ELSE '' END AS x FROM a),
 l AS (SELECT *, CASE WHEN k IN (6, 7, 8, 33, 35) THEN 'r' WHEN k IN (0, 1, 2, 4, 30, 31) THEN 'h' WHEN k = 3 THEN 'H' WHEN k = 5 THEN 'b' ELSE 'p' END AS kind FROM q),
 j AS (SELECT *, k IN (1, 2, 4, 7, 8) AS joins FROM l),
@@ -197,10 +198,10 @@ g AS (SELECT p_partkey, i // 3 AS g, string_agg(w, ' ' ORDER BY i) || CASE WHEN
 SELECT p_partkey, '<div class="box">' || string_agg('<p>' || t || '</p>', '' ORDER BY g) || '</div>' AS html FROM g GROUP BY p_partkey""",
     "page_body": PAGE_BODY,
     "page_log": """WITH f AS (SELECT * FROM (VALUES (0, ',,', ','), (1, 'вагон,локомотив', 'вагон, локомотив'), (2, 'поезд а вагон', 'поезд, а вагон'), (8, 'тепловоз', 'локомотив'), (10, 'По прибытию', 'По прибытии'),
-  (11, 'не позднее, чем', 'не позднее чем')) t(s, was, became)) SELECT was, became, count(DISTINCT i // 40) AS pages FROM range(12000) r(i) JOIN f ON s = (i * 7 + i // 40) % 12 GROUP BY ALL""",
+  (11, 'не позднее, чем', 'не позднее чем')) t(s, was, became)) SELECT was, became, count(DISTINCT page_id) AS pages FROM pages, range(40) r(k) JOIN f ON s = (k * 7 + page_id * 287) % 12 GROUP BY ALL""",
     "stem_words": f"WITH {STEM} SELECT word, stem FROM stems",
-    "cyrillic_terms": f"""WITH {STEM}, n AS (SELECT word, stem, row_number() OVER (ORDER BY word) - 1 AS i FROM stems)
-SELECT i // 50 AS chunk_id, stem AS term, sum(1 + i % 3)::BIGINT AS tf FROM n WHERE word NOT IN ({STOP}) GROUP BY 1, 2""",
+    "cyrillic_terms": f"""WITH {STEM}
+SELECT i // 50 AS chunk_id, stem AS term, sum(1 + i % 3)::BIGINT AS tf FROM k JOIN stems ON w = word WHERE word NOT IN ({STOP}) GROUP BY 1, 2""",
     "text_parts": f"WITH {PARTS} SELECT doc_id, part, 'часть ' || part AS label, length(text) AS chars, md5(text) AS digest FROM parts",
     "text_lines_html": rf"""
 WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS y FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS s FROM documents)),
