@@ -1,20 +1,30 @@
 """Documents with positions to HTML: spans to lines, lines to reading order, columns and margins, lines to paragraphs.
 
-Spans become lines and lines are filtered by DataFrame operations. Whether a line goes on a paragraph depends on the
-paragraph so far, also across pages, so a document's items are then read in order in one task (`blocks`); a document is
-the unit of work and its size the bound.
+Spans become lines and lines are filtered by DataFrame operations. Lines become paragraphs page by page, each page a row of its
+own, though a paragraph may go on over pages. What an open paragraph hands to the next page is its kind, its size and how
+its last line ended; how a page goes on from that is decided by its first line, and behind that only the kind and the
+size of the carried paragraph still count, the size only by its order among some distances on that page. So
+
+1. each page is read from every such state (`summary`: a few exits, without texts);
+2. a document's summaries are followed in order, which gives what each page is handed (`handed`: some hundred bytes a page);
+3. each page is read once more from there, and pieces of paragraphs that cross a border are put together (`blocks`).
+
+A document of very many pages is many tasks; only its summaries are in one.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from dataclasses import dataclass, field, replace
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.html import escape, text_line
 from tessera.functions.text import lines_of, strip
@@ -70,7 +80,7 @@ def lines_of_spans(spans: DataFrame) -> DataFrame:
 
 
 def items(lines: DataFrame, tables: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, items): what stands on the pages of each document. tables: (doc_id, page, x0, y0, x1, y1, rows), images:
+    """(doc_id, page, items): what stands on each page. tables: (doc_id, page, x0, y0, x1, y1, rows), images:
     (doc_id, page, x0, y0, x1, y1), pages: (doc_id, page, width, height)."""
     tables = tables.withColumn("rows", pruned_table(F.col("rows"))).filter(F.size("rows") > 0)
     body = outside_tables(without_edges(lines), tables, "doc_id", "page")
@@ -93,7 +103,7 @@ def items(lines: DataFrame, tables: DataFrame, images: DataFrame, pages: DataFra
     rows = all_[0]
     for more in all_[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("doc_id").agg(F.collect_list("i").alias("items"))
+    return rows.groupBy("doc_id", F.col("i.page").alias("page")).agg(F.collect_list("i").alias("items"))
 
 
 @dataclass
@@ -110,6 +120,8 @@ class Paragraph:
     broken: bool = False  # that line ends in a hyphen
     stopped: bool = False  # that line ends a sentence
     gap: bool = False  # a blank line follows
+    start: int = 0  # the page that it begins on
+    carried: bool = False  # it began on an earlier page than the one that is read
 
 
 def with_line(segs: list, more: list) -> list:
@@ -165,43 +177,53 @@ def table_html(rows: list[list[str]]) -> str:
     return f'<div class="tbl"><table>{body}</table></div>'
 
 
-def line_kind(line: dict, before: Paragraph | None, page: int, left: float, right: float) -> str:
-    """ed (an editor's note), h(eading), c(entred), r(ight) or p."""
-    plain = "".join(t for t, _ in line["segs"]).strip()
-    indent, wide = line["x0"] - left, right - left
-    centred = indent > 25 and abs(line["x0"] + line["x1"] - left - right) / 2 < 25 and line["x1"] < right - 15
-    strong = len(plain) < 220 and all(bold for t, bold in line["segs"] if t.strip())
-    if line["italic"] and line["coloured"]:
-        return "ed"
-    if strong:
-        titled = centred or plain.isupper() or bool(HEADING.match(plain))
-        inside = before is not None and before.kind == "p" and indent < 8 and (before.broken or right - before.x1 < 40)
-        follows = before is not None and before.kind == "h" and before.page == page and line["y0"] - before.y1 < before.size * 1.6
-        if titled and not inside or follows:
-            return "h"
-    if centred and line["x1"] - line["x0"] < wide * 0.85:
-        return "c"
-    return "r" if indent > wide * 0.4 else "p"
-
-
-def goes_on(p: Paragraph, kind: str, line: dict, page: int, left: float, right: float) -> bool:
-    """Whether a line of this kind belongs to the paragraph."""
-    text_kinds = ("p", "ed")
-    if p.broken and kind in text_kinds and p.kind in text_kinds:
-        return True
-    if kind != p.kind:
-        return False
-    plain, here = "".join(t for t, _ in line["segs"]).strip(), p.page == page
-    leading = line["y0"] - p.y1
-    if kind != "p":
-        most = 1.6 if kind == "h" else 0.9
-        return here and leading <= p.size * most and not (kind == "h" and HEADING.match(plain))
-    if line["x0"] - left > 8 or p.gap or here and leading > p.size * 1.1:
-        return False
-    # The line before ended though this one's first word had room there.
-    room, word = right - p.x1, len(plain.split()[0]) + 1 if plain.split() else 1
-    had_room = not p.broken and room > word * p.letter + 6
-    return not (had_room and (p.stopped or room > (right - left) * 0.3))
+class Line:
+    """What of a line decides where it belongs, seen from the margins of its page."""
+
+    def __init__(self, line: dict, left: float, right: float):
+        plain = "".join(t for t, _ in line["segs"]).strip()
+        wide, words = right - left, plain.split()
+        self.segs, self.size, self.y0, self.y1, self.x1 = line["segs"], line["size"], line["y0"], line["y1"], line["x1"]
+        self.indent, self.right, self.wide = line["x0"] - left, right, wide
+        centred = self.indent > 25 and abs(line["x0"] + line["x1"] - left - right) / 2 < 25 and line["x1"] < right - 15
+        self.numbered = bool(HEADING.match(plain))
+        self.titled = len(plain) < 220 and all(bold for t, bold in line["segs"] if t.strip())
+        self.named = centred or plain.isupper() or self.numbered
+        self.note = line["italic"] and line["coloured"]
+        plain_kind = "r" if self.indent > wide * 0.4 else "p"
+        self.other = "c" if centred and line["x1"] - line["x0"] < wide * 0.85 else plain_kind
+        self.word = len(words[0]) + 1 if words else 1
+        self.broken, self.stopped = bool(re.search(r"\w-$", plain)), bool(STOPS.search(plain))
+        self.letter = (line["x1"] - line["x0"]) / max(1, len(plain))
+
+    def kind(self, before: Paragraph | None, page: int) -> str:
+        """ed (an editor's note), h(eading), c(entred), r(ight) or p."""
+        if self.note or not self.titled:
+            return "ed" if self.note else self.other
+        inside = before is not None and before.kind == "p" and self.indent < 8 and (before.broken or self.right - before.x1 < 40)
+        follows = before is not None and before.kind == "h" and before.page == page and before.size > (self.y0 - before.y1) / 1.6
+        return "h" if self.named and not inside or follows else self.other
+
+    def continues(self, p: Paragraph, kind: str, page: int) -> bool:
+        """Whether the line, of this kind, belongs to the paragraph. Sizes are compared with distances of the page as they are,
+        so only their order counts."""
+        if p.broken and kind in ("p", "ed") and p.kind in ("p", "ed"):
+            return True
+        if kind != p.kind:
+            return False
+        here, leading = p.page == page, self.y0 - p.y1
+        if kind != "p":
+            return here and p.size >= leading / (1.6 if kind == "h" else 0.9) and not (kind == "h" and self.numbered)
+        if self.indent > 8 or p.gap or here and p.size < leading / 1.1:
+            return False
+        # The line before ended though this one's first word had room there.
+        room = self.right - p.x1
+        had_room = not p.broken and room > self.word * p.letter + 6
+        return not (had_room and (p.stopped or room > self.wide * 0.3))
+
+    def distances(self, before: "Line") -> list[float]:
+        """All that a size is compared with when this line follows that one."""
+        return [(self.y0 - before.y1) / most for most in (0.9, 1.1, 1.6)]
 
 
 def merged_items(found: list[dict]) -> list[dict]:
@@ -239,69 +261,230 @@ def with_forms(found: list[dict], left: float, right: float) -> list[dict]:
     return out
 
 
-def read(found: list[dict], image_url: str = "img"):
-    """(page, kind, html, box) of each block of a document, in order."""
-    p: Paragraph | None = None
-    images = 0
-    for page, on_page in groupby(sorted(found, key=lambda i: i["page"]), key=lambda i: i["page"]):
-        on_page = list(on_page)
-        width = next((i["width"] for i in on_page if i["kind"] == "page"), 0.0)
-        body = merged_items([i for i in on_page if i["kind"] != "page"])
+class Page:
+    """A page's items in reading order, and how a paragraph goes on over them."""
+
+    def __init__(self, number: int, found: list[dict]):
+        self.number = number
+        width = next((i["width"] for i in found if i["kind"] == "page"), 0.0)
+        body = merged_items([i for i in found if i["kind"] != "page"])
         ends = [(i["line"]["x0"], i["line"]["x1"]) for i in body if i["line"]]
         tenth = len(ends) // 10
         left = sorted(a for a, _ in ends)[tenth] if ends else 0.0
         right = sorted(b for _, b in ends)[-max(1, tenth)] if ends else width
-        yield page, "page", f'<a id="page={page}"></a>', None
-        for item in with_forms(body, left, right):
+        self.items = [(i, Line(i["line"], left, right) if i["line"] else None) for i in with_forms(body, left, right)]
+
+    def walk(self, p: Paragraph | None, texts: bool = True):
+        """(closed paragraph or None, item or None) for each event; at last the open paragraph, as (None, None, it). Without
+        texts, paragraphs have none."""
+        for item, line in self.items:
             if item["kind"] == "gap":
                 if p:
                     p.gap = True
                 continue
-            line = item["line"]
-            kind = line_kind(line, p, page, left, right) if line else ""
-            if p and not (line and goes_on(p, kind, line, page, left, right)):
-                if text := paragraph_html(p):
-                    yield p.page, p.kind, text, None
+            kind = line.kind(p, self.number) if line else ""
+            if p and not (line and line.continues(p, kind, self.number)):
+                yield p, None
                 p = None
             if not line:
-                if item["kind"] == "table":
-                    yield page, "table", table_html(item["rows"]), None
-                else:
-                    images += 1
-                    css = ' class="form"' if item["kind"] == "form" else ""
-                    yield page, item["kind"], f'<figure{css}><img src="{image_url}/{images}.png" alt="" loading="lazy"></figure>', item["box"]
+                yield None, item
                 continue
-            p = p or Paragraph(kind, line["size"])
-            if p.kind in ("c", "r") and p.segs:
-                p.segs.append((BREAK, False))
-            p.segs = with_line(p.segs, line["segs"])
-            plain = "".join(t for t, _ in line["segs"]).strip()
-            p.page, p.x1, p.y1, p.gap = page, line["x1"], line["y1"], False
-            p.broken, p.stopped = bool(re.search(r"\w-$", plain)), bool(STOPS.search(plain))
-            p.letter = (line["x1"] - line["x0"]) / max(1, len(plain))
-    if p and (text := paragraph_html(p)):
-        yield p.page, p.kind, text, None
+            p = p or Paragraph(kind, line.size, start=self.number)
+            if texts:
+                if p.kind in ("c", "r") and p.segs:
+                    p.segs.append((BREAK, False))
+                p.segs = with_line(p.segs, line.segs)
+            p.page, p.x1, p.y1, p.gap = self.number, line.x1, line.y1, False
+            p.broken, p.stopped, p.letter = line.broken, line.stopped, line.letter
+        self.open = p
+
+    def exit(self, p: Paragraph | None) -> Paragraph | None:
+        """The paragraph that is open at the end if p was at the beginning."""
+        for _ in self.walk(replace(p) if p else None, texts=False):
+            pass
+        return self.open
+
+    def pictures(self) -> int:
+        return sum(i["kind"] in ("image", "form") for i, _ in self.items)
+
+
+#: How the first line of a page meets what it is handed.
+CLOSES, INSIDE, GOES_ON = "closes", "inside", "goes on"
+#: What of a paragraph is handed on.
+HANDED = ("kind", "size", "page", "x1", "y1", "letter", "broken", "stopped", "gap", "start")
+
+
+def _entered(first: Line, p: Paragraph, page: int) -> str:
+    """What of a carried paragraph counts behind the first line: that it goes on, or only that the line stood inside it."""
+    kind = first.kind(p, page)
+    return GOES_ON if first.continues(p, kind, page) else INSIDE if kind != first.kind(None, page) else CLOSES
+
+
+def _sample(kind: str, size: float, first: Line, way: str) -> Paragraph:
+    """A carried paragraph that the first line meets in this way."""
+    if way == GOES_ON:
+        return Paragraph(kind, size, broken=True, x1=first.right, page=-1, start=-1)
+    # A full line that ended, before a line that is no continuation of it.
+    return Paragraph("p", size, x1=first.right, stopped=True, gap=True, page=-1, start=-1)
+
+
+def summary(page: int, found: list[dict]) -> dict:
+    """How a page is left for every way to enter it, as JSON values: `first` (the first line, if it is what comes first), `gap`
+    (blank lines come first), and exits: `none`, `inside`, and for a paragraph of a kind that goes on one for each range of
+    its size, between and at `cuts`."""
+    read = Page(page, found)
+    lead = next((k for k, (i, _) in enumerate(read.items) if i["kind"] != "gap"), None)
+    first = read.items[lead][1] if lead is not None else None
+    out = {"empty": lead is None, "gap": bool(read.items) and lead != 0, "pictures": read.pictures(), "none": _packed(read.exit(None))}
+    if first:
+        lines = [line for _, line in read.items if line]
+        cuts = sorted({d for a, b in zip(lines, lines[1:]) for d in b.distances(a)})
+        between = [cuts[0] - 1, *((a + b) / 2 for a, b in zip(cuts, cuts[1:])), cuts[-1] + 1] if cuts else [0.0]
+        sizes = [x for pair in zip(between, [*cuts, None]) for x in pair if x is not None]
+        # Blank lines before the first: a sample that goes on must be broken, so they don't matter to it.
+        out |= {"cuts": cuts, "first": {k: getattr(first, k) for k in ("indent", "right", "wide", "titled", "named", "note", "other", "word")}}
+        out |= {"inside": _packed(read.exit(_sample("p", 0.0, first, INSIDE))), "on": {k: [_packed(read.exit(_sample(k, s, first, GOES_ON))) for s in sizes] for k in ("p", "ed")}}
+    return out
+
+
+def _packed(p: Paragraph | None) -> list | None:
+    return None if p is None else [getattr(p, k) for k in HANDED]
+
+
+def _unpacked(values: list | None) -> Paragraph | None:
+    return None if values is None else Paragraph(**dict(zip(HANDED, values)), carried=True)
+
+
+def handed(pages: list[tuple[int, dict]]):
+    """(page, the paragraph that it is handed, pictures before it) of a document's summaries in order."""
+    p, pictures = None, 0
+    for page, s in sorted(pages, key=lambda x: x[0]):
+        yield page, _packed(p), pictures
+        pictures += s["pictures"]
+        if s["empty"]:
+            if p and s["gap"]:
+                p.gap = True
+        elif p is None or not s.get("first"):
+            p = _unpacked(s["none"])
+        else:
+            first = Line.__new__(Line)
+            first.__dict__.update(s["first"], y0=0.0, numbered=False)
+            p.gap = p.gap or s["gap"]
+            way = _entered(first, p, page)
+            if way == GOES_ON:
+                k = bisect_left(s["cuts"], p.size)
+                at = 2 * k + (k < len(s["cuts"]) and s["cuts"][k] == p.size)
+                after = _unpacked(s["on"][p.kind][at])
+                if after and after.start == -1:  # still the same
+                    after.kind, after.size, after.start = p.kind, p.size, p.start
+                p = after
+            else:
+                p = _unpacked(s["inside" if way == INSIDE else "none"])
+
+
+def pieces(page: int, found: list[dict], p: Paragraph | None, pictures: int, image_url: str = "img"):
+    """(page, kind, html, box, segs, start, last): blocks of a page in order. A paragraph that crosses a border has no html but
+    its text on this page and the page that it starts on; last: the page of its last line, if it ends here."""
+    read = Page(page, found)
+    yield page, "page", f'<a id="page={page}"></a>', None, None, None, None
+
+    def shown(p: Paragraph):
+        if p.carried:
+            return p.page, p.kind, None, None, p.segs, p.start, p.page
+        text = paragraph_html(p)
+        return text and (p.page, p.kind, text, None, None, None, None)
+
+    for closed, item in read.walk(p):
+        if closed:
+            if block := shown(closed):
+                yield block
+        elif item["kind"] == "table":
+            yield page, "table", table_html(item["rows"]), None, None, None, None
+        else:
+            pictures += 1
+            css = ' class="form"' if item["kind"] == "form" else ""
+            yield page, item["kind"], f'<figure{css}><img src="{image_url}/{pictures}.png" alt="" loading="lazy"></figure>', item["box"], None, None, None
+    if read.open and read.open.segs:
+        yield page, read.open.kind, None, None, read.open.segs, read.open.start, None
 
 
 BLOCKS = "doc_id long, seq long, page int, kind string, html string, box struct<x0:double,y0:double,x1:double,y1:double>"
+PIECES = "doc_id long, on int, at int, page int, kind string, html string, box struct<x0:double,y0:double,x1:double,y1:double>, segs array<struct<text:string,bold:boolean>>, start int, last int"
 
 
-def blocks(lines: DataFrame, tables: DataFrame, images: DataFrame, pages: DataFrame, image_url: str = "img") -> DataFrame:
-    """(doc_id, seq, page, kind, html, box) of each block; box: the clip of the page that an image or form shows."""
+def _per_row(work, columns: int):
+    """A function of Arrow batches: work(the values of a row's columns) gives dictionaries."""
+
+    def run(schema):
+        def batches_of(batches):
+            for batch in batches:
+                for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
+                    if out := list(work(*row)):
+                        yield pa.RecordBatch.from_pylist(out, schema)
+
+        return batches_of
+
+    return run
+
+
+def _with_segments(found: list[dict]) -> list[dict]:
+    for item in found:
+        if item["line"]:
+            item["line"]["segs"] = [(s["text"], s["bold"]) for s in item["line"]["segs"]]
+    return found
 
-    def run(batches):
-        for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for item in found:
-                    if item["line"]:
-                        item["line"]["segs"] = [(s["text"], s["bold"]) for s in item["line"]["segs"]]
-                out = [{"doc_id": doc, "seq": k, "page": page, "kind": kind, "html": text, "box": box} for k, (page, kind, text, box) in enumerate(read(found, image_url))]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
 
+#: Where a paragraph that nothing ends stands.
+LAST = 2**31 - 1
+
+
+def crossing(parts: list[dict]) -> dict | None:
+    """The block of a paragraph that crosses borders, from its pieces (on, at, kind, segs, last)."""
+    segs: list = []
+    for part in sorted(parts, key=lambda x: x["on"]):
+        own = [(s["text"], s["bold"]) for s in part["segs"] or []]
+        segs = with_line(segs, own) if own else segs
+    end = next((x for x in parts if x["last"] is not None), {"on": LAST, "at": 0})
+    body = paragraph_html(Paragraph(parts[0]["kind"], 0.0, segs))
+    return body and {"on": end["on"], "at": end["at"], "page": max(x["on"] for x in parts if x["segs"]), "kind": parts[0]["kind"], "html": body}
+
+
+def blocks(lines: DataFrame, tables: DataFrame, images: DataFrame, pages: DataFrame, image_url: str = "img") -> DataFrame:
+    """(doc_id, seq, page, kind, html, box) of each block; box: the clip of the page that an image or form shows."""
+    long, text, whole = pa.int64(), pa.string(), pa.int32()
     box = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
-    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("page", pa.int32()), ("kind", pa.string()), ("html", pa.string()), ("box", box)])
-    return items(lines, tables, images, pages).mapInArrow(run, BLOCKS)
+    seg = pa.list_(pa.struct([("text", text), ("bold", pa.bool_())]))
+    found = items(lines, tables, images, pages)
+
+    def summed(doc, page, on_page):
+        yield {"doc_id": doc, "page": page, "s": json.dumps(summary(page, _with_segments(on_page)))}
+
+    def followed(doc, sums):
+        for page, p, pictures in handed([(s["page"], json.loads(s["s"])) for s in sums]):
+            yield {"doc_id": doc, "page": page, "p": json.dumps(p), "pictures": pictures}
+
+    def read(doc, page, on_page, p, pictures):
+        for at, (last_page, kind, html_, clip, segs, start, last) in enumerate(pieces(page, _with_segments(on_page), _unpacked(json.loads(p)), pictures, image_url)):
+            yield {"doc_id": doc, "on": page, "at": at, "page": last_page, "kind": kind, "html": html_, "box": clip, "segs": segs and [{"text": t, "bold": b} for t, b in segs], "start": start, "last": last}
+
+    def joined(doc, parts):
+        if block := crossing(parts):
+            yield {"doc_id": doc, **block}
+
+    sums = found.mapInArrow(_per_row(summed, 3)(pa.schema([("doc_id", long), ("page", whole), ("s", text)])), "doc_id long, page int, s string")
+    by_document = sums.groupBy("doc_id").agg(F.collect_list(F.struct("page", "s")).alias("sums"))  # a small row for each page
+    states = by_document.mapInArrow(_per_row(followed, 2)(pa.schema([("doc_id", long), ("page", whole), ("p", text), ("pictures", long)])), "doc_id long, page int, p string, pictures long")
+    schema = pa.schema([("doc_id", long), ("on", whole), ("at", whole), ("page", whole), ("kind", text), ("html", text), ("box", box), ("segs", seg), ("start", whole), ("last", whole)])
+    rows = found.join(states, ["doc_id", "page"]).select("doc_id", "page", "items", "p", "pictures").mapInArrow(_per_row(read, 5)(schema), PIECES)
+    parts = rows.filter("start IS NOT NULL").groupBy("doc_id", "start").agg(F.collect_list(F.struct("on", "at", "kind", "segs", "last")).alias("parts")).select("doc_id", "parts")
+    schema = pa.schema([("doc_id", long), ("on", whole), ("at", whole), ("page", whole), ("kind", text), ("html", text)])
+    stitched = parts.mapInArrow(_per_row(joined, 2)(schema), "doc_id long, on int, at int, page int, kind string, html string")
+    out = rows.filter("start IS NULL").select("doc_id", "on", "at", "page", "kind", "html", "box").unionByName(stitched.withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")))
+    # The place in the document: blocks of the pages before, then the place on the page.
+    counts = out.groupBy("doc_id", "on").agg(F.count("*").alias("n"))
+    before = counts.select("doc_id", "on", (F.sum("n").over(Window.partitionBy("doc_id").orderBy("on")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "on").orderBy("at")) - 1
+    return out.withColumn("place", place).join(before, ["doc_id", "on"]).select("doc_id", (F.col("before") + F.col("place")).cast("long").alias("seq"), "page", "kind", "html", "box")
 
 
 def documents_html(found: DataFrame) -> DataFrame:
