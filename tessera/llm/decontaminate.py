@@ -5,9 +5,9 @@ item: its whole text, searched as it stands in documents of any length); a shing
 it), as a whole number of 1/SCALE, so every sum is exact. A document is read through windows as long as an item (a shorter
 document is one window). Each window's weighted SimHash is looked up in a multi-index: the fingerprint is cut into BLOCKS
 runs of bits and each run's table lists the items within the run's Hamming ball, so every item within `radius` is found.
-Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more. A window of that
-similarity may lie beyond the radius, so windows whose shingles of the item weigh `threshold` of it or more are verified
-too: the similarity can't be higher than that share, so every window of `threshold` or more is found.
+Found items are verified by the weighted Jaccard similarity of the two bags, `threshold` or more. So what is found has that
+similarity, and of windows within the radius none is missed. A bit of two bags at a similarity of 0.8 differs with a
+probability of 0.151, so a window of 0.8 lies beyond RADIUS bits in about 3 cases of 10,000, and one of 0.85 hardly ever.
 
 Items are a distributed table. A window of the threshold lacks at most 1 - threshold of its item's weight, so it holds one
 of the item's rarest shingles that together weigh more than that (its probes). One scan of the documents keeps those with
@@ -36,7 +36,8 @@ from tessera.llm.common import bounded_batches, fresh, stored, whole_groups
 from tessera.llm.textvec import pieces, shingle_hashes, span_hashes, word_spans
 
 SHINGLE = 5
-BLOCKS = 4
+#: Bits within which windows are looked up, and the runs of bits of the multi-index.
+RADIUS, BLOCKS = 20, 8
 SCALE = 1 << 16
 #: The filter has FILL bits for each of its shingles, within these powers of two.
 FILL, FEWEST_BITS, MOST_BITS = 64, 20, 28
@@ -87,7 +88,7 @@ class ItemIndex:
     known: (shingles, ascending, and how many of all items hold each); any other shingle is one of no or one item.
     """
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], known: tuple[np.ndarray, np.ndarray], total: int, radius: int = 15, threshold: float = 0.8):
+    def __init__(self, items: list[tuple[int, np.ndarray]], known: tuple[np.ndarray, np.ndarray], total: int, radius: int = RADIUS, threshold: float = 0.8):
         self.radius, self.default = radius, int(weight(total, np.ones(1))[0])
         self.keys, self.values = known[0], weight(total, known[1])
         self.ids = [i for i, _ in items]
@@ -95,13 +96,11 @@ class ItemIndex:
         self.length = np.array([len(b) for _, b in items])  # shingles of a window of this item
         self.total = [int(self.weigh(b).sum()) for _, b in items]
         self.prints = np.array([_print((_signs(b) * self.weigh(b)[:, None]).sum(axis=0, keepdims=True))[0] for _, b in items], np.uint64)
-        self.holders, self.probed = defaultdict(list), defaultdict(list)
+        self.probed = defaultdict(list)
         for k, (_, b) in enumerate(items):
-            for h in self.bags[k]:
-                self.holders[h].append(k)
             for h in probes(b, self.weigh(b), threshold).tolist():
                 self.probed[h].append(k)
-        self.shingles = np.array(sorted(self.holders), np.uint64)
+        self.shingles = np.array(sorted(self.probed), np.uint64)
         a, b = divmod(radius, BLOCKS)
         width = 64 // BLOCKS
         self.tables = []
@@ -131,7 +130,7 @@ class ItemIndex:
         return {k for k in found if (int(self.prints[k]) ^ fp).bit_count() <= self.radius}
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
-        """Positions whose shingle is one of an item's."""
+        """Positions whose shingle is a probe of an item."""
         if not len(self.shingles):
             return np.zeros(0, np.int64)
         found = np.searchsorted(self.shingles, shingles)
@@ -140,14 +139,10 @@ class ItemIndex:
 
     def matches(self, shingles: np.ndarray, threshold: float) -> dict[int, tuple]:
         """item -> (similarity, start, Hamming distance) of its best window in one text."""
-        held: dict[int, list[int]] = defaultdict(list)
         probed: dict[int, list[int]] = defaultdict(list)
         for p in self.hits(shingles).tolist():
-            h = int(shingles[p])
-            for k in self.probed.get(h, ()):
+            for k in self.probed[int(shingles[p])]:
                 probed[k].append(p)
-            for k in self.holders[h]:
-                held[k].append(p)
         spans: dict[int, set[int]] = defaultdict(set)
         for k, at in probed.items():
             size = min(int(self.length[k]), len(shingles))
@@ -161,8 +156,6 @@ class ItemIndex:
             ordered = np.array(sorted(starts))
             for k in range(0, len(ordered), 2048):
                 self._windows(shingles, ordered[k : k + 2048], size, threshold, best)
-        for k in probed:
-            self._sharing(shingles, k, np.array(held[k]), threshold, best)
         return best
 
     def _better(self, best: dict, item: int, like: float, start: int, fp: int) -> None:
@@ -170,25 +163,6 @@ class ItemIndex:
         if old is None or like > old[0] or like == old[0] and start < old[1]:
             best[item] = like, start, (int(self.prints[item]) ^ fp).bit_count()
 
-    def _sharing(self, shingles, item, at, threshold, best) -> None:
-        """Windows that hold enough of the item's shingles, which stand at `at`, ascending."""
-        size = min(int(self.length[item]), len(shingles))
-        sums = np.concatenate([[0], np.cumsum(self.weigh(shingles[at]))])
-        most = lambda starts: sums[np.searchsorted(at, starts + size)] - sums[np.searchsorted(at, starts)]
-        least = threshold * self.total[item] - 1e-6
-        # The window with most of them may start at one of them.
-        if most(np.minimum(at, len(shingles) - size)).max() < least:
-            return
-        starts = np.arange(max(0, int(at[0]) - size + 1), min(int(at[-1]), len(shingles) - size) + 1)
-        share = most(starts)
-        for k in np.flatnonzero(share >= least).tolist():
-            if item in best and share[k] / self.total[item] < best[item][0]:
-                continue
-            window = shingles[starts[k] : starts[k] + size]
-            like = self.similarity(item, window)
-            if like >= threshold:
-                self._better(best, item, like, int(starts[k]), int(_print((_signs(window) * self.weigh(window)[:, None]).sum(axis=0, keepdims=True))[0]))
-
     def _windows(self, shingles, starts, size, threshold, best) -> None:
         # Runs of neighbouring starts share one running sum.
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
@@ -265,7 +239,7 @@ def _passes(bloom: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 FOUND = "doc_id long, text_key string, item_id long, similarity double, hamming int, first_word long, n_words int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """contaminated() with text_key."""
     spark = docs.sparkSession
     items, held, total = item_table(benchmark, n)
@@ -352,12 +326,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     return dealt.mapInArrow(whole_groups(["r", "m"], work), FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, similarity, hamming, first_word, n_words): each document's best window for each item it holds."""
     return leaks(docs, benchmark, threshold, radius, n).drop("text_key")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 15, n: int = SHINGLE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
     """docs without the rows whose text holds an item, whatever their doc_id; rows of a null text stay."""
     (key,) = fresh(docs, "key")
     bad = stored(leaks(docs, benchmark, threshold, radius, n).select(F.col("text_key").alias(key)).distinct(), "leaks")
