@@ -140,10 +140,47 @@ def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(rows.columns)
 
 
+#: Seconds of one slice of a key's time.
+SLICE_S = 3600
+
+
+def seconds_sliced(each: DataFrame, window: int, slice_s: int = SLICE_S) -> DataFrame:
+    """each (_k, _t, _c: key, second, count) with the slice that its second stands in (_own) and a row for every slice whose
+    windows reach it (_s): its own, and the next one if it stands at the end. A slice holds a row for each second at most,
+    however many attempts."""
+    own = F.floor(F.col("_t") / slice_s)
+    return each.withColumn("_own", own).withColumn("_s", F.explode_outer(F.sequence("_own", F.floor((F.col("_t") + window - 1) / slice_s))))
+
+
 def recent_count(rows: DataFrame, key: str, seconds: Column, window: int = WINDOW_S) -> DataFrame:
-    """rows with n: those of the same key less than `window` seconds old, itself included."""
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-(window - 1), Window.currentRow)
-    return rows.withColumn("n", F.count("*").over(w))
+    """rows with n: those of the same key less than `window` seconds old, itself included. Rows without a time count those of
+    their key.
+
+    Attempts are counted by key and second before they are shuffled, and a key's time is cut into slices with the seconds
+    before them, so a key that holds half of all rows is many small groups.
+    """
+    timed = rows.withColumn("_at", seconds.cast("long"))
+    each = timed.groupBy(F.col(key).alias("_k"), F.col("_at").alias("_t")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_k", "_s").orderBy("_t").rangeBetween(-(window - 1), Window.currentRow)
+    sums = seconds_sliced(each, window).withColumn("_n", F.sum("_c").over(w)).filter(F.col("_s").eqNullSafe(F.col("_own"))).select("_k", "_t", "_n")
+    counted = timed.join(sums, timed[key].eqNullSafe(F.col("_k")) & F.col("_at").eqNullSafe(F.col("_t")))
+    return counted.select(*[timed[c] for c in rows.columns], F.col("_n").alias("n"))
+
+
+def renewals(events: DataFrame, days: int = 90) -> DataFrame:
+    """(token, at, expires): each opening and renewal of sessions, of events (token, at in seconds, opens). A visit renews a
+    session that has not expired and would then end more than a day later; one after the end does nothing. Of one second
+    the opening counts first. A session's events are folded in one group: a row for each of its seconds."""
+    each = events.groupBy("token", "at").agg(F.max(F.coalesce("opens", F.lit(False))).alias("opens"))
+    zero = F.struct(F.lit(None).cast("long").alias("expires"), F.array().cast("array<struct<at:long,expires:long>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        end = e["at"] + days * 86_400
+        moves = e["opens"] | F.coalesce((s["expires"] >= e["at"]) & (end - s["expires"] > RENEW_S), F.lit(False))
+        return F.struct(F.when(moves, end).otherwise(s["expires"]).alias("expires"), F.when(moves, F.concat(s["out"], F.array(F.struct(e["at"].alias("at"), end.alias("expires"))))).otherwise(s["out"]).alias("out"))
+
+    rows = each.groupBy("token").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "opens"))).alias("e"))
+    return rows.select("token", F.inline(F.aggregate("e", zero, step, lambda s: s["out"])))
 
 
 def blocked(attempts: DataFrame, now: int) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions.style import fixed_parts
+from tessera.session import work_dir
 
 LINES, PER_PAGE, SHARD_BYTES, K1, B = 60, 40, 60_000, 1.5, 0.75
 #: Chunk numbers of one block of a posting list.
@@ -51,9 +51,11 @@ def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
 
     Keys are cut at quantiles of a bounded sample into ranges of about SPAN rows, so neither their type nor their spread
     matters; totals of ranges first, then inside each. No window holds more than a range. counts is read three times, so it
-    is kept (memory, then disk; a row for each key).
+    is written first (a row for each key).
     """
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{work_dir(counts.sparkSession)}/counts"
+    counts.write.parquet(path)
+    counts = counts.sparkSession.read.schema(counts.schema).parquet(path)
     cuts = _quantiles(counts, key)
     at = F.lit(0)
     if cuts:  # two steps, so a row meets few of the cuts
@@ -203,11 +205,27 @@ def bytes_on_disk(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def shard_objects(weights: DataFrame) -> DataFrame:
+    """(shard, value): the index files, a JSON object {term: list} for each shard, also for one without terms."""
+    shards = shard_plan(weights).first()["shards"]
+    held = postings(weights).withColumn("shard", T.fnv(F.col("term")) % F.lit(shards))
+    objects = held.groupBy("shard").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "flat"))))).alias("value"))
+    every = weights.sparkSession.range(shards).select(F.col("id").alias("shard"))
+    return every.join(objects, "shard", "left").na.fill("{}", ["value"])
+
+
+def page_objects(pieces: DataFrame, per: int = PER_PAGE) -> DataFrame:
+    """(page, value): the files of texts, a JSON array of [doc_id, label, text] for each run of chunk numbers."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "label", "text"))), lambda c: F.array(c["doc_id"].cast("string"), c["label"], c["text"]))
+    return pieces.withColumn("page", F.floor(F.col("chunk_id") / per)).groupBy("page").agg(F.to_json(rows).alias("value"))
+
+
 def write_index(pieces: DataFrame, weights: DataFrame, path: str) -> None:
-    """Postings by shard, chunk texts by page and the vocabulary, as partitioned tables."""
-    lists = postings(weights).join(index_shards(weights).select("term", "shard"), "term")
-    lists.repartition("shard").write.partitionBy("shard").json(f"{path}/i")
-    pieces.withColumn("page", F.floor(F.col("chunk_id") / PER_PAGE)).repartition("page").sortWithinPartitions("chunk_id").write.partitionBy("page").json(f"{path}/t")
+    """The export for the site: one file for each shard, one for each page of texts, each in a folder of its number, and the
+    vocabulary. A file is one row, so it is whole or not there, and a task that is repeated leaves no second one. Searches
+    by Spark use search.write()."""
+    shard_objects(weights).write.partitionBy("shard").text(f"{path}/i")
+    page_objects(pieces).write.partitionBy("page").text(f"{path}/t")
     weights.groupBy("term").agg(F.count("*").alias("df")).filter((F.length("term") >= 4) & ~F.rlike("term", F.lit("^[0-9]+$"))).write.json(f"{path}/vocab")
 
 

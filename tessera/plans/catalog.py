@@ -543,6 +543,25 @@ def rate_limit(spark, d):
     return A.recent_count(rows, "user_id", F.col("at")).withColumn("limited", F.col("n") >= A.PER_EMAIL)
 
 
+def session_renewals(spark, d):
+    """Users' sessions of three days: a signup opens one, any other event is a visit."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("token"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "signup").alias("opens"))
+    return A.renewals(rows, 3)
+
+
+def shard_files(spark, d):
+    """The index files: which terms each holds, and all their chunk numbers and weights."""
+    kind = "map<string,array<long>>"
+    rows = I.shard_objects(_weights(spark, d)).select("shard", F.explode_outer(F.from_json("value", kind)).alias("term", "flat"))
+    return rows.groupBy("shard").agg(F.count("term").alias("terms"), F.coalesce(F.sum(F.aggregate("flat", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("numbers"))
+
+
+def page_files(spark, d):
+    """The files of texts: how many chunks each holds, and their texts."""
+    rows = I.page_objects(_chunks(spark, d)).select("page", F.from_json("value", "array<array<string>>").alias("c"))
+    return rows.select("page", F.size("c").cast("long").alias("chunks"), F.md5(F.array_join(F.transform("c", lambda c: F.array_join(c, "|")), "\n")).alias("digest"))
+
+
 def case_order(spark, d):
     order = [F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2), F.desc("o_orderdate"), F.col("o_orderkey")]
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)).cast("long").alias("rank"))
@@ -583,7 +602,7 @@ def queries():
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
         user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
-        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities,
+        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

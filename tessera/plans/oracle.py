@@ -282,6 +282,17 @@ l AS (SELECT user_id, max((expires, id)) AS m FROM (SELECT user_id, expires, id
 SELECT t.* FROM t JOIN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY expires DESC, id DESC) AS k FROM t) WHERE k = 1) USING (id) WHERE expires > 1704067200 + 25 * 86400""",
     "rate_limit": """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000) AS sec FROM events WHERE event_type = 'error')
 SELECT event_id, user_id, sec AS "at", n, n >= 10 AS limited FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS n FROM e)""",
+    "session_renewals": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, bool_or(event_type = 'signup') AS opens FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
+w AS (SELECT user_id, i, t, opens AS moves, CASE WHEN opens THEN t + 259200 END AS expires FROM n WHERE i = 1
+  UNION ALL SELECT n.user_id, n.i, n.t, n.opens OR coalesce(w.expires >= n.t AND n.t + 259200 - w.expires > 86400, false),
+    CASE WHEN n.opens OR (w.expires >= n.t AND n.t + 259200 - w.expires > 86400) THEN n.t + 259200 ELSE w.expires END FROM w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+SELECT user_id AS token, t AS "at", expires FROM w WHERE moves""",
+    "shard_files": f"""{R}{BM25}, s AS (SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)),
+  lambda h, c: (xor(h, c) * 16777619) & 4294967295) % shards AS shard FROM size, plan),
+h AS (SELECT shard, count(DISTINCT term) AS terms, sum(chunk_id + weight)::BIGINT AS numbers FROM weights JOIN s USING (term) GROUP BY shard)
+SELECT k AS shard, coalesce(terms, 0) AS terms, coalesce(numbers, 0) AS numbers FROM (SELECT unnest(range(shards)) AS k FROM plan) LEFT JOIN h ON k = shard""",
+    "page_files": f"""{R}{CHUNKS} SELECT chunk_id // 40 AS page, count(*) AS chunks, md5(string_agg(doc_id || '|часть ' || part || '|' || text, chr(10) ORDER BY chunk_id)) AS digest FROM chunk GROUP BY 1""",
     "case_order": "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS rank FROM orders",
     "pending_count": "SELECT count(*) FILTER (c_acctbal > 500 AND c_acctbal < 1000) AS pending, count(*) AS users FROM customer",
     "user_updates": f"WITH {MEMBERS}, {ACTS} "+'''SELECT id, CASE WHEN act IN ('rehash', 'reset') THEN 'new' || id ELSE pass END AS pass, CASE act WHEN 'role' THEN 'admin' ELSE role END AS role,
