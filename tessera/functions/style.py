@@ -306,7 +306,8 @@ def participle_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) ->
 
 
 def clause_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
-    """(key, at): the word before which a comma lacks for a clause with котор-, by a morphology table (form, pos, case, rank).
+    """(key, at, to): the word before which a comma lacks for the clause with котор- at `to`, by a morphology table (form, pos,
+    case, rank).
 
     In the genitive the comma goes back over up to five nouns, pronouns, adjectives, participles, numerals, prepositions,
     infinitives and adverbs (`работа, качество которых`); else over prepositions and then one infinitive. No comma after a
@@ -333,4 +334,4 @@ def clause_commas(rows: DataFrame, key: str, text: str, forms: DataFrame) -> Dat
     before = F.when(is_genitive, F.get("five", genitive)).when(infinitive, F.col("stop.one")).otherwise(F.col("stop.own"))
     hit = hit.withColumn("n", F.when(is_genitive, genitive).otherwise(preps + infinitive.cast("int"))).withColumn("before", before)
     ok = F.coalesce(F.col("before.word"), F.lit(False)) & ~F.lower("before.t").isin(CONJUNCTIONS)
-    return hit.filter(ok).select(key, (F.col("i") - F.col("n")).cast("int").alias("at"))
+    return hit.filter(ok).select(key, (F.col("i") - F.col("n")).cast("int").alias("at"), F.col("i").alias("to"))

@@ -16,6 +16,7 @@ from tessera.operators import access as A
 from tessera.operators import incremental as N
 from tessera.operators import index as I
 from tessera.operators import layout as L
+from tessera.operators import morphology as M
 from tessera.operators import pages as P
 from tessera.operators import search as R
 from tessera.plans import fixtures as X
@@ -543,6 +544,35 @@ def rate_limit(spark, d):
     return A.recent_count(rows, "user_id", F.col("at")).withColumn("limited", F.col("n") >= A.PER_EMAIL)
 
 
+def _lexicon(spark, d):
+    """Forms of the first words of parts, and the little words of the sentences."""
+    words = X.words(spark, d).select("w").distinct()
+    form = lambda end, *parse: F.struct(F.concat("w", F.lit(end)).alias("form"), *[F.lit(x).cast("string").alias(c) for c, x in zip(M.PARSE, parse)])
+    own = words.select(F.inline(F.array(form("ов", "NOUN", "gent", "plur", "masc"), form("ам", "NOUN", "datv", "plur", "masc"), form("ать", "INFN", None, None, None))))
+    little = [("следующих", "PRTF", "gent", "plur", None), ("которых", "ADJF", "gent", "plur", None), ("котором", "ADJF", "loct", "sing", "masc"), ("в", "PREP", None, None, None), ("и", "CONJ", None, None, None), ("вот", "PRCL", None, None, None)]
+    return own.unionByName(spark.createDataFrame(little, "form string, pos string, case string, number string, gender string")).withColumn("rank", F.lit(1))
+
+
+def _sentences(spark, d):
+    """A sentence for each part: a participle behind its noun, one before it, clauses with котор-; most nouns are in no lexicon."""
+    k = F.col("key") % 5
+    x = (
+        F.when(k == 0, F.concat("v", F.lit("ов следующих в депо"))).when(k == 1, F.concat("v", F.lit("ов следующих "), "w", F.lit("ов")))
+        .when(k == 2, F.concat("w", F.lit("ов в котором путь"))).when(k == 3, F.lit("и в котором путь")).otherwise(F.concat(F.lit("вот "), "v", F.lit("ать которых")))
+    )
+    return X.words(spark, d).select("key", x.alias("x"))
+
+
+def comma_hints(spark, d):
+    return M.comma_hints(_sentences(spark, d), "key", "x", _lexicon(spark, d)).select("key", F.col("at").cast("long").alias("at"), "was", "becomes")
+
+
+def word_parses(spark, d):
+    """Parses of the second words' forms, which the lexicon lacks, by their endings."""
+    forms = X.words(spark, d).select(F.explode(F.array(*[F.concat("v", F.lit(e)) for e in ("ов", "ам", "ать")])).alias("form"))
+    return M.parses(forms, _lexicon(spark, d)).select("form", F.col("rank").cast("long").alias("rank"), "pos", "case", "number", "gender", "known")
+
+
 def session_renewals(spark, d):
     """Users' sessions of three days: a signup opens one, any other event is a visit."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("token"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "signup").alias("opens"))
@@ -602,7 +632,7 @@ def queries():
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
         user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
-        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files,
+        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files, comma_hints, word_parses,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

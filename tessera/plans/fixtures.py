@@ -47,7 +47,7 @@ CASES = {
 LATIN, LOOK = "abcdefghijklmnopqrstuvwxyz", "абцдефгхиклмнопярстувшжызю"
 
 
-def _words(spark, d):
+def words(spark, d):
     """(key, w, v, c): two words of each part, in Russian letters, and the consonants of the first."""
     ru = lambda k: F.translate(F.get(F.split(F.lower("p_name"), " "), F.lit(k)), LATIN, LOOK)
     w = F.concat(F.lit("сло"), ru(0))
@@ -70,7 +70,7 @@ def _case(name: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         made = F.concat(*put(front), _pick([a for a, _ in rows]), *put(back))
-        return _words(spark, d).select("key", made.alias("input")).select("key", "input", change(F.col("input")).alias("output"))
+        return words(spark, d).select("key", made.alias("input")).select("key", "input", change(F.col("input")).alias("output"))
 
     return run
 
@@ -101,12 +101,12 @@ def style_applies(spark, d):
 def fix_log(spark, d):
     cases = ["да,, нет а вагон,дом", "путь", "не более, чем", "поезд;вагон но дом"]
     x = F.concat("w", F.lit(" "), _pick(cases), F.lit(" "), "v")
-    return _words(spark, d).select("key", F.posexplode(S.fix_log(x)).alias("k", "f")).select("key", F.col("k").cast("long").alias("k"), "f.was", "f.became")
+    return words(spark, d).select("key", F.posexplode(S.fix_log(x)).alias("k", "f")).select("key", F.col("k").cast("long").alias("k"), "f.was", "f.became")
 
 
 def comma_context(spark, d):
     cases = ["проверить если поезд стоит", "поезд который стоит там", "и если так", "нужно чтобы шел"]
-    rows = _words(spark, d).select("key", F.concat("w", F.lit(" "), _pick(cases), F.lit(" "), "v").alias("x"))
+    rows = words(spark, d).select("key", F.concat("w", F.lit(" "), _pick(cases), F.lit(" "), "v").alias("x"))
     return S.missing_commas(rows, "key", "x")
 
 
@@ -119,13 +119,13 @@ def tok_offsets(spark, d):
 def docx_parts(spark, d):
     texts = [("p", ["w"]), ("p", ["1.1. Первый ", "v"]), ("p", ["Приложение N 2 форма"]), ("t", ["w", " | ", "v"]), ("p", ["I. Общие положения,"]), ("p", ["2 ", "w"])]
     blocks = F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(*[F.col(x) if x in "wv" else F.lit(x) for x in text]).alias("text")) for kind, text in texts])
-    return _words(spark, d).select("key", F.posexplode(L.docx_parts(blocks)).alias("k", "p")).select("key", F.col("k").cast("long").alias("k"), "p.label", "p.text")
+    return words(spark, d).select("key", F.posexplode(L.docx_parts(blocks)).alias("k", "p")).select("key", F.col("k").cast("long").alias("k"), "p.label", "p.text")
 
 
 def sidecar_parts(spark, d):
     mark = lambda n, more="": F.concat(F.lit("\n=== стр. "), n.cast("string"), F.lit(f" ==={more}\n"))
     x = F.concat("v", mark(F.col("key")), "w", mark(F.col("key") + 1, "  "), "v")
-    parts = _words(spark, d).select("key", F.posexplode(L.sidecar_parts(x)).alias("k", "p"))
+    parts = words(spark, d).select("key", F.posexplode(L.sidecar_parts(x)).alias("k", "p"))
     return parts.select("key", F.col("k").cast("long").alias("k"), "p.label", F.trim(F.replace("p.text", F.lit("\n"), F.lit(" "))).alias("text"))
 
 
@@ -137,7 +137,7 @@ def _pieces(spark, d):
     """Each part is a page with these pieces, moved by its key."""
     one = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(y).alias("y")) for t, a, b, y in _LINES])).alias("l")
     right, down = F.col("key") % 50, F.col("key") % 40 * 6
-    rows = _words(spark, d).select("key", "w", one)
+    rows = words(spark, d).select("key", "w", one)
     return rows.select(F.col("key").alias("page"), F.concat("l.t", "w").alias("text"), (F.col("l.a") + right).alias("x0"), (F.col("l.b") + right).alias("x1"), (F.col("l.y") + down).alias("y0"))
 
 
@@ -152,7 +152,7 @@ def reading_order(spark, d):
 def table_prune(spark, d):
     cells = [["w", "", " b-\nc"], ["", "", " "], ["v-\nе", " "]]
     rows = F.array(*[F.array(*[F.concat(*[F.col(c) if c in ("w", "v") else F.lit(c) for c in ([x[0], x[1:]] if x[:1] in ("w", "v") else [x])]) for x in r]) for r in cells])
-    return _words(spark, d).select("key", F.posexplode(L.pruned_table(rows)).alias("row", "r")).select("key", F.col("row").cast("long").alias("row"), F.array_join("r", "|").alias("cells"))
+    return words(spark, d).select("key", F.posexplode(L.pruned_table(rows)).alias("row", "r")).select("key", F.col("row").cast("long").alias("row"), F.array_join("r", "|").alias("cells"))
 
 
 def tickets_explode(spark, d):
@@ -160,7 +160,7 @@ def tickets_explode(spark, d):
     kind = "title string, tickets array<struct<n:int,q:array<string>>>"
     ticket = lambda n, *q: F.struct(F.lit(n).alias("n"), F.array(*q).alias("q"))
     deck = F.to_json(F.struct(F.concat(F.lit('"'), "w").alias("title"), F.array(ticket(1, F.col("w"), F.col("v")), ticket(2, F.concat("v", F.lit("?\n")))).alias("tickets")))
-    rows = _words(spark, d).select("key", F.from_json(deck, kind).alias("d")).select("key", "d.title", F.explode("d.tickets").alias("t"))
+    rows = words(spark, d).select("key", F.from_json(deck, kind).alias("d")).select("key", "d.title", F.explode("d.tickets").alias("t"))
     return rows.select("key", "title", F.col("t.n").alias("n"), F.posexplode("t.q").alias("k", "question")).withColumn("k", F.col("k").cast("long"))
 
 

@@ -2,6 +2,8 @@
 
 from html.entities import html5
 
+from tessera.plans import fixtures as X
+
 CHUNK_CHARS = 1200
 #: The stop words.
 STOP_WORDS = """и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по
@@ -282,6 +284,10 @@ l AS (SELECT user_id, max((expires, id)) AS m FROM (SELECT user_id, expires, id
 SELECT t.* FROM t JOIN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY expires DESC, id DESC) AS k FROM t) WHERE k = 1) USING (id) WHERE expires > 1704067200 + 25 * 86400""",
     "rate_limit": """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000) AS sec FROM events WHERE event_type = 'error')
 SELECT event_id, user_id, sec AS "at", n, n >= 10 AS limited FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS n FROM e)""",
+    "comma_hints": f"""{X.WORDS} SELECT key, 1 AS "at", CASE key % 5 WHEN 0 THEN v || 'ов следующих в депо' WHEN 2 THEN w || 'ов в котором путь' ELSE 'вот ' || v || 'ать которых' END AS was,
+  CASE key % 5 WHEN 0 THEN v || 'ов, следующих в депо' WHEN 2 THEN w || 'ов, в котором путь' ELSE 'вот, ' || v || 'ать которых' END AS becomes FROM words WHERE key % 5 IN (0, 2, 4)""",
+    "word_parses": f"""{X.WORDS}, e AS (SELECT * FROM (VALUES ('ов', 'NOUN', 'gent', 'plur', 'masc'), ('ам', 'NOUN', 'datv', 'plur', 'masc'), ('ать', 'INFN', NULL, NULL, NULL)) t(e, pos, "case", number, gender))
+SELECT DISTINCT v || e AS form, 1 AS rank, pos, "case", number, gender, false AS known FROM words, e""",
     "session_renewals": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, bool_or(event_type = 'signup') AS opens FROM events GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
 w AS (SELECT user_id, i, t, opens AS moves, CASE WHEN opens THEN t + 259200 END AS expires FROM n WHERE i = 1
