@@ -21,6 +21,7 @@ from tessera.operators import pages as P
 from tessera.operators import search as R
 from tessera.plans import fixtures as X
 from tessera.session import table, work_dir
+from tessera.sources import docx as DX
 
 QUERY = "the reading of an erer tion enter"
 SESSION_NOW = 1_704_067_200
@@ -279,6 +280,17 @@ def docx_tables(spark, d):
     return rows.select("l_orderkey", P.docx_table_html(F.col("rows")).alias("html"))
 
 
+def docx_files(spark, d):
+    """Parts as a word processor's XML: a heading by its style, and a table whose first cell goes over both rows."""
+    para = lambda x, more="": F.concat(F.lit(f"<w:p><w:pPr>{more}</w:pPr><w:r><w:t>"), x.cast("string"), F.lit("</w:t></w:r></w:p>"))
+    cell = lambda x, more="": F.concat(F.lit(f"<w:tc><w:tcPr>{more}</w:tcPr>"), para(x), F.lit("</w:tc>"))
+    row = lambda *cells: F.concat(F.lit("<w:tr>"), *cells, F.lit("</w:tr>"))
+    first = row(cell(F.col("p_brand"), '<w:vMerge w:val="restart"/>'), cell(F.col("p_type")))
+    body = F.concat(F.lit("<w:body>"), para(F.col("p_name"), '<w:pStyle w:val="1"/>'), F.lit("<w:tbl>"), first, row(cell(F.lit(""), "<w:vMerge/>"), cell(F.col("p_size"))), F.lit("</w:tbl></w:body>"))
+    styles = F.lit('<w:styles><w:style w:type="paragraph" w:styleId="1"><w:name w:val="heading 1"/></w:style></w:styles>')
+    return table(spark, d, "part").select("p_partkey", DX.document_html(body, styles).alias("html"))
+
+
 def boxes(spark, d):
     """Parts' names as frames of one column: cells go on until one ends a sentence."""
     words = F.split("p_name", " ")
@@ -632,7 +644,7 @@ def queries():
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
         user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
-        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files, comma_hints, word_parses,
+        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files, comma_hints, word_parses, docx_files,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

@@ -195,6 +195,7 @@ h AS (SELECT doc_id, part, k, CASE WHEN length(x) < 120 AND {UPPER} THEN '<h2>'
 SELECT doc_id, md5(string_agg(h, chr(10) ORDER BY part, k)) AS digest FROM h GROUP BY doc_id""",
     "docx_tables": """SELECT l_orderkey, '<div class="tbl"><table>' || string_agg('<tr><td>' || l_returnflag || '</td><td>&lt;' || l_linestatus || '<br>&amp;</td></tr>', '' ORDER BY l_linenumber, l_returnflag, l_linestatus) || '</table></div>' AS html
 FROM lineitem GROUP BY l_orderkey""",
+    "docx_files": """SELECT p_partkey, '<h3>' || p_name || '</h3>' || chr(10) || '<div class="tbl"><table><tr><td>' || p_brand || '</td><td>' || p_type || '</td></tr><tr><td>' || p_brand || '</td><td>' || p_size || '</td></tr></table></div>' AS html FROM part""",
     "boxes": """WITH w AS (SELECT p_partkey, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS w FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)),
 g AS (SELECT p_partkey, i // 3 AS g, string_agg(w, ' ' ORDER BY i) || CASE WHEN count(*) = 3 THEN '.' ELSE '' END AS t FROM w GROUP BY ALL)
 SELECT p_partkey, '<div class="box">' || string_agg('<p>' || t || '</p>', '' ORDER BY g) || '</div>' AS html FROM g GROUP BY p_partkey""",
