@@ -72,6 +72,14 @@ def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(totals, "__b").withColumn("start", F.col("__a") + F.sum(value).over(inside) - F.col(value)).drop("__b", "__a")
 
 
+def zipped(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
+    """Rows of two tables side by side by their place in the order of their keys (distinct, not null); the longer one's rest
+    is left out. Places are running totals over ranges of keys, so no task orders a whole table."""
+    place = lambda t, key, name: running_total(t.select(key).withColumn("_one", F.lit(1).cast("long")), key, "_one").select(key, F.col("start").alias(name))
+    left, right = a.join(place(a, a_key, "_at"), a_key), b.join(place(b, b_key, "_at"), b_key)
+    return left.join(right, "_at").drop("_at").select(*a.columns, *b.columns)
+
+
 def _quantiles(rows: DataFrame, key: str) -> list:
     """Keys that cut rows into ranges of about SPAN rows, at most MOST_RANGES of them: every k-th of a sample by hash."""
     n = rows.count()

@@ -337,6 +337,26 @@ def header_footer(spark, d):
     return L.repeated_edges(_lines(spark, d))
 
 
+def kept_lines(spark, d):
+    """Pages of sixty lines, some of them turned, without what repeats at their edges and what a table covers."""
+    i = F.floor(F.col("y0") / 10)
+    spans = _lines(spark, d).select(
+        "doc_id", F.col("page").cast("int").alias("page"), i.cast("int").alias("line"), F.lit(0).alias("span"), "text", F.lit("T").alias("font"), F.lit(0).alias("flags"), F.lit(10.0).alias("size"), F.lit(0).alias("color"),
+        F.lit(50.0).alias("x0"), F.lit(550.0).alias("x1"), F.lit(50.0).alias("line_x0"), F.col("y0").alias("line_y0"), F.lit(550.0).alias("line_x1"), F.col("y1").alias("line_y1"),
+        F.when(i % 9 == 4, 1.0).otherwise(0.0).alias("dir_y"), "height",
+    )
+    tables = spans.filter("page % 2 = 0").select("doc_id", "page").distinct().select("doc_id", "page", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 100.0), ("x1", 600.0), ("y1", 205.0))])
+    kept = L.outside_tables(L.without_edges(P.lines_of_spans(spans)), tables, "doc_id", "page")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("y0").alias("tops"), F.sum(F.length("text")).alias("chars"))
+
+
+def zipped_tables(spark, d):
+    """Documents beside pages by their place in the order of their keys."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
+    pages = table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("html_chars"))
+    return I.zipped(docs, "doc_id", pages, "page_id")
+
+
 def noise_lines(spark, d):
     lines = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(L.is_noise(F.col("x")), 1)).alias("n_noise"))
@@ -644,7 +664,7 @@ def queries():
         oov_words, edit1_suggest, strip_tags, html_escape, tag_aware_fix, session_join, valid_sessions, valid_tokens, rate_limit, case_order, pending_count, path_acl,
         safe_next, mime_lookup, norm_text, content_cache, user_updates, user_inserts, user_deletes, token_users, session_users, opened_sessions, attempt_purge, who_json,
         user_listing, admin_mail, url_codec, file_titles, etags, worker_route, stale_urls,
-        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files, comma_hints, word_parses, docx_files,
+        stored_search, stored_search_many, incremental_weights, incremental_stats, page_entities, session_renewals, shard_files, page_files, comma_hints, word_parses, docx_files, kept_lines, zipped_tables,
     ]
     return {f.__name__: f for f in names} | X.queries()
 

@@ -253,6 +253,15 @@ ln AS (SELECT doc_id, part, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS t F
 k AS (SELECT doc_id, regexp_replace(trim(t), '[0-9]+', '#', 'g') AS key FROM ln WHERE i * 10 + 8 < 48 OR i * 10 > 540),
 np AS (SELECT doc_id, count(*) AS pages FROM parts GROUP BY doc_id)
 SELECT doc_id, key, count(*) AS n FROM k JOIN np USING (doc_id) WHERE key <> '' GROUP BY doc_id, key, pages HAVING count(*) >= greatest(3.0, pages * 0.3)""",
+    "kept_lines": f"""WITH {PARTS},
+ln AS (SELECT * FROM (SELECT doc_id, part, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS t FROM (SELECT doc_id, part, string_split(text, chr(10)) AS x FROM parts)) WHERE i % 9 <> 4),
+k AS (SELECT *, i < 4 OR i > 54 AS edge, regexp_replace(trim(t), '[0-9]+', '#', 'g') AS key FROM ln),
+np AS (SELECT doc_id, count(*) AS pages FROM parts GROUP BY doc_id),
+rep AS (SELECT doc_id, key FROM k JOIN np USING (doc_id) WHERE edge AND key <> '' GROUP BY doc_id, key, pages HAVING count(*) >= greatest(3.0, pages * 0.3))
+SELECT doc_id, count(*) AS lines, sum(i * 10.0)::DOUBLE AS tops, sum(length(t))::BIGINT AS chars FROM k
+WHERE NOT (edge AND (regexp_full_match(t, '[\\s0-9\\-–—./стрСтр]*') OR (doc_id, key) IN (SELECT (doc_id, key) FROM rep))) AND NOT (part % 2 = 0 AND i BETWEEN 10 AND 20) GROUP BY doc_id""",
+    "zipped_tables": """WITH a AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY doc_id) AS n FROM documents), b AS (SELECT page_id, length(html) AS html_chars, row_number() OVER (ORDER BY page_id) AS n FROM pages)
+SELECT doc_id, chars, page_id, html_chars FROM a JOIN b USING (n)""",
     "noise_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_full_match(x, '[\s0-9\-–—./стрСтр]*')) AS n_noise FROM l GROUP BY doc_id""",
     "heading_level": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
