@@ -6,9 +6,8 @@ pigeonhole rule two linked fingerprints agree in some segment up to a small numb
 segments' values and looks up, in the same table, the values in that small Hamming ball; what is found is verified on all
 64 bits. A pair that differs by one bit in a segment is seen once: only the fingerprint with the 0 asks.
 
-Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). Segments
-are longer, and for wide fingerprints more, the more classes there are, so an average bucket (segment, value) does not grow
-with the corpus (wide ones: up to 2**24 classes). One that holds very many near ones is cut into blocks of a fixed size before its rows are dealt out, and every two
+Copies cost nothing: equal fingerprints are one class before the search (for a similarity: equal sets of shingles). A bucket
+(segment, value) that holds very many is cut into blocks of a fixed size before its rows are dealt out, and every two
 blocks meet in a task of their own; a task returns one link for each fingerprint it connects (a spanning forest over all its buckets), never all pairs. The forests of
 several tasks may be merged to one. Links become components by alternating large-star and small-star steps over written
 tables, so nothing grows on the driver.
@@ -72,21 +71,22 @@ class Index(NamedTuple):
 FEW = 1 << 24
 #: The share of differing bits at a similarity of 0.8, and the share of such pairs that the wide index is to meet.
 DIFFER, MEET = 0.15, 0.98
+#: Bits of a wide segment, whatever the corpus holds: 65,536 buckets for each of the segments.
+WIDE_BITS = 16
 
 
-def wide(classes: int) -> Index:
-    """The index over four words of 64 bits, of segments whose values are some sixty-four times fewer than the classes
-    (up to 2**24 of them: longer segments would have to share so many bits that pairs would be missed)."""
-    size = min(18, max(13, classes.bit_length() - 6))
-    near = (1 - DIFFER) ** size + size * DIFFER * (1 - DIFFER) ** (size - 1)
+def wide() -> Index:
+    """The index over four words of 64 bits. It is the same for every corpus, so which texts meet does not depend on what else
+    there is; a corpus of very many classes has fuller buckets, which are cut into blocks."""
+    near = (1 - DIFFER) ** WIDE_BITS + WIDE_BITS * DIFFER * (1 - DIFFER) ** (WIDE_BITS - 1)
     count = math.ceil(math.log(1 - MEET) / math.log(1 - near))
-    each = -(-count // 4)  # in a word; they overlap if they must
-    step = 32 if each == 2 else (64 - size) // max(1, each - 1)
-    segments = [(f"fp{k % 4}", k // 4 * step, size) for k in range(count)]
+    each = -(-count // 4)  # in a word
+    step = (64 - WIDE_BITS) // max(1, each - 1)
+    segments = [(f"fp{k % 4}", k // 4 * step, WIDE_BITS) for k in range(count)]
     return Index([f"fp{k}" for k in range(4)], segments, [1] * count, 52)
 
 
-WIDE = wide(1)
+WIDE = wide()
 
 
 def narrow(radius: int, classes: int = 1) -> Index:
@@ -462,7 +462,7 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> D
     classes = _classes(prints, columns)
     alike = classes.groupBy(*WIDE.columns).agg(F.min("node").alias("least"))
     equal = classes.join(alike, WIDE.columns).filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    found = merged(linked(alike.withColumnRenamed("least", "node"), wide(classes.count()), "node"))
+    found = merged(linked(alike.withColumnRenamed("least", "node"), WIDE, "node"))
     named = merged(verified(docs, classes, components(found.union(equal)), n, similarity))
     return _components_of(prints, classes, named, columns).drop("shingles")
 

@@ -4,7 +4,8 @@ The categories are kinds of toxicity, predicted in order: `insult` (the text hol
 but toxic texts hold), `severe` (two or more different indicators) and `toxic` as a whole. Each has a linear (logistic,
 lasso) model over the presence of VOCABULARY words and a few shares of the text, and over the probabilities of the
 categories before it. While training, those earlier probabilities are out-of-fold ones, so a later model learns from what
-it will meet when it scores. Labels tell `toxic` only; the other two are marked by rule on the training texts: toxic ones,
+it will meet when it scores: for the texts of a fold they come from models, marks and a choice of words that the other folds
+alone have made. Labels tell `toxic` only; the other two are marked by rule on the training texts: toxic ones,
 by the indicators found among them (words of LEAST_DOCS texts or more, INDICATES of which are toxic).
 
 The models are fitted on at most `sample` distinct labelled texts (those of the smallest keyed hash), a documented bound,
@@ -65,18 +66,24 @@ class Chain:
         out[-SHARES:] = shares(text)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, l1: float) -> None:
-        """y: a column for each category, -1 for an unknown label."""
+    def fit(self, x: np.ndarray, toxic: np.ndarray, fold: np.ndarray, l1: float) -> None:
+        """x: words, then shares, of each text; toxic: 0, 1 or -1 (unknown)."""
         n = len(self.vocabulary)
         if len(x):
             self.low[n:], self.high[n:] = x[:, n:].min(axis=0), x[:, n:].max(axis=0)
+        words, y = x[:, :n], kinds(x[:, :n], toxic)
+        # What the other folds say of each: their marks, and which of the words stand out in them.
+        others = [np.where(fold == f, -1, toxic).astype(np.int8) for f in range(FOLDS)]
+        seen = [(kinds(words, t), np.concatenate([surprising(words, t), np.ones(SHARES, bool)])) for t in others]
         for k in range(len(self.names)):
             known = y[:, k] >= 0
             self.models.append(_fit(x[known], y[known, k], l1))
             out_of_fold = np.zeros(len(x), np.float32)
-            for f in range(FOLDS):
-                w, b = _fit(x[known & (fold != f)], y[known & (fold != f), k], l1)
-                out_of_fold[fold == f] = sigmoid(x[fold == f] @ w + b)
+            for f, (marks, use) in enumerate(seen):
+                use = np.concatenate([use, np.ones(k, bool)])  # and the categories before
+                there = marks[:, k] >= 0
+                w, b = _fit(x[there] * use, marks[there, k], l1)
+                out_of_fold[fold == f] = sigmoid((x[fold == f] * use) @ w + b)
             x = np.column_stack([x, out_of_fold])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -104,6 +111,14 @@ def kinds(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.column_stack([mark(n >= 1), mark(n >= 2), toxic.astype(np.int8)])
 
 
+def surprising(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which words stand out in toxic texts by LEAST_SURPRISE; x: which words each text holds, toxic: 0, 1 or -1."""
+    known = toxic >= 0
+    held, bad = x[known].sum(axis=0), x[known & (toxic == 1)].sum(axis=0)
+    expected = held * (toxic[known].mean() if known.any() else 0.0)
+    return (held >= LEAST_DOCS) & (bad > expected) & ((bad - expected) ** 2 / np.maximum(expected, 0.5) >= LEAST_SURPRISE)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text_hash, y, words, shares): at most `sample` distinct labelled texts."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -143,9 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l1: float =
     for i, r in enumerate(rows):
         x[i, list(r["at"])] = 1
         x[i, -SHARES:] = r["shares"]
-    y = kinds(x[:, : len(chain.vocabulary)], np.array([r["y"] for r in rows], np.int8))
     fold = np.array([r["text_hash"] % FOLDS for r in rows], np.int64)
-    chain.fit(x, y, fold, l1)
+    chain.fit(x, np.array([r["y"] for r in rows], np.int8), fold, l1)
     return chain
 
 

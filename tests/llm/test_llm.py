@@ -171,10 +171,9 @@ def test_simhash_rows_of_repeated_and_missing_ids(spark, rows):
     assert {r["_n"] for r in kept.collect()} >= {5, 7}
 
 
-@pytest.mark.parametrize("classes", [1, 1 << 20, 1 << 40])
-def test_wide_index_meets_pairs_at_the_threshold(classes):
+def test_wide_index_meets_pairs_at_the_threshold():
     # 1,000 planted pairs of texts at a similarity of 0.8 to 0.82, by the exact sets.
-    rng, index = random.Random(15), simhash_dedup.wide(classes)
+    rng, index = random.Random(15), simhash_dedup.WIDE
     assert all(0 <= low and low + size <= 64 for _, low, size in index.segments)
     texts = []
     while len(texts) < 2000:
@@ -533,14 +532,32 @@ def test_chain_equals_brute_force(spark):
     assert marked.tolist() == [[int(r["y"] and holds(r) > 0), int(r["y"] and holds(r) > 1), r["y"]] for r in bags]
     fold = np.array([r["text_hash"] % toxicity.FOLDS for r in bags])
     rows = x
+
+    def without(f):
+        """(rows of the other folds, their marks, columns that stand out among them), by the definition."""
+        other = [i for i in range(len(bags)) if fold[i] != f]
+        share = sum(bags[i]["y"] for i in other) / len(other)
+        stands, tells = [], set()
+        for word, at in chain.vocabulary.items():
+            held = [bags[i]["y"] for i in other if x[i, at]]
+            due = len(held) * share
+            stands.append(len(held) >= 4 and sum(held) > due and (sum(held) - due) ** 2 / max(due, 0.5) >= 10.83)
+            if len(held) >= 4 and sum(held) >= 0.9 * len(held):
+                tells.add(at)
+        n = [sum(bool(x[i, at]) for at in tells) for i in other]
+        marks = np.array([[int(bags[i]["y"] and c >= 1), int(bags[i]["y"] and c >= 2), bags[i]["y"]] for i, c in zip(other, n)])
+        return other, marks, np.array([*stands, *[True] * toxicity.SHARES])
+
     for k in range(3):
         w, b = toxicity._fit(rows, marked[:, k], 4e-5)
         assert np.allclose(w, chain.models[k][0], rtol=1e-3, atol=5e-3) and abs(b - chain.models[k][1]) < 5e-3  # single precision
         early = np.zeros(len(x), np.float32)
         for f in range(toxicity.FOLDS):
-            v, c = toxicity._fit(rows[fold != f], marked[fold != f, k], 4e-5)
+            other, marks, use = without(f)
+            use = np.append(use, [True] * k)
+            v, c = toxicity._fit(rows[other] * use, marks[:, k], 4e-5)
             for i in np.flatnonzero(fold == f):
-                early[i] = 1 / (1 + math.exp(-max(-30, min(30, float(rows[i] @ v + c)))))
+                early[i] = 1 / (1 + math.exp(-max(-30, min(30, float((rows[i] * use) @ v + c)))))
         rows = np.column_stack([rows, early])
     got = {r.doc_id: r for r in toxicity.scored(docs, chain).collect()}
     for k, t in enumerate(texts[:60]):
@@ -569,6 +586,20 @@ def test_nontoxic_rows_go_by_their_text(spark):
     assert toxicity.nontoxic(df.filter("false"), labels).count() == 0
 
 
+def test_toxicity_of_odd_texts(spark):
+    """A very long text, empty ones, and words that stand at its end, through the fitted scores."""
+    rng = random.Random(14)
+    rows = [(k, prose(rng, 40) + (" vilify scorn" if k % 4 == 0 else "")) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(240)], "doc_id long, toxic int")
+    long = prose(rng, 100_000)
+    odd = [(900, None), (901, ""), (902, long), (903, f"{long} vilify"), (904, "x" * 400_000)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels, 0.4).collect()}
+    assert len(got) == 245 and all(0 <= got[k][c] <= 1 for k in got for c in ("p_insult", "p_severe", "p_toxic"))
+    assert got[903].p_toxic > got[902].p_toxic and not got[902].toxic and got[900].p_toxic == got[901].p_toxic
+    assert all(got[k].toxic == (k % 4 == 0) for k in range(240))
+
+
 def test_rules_equal_brute_force(spark):
     rng = random.Random(13)
     texts = [(prose(rng, rng.randrange(5, 80)) + ("$$ ## !! " * 5 if k % 3 == 0 else ".")) for k in range(300)] + [None, "", "ONE 2!\n\nONE 2!\n", "é | ß & \t x" * 5000]
