@@ -140,7 +140,7 @@ def frequent_filter(texts: DataFrame, max_n: int, least: int) -> np.ndarray:
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     ok = np.ones(len(h), bool)
     for low in PLACES:
-        p = (h >> np.uint64(low)) & np.uint64((1 << FILTER_BITS) - 1)
+        p = (h >> np.uint64(low)) & np.uint64(64 * len(bits) - 1)
         ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return ok
 

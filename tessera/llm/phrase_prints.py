@@ -2,9 +2,10 @@
 
 A text's UTF-8 bytes are parsed into dictionary phrases from left to right: each phrase is the shortest run that is not in
 the dictionary yet, and enters it. Texts that compress well together share phrases. The phrase set is hashed, and the
-KEPT smallest of its 32-bit hashes are the signature (bottom-k minimum hashing: one hash function, exact for texts of up to
-KEPT phrases). The likeness of two is the share of the smallest hashes of both together that both have: an estimate of
-the Jaccard similarity of the phrase sets with a standard error of at most 0.5 / sqrt(KEPT).
+KEPT smallest of its 32-bit hashes are the signature (bottom-k minimum hashing with one hash function; one of fewer is the
+whole set). The likeness of two is, of the hashes up to which both signatures are complete, the share that both have: the
+Jaccard similarity of the phrase sets if both are of fewer than KEPT phrases, else an estimate of it with a standard error
+of at most 0.5 / sqrt(KEPT).
 
 As the parse goes from left to right, texts with the same beginning share all phrases of it; a change early in a text
 moves the later borders, but repeated content still falls into the same short phrases.
@@ -65,13 +66,14 @@ def signatures(texts: list[str]) -> list[str]:
 
 
 def likeness_of(a: str, b: str) -> float:
-    """Share of the KEPT smallest hashes of both signatures together that both have."""
+    """Of the hashes up to which both signatures are complete, the share that both have."""
     if not a or not b:
         return float(a == b)
     x, y = (np.frombuffer(bytes.fromhex(s), ">u4") for s in (a, b))
-    smallest = np.union1d(x, y)[:KEPT]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.searchsorted(both, smallest[-1], "right")) / len(smallest)
+    known = min([int(s[-1]) for s in (x, y) if len(s) >= KEPT], default=1 << 32)
+    x, y = x[x <= known], y[y <= known]
+    every = len(np.union1d(x, y))
+    return (len(x) + len(y) - every) / every
 
 
 @F.pandas_udf(DoubleType())  # a name would need a session, which a worker that imports this has not
