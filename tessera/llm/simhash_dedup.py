@@ -71,8 +71,8 @@ class Index(NamedTuple):
 FEW = 1 << 24
 #: The share of differing bits at a similarity of 0.8, and the share of such pairs that the wide index is to meet.
 DIFFER, MEET = 0.15, 0.98
-#: Bits of a wide segment, whatever the corpus holds: 65,536 buckets for each of the segments.
-WIDE_BITS = 16
+#: Bits of a wide segment, whatever the corpus holds: 16,384 buckets for each of the segments.
+WIDE_BITS = 14
 
 
 def wide() -> Index:
