@@ -42,15 +42,15 @@ TABLES = {
 }
 
 
-def signature(pairs: list[tuple[str, str]] | None = None) -> str:
-    """What texts are read by, as one text: the correction pairs and the limits."""
-    return repr((RULES, pairs, I.LINES, T.CHUNK_CHARS))
+def signature(pairs: list[tuple[str, str]] | None = None, cleaned: bool = True) -> str:
+    """What texts are read by, as one text: the correction pairs, the limits, and whether texts are read as they stand."""
+    return repr((RULES, pairs, I.LINES, T.CHUNK_CHARS, *([] if cleaned else ["as it stands"])))
 
 
-def signed(docs: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+def signed(docs: DataFrame, pairs: list[tuple[str, str]] | None = None, cleaned: bool = True) -> DataFrame:
     """(doc_id, text, sig)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.sha2(F.concat(text, F.lit("\n" + signature(pairs))), 256).alias("sig"))
+    return docs.select("doc_id", text.alias("text"), F.sha2(F.concat(text, F.lit("\n" + signature(pairs, cleaned))), 256).alias("sig"))
 
 
 def cached(spark: SparkSession, caches: list[str], name: str) -> DataFrame:
@@ -83,9 +83,9 @@ class State:
         return cached(self.spark, self.caches, "lens")
 
 
-def _read(texts: DataFrame, pairs, path: str) -> None:
+def _read(texts: DataFrame, pairs, path: str, cleaned: bool) -> None:
     """Chunks, words and lengths of texts (sig, text), written to a cache folder."""
-    pieces = I.chunks(texts.withColumnRenamed("sig", "doc_id"), pairs)
+    pieces = I.chunks(texts.withColumnRenamed("sig", "doc_id"), pairs, cleaned)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "piece")) - 1
     pieces.select(F.col("doc_id").alias("sig"), place.cast("long").alias("place"), "part", "piece", "label", "text").write.parquet(f"{path}/chunks")
     spark = texts.sparkSession
@@ -96,11 +96,11 @@ def _read(texts: DataFrame, pairs, path: str) -> None:
     lens.select("sig", "place", F.coalesce("len", F.lit(0)).cast("long").alias("len")).write.parquet(f"{path}/lens")
 
 
-def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tuple[str, str]] | None = None) -> State:
+def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tuple[str, str]] | None = None, cleaned: bool = True) -> State:
     """The state of these documents, from the last one's; without one, a full build."""
     spark = docs.sparkSession
     path = f"{root}/state-{uuid.uuid4().hex}"
-    rows = signed(docs, pairs)
+    rows = signed(docs, pairs, cleaned)
     rows.select("doc_id", "sig").write.parquet(f"{path}/docs")
     now = spark.read.parquet(f"{path}/docs")
     caches = list(last.caches) if last else []
@@ -111,7 +111,7 @@ def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tu
     n_read = fresh.count()
     if n_read:
         once = rows.join(fresh, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
-        _read(once, pairs, cache)
+        _read(once, pairs, cache, cleaned)
         caches.append(cache)
     spark.createDataFrame([(c,) for c in caches], "path string").coalesce(1).write.parquet(f"{path}/caches")
     # Documents more or fewer of each signature.
