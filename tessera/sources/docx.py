@@ -47,13 +47,18 @@ def _elements(x: Column, *names: str) -> Column:
     return F.regexp_extract_all(x, F.lit(f"(?s)({one})"), F.lit(1))
 
 
+def _lacks(x: Column, what: str) -> Column:
+    """XML that does not hold this text has no element or attribute of the name: it need not be parsed for it."""
+    return ~F.contains(x, F.lit(what))
+
+
 def _value(x: Column, name: str, of: str = "w:val") -> Column:
     """An attribute of the first element of this name; empty without one."""
-    return F.xpath_string(x, F.lit(f'//*[name()="w:{name}"][1]/@*[name()="{of}"]'))
+    return F.when(_lacks(x, f"<w:{name}") | _lacks(x, of), "").otherwise(F.xpath_string(x, F.lit(f'//*[name()="w:{name}"][1]/@*[name()="{of}"]')))
 
 
 def _has(x: Column, name: str) -> Column:
-    return F.xpath_boolean(x, F.lit(f'//*[name()="w:{name}"]'))
+    return F.when(_lacks(x, f"<w:{name}"), False).otherwise(F.xpath_boolean(x, F.lit(f'//*[name()="w:{name}"]')))
 
 
 def _switch(x: Column, name: str) -> Column:
