@@ -41,14 +41,15 @@ def endings(lexicon: DataFrame) -> DataFrame:
 
 
 def parses(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(form, rank, pos, case, number, gender, known) of the distinct words (column form)."""
+    """(form, rank, pos, case, number, gender, known) of the distinct words (column form). No words are broadcast: they grow with
+    the texts, and Spark's estimate of them is far too small."""
     forms = words.select(norm(F.col("form")).alias("form")).distinct()
-    known = forms.join(lexicon, "form").select("form", "rank", *PARSE, F.lit(True).alias("known"))
+    known = forms.join(lexicon.hint("merge"), "form").select("form", "rank", *PARSE, F.lit(True).alias("known"))
     table = endings(lexicon)
-    tried = forms.join(lexicon.select("form").distinct(), "form", "left_anti").select("form", F.explode(_endings("form")).alias("ending"))
-    longest = tried.join(table.select("ending").distinct(), "ending").groupBy("form").agg(F.max(F.struct(F.length("ending").alias("size"), "ending")).alias("e"))
+    tried = forms.join(lexicon.select("form").distinct().hint("merge"), "form", "left_anti").select("form", F.explode(_endings("form")).alias("ending"))
+    longest = tried.join(table.select("ending").distinct().hint("merge"), "ending").groupBy("form").agg(F.max(F.struct(F.length("ending").alias("size"), "ending")).alias("e"))
     order = Window.partitionBy("form").orderBy(F.desc("n"), *PARSE)
-    guessed = longest.select("form", F.col("e.ending").alias("ending")).join(table, "ending").select("form", F.row_number().over(order).alias("rank"), *PARSE, F.lit(False).alias("known"))
+    guessed = longest.select("form", F.col("e.ending").alias("ending")).join(table.hint("merge"), "ending").select("form", F.row_number().over(order).alias("rank"), *PARSE, F.lit(False).alias("known"))
     return known.unionByName(guessed)
 
 
@@ -64,7 +65,8 @@ def comma_hints(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> Dat
 
 def in_context(rows: DataFrame, key: str, text: str, toks: DataFrame, hits: DataFrame) -> DataFrame:
     """hits (key, at, to) with the text from the word before `at` or the one before that, to the token behind `to`, as it was
-    and with the comma."""
+    and with the comma. Both sides of each join grow with the texts and their sizes are estimated far too small, so none is
+    broadcast."""
     w = Window.partitionBy(key).orderBy("i")
     word = F.rlike("t", F.lit("^[А-Яа-яЁё]"))
     toks = toks.withColumn("word", word)
@@ -72,9 +74,10 @@ def in_context(rows: DataFrame, key: str, text: str, toks: DataFrame, hits: Data
     end = F.coalesce(F.lead("b").over(w) + F.length(F.lead("t").over(w)), F.col("b") + F.length("t"))
     placed = toks.select(key, "i", "b", begin.alias("begin"), end.alias("end"), F.max("i").over(Window.partitionBy(key)).alias("last"))
     last = placed.select(key, "last").distinct()
-    hits = hits.join(last, key).withColumn("to", F.least("to", "last")).drop("last")
+    hits = hits.join(last.hint("merge"), key).withColumn("to", F.least("to", "last")).drop("last")
     starts = placed.select(key, F.col("i").alias("at"), "b", "begin")
-    found = hits.join(starts, [key, "at"]).join(placed.select(key, F.col("i").alias("to"), "end"), [key, "to"]).join(rows.select(key, F.col(text).alias("x")), key)
+    ends = placed.select(key, F.col("i").alias("to"), "end")
+    found = hits.join(starts.hint("merge"), [key, "at"]).join(ends.hint("merge"), [key, "to"]).join(rows.select(key, F.col(text).alias("x")).hint("merge"), key)
     was = F.substring("x", F.col("begin") + 1, F.col("end") - F.col("begin"))
     cut = F.col("b") - F.col("begin")
     becomes = F.concat(F.regexp_replace(F.substring(was, F.lit(1), cut), r"(?U)\s+$", ""), F.lit(", "), F.substring(was, cut + 1, F.length(was)))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import style as S
 from tessera.functions import text as T
 from tessera.operators import access as A
+from tessera.operators import index as I
 from tessera.operators import layout as L
 from tessera.session import table
 
@@ -51,7 +52,8 @@ def words(spark, d):
     """(key, w, v, c): two words of each part, in Russian letters, and the consonants of the first."""
     ru = lambda k: F.translate(F.get(F.split(F.lower("p_name"), " "), F.lit(k)), LATIN, LOOK)
     w = F.concat(F.lit("сло"), ru(0))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), w.alias("w"), F.concat(F.lit("тре"), ru(1)).alias("v"), F.regexp_replace(w, f"[{T.VOWELS}]", "").alias("c"))
+    rows = I.dealt(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    return rows.select(F.col("p_partkey").alias("key"), w.alias("w"), F.concat(F.lit("тре"), ru(1)).alias("v"), F.regexp_replace(w, f"[{T.VOWELS}]", "").alias("c"))
 
 
 def _pick(xs: list, key: str = "key"):
