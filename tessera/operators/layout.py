@@ -23,12 +23,14 @@ def repeated_edges(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def without_edges(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """lines without noise and repeated lines at the edges of pages."""
+    """lines without noise and repeated lines at the edges of pages. Lines are read more than once, so the caller stores them;
+    only those at the edges meet the repeated ones."""
     key = F.regexp_replace(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), r"\d+", "#")
     edge = (F.col("y1") < F.col("height") * 0.08) | (F.col("y0") > F.col("height") * 0.9)
-    rows = lines.withColumn("__key", F.when(edge, key)).filter(~(edge & is_noise(F.col("text"))))
+    rows, at_edge = lines.filter(~(edge & is_noise(F.col("text")))), F.coalesce(edge, F.lit(False))
     often = repeated_edges(lines, doc).select(doc, F.col("key").alias("__key"))
-    return rows.join(often, [doc, "__key"], "left_anti").select(lines.columns)
+    kept = rows.filter(at_edge).withColumn("__key", key).join(often, [doc, "__key"], "left_anti").select(lines.columns)
+    return rows.filter(~at_edge).unionByName(kept)
 
 
 def outside_tables(lines: DataFrame, tables: DataFrame, *page: str) -> DataFrame:
