@@ -4,8 +4,9 @@ their total length are kept by differences.
 A document's signature is a digest of its text and of the rules it is read by (correction pairs, limits, RULES), so a change
 of either is another signature. What reading a text gives is kept by signature in cache folders, which are only added to:
 
-- `chunks` (sig, place, part, piece, label, text) and `lens` (sig, place, len): its chunks;
-- `tf` (sig, place, term, tf): the words of each.
+- `texts` (sig, place, part, piece, label, text): its chunks;
+- `words` (sig, place, len, words): the length of each and its words (term, tf), a row for each chunk, so that a signature stands
+  once beside them and not beside every word.
 
 A state folder holds what goes with one set of documents: `docs` (doc_id, sig), `df` (term, df), `stats` (chunks, total,
 number of texts that were read) and `caches`, the cache folders it refers to. `update` makes the next state from the last:
@@ -32,13 +33,14 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import index as I
+from tessera.session import stored
 
 #: Grows when the reading of texts changes in a way that its parameters don't show.
 RULES = "1"
 #: Tables of a cache folder.
 TABLES = {
-    "sigs": "sig string", "chunks": "sig string, place long, part long, piece long, label string, text string",
-    "tf": "sig string, place long, term string, tf long", "lens": "sig string, place long, len long",
+    "sigs": "sig string", "texts": "sig string, place long, part long, piece long, label string, text string",
+    "words": "sig string, place long, len long, words array<struct<term:string,tf:long>>",
 }
 
 
@@ -72,28 +74,22 @@ class State:
 
     @property
     def chunks(self) -> DataFrame:
-        return cached(self.spark, self.caches, "chunks")
+        return cached(self.spark, self.caches, "texts")
 
     @property
-    def tf(self) -> DataFrame:
-        return cached(self.spark, self.caches, "tf")
-
-    @property
-    def lens(self) -> DataFrame:
-        return cached(self.spark, self.caches, "lens")
+    def words(self) -> DataFrame:
+        return cached(self.spark, self.caches, "words")
 
 
 def _read(texts: DataFrame, pairs, path: str, cleaned: bool) -> None:
     """Chunks, words and lengths of texts (sig, text), written to a cache folder."""
     pieces = I.chunks(texts.withColumnRenamed("sig", "doc_id"), pairs, cleaned)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "piece")) - 1
-    pieces.select(F.col("doc_id").alias("sig"), place.cast("long").alias("place"), "part", "piece", "label", "text").write.parquet(f"{path}/chunks")
-    spark = texts.sparkSession
-    chunks = cached(spark, [path], "chunks")
-    I.term_counts(chunks, "sig", "place").write.parquet(f"{path}/tf")
-    tf = cached(spark, [path], "tf")
-    lens = chunks.select("sig", "place").join(tf.groupBy("sig", "place").agg(F.sum("tf").alias("len")), ["sig", "place"], "left")
-    lens.select("sig", "place", F.coalesce("len", F.lit(0)).cast("long").alias("len")).write.parquet(f"{path}/lens")
+    pieces = pieces.select(F.col("doc_id").alias("sig"), place.cast("long").alias("place"), "part", "piece", "label", "text")
+    pieces.write.option("compression", "zstd").parquet(f"{path}/texts")
+    rows = cached(texts.sparkSession, [path], "texts").select("sig", "place", T.counted(T.kept_tokens(F.col("text"))).alias("words"))
+    length = F.aggregate("words", F.lit(0).cast("long"), lambda a, p: a + p["tf"])
+    rows.select("sig", "place", length.alias("len"), "words").write.option("compression", "zstd").parquet(f"{path}/words")
 
 
 def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tuple[str, str]] | None = None, cleaned: bool = True) -> State:
@@ -120,11 +116,12 @@ def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tu
         diff = diff.unionByName(last.docs.groupBy("sig").agg((-F.count("*")).alias("more"))).groupBy("sig").agg(F.sum("more").alias("more")).filter("more <> 0")
     diff.write.parquet(f"{path}/diff")
     diff = spark.read.parquet(f"{path}/diff")
-    words = cached(spark, caches, "tf").join(diff, "sig").groupBy("term").agg(F.sum("more").alias("df"))
+    changed = cached(spark, caches, "words").join(diff, "sig")
+    words = changed.select("more", F.explode("words.term").alias("term")).groupBy("term").agg(F.sum("more").alias("df"))
     if last:
         words = last.df.unionByName(words).groupBy("term").agg(F.sum("df").alias("df"))
     words.filter("df > 0").write.parquet(f"{path}/df")
-    sums = cached(spark, caches, "lens").join(diff, "sig").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.col("more") * F.col("len")), F.lit(0)).alias("total"))
+    sums = changed.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.col("more") * F.col("len")), F.lit(0)).alias("total"))
     if last:
         sums = sums.unionByName(last.stats.select("chunks", "total")).agg(F.sum("chunks").alias("chunks"), F.sum("total").alias("total"))
     sums.withColumn("read", F.lit(n_read).cast("long")).coalesce(1).write.parquet(f"{path}/stats")
@@ -133,7 +130,7 @@ def update(docs: DataFrame, root: str, last: State | None = None, pairs: list[tu
 
 def offsets(state: State) -> DataFrame:
     """(doc_id, sig, start): the number of each document's first chunk; documents without chunks are left out."""
-    counts = state.docs.join(state.lens.groupBy("sig").agg(F.count("*").alias("chunks")), "sig")
+    counts = state.docs.join(state.words.groupBy("sig").agg(F.count("*").alias("chunks")), "sig")
     return I.running_total(counts, "doc_id", "chunks").select("doc_id", "sig", "start")
 
 
@@ -146,6 +143,6 @@ def weights(state: State) -> DataFrame:
     """(chunk_id, term, tf, weight) as a full build weighs them."""
     avg = F.col("total") / F.when(F.col("chunks") > 0, F.col("chunks"))
     stats = state.stats.select(F.col("chunks").alias("n"), F.coalesce(F.when(avg != 0, avg), F.lit(1.0)).alias("avg_len"))
-    rows = state.tf.join(state.lens, ["sig", "place"]).join(state.df, "term").crossJoin(F.broadcast(stats))  # one row
-    weighed = rows.select("sig", "place", "term", "tf", I.weight(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg_len")).alias("weight"))
-    return weighed.join(offsets(state), "sig").select((F.col("start") + F.col("place")).alias("chunk_id"), "term", "tf", "weight")
+    chunks = state.words.join(offsets(state), "sig").select((F.col("start") + F.col("place")).alias("chunk_id"), "len", "words")
+    rows = I.with_df(stored(chunks, "numbered").select("chunk_id", "len", F.inline("words")), state.df).crossJoin(F.broadcast(stats))  # one row
+    return rows.select("chunk_id", "term", "tf", I.weight(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg_len")).alias("weight"))
